@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tremora.llm import quality, sharding
+from tremora.llm import pieces, quality, sharding, simhash
 from tremora.llm.common import read_table
 
+#: The vocabulary file of the queries; operators take its path.
+PIECE_MODEL = "piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op4_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read_table(spark, sf_dir, "documents"))
 
@@ -20,10 +28,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op3_simhash": op3_simhash,
         "op4_minimax_sharding": op4_minimax_sharding,
         "op5_quality_rules": op5_quality_rules,
+        "op6_sentencepiece": op6_sentencepiece,
     }
 
 

@@ -21,7 +21,7 @@ from tremora.llm.common import cut, text_of
 FIRST, STEP, FULL = 3, 2, 32
 ROW_BYTES = 16
 #: Cells for slots: parts of the digest's order times parts of a group.
-ORDER_PARTS, GROUP_PARTS = 1024, 64
+ORDER_PARTS, GROUP_PARTS = 256, 64
 
 Piece = tuple[str, int, bool]
 
