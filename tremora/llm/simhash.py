@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from tremora.llm.common import cut, text_of
 from tremora.llm.components import connected_components
@@ -57,7 +58,7 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield pd.Series([fingerprint(t) for t in part], dtype="int64")
