@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tremora.llm import pieces, quality, sharding, simhash
+from tremora.llm import decontaminate, licenses, pieces, quality, secrets, sharding, simhash
 from tremora.llm.common import read_table
 
 #: The vocabulary file of the queries; operators take its path.
@@ -16,6 +16,10 @@ PIECE_MODEL = "piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read_table(spark, sf_dir, "documents"))
 
@@ -32,12 +36,23 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_secret_scan": op2_secret_scan,
         "op3_simhash": op3_simhash,
         "op4_minimax_sharding": op4_minimax_sharding,
         "op5_quality_rules": op5_quality_rules,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_decontamination": op7_decontamination,
+        "op10_license_scan": op10_license_scan,
     }
 
 
