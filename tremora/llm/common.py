@@ -34,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Let Spark hand Python at most so many rows at once: whole texts are long, and a batch is held several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def text_of(name: str) -> Column:
     """The column as text, empty where null."""
     return F.coalesce(F.col(name), F.lit(""))

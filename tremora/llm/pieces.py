@@ -19,15 +19,13 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremora.llm.common import text_of
+from tremora.llm.common import small_batches, text_of
 
 SPACE = "▁"
 #: A word with the spaces before it, or a run of line ends. No piece reaches over such a boundary.
 CHUNK = re.compile(r" +[^ \n]*|[^ \n]+|\n+")
 #: Bounds of the memos of a worker, in entries, and of the words that enter them, in characters.
 MEMO, MEMO_CHARS = 300_000, 48
-#: Rows of an output batch.
-ROWS = 512
 
 
 class Memo(dict):
@@ -180,19 +178,18 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(model_path).code
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                made = [code(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([m[0] for m in made], pa.binary()),
-                        pa.array([len(m[0]) // 4 for m in made], pa.int64()),
-                        pa.array([m[1] for m in made], pa.string()),
-                    ],
-                    ["doc_id", "ids_packed", "n_tokens", "decoded"],
-                )
-
+            made = [code(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([m[0] for m in made], pa.binary()),
+                    pa.array([len(m[0]) // 4 for m in made], pa.int64()),
+                    pa.array([m[1] for m in made], pa.string()),
+                ],
+                ["doc_id", "ids_packed", "n_tokens", "decoded"],
+            )
+
+    small_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
     return chosen.mapInArrow(run, f"doc_id {kind}, ids_packed binary, n_tokens long, decoded string")
