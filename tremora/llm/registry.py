@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tremora.llm import decontaminate, licenses, pieces, quality, secrets, sharding, simhash
+from tremora.llm import chat, decontaminate, licenses, pieces, quality, secrets, sharding, simhash, toxicity, urls
 from tremora.llm.common import read_table
 
 #: The vocabulary file of the queries; operators take its path.
@@ -16,6 +16,10 @@ PIECE_MODEL = "piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(read_table(spark, sf_dir, "conversations"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read_table(spark, sf_dir, "documents"))
 
@@ -40,18 +44,29 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(read_table(spark, sf_dir, "pages"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_chat_format": op1_chat_format,
         "op2_secret_scan": op2_secret_scan,
         "op3_simhash": op3_simhash,
         "op4_minimax_sharding": op4_minimax_sharding,
         "op5_quality_rules": op5_quality_rules,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_decontamination": op7_decontamination,
+        "op8_toxicity": op8_toxicity,
+        "op9_url_filter": op9_url_filter,
         "op10_license_scan": op10_license_scan,
     }
 
