@@ -28,6 +28,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows (of keys and numbers); else Spark joins by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there: computed once, safe from lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

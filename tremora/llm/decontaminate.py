@@ -11,20 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremora.llm.common import cut, lower_ascii, plain_words, text_of
+from tremora.llm.common import bounded, cut, lower_ascii, plain_words, text_of
 
 WINDOW = 10
 #: A proximity match holds all distinct terms of a window within this many tokens more than the window has.
 SLACK = 5
-#: Tables of benchmark terms up to this many rows (of a term and a count or a window each) are broadcast.
-BROADCAST_ROWS = 200_000
-
-
-def _bounded(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it is small enough; else Spark joins it by a shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _lowered(words: Column) -> Column:
     return F.transform(words, lower_ascii)
 
@@ -47,7 +38,7 @@ def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Da
     tokens = docs.select(F.explode(plain_words(text_of(text_col))).alias("word")).select(
         lower_ascii(F.col("word")).alias("term")
     )
-    return tokens.join(_bounded(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return tokens.join(bounded(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def anchored(found: DataFrame, counts: DataFrame) -> DataFrame:
@@ -81,7 +72,7 @@ def postings(docs: DataFrame, terms: DataFrame, reach: int, text_col: str = "tex
     places = docs.select("id", "text_key", plain_words(text_of(text_col)).alias("words")).select(
         "id", "text_key", "words", F.posexplode("words").alias("position", "word")
     )
-    hits = places.withColumn("term", lower_ascii(F.col("word"))).join(_bounded(terms), "term", "left_semi")
+    hits = places.withColumn("term", lower_ascii(F.col("word"))).join(bounded(terms), "term", "left_semi")
     first = F.greatest(F.col("position") - reach, F.lit(0))
     near = hits.select(
         "id",
@@ -100,7 +91,7 @@ def matches(index: DataFrame, targets: DataFrame, slack: int | None = None) -> D
     A phrase match starts at start and has n tokens. A proximity match gives the stretch around the rarest term that
     holds every distinct term of the window in any order, up to slack tokens longer than the window on either side.
     """
-    pairs = index.join(_bounded(targets), F.col("term") == F.col("anchor"))
+    pairs = index.join(bounded(targets), F.col("term") == F.col("anchor"))
     start = F.col("position") - F.col("anchor_at")
     # Offset-adjusted intersection: the second rarest term first, then all of them.
     beside = F.get("around", start + F.col("second_at") - F.col("first")) == F.col("second")
@@ -195,7 +186,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     _, hits, _ = find(docs, benchmark, id_col, text_col)
     marked = hits.select(F.col("id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__key"))
-    return docs.join(marked, same, "left_anti")
+    return docs.join(bounded(cut(marked)), same, "left_anti")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

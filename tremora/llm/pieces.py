@@ -167,8 +167,10 @@ def coder(path: str) -> PieceCoder:
     return PieceCoder(path)
 
 
-def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids_packed binary, n_tokens long, decoded string) for each row of docs.
+def encode_decode(
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, ids_packed binary, n_tokens long, decoded string) and the columns to keep, for each row of docs.
 
     ids_packed holds all ids, begin and end included, as little-endian unsigned 32-bit integers. A null or empty text
     has just the two. Repeated rows are coded each for itself, ids may be null, and other columns aren't read. Texts
@@ -181,18 +183,18 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             made = [code(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    *(batch.column(c) for c in ("doc_id", *keep)),
                     pa.array([m[0] for m in made], pa.binary()),
                     pa.array([len(m[0]) // 4 for m in made], pa.int64()),
                     pa.array([m[1] for m in made], pa.string()),
                 ],
-                ["doc_id", "ids_packed", "n_tokens", "decoded"],
+                ["doc_id", *keep, "ids_packed", "n_tokens", "decoded"],
             )
 
     small_batches(docs.sparkSession)
-    chosen = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"doc_id {kind}, ids_packed binary, n_tokens long, decoded string")
+    chosen = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), *keep)
+    kept = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
+    return chosen.mapInArrow(run, f"{kept}, ids_packed binary, n_tokens long, decoded string")
 
 
 def unpacked(packed: Column) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tremora.llm import chat, decontaminate, licenses, pieces, quality, secrets, sharding, simhash, toxicity, urls
 from tremora.llm.common import read_table
+from tremora.llm.oracles import ORACLES
 
 #: The vocabulary file of the queries; operators take its path.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -68,8 +70,12 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_url_filter": op9_url_filter,
         "op10_license_scan": op10_license_scan,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = dict(ORACLES)
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

@@ -14,7 +14,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremora.llm.common import cut, text_of
+from tremora.llm.common import bounded, cut, text_of
 
 #: The base patterns in listed order, and the least length of what each must hold.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -188,12 +188,39 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     )
 
 
-def keep_without(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no secret, with the columns of docs."""
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with <kind> in place of every secret of the text column; spans that overlap give one mark.
+
+    Rows without secrets, and null texts, stay as they are, and so do all other columns.
+    """
     found = spans(_keyed(docs, id_col, text_col), default_model(docs, text_col))
-    marked = cut(found.select(F.col("id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+    marks = cut(
+        found.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")).agg(
+            F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__spans")
+        )
+    )
+    text = F.col(text_col)
+    piece = F.aggregate(
+        "__spans",
+        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
+        lambda acc, s: F.when(
+            s["start"] >= acc["at"],
+            F.struct(
+                F.concat(
+                    acc["out"],
+                    F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
+                    F.lit("<"),
+                    s["kind"],
+                    F.lit(">"),
+                ).alias("out"),
+                s["end"].alias("at"),
+            ),
+        ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))),
+        lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))),
+    )
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__key"))
-    return docs.join(marked, same, "left_anti")
+    joined = docs.join(bounded(marks), same, "left")
+    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(piece)).select(*docs.columns)
 
 
 def _joined(secrets: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from tremora.llm.common import cut, text_of
+from tremora.llm.common import bounded, cut, small_batches, text_of
 from tremora.llm.components import connected_components
 
 SHINGLE_WORDS, SEED, BITS, DISTANCE = 4, 42, 64, 4
@@ -254,6 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cost one row each. Repeated rows and repeated ids keep a row each. Ids are integers; rows without an id take the
     component of their fingerprint and start none (null if no row of the class has an id). Other columns aren't read.
     """
+    small_batches(docs.sparkSession, 2048)
     marked = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(text_of(text_col)).alias("fp")))
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     joined = connected_components(link_classes(classes.where("rep is not null")))
@@ -266,8 +267,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its group; rows without an id stay."""
     ids = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    dropped = ids.where("doc_id != component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
+    dropped = cut(ids.where("doc_id != component_id").select(F.col("doc_id").alias("__dropped")).distinct())
+    return docs.join(bounded(dropped), F.col(id_col) == F.col("__dropped"), "left_anti")
 
 
 def digest(docs: DataFrame) -> DataFrame:
