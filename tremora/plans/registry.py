@@ -3,15 +3,251 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tremora.functions import seismic
+from tremora.operators import baseline, context, daily, interaction, network, revisions, spatial, trend, validation
+from tremora.plans import dashboard, report
+from tremora.plans.adapters import catalog, faults, observed, steps, strong
+from tremora.plans.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+PROFILE = (datetime(2024, 1, 1), datetime(2024, 1, 31))
+CURRENT = (datetime(2001, 6, 1), datetime(2001, 7, 1))
+EPS_KM, MIN_SAMPLES = 11.5, 4
+STUDY = {"minimum_magnitude": 6.0, "max_lag_days": 5.0, "max_distance_km": 60.0}
+WINDOWS = {"days": (1.0, 2.0, 5.0), "kilometres": (20.0, 60.0)}
+LIMITS = (6.5, 7.0)
+
+
+def rounded(df: DataFrame, digits: int = 4, **by_column: int) -> DataFrame:
+    """Doubles rounded, times as text: so that engines can be compared."""
+    made = {}
+    for name, kind in df.dtypes:
+        if kind == "double":
+            made[name] = F.round(name, by_column.get(name, digits))
+        elif kind == "timestamp":
+            made[name] = F.date_format(name, "yyyy-MM-dd HH:mm:ss")
+    return df.withColumns(made)
+
+
+def in_gigajoules(df: DataFrame) -> DataFrame:
+    """Energies scaled down before rounding."""
+    names = [c for c in df.columns if c.endswith("_joules")]
+    return df.withColumns({c: F.col(c) / 1e9 for c in names})
+
+
+def _positions(df: DataFrame) -> DataFrame:
+    return df.select(F.col("event_id").cast("long").alias("position"), "time", "latitude", "longitude", "depth", "magnitude")
+
+
+def _clustered(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.dbscan(_positions(strong(spark, d)), "position", EPS_KM, MIN_SAMPLES)
+
+
+def _associations(spark: SparkSession, d: str) -> DataFrame:
+    return context.nearest_boundary(strong(spark, d), steps(spark, d), 25.0)
+
+
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    return interaction.windows(strong(spark, d), _associations(spark, d), *PROFILE, 6.0, **WINDOWS)
+
+
+def _along_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return interaction.along_pairs(strong(spark, d), _associations(spark, d), steps(spark, d), 6.0, 5.0, 60.0, 10.0)
+
+
+def _along_windows(spark: SparkSession, d: str) -> DataFrame:
+    return interaction.along_windows(
+        strong(spark, d), _associations(spark, d), steps(spark, d), _along_pairs(spark, d), *PROFILE, 6.0, **WINDOWS
+    )
+
+
+def _revised(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A stored catalog, and later revisions of every third event with some new ones."""
+    base = strong(spark, d).select("event_id", F.lit("us").alias("source"), "time", "magnitude", F.col("time").alias("updated_at"))
+    key = F.col("event_id").cast("long")
+    old = base.where(key % 5 != 0)
+    new = base.where((key % 3 == 0) | (key % 5 == 0)).withColumns(
+        {
+            "magnitude": F.when(key % 2 == 0, F.col("magnitude") + 1).otherwise(F.col("magnitude")),
+            "updated_at": F.when(key % 2 == 0, F.col("updated_at") + F.expr("interval 1 hour")).otherwise(F.col("updated_at")),
+        }
+    )
+    return old, new
+
+
+def _config(period: str) -> baseline.BaselineConfig:
+    return baseline.BaselineConfig(period=period)
+
+
+def _periods(period: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        made = in_gigajoules(baseline.period_summaries(observed(spark, d), _config(period)))
+        return rounded(made, 9, **{c: 3 for c in made.columns if c.endswith("_joules")})
+
+    return run
+
+
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    events = observed(spark, d)
+    history = baseline.period_summaries(events.where(F.col("time") < F.lit(CURRENT[0])), _config("monthly"))
+    return baseline.compare(events, history, *CURRENT, _config("monthly"))
+
+
+def _series(spark: SparkSession, d: str) -> DataFrame:
+    return trend.time_series(observed(spark, d), trend.SeriesConfig("monthly", 12, 6))
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return _series(spark, d).where("is_available").select("period_start", "period_end", F.round("score", 6).alias("score"))
+
+
+def _dedupe_last(spark: SparkSession, d: str) -> DataFrame:
+    """Events keyed by user and type: the row that came last in input order stays."""
+    raw = catalog(spark, d).withColumn(validation.ORDINAL, F.col("event_id").cast("long"))
+    keyed = raw.withColumn("source", F.col("magnitude_type")).withColumn("event_id", F.col("place"))
+    return rounded(validation.validated(keyed).select("source", "event_id", "event_time_utc", "magnitude"))
+
+
+def _report_status(spark: SparkSession, d: str) -> DataFrame:
+    return report.observatory_report(catalog(spark, d)).select(
+        "activity_status", "energy_status", "depth_status", "confidence", "overall_status", "activity_change",
+        F.col("activity.event_count_7d").alias("event_count_7d"),
+        F.col("activity_period.total_events").alias("total_events"),
+        F.col("catalog.event_count").alias("event_count"),
+    )
+
+
+def _merge_counts(spark: SparkSession, d: str) -> DataFrame:
+    return revisions.merge_counts(*_revised(spark, d))
+
+
+QUERIES: dict[str, Query] = {
+    "daily_activity": lambda s, d: rounded(daily.daily_activity(catalog(s, d))),
+    "daily_activity_sparse": lambda s, d: rounded(daily.daily_activity(catalog(s, d), include_inactive_days=False)),
+    "rolling_activity": lambda s, d: rounded(daily.rolling_activity(daily.daily_activity(catalog(s, d)))),
+    "activity_summary": lambda s, d: daily.activity_summary(daily.daily_activity(catalog(s, d))),
+    "magnitude_bands": lambda s, d: daily.magnitude_categories(catalog(s, d))
+    .groupBy("magnitude_band")
+    .agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(c) for c in daily.STEPS)),
+    "daily_magnitude": lambda s, d: daily.daily_magnitude(catalog(s, d)),
+    "rolling_magnitude": lambda s, d: daily.rolling_magnitude(
+        rounded(daily.daily_activity(catalog(s, d)).select("date", "average_magnitude", "maximum_magnitude"))
+    ),
+    "magnitude_summary": lambda s, d: rounded(daily.magnitude_summary(catalog(s, d))),
+    "depth_classes": lambda s, d: daily.depth_categories(catalog(s, d)).groupBy("depth_category").agg(F.count(F.lit(1)).alias("n")),
+    "daily_depth": lambda s, d: daily.daily_depth(catalog(s, d)),
+    "rolling_depth": lambda s, d: daily.rolling_depth(daily.daily_depth(catalog(s, d)).select("date", "average_depth_km")),
+    "depth_summary": lambda s, d: daily.depth_summary(catalog(s, d)),
+    "event_energy": lambda s, d: rounded(
+        in_gigajoules(daily.event_energy(catalog(s, d)).select("event_id", "magnitude", "estimated_energy_joules"))
+    ),
+    "daily_energy": lambda s, d: rounded(in_gigajoules(daily.daily_energy(catalog(s, d)))),
+    "rolling_energy": lambda s, d: rounded(
+        in_gigajoules(daily.rolling_energy(daily.daily_energy(catalog(s, d)).select("date", "total_energy_joules")))
+    ),
+    "energy_summary": lambda s, d: rounded(in_gigajoules(daily.energy_summary(catalog(s, d)))),
+    "catalog_dedupe_last": _dedupe_last,
+    "catalog_merge": lambda s, d: rounded(revisions.merge(*_revised(s, d))),
+    "merge_counts": _merge_counts,
+    "query_filter": lambda s, d: rounded(
+        validation.query_filter(
+            catalog(s, d).withColumnRenamed("event_time_utc", "time"),
+            datetime(2024, 1, 5), datetime(2024, 1, 20), (17.5, 19.0, -68.0, -65.0), 1.0,
+        ).select("event_id", "time", "latitude", "longitude", "magnitude")
+    ),
+    "catalog_quality": lambda s, d: rounded(daily.catalog_quality(catalog(s, d)).drop("events_by_year"), 3),
+    "events_by_year": lambda s, d: daily.catalog_quality(
+        observed(s, d).select("event_id", F.col("time").alias("event_time_utc"), "magnitude", F.col("depth").alias("depth_km"))
+    ).select(F.explode("events_by_year").alias("year", "n")),
+    "baseline_daily": _periods("daily"),
+    "baseline_weekly": _periods("weekly"),
+    "baseline_monthly": _periods("monthly"),
+    "baseline_distribution": lambda s, d: baseline.distributions(
+        in_gigajoules(baseline.period_summaries(observed(s, d), _config("weekly"))), _config("weekly")
+    ).transform(rounded, 4),
+    "current_comparison": lambda s, d: _compared(s, d)
+    .where("metric != 'total_energy_joules'")
+    .select("metric", "current_value", "mean", "percentile_rank", "ratio", "classification")
+    .transform(rounded, 6),
+    "anomaly_scores": lambda s, d: rounded(
+        baseline.anomaly_scores(_compared(s, d).withColumn("period", F.lit("2001-06")), ["period"]), 6
+    ),
+    "time_series_points": lambda s, d: rounded(_series(s, d).drop("strongest_metric"), 6),
+    "trend_moving_averages": lambda s, d: rounded(trend.moving_averages(_points(s, d)).drop("period_end"), 9),
+    "trend_summary": lambda s, d: rounded(
+        trend.trend(_points(s, d)).select(
+            "available_count", "latest_score", "current_slope", "previous_slope", "acceleration", "momentum",
+            "consecutive_increases", "consecutive_decreases", "maximum_score", "maximum_period_start", "minimum_score",
+            "minimum_period_start", "percent_change", "direction", "strength", "short_slope", "long_percent_change",
+        )
+    ),
+    "intelligence_index": lambda s, d: trend.intelligence(_series(s, d)),
+    "haversine_pairs": lambda s, d: rounded(
+        spatial.near_pairs(strong(s, d), strong(s, d), 30.0, F.col("l.event_id") < F.col("r.event_id")).select(
+            F.col("l.event_id").alias("a"), F.col("r.event_id").alias("b"), "distance_km"
+        )
+    ),
+    "geographic_centroid": lambda s, d: rounded(spatial.centroid(catalog(s, d), "magnitude_type"), 6),
+    "dbscan_labels": _clustered,
+    "dbscan_clusters": lambda s, d: rounded(
+        spatial.cluster_statistics(_positions(strong(s, d)).join(_clustered(s, d), "position")).withColumn(
+            "member_indices", F.size("member_indices")
+        )
+    ),
+    "swarm_summary": lambda s, d: rounded(
+        spatial.swarms(_positions(strong(s, d)), spatial.SwarmConfig(EPS_KM, MIN_SAMPLES)).drop("member_indices")
+    ),
+    "nearest_fault": lambda s, d: rounded(context.nearest(strong(s, d), context.segments(faults(s, d)), "fault_id", 40.0)),
+    "nearest_boundary": lambda s, d: rounded(_associations(s, d)),
+    "boundary_projection": lambda s, d: rounded(network.project(strong(s, d), _associations(s, d), steps(s, d)), 5),
+    "seismic_moment": lambda s, d: strong(s, d).select(
+        "event_id", F.round(seismic.seismic_moment(F.col("magnitude"), F.col("magnitude_type")) / 1e18, 4).alias("moment_1e18")
+    ),
+    "network_summary": lambda s, d: network.network_summary(steps(s, d)),
+    "network_distance": lambda s, d: network.shortest_paths(steps(s, d)),
+    "interaction_pairs": lambda s, d: rounded(
+        interaction.pairs(strong(s, d), _associations(s, d), **STUDY).drop("source_moment_nm", "target_moment_nm")
+    ),
+    "interaction_windows": lambda s, d: rounded(_windows(s, d).drop("source_moment_nm")),
+    "interaction_cumulative": lambda s, d: rounded(interaction.stratified(_windows(s, d), LIMITS)),
+    "interaction_annular": lambda s, d: rounded(interaction.annular(interaction.stratified(_windows(s, d), LIMITS))),
+    "along_pairs": lambda s, d: rounded(_along_pairs(s, d)),
+    "along_windows": lambda s, d: rounded(_along_windows(s, d)),
+    "along_statistics": lambda s, d: rounded(interaction.along_statistics(_along_windows(s, d), LIMITS)),
+    "along_annular": lambda s, d: rounded(
+        interaction.annular(interaction.along_statistics(_along_windows(s, d), LIMITS), interaction.ALONG)
+    ),
+    "route_coverage": lambda s, d: rounded(interaction.along_coverage(_along_pairs(s, d))),
+    "latest_status": _report_status,
+    "dashboard_events": lambda s, d: rounded(
+        dashboard.denormalised(
+            strong(s, d), _associations(s, d), context.nearest(strong(s, d), context.segments(faults(s, d)), "fault_id", 40.0)
+        )
+    ),
+    "major_pairs": lambda s, d: rounded(
+        dashboard.incident_pairs(interaction.pairs(strong(s, d), _associations(s, d), **STUDY), dashboard.major_ids(strong(s, d), 8.0))
+        .select("source_event_id", "target_event_id", "lag_days", "distance_km")
+    ),
+    "year_histogram": lambda s, d: dashboard.by_year(observed(s, d)),
+    "magnitude_histogram": lambda s, d: dashboard.by_magnitude(strong(s, d)),
+    "ratio_correlation": lambda s, d: rounded(dashboard.ratio_correlation(interaction.along_statistics(_along_windows(s, d), LIMITS))),
+    "topk_recent": lambda s, d: rounded(dashboard.most_recent(strong(s, d), 10).select("event_id", "time", "magnitude")),
+    "largest_event": lambda s, d: rounded(dashboard.largest(catalog(s, d)).select("event_id", "magnitude")),
+    "event_search": lambda s, d: rounded(
+        dashboard.search(strong(s, d), text="PLACE 7", minimum_magnitude=6.5, columns=("event_id", "magnitude_type"), extra="place ")
+    ),
+}
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
