@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremora.operators.lineage import bounded, cut, ensure_checkpoint_dir
+
+__all__ = [
+    "bounded", "cut", "ensure_checkpoint_dir", "lower_ascii", "plain_words", "read_table", "small_batches", "text_of", "white_words",
+]
+
 #: The ASCII white space of the word rule, and the separators of the letter-and-digit word rule.
 WHITE = " \t\n\x0b\f\r"
 WHITE_RUN = r"[\x20\x09-\x0D]+"
@@ -18,27 +22,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of its own only where that is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tremora-checkpoints-")
-        )
-    return context.getCheckpointDir()
-
-
-def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (of keys and numbers); else Spark joins by a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there: computed once, safe from lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Let Spark hand Python at most so many rows at once: whole texts are long, and a batch is held several times."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
