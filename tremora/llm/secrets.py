@@ -45,13 +45,17 @@ def random_samples(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
     return spark.range(n).select(F.explode(written).alias("sample"), F.lit(True).alias("random"))
 
 
-def ordinary_samples(docs: DataFrame, text_col: str = "text", texts: int = SAMPLE_TEXTS) -> DataFrame:
+def ordinary_samples(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: int = SAMPLE_TEXTS
+) -> DataFrame:
     """(sample, random = false): identifier-like runs of a bounded sample of texts, what base patterns match left out.
 
-    The sample is the texts with the smallest hashes; plain decimal numbers are put in beside them.
+    The sample is an even share by hash of id and text, about `texts` in all; plain decimal numbers are put in beside
+    them. The share is taken where the rows lie, so no task gathers what grows with the table.
     """
-    text = text_of(text_col)
-    sample = docs.select(text.alias("text")).orderBy(F.xxhash64("text"), F.length("text")).limit(texts)
+    share = min(1.0, texts / max(1, docs.count()))
+    drawn = F.pmod(F.xxhash64(F.col(id_col), text_of(text_col)), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = docs.where(drawn).select(text_of(text_col).alias("text"))
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     runs = sample.select(F.explode(F.regexp_extract_all(bare, F.lit(f"{RUN}{{4,}}"), F.lit(0))).alias("sample"))
     numbers = docs.sparkSession.range(2048).select(
@@ -165,8 +169,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def default_model(docs: DataFrame, text_col: str = "text") -> list[float]:
-    return train(random_samples(docs.sparkSession).unionByName(ordinary_samples(docs, text_col)))
+def default_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
+    return train(random_samples(docs.sparkSession).unionByName(ordinary_samples(docs, id_col, text_col)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: list[float] | None = None) -> DataFrame:
@@ -176,7 +180,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     or repeat with other texts. Other columns aren't read; an empty table gives an empty result.
     """
     keyed = _keyed(docs, id_col, text_col)
-    found = spans(keyed, model if model is not None else default_model(docs, text_col))
+    found = spans(keyed, model if model is not None else default_model(docs, id_col, text_col))
     rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")).cast("int")
     grouped = found.groupBy("id", "text_key").agg(
         F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end", "llr"))).alias("secrets")
@@ -193,7 +197,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Rows without secrets, and null texts, stay as they are, and so do all other columns.
     """
-    found = spans(_keyed(docs, id_col, text_col), default_model(docs, text_col))
+    found = spans(_keyed(docs, id_col, text_col), default_model(docs, id_col, text_col))
     marks = cut(
         found.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")).agg(
             F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__spans")
