@@ -199,11 +199,14 @@ def encode_decode(
 
 def unpacked(packed: Column) -> Column:
     """The ids as an array of integers."""
-    four = F.transform(
-        F.sequence(F.lit(0), F.octet_length(packed) / 4 - 1),
-        lambda k: F.conv(F.hex(F.reverse(F.substring(packed, (k * 4 + 1).cast("int"), 4))), 16, 10).cast("int"),
-    )
-    return F.when(F.octet_length(packed) > 0, four).otherwise(F.array().cast("array<int>"))
+    digits = F.hex(packed)
+
+    def one(k: Column) -> Column:
+        parts = [F.substr(digits, (8 * k + at).cast("int"), F.lit(2)) for at in (7, 5, 3, 1)]
+        return F.conv(F.concat(*parts), 16, 10).cast("int")
+
+    starts = F.sequence(F.lit(0), (F.octet_length(packed) / 4 - 1).cast("int"))
+    return F.when(F.octet_length(packed) > 0, F.transform(starts, one)).otherwise(F.array().cast("array<int>"))
 
 
 def digest(docs: DataFrame, model_path: str) -> DataFrame:
