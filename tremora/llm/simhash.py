@@ -24,7 +24,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from tremora.llm.common import bounded, cut, small_batches, text_of
-from tremora.llm.components import connected_components
+from tremora.operators.graph import connected_components
 
 SHINGLE_WORDS, SEED, BITS, DISTANCE = 4, 42, 64, 4
 BLOCKS = 3
@@ -229,7 +229,9 @@ def _routed(classes: DataFrame, tops: list[Top]) -> DataFrame:
 def link_classes(classes: DataFrame, shard_size: int = SHARD) -> DataFrame:
     """Spanning edges (a, b) between ids of classes(rep, fp), one row per fingerprint, within DISTANCE bits."""
     n = classes.count()
-    drawn = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(dtype=np.int64)
+    # About SAMPLE fingerprints by hash, and no more than that: no task sorts or gathers more.
+    some = classes.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 30)))
+    drawn = some.limit(2 * SAMPLE).toPandas()["fp"].to_numpy(dtype=np.int64)
     sample = drawn.view(np.uint64)
     shards = min(MOST_SHARDS, -(-n // shard_size))
     tops = [build_top(sample, mask, DISTANCE // BLOCKS, shards) for mask in _block_masks()]
