@@ -15,7 +15,7 @@ def spark():
     from tremora.session import build_session
 
     session = build_session(
-        "local[8]",
+        f"local[{os.environ.get('TEST_CORES', '8')}]",
         "tests",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="6g",

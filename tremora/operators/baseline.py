@@ -240,11 +240,13 @@ def anomaly_scores(compared: DataFrame, keys: list[str], config: AnomalyConfig =
     """One row for each key: the score from 0 to 100, its level and what contributed most (the first among equals)."""
     parts = scored(compared, keys, config)
     made = parts.groupBy(*keys).agg(
-        F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.sum("weighted_score"))).alias("score"),
+        F.sum("weighted_score").alias("sum"),
         F.count_if("available").alias("available_metric_count"),
         F.max(F.when(F.col("available"), F.struct("weighted_score", -F.col("position"), "metric"))).alias("best"),
     )
-    return made.withColumns(
+    bounded = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("sum")))
+    scored_rows = made.withColumn("score", F.when(F.col("sum").isNotNull(), bounded)).drop("sum")
+    return scored_rows.withColumns(
         {
             "level": level(F.col("score"), config),
             "configured_metric_count": F.lit(len(config.metrics)).cast("long"),

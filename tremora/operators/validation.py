@@ -20,8 +20,9 @@ def require_columns(df: DataFrame, names: Iterable[str], what: str = "DataFrame"
 
 
 def utc_time(value: Column) -> Column:
-    """A timestamp from a timestamp or ISO text; the job fails on text that isn't a time."""
-    parsed = value.try_cast("timestamp")
+    """A timestamp from a timestamp or ISO text, seconds optional; the job fails on text that isn't a time."""
+    with_seconds = F.regexp_replace(value.cast("string"), r"^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d)(?!:)", "$1:00")
+    parsed = F.coalesce(value.try_cast("timestamp"), with_seconds.try_cast("timestamp"))
     wrong = value.isNotNull() & parsed.isNull()
     return F.when(wrong, F.raise_error(F.concat(F.lit("not a timestamp: "), value.cast("string")))).otherwise(parsed)
 

@@ -247,7 +247,7 @@ from s left join g using (period_start)""",
 
 def _periods(period: str) -> str:
     shown = [*_COUNTS] + [
-        f"round({c}, {3 if c.endswith('_joules') else 9}) as {c}" for c in (*_STATS, "event_rate_per_day", "rolling_event_count_mean")
+        f"round({c}, {3 if c.endswith('_joules') else 12 if c.endswith('_magnitude') else 9}) as {c}" for c in (*_STATS, "event_rate_per_day", "rolling_event_count_mean")
     ]
     return duck(
         f"""select strftime(period_start, '%Y-%m-%d %H:%M:%S') as period_start, strftime(period_end, '%Y-%m-%d %H:%M:%S') as period_end,

@@ -88,7 +88,7 @@ def _config(period: str) -> baseline.BaselineConfig:
 def _periods(period: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         made = in_gigajoules(baseline.period_summaries(observed(spark, d), _config(period)))
-        return rounded(made, 9, **{c: 3 for c in made.columns if c.endswith("_joules")})
+        return rounded(made, 9, **{c: 3 if c.endswith("_joules") else 12 for c in made.columns if c.endswith(("_joules", "_magnitude"))})
 
     return run
 
