@@ -1,3 +1,85 @@
-"""DuckDB SQL of the queries that SQL can express over whole tables."""
+r"""DuckDB SQL of the queries that SQL can express over whole tables.
 
-ORACLES: dict[str, str] = {}
+The others (Markov and Kneser-Ney models, SimHash classes, minimax cuts, diagonal voting, SentencePiece) are held
+against brute force in tests/llm.
+"""
+
+from __future__ import annotations
+
+from tremora.llm import quality
+from tremora.llm.urls import RULES
+
+_STOPS = ", ".join(f"'{w}'" for w in sorted({w for words in quality.STOP_WORDS.values() for w in words.split()}))
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_EMPTY_SHA = "sha256('')"
+
+CHAT = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e as (select *, length(text) + length(text) - length(replace(text, '\', '')) + len(regexp_extract_all(text, '</?s>|<\|'))
+  + len(regexp_extract_all(text, '\[/?INST\]')) as written from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length('<s>[INST] ') + length(role) + 1 + written + length(' [/INST]</s>')) as bigint) as formatted_chars,
+  cast(0 as bigint) as n_attachments, cast(0 as bigint) as expanded_tokens
+from e group by conv_id
+"""
+
+QUALITY = rf"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents),
+g as (select doc_id, i, w[i:i + 4] as win from d, unnest(range(1, len(w) - 3)) r(i)),
+twice as (select doc_id, unnest(list(i)) as i from g group by doc_id, win having count(*) > 1),
+covered as (select doc_id, count(distinct i + k) as n from twice, range(5) o(k) group by doc_id),
+m as (select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(regexp_extract_all(text, '!{{2,}}')) as n_shouts,
+  len(list_filter(w, lambda x: lower(x) in ({_STOPS}))) as n_stops, len(lines) as n_lines,
+  len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n, 0) as n_repeat_words from d left join covered using (doc_id)),
+r as (select *, n_words > 0 as some, word_chars / nullif(n_words, 0)::double as mean_word_chars, n_repeat_words / nullif(n_words, 0)::double as repeat_ratio,
+  n_symbols / nullif(n_words, 0)::double as symbol_ratio, n_shouts / nullif(n_words, 0)::double as shout_ratio,
+  (n_stops + 1) / nullif(n_words, 0)::double as stop_ratio, n_dup_lines / nullif(n_lines, 0)::double as dup_line_ratio from m),
+f as (select *, array_to_string(list_filter([{", ".join(
+    f"case when coalesce({rule.metric}, 0) {op} {bound} then '{rule.metric}' end"
+    for rule in quality.RULES
+    for op, bound in (("<", rule.low), (">", rule.high))
+    if bound is not None
+)}], lambda x: x is not null), ',') as failed_rules, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from r)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and failed_rules = '' as kept, failed_rules from f
+"""
+
+DECONTAMINATION = rf"""
+with b as (select cast(item_id as varchar) as item, {_PLAIN} as w from benchmark),
+bw as (select distinct item, w[i:i + 9] as g from b, unnest(range(1, greatest(1, len(w) - 9) + 1)) r(i) where len(w) > 0),
+sizes as (select distinct len(g) as n from bw),
+d as (select doc_id, {_PLAIN} as w from documents),
+dw as (select doc_id, i, n, w[i:i + n - 1] as g from d, sizes, unnest(range(1, len(w) - n + 2)) r(i)),
+hits as (select doc_id, i, n, item from dw join bw using (g)),
+places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as joined from (select distinct doc_id, item from hits) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  coalesce(sha256(joined), {_EMPTY_SHA}) as items_sha256, n_hit is not null as contaminated
+from d left join places using (doc_id) left join items using (doc_id)
+"""
+
+
+def _url_sql() -> str:
+    """Rules alone decide here: no page of the table names a canonical address or refreshes to one, so none spreads."""
+    ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for _, h, p in ordered]
+    rules = " ".join(f"when {f} then '{h}{p}'" for f, (_, h, p) in zip(fits, ordered))
+    verdicts = " ".join(f"when {f} then '{v}'" for f, (v, _, _) in zip(fits, ordered))
+    return rf"""
+with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages)
+select page_id, host, path, case {rules} end as rule, case {verdicts} else 'allow' end as verdict from u
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_chat_format": CHAT,
+    "op5_quality_rules": QUALITY,
+    "op7_decontamination": DECONTAMINATION,
+    "op9_url_filter": _url_sql(),
+}
