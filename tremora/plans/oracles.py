@@ -486,3 +486,77 @@ where source_magnitude >= 8 or target_magnitude >= 8""",
         "strong",
     ),
 }
+
+# --- Projections, faults, network and status --------------------------------------------------------------------------
+
+
+def _nearest(p: str, segments: str, radius: float) -> dict[str, str]:
+    """Tables p_*: every event with every segment (sid, lat1, lon1, lat2, lon2) as vectors; p_best has the nearest."""
+
+    def unit(lat: str, lon: str) -> str:
+        return f"[cos(radians({lat})) * cos(radians({lon})), cos(radians({lat})) * sin(radians({lon})), sin(radians({lat}))]"
+
+    return {
+        f"{p}_v": f"""select e.event_id, s.*, {unit('e.latitude', 'e.longitude')} as p, {unit('lat1', 'lon1')} as a, {unit('lat2', 'lon2')} as b
+from strong e, ({segments}) s""",
+        f"{p}_n": f"select *, list_value(a[2]*b[3]-a[3]*b[2], a[3]*b[1]-a[1]*b[3], a[1]*b[2]-a[2]*b[1]) as n from {p}_v",
+        f"{p}_l": f"select *, sqrt(list_dot_product(n, n)) as nn, list_dot_product(p, n) / sqrt(list_dot_product(n, n)) as lift from {p}_n",
+        f"{p}_q": f"select *, list_value(p[1]-lift*n[1]/nn, p[2]-lift*n[2]/nn, p[3]-lift*n[3]/nn) as q from {p}_l",
+        f"{p}_c": f"""select *, 2 * asin(sqrt(list_sum([pow(a[1]-b[1],2), pow(a[2]-b[2],2), pow(a[3]-b[3],2)])) / 2) as whole,
+  2 * asin(sqrt(list_sum([pow(p[1]-a[1],2), pow(p[2]-a[2],2), pow(p[3]-a[3],2)])) / 2) as to_a,
+  2 * asin(sqrt(list_sum([pow(p[1]-b[1],2), pow(p[2]-b[2],2), pow(p[3]-b[3],2)])) / 2) as to_b,
+  [q[1] / sqrt(list_dot_product(q, q)), q[2] / sqrt(list_dot_product(q, q)), q[3] / sqrt(list_dot_product(q, q))] as u from {p}_q""",
+        f"{p}_d": f"""select *, 2 * asin(sqrt(list_sum([pow(u[1]-a[1],2), pow(u[2]-a[2],2), pow(u[3]-a[3],2)])) / 2) as one,
+  2 * asin(sqrt(list_sum([pow(u[1]-b[1],2), pow(u[2]-b[2],2), pow(u[3]-b[3],2)])) / 2) as two from {p}_c""",
+        f"{p}_k": f"""select *, one + two - whole < 1e-9 as inside,
+  6371.0088 * case when one + two - whole < 1e-9 then abs(asin(greatest(-1, least(1, lift)))) else least(to_a, to_b) end as km from {p}_d""",
+        f"{p}_best": f"select * from {p}_k where km <= {radius} qualify row_number() over (partition by event_id order by round(km, 7), sid) = 1",
+    }
+
+
+_STEP_SEGMENTS = "select step_id as sid, start_latitude as lat1, start_longitude as lon1, end_latitude as lat2, end_longitude as lon2 from steps"
+_FAULT_SEGMENTS = """select 'fault-' || substring(step_id, 6, 9) as sid, start_latitude as lat1, start_longitude as lon1, start_latitude + 0.25 as lat2, start_longitude + 0.5 as lon2 from steps
+union all select 'fault-' || substring(step_id, 6, 9), start_latitude + 0.25, start_longitude + 0.5, end_latitude, end_longitude from steps"""
+_BY_STEP, _BY_FAULT = _nearest("st", _STEP_SEGMENTS, 25), _nearest("fa", _FAULT_SEGMENTS, 40)
+_FRACTION = "case when inside then one / whole when to_a <= to_b then 0 else 1 end"
+_NODE = "cast({c}_latitude as varchar) || ',' || cast({c}_longitude as varchar)"
+
+ORACLES |= {
+    "nearest_fault": _study("select event_id, sid as fault_id, round(km, 4) as distance_km from fa_best", _BY_FAULT),
+    "boundary_projection": _study(
+        f"""select event_id, step_id, boundary_id, left_plate, right_plate, boundary_class,
+  round(case when inside then degrees(asin(u[3])) when to_a <= to_b then lat1 else lat2 end, 5) as projected_latitude,
+  round(case when inside then degrees(atan2(u[2], u[1])) when to_a <= to_b then lon1 else lon2 end, 5) as projected_longitude,
+  round({_FRACTION}, 5) as fraction, round({_FRACTION} * length_km, 5) as distance_from_start_km,
+  round((1 - {_FRACTION}) * length_km, 5) as distance_to_end_km, round(km, 5) as distance_to_boundary_km
+from st_best join steps on step_id = sid""",
+        _BY_STEP,
+    ),
+    "dashboard_events": _study(
+        """select s.event_id, strftime(s.time, '%Y-%m-%d %H:%M:%S') as time, round(s.magnitude, 4) as magnitude, s.magnitude_type, round(s.latitude, 4) as latitude,
+  round(s.longitude, 4) as longitude, round(s.depth, 4) as depth, step_id, boundary_id, left_plate, right_plate, boundary_class,
+  round(b.km, 4) as boundary_distance_km, f.sid as fault_id, round(f.km, 4) as fault_distance_km, coalesce(s.magnitude >= 7, false) as is_major
+from strong s left join st_best b using (event_id) left join steps on step_id = b.sid left join fa_best f using (event_id)""",
+        _BY_STEP | _BY_FAULT,
+    ),
+    # Each plate pair's part of the synthetic network is a set of chains, so every path is the shortest one.
+    "network_distance": duck(
+        "select scope_key, n1, n2, min(km) as km from walk group by all",
+        "steps",
+        ed=f"""select least(left_plate, right_plate) || '|' || greatest(left_plate, right_plate) as scope_key,
+  {_NODE.format(c='start')} as a, {_NODE.format(c='end')} as b, length_km from steps""",
+        sy="select scope_key, a, b, length_km from ed union all select scope_key, b, a, length_km from ed",
+        walk="""select distinct scope_key, a as n1, a as n2, cast(0 as double) as km, [a] as seen from sy
+union all select w.scope_key, w.n1, sy.b, w.km + sy.length_km, list_append(w.seen, sy.b) from walk w join sy on sy.scope_key = w.scope_key and sy.a = w.n2 where not list_contains(w.seen, sy.b)""",
+    ),
+    "intelligence_index": duck(
+        """select round(avg(score) filter (r <= 7), 1) as activity_index, count(*) filter (r <= 7) as index_period_count,
+  case when count(*) filter (r <= 7) < 2 then 'insufficient_data' when abs(any_value(ch)) <= 5 then 'stable' when any_value(ch) > 0 then 'increasing' else 'decreasing' end as activity_trend,
+  round(any_value(ch), 1) as activity_change, case when count(*) >= 30 and count(*) / any_value(total)::double >= 0.9 then 'high' when count(*) >= 7 then 'moderate' else 'low' end as confidence,
+  round(100 * count(*) / any_value(total)::double * least(count(*) / 30.0::double, 1), 1) as confidence_score, count(*) as available_period_count,
+  any_value(total) - count(*) as unavailable_period_count
+from (select score, row_number() over (order by c desc) as r, (select count(*) from cand) as total,
+  (select score from scores order by c desc limit 1) - (select score from (select score, row_number() over (order by c desc) as r from scores) where r = least(7, (select count(*) from scores))) as ch from scores)""",
+        "observed", **_SERIES,
+    ),
+}
