@@ -560,3 +560,119 @@ from (select score, row_number() over (order by c desc) as r, (select count(*) f
         "observed", **_SERIES,
     ),
 }
+
+# --- Clusters, routes along the network, status -----------------------------------------------------------------------
+
+_CLUSTERS = {
+    "pt": "select cast(event_id as bigint) as position, time, latitude, longitude, depth, magnitude from strong",
+    "nb": f"select l.position as a, r.position as b from pt l, pt r where {KM.format(a='l', b='r')} <= 11.5",
+    "co": "select a from nb group by a having count(*) >= 5",
+    "rch": "select a as root, a as n from co union select rch.root, nb.b from rch join nb on nb.a = rch.n where nb.b in (select a from co)",
+    "cm": "select n, min(root) as root from rch group by n",
+    "nm": "select root, row_number() over (order by root) - 1 as cluster_id from (select distinct root from cm)",
+    "lb": """select pt.position, coalesce(min(case when pt.position in (select a from co) then own.cluster_id end), min(nm.cluster_id), -1) as cluster_id
+from pt join nb on nb.a = pt.position left join cm on cm.n = nb.b left join nm on nm.root = cm.root
+  left join cm me on me.n = pt.position left join nm own on own.root = me.root group by pt.position""",
+    "mb": "select pt.*, cluster_id from pt join lb using (position) where cluster_id >= 0",
+    "ce": """select cluster_id, degrees(atan2(z, sqrt(x * x + y * y))) as latitude, degrees(atan2(y, x)) as longitude, n from (select cluster_id, sum(cos(radians(latitude)) * cos(radians(longitude))) as x,
+  sum(cos(radians(latitude)) * sin(radians(longitude))) as y, sum(sin(radians(latitude))) as z, count(*) as n from mb group by 1)""",
+    "cs": f"""select mb.cluster_id, any_value(ce.latitude) as centroid_latitude, any_value(ce.longitude) as centroid_longitude, any_value(n) as event_count,
+  max({KM.format(a='mb', b='ce')}) as radius_km, avg({KM.format(a='mb', b='ce')}) as mean_distance_km from mb join ce using (cluster_id) group by 1""",
+}
+_PROJECTED = {
+    **_BY_STEP,
+    "pj": f"""select event_id, step_id, boundary_id, left_plate, right_plate, boundary_class, least(left_plate, right_plate) || '|' || greatest(left_plate, right_plate) as pair,
+  {_NODE.format(c='start')} as na, {_NODE.format(c='end')} as nb, {_FRACTION} * length_km as fs, (1 - {_FRACTION}) * length_km as te, km from st_best join steps on step_id = sid""",
+    "ed": f"""select least(left_plate, right_plate) || '|' || greatest(left_plate, right_plate) as scope_key, {_NODE.format(c='start')} as a, {_NODE.format(c='end')} as b, length_km from steps""",
+    "sy": "select scope_key, a, b, length_km from ed union all select scope_key, b, a, length_km from ed",
+    "walk": """select distinct scope_key, a as n1, a as n2, cast(0 as double) as km, [a] as seen from sy
+union all select w.scope_key, w.n1, sy.b, w.km + sy.length_km, list_append(w.seen, sy.b) from walk w join sy on sy.scope_key = w.scope_key and sy.a = w.n2 where not list_contains(w.seen, sy.b)""",
+    "rp": f"""select l.event_id as l_id, r.event_id as r_id, l.time as lt, r.time as rt, l.magnitude as lm, r.magnitude as rm,
+  (epoch_us(r.time) - epoch_us(l.time)) / 86400e6 as lag_days, {KM.format(a='l', b='r')} as radial from strong l join strong r on r.time > l.time and epoch_us(r.time) - epoch_us(l.time) <= 5 * 86400e6
+where {KM.format(a='l', b='r')} <= 80""",
+    "rt": """select l_id, r_id, min(s.off + walk.km + t.off) as around from rp
+join (select event_id, pair, na as n, fs as off from pj union all select event_id, pair, nb, te from pj) s on s.event_id = l_id
+join (select event_id, pair, na as n, fs as off from pj union all select event_id, pair, nb, te from pj) t on t.event_id = r_id and t.pair = s.pair
+join walk on walk.scope_key = s.pair and walk.n1 = s.n and walk.n2 = t.n group by 1, 2""",
+    "al": """select rp.*, s.step_id as ls, t.step_id as rs, s.boundary_id as lb, t.boundary_id as rb, s.left_plate as ll, s.right_plate as lr, t.left_plate as rl, t.right_plate as rr,
+  s.boundary_class as lc, t.boundary_class as rc, s.pair = t.pair as same_pair,
+  case when s.pair = t.pair then least(around, case when s.step_id = t.step_id then abs(s.fs - t.fs) end) end as along,
+  case when s.step_id is null or t.step_id is null then 'missing_projection' when s.pair <> t.pair then 'different_plate_pair'
+    when around is null and s.step_id <> t.step_id then 'disconnected_same_plate_pair_network' else 'available' end as status
+from rp left join pj s on s.event_id = l_id left join pj t on t.event_id = r_id left join rt using (l_id, r_id)""",
+}
+_ALONG_WINDOWS = {
+    **_PROJECTED,
+    "en": """select l_id as e, true as post, lag_days, along, radial from al where status = 'available' and least(along, radial) <= 60
+union all select r_id, false, lag_days, along, radial from al where status = 'available' and least(along, radial) <= 60""",
+    "wd": """select s.event_id as source_event_id, s.time as source_time, s.magnitude as source_magnitude, s.magnitude_type as source_magnitude_type, step_id as source_step_id, boundary_id as source_boundary_id,
+  left_plate as source_left_plate, right_plate as source_right_plate, boundary_class as source_boundary_class, km as source_distance_to_boundary_km, t.t as time_window_days, d.d as distance_window_km
+from strong s join pj using (event_id), (values (1.0::double), (2.0::double), (5.0::double)) t(t), (values (20.0::double), (60.0::double)) d(d)""",
+    "ow": f"""select wd.*, {", ".join(f"(select count(*) from en where en.e = wd.source_event_id and {'' if side == 'post' else 'not '}post and lag_days <= time_window_days and {m} <= distance_window_km) as {side}_count_{k}" for k, m in (("along_boundary", "along"), ("routed_radial", "radial")) for side in ("pre", "post"))},
+  epoch_us(source_time) / 86400e6 - time_window_days >= epoch_us(timestamp '2024-01-01') / 86400e6 as full_pre_window,
+  epoch_us(source_time) / 86400e6 + time_window_days <= epoch_us(timestamp '2024-01-31') / 86400e6 as full_post_window from wd""",
+    "eo": "select *, full_pre_window and full_post_window as edge_eligible from ow",
+    "cum": f"""select threshold as source_minimum_magnitude, time_window_days, distance_window_km, count(*) filter (edge_eligible) as eligible_source_count,
+  {", ".join(_kind_totals(k, "edge_eligible") for k in ("along_boundary", "routed_radial"))}
+from eo, (values (6.5::double), (7.0::double)) th(threshold) where source_magnitude >= threshold group by 1, 2, 3""",
+}
+_ALONG_DERIVED = ", ".join(
+    f"post_{k}_count - pre_{k}_count as post_minus_pre_{k}, round(post_{k}_count / nullif(pre_{k}_count, 0)::double, 4) as post_pre_{k}_ratio" for k in ("along_boundary", "routed_radial")
+)
+_STATUS = "case when {r} is null then 'unavailable' when {r} < {a} then 'very_quiet' when {r} < {b} then 'quiet' when {r} <= {c} then 'normal' when {r} <= {d} then 'elevated' else 'exceptional' end"
+ORACLES |= {
+    "dbscan_labels": duck("select position, cluster_id from lb", "strong", **_CLUSTERS),
+    "dbscan_clusters": duck(
+        """select cluster_id, event_count, round(centroid_latitude, 4) as centroid_latitude, round(centroid_longitude, 4) as centroid_longitude, round(radius_km, 4) as radius_km,
+  round(mean_distance_km, 4) as mean_distance_km, cast(event_count as integer) as member_indices from cs""",
+        "strong", **_CLUSTERS,
+    ),
+    "along_pairs": _study(
+        """select l_id as earlier_event_id, r_id as later_event_id, strftime(lt, '%Y-%m-%d %H:%M:%S') as earlier_time, strftime(al.rt, '%Y-%m-%d %H:%M:%S') as later_time, round(lm, 4) as earlier_magnitude, round(rm, 4) as later_magnitude,
+  ls as earlier_step_id, rs as later_step_id, lb as earlier_boundary_id, rb as later_boundary_id, ll as earlier_left_plate, lr as earlier_right_plate, rl as later_left_plate, rr as later_right_plate,
+  lc as earlier_boundary_class, rc as later_boundary_class, round(lag_days, 4) as lag_days, round(radial, 4) as radial_distance_km, status as route_status, same_pair as same_plate_pair,
+  lb = rb as same_boundary_id, round(along, 4) as along_boundary_distance_km, coalesce(along <= 60, false) as within_along_boundary_limit from al""",
+        _PROJECTED,
+    ),
+    "route_coverage": _study(
+        """select count(*) as candidate_pair_count, count(*) filter (status = 'available') as route_available_pair_count, count(*) filter (along <= 60) as within_along_boundary_limit_pair_count,
+  count(*) filter (status = 'missing_projection') as missing_projection_pair_count, count(*) filter (status = 'different_plate_pair') as different_plate_pair_count,
+  count(*) filter (status = 'disconnected_same_plate_pair_network') as disconnected_same_plate_pair_count, round(median(along), 4) as median_along_boundary_distance_km,
+  round(median(along / radial) filter (radial > 0), 4) as median_along_to_radial_ratio from al""",
+        _PROJECTED,
+    ),
+    "along_windows": _study(
+        """select * exclude (source_time, source_magnitude, source_distance_to_boundary_km), strftime(source_time, '%Y-%m-%d %H:%M:%S') as source_time, round(source_magnitude, 4) as source_magnitude,
+  round(source_distance_to_boundary_km, 4) as source_distance_to_boundary_km from eo""",
+        _ALONG_WINDOWS,
+    ),
+    "along_statistics": _study(f"select *, {_ALONG_DERIVED} from cum", _ALONG_WINDOWS),
+    "along_annular": _study(
+        f"select *, {_ALONG_DERIVED} from ring",
+        _ALONG_WINDOWS
+        | {
+            "ring": "select source_minimum_magnitude, time_window_days, coalesce(lag(distance_window_km) "
+            + _RING
+            + ", 0) as lower_distance_km, distance_window_km as upper_distance_km, eligible_source_count, "
+            + ", ".join(f"{s}_{k}_count - coalesce(lag({s}_{k}_count) {_RING}, 0) as {s}_{k}_count" for k in ("along_boundary", "routed_radial") for s in ("pre", "post"))
+            + " from cum"
+        },
+    ),
+    "ratio_correlation": _study(
+        """select round(corr(a, b), 4) as correlation, count(*) filter (a is not null and b is not null) as n
+from (select post_along_boundary_count / nullif(pre_along_boundary_count, 0)::double as a, post_routed_radial_count / nullif(pre_routed_radial_count, 0)::double as b from cum)""",
+        _ALONG_WINDOWS,
+    ),
+    "latest_status": duck(
+        f"""select {_STATUS.format(r='act', a=0.5, b=0.8, c=1.2, d=1.75)} as activity_status, {_STATUS.format(r='ene', a=0.4, b=0.75, c=1.35, d=2.5)} as energy_status,
+  case when dep is null then 'unavailable' when abs(dep) <= 5 then 'normal' when abs(dep) <= 15 then 'elevated' else 'exceptional' end as depth_status,
+  case when days - 7 < 30 then 'Very Low' when days - 7 < 180 then 'Low' when days - 7 < 730 then 'Moderate' else 'High' end as confidence,
+  ['unavailable', 'very_quiet', 'quiet', 'normal', 'elevated', 'exceptional'][greatest(list_position(o, activity_status), list_position(o, energy_status), list_position(o, depth_status))] as overall_status,
+  printf('%+.1f%%', (act - 1) * 100) as activity_change, cast(n7 as bigint) as event_count_7d, cast(total as bigint) as total_events, cast(total as bigint) as event_count
+from (select round_even(avg(event_count) over w7 / avg(event_count) over wb, 4) as act, avg(e) over w7 / avg(e) over wb as ene, round_even(avg(d) over w7 - avg(d) over wb, 4) as dep,
+    sum(event_count) over w7 as n7, count(*) over () as days, sum(event_count) over () as total, ['unavailable', 'very_quiet', 'quiet', 'normal', 'elevated', 'exceptional'] as o, date
+  from (select {_DAY}, coalesce(sum(pow(10, 1.5 * magnitude + 4.8)), 0) as e, round_even(avg(depth_km), 3) as d from catalog group by 1)
+  window w7 as ({_LAST[7]}), wb as ({_BEFORE})) order by date desc limit 1""",
+        "catalog",
+    ),
+}

@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 PROFILE = (datetime(2024, 1, 1), datetime(2024, 1, 31))
 CURRENT = (datetime(2001, 6, 1), datetime(2001, 7, 1))
-EPS_KM, MIN_SAMPLES = 11.5, 4
+EPS_KM, MIN_SAMPLES = 11.5, 5
 STUDY = {"minimum_magnitude": 6.0, "max_lag_days": 5.0, "max_distance_km": 60.0}
 WINDOWS = {"days": (1.0, 2.0, 5.0), "kilometres": (20.0, 60.0)}
 LIMITS = (6.5, 7.0)
