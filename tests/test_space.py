@@ -218,3 +218,13 @@ def test_dashboard_selections(spark):
     ids = spark.createDataFrame([("b",), ("c",)], "event_id string")
     assert dashboard.incident_pairs(pairs, ids).count() == 3
     assert [r["signed_lag_days"] for r in dashboard.relationships(pairs, "b").collect()] == [-1.0, 3.0]
+
+
+def test_range_joins_are_equi_joins(spark, capsys):
+    """Neither pair studies nor neighbourhoods may fall back to a nested loop or a cartesian product."""
+    rows, events = study(spark)
+    interaction.pairs(events, associations(spark, rows)).explain()
+    spatial.near_pairs(events, events, 50.0).explain()
+    interaction.windows(events, associations(spark, rows), datetime(2024, 1, 1), datetime(2024, 2, 1)).explain()
+    context.nearest(events, fault(spark, [(0, 0), (1, 1)]), "fault_id", 100.0).explain()
+    assert not {w for w in ("NestedLoop", "Cartesian") if w in capsys.readouterr().out}

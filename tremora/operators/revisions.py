@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ("source", "event_id")
@@ -24,9 +24,10 @@ def winners(df: DataFrame) -> DataFrame:
 
 
 def first_newest(df: DataFrame, ordinal: str) -> DataFrame:
-    """The newest update of every event, the earliest in input order among equals."""
-    order = Window.partitionBy(*KEY).orderBy(F.coalesce("updated_at", "time").desc(), ordinal)
-    return df.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
+    """The newest update of every event, the earliest in input order among equals; combined before the shuffle."""
+    age = F.struct((-F.unix_micros(F.coalesce("updated_at", "time"))).alias("age"), F.col(ordinal).alias("order"))
+    keys = [F.col(c).alias(f"__key{k}") for k, c in enumerate(KEY)]
+    return df.groupBy(*keys).agg(F.min_by(F.struct("*"), age).alias("first")).select("first.*")
 
 
 def merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:

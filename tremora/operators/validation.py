@@ -28,9 +28,13 @@ def utc_time(value: Column) -> Column:
 
 
 def keep_last(df: DataFrame, key: list[str]) -> DataFrame:
-    """Of rows with the same key, the last by input order. df has the ordinal column, which is dropped."""
-    order = Window.partitionBy(*key).orderBy(F.desc(ORDINAL))
-    return df.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place", ORDINAL)
+    """Of rows with the same key, the last by input order. df has the ordinal column, which is dropped.
+
+    An aggregate that is combined before the shuffle: a key with very many rows doesn't gather them in one task.
+    """
+    last = F.max_by(F.struct("*"), ORDINAL).alias("last")
+    keys = [F.col(c).alias(f"__key{k}") for k, c in enumerate(key)]
+    return df.groupBy(*keys).agg(last).select("last.*").drop(ORDINAL)
 
 
 def with_ordinal(df: DataFrame) -> DataFrame:

@@ -92,10 +92,12 @@ def strongest_first(events: DataFrame, offset: int = 0, limit: int = 100) -> Dat
 
 
 def ratio_correlation(statistics: DataFrame) -> DataFrame:
-    """Pearson's correlation of the ratios along the boundary and by radius over all windows that have both."""
-    return statistics.agg(
-        F.corr("post_pre_along_boundary_ratio", "post_pre_routed_radial_ratio").alias("correlation"),
-        F.count_if(F.col("post_pre_along_boundary_ratio").isNotNull() & F.col("post_pre_routed_radial_ratio").isNotNull()).alias("n"),
+    """Pearson's correlation of the ratios along the boundary and by radius over all windows that have both; null for
+    fewer than two, or if one of them doesn't vary."""
+    a, b = F.col("post_pre_along_boundary_ratio"), F.col("post_pre_routed_radial_ratio")
+    both = statistics.where(a.isNotNull() & b.isNotNull())
+    return both.agg(
+        F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias("correlation"), F.count(F.lit(1)).alias("n")
     )
 
 

@@ -566,7 +566,7 @@ from (select score, row_number() over (order by c desc) as r, (select count(*) f
 _CLUSTERS = {
     "pt": "select cast(event_id as bigint) as position, time, latitude, longitude, depth, magnitude from strong",
     "nb": f"select l.position as a, r.position as b from pt l, pt r where {KM.format(a='l', b='r')} <= 11.5",
-    "co": "select a from nb group by a having count(*) >= 5",
+    "co": "select a from nb group by a having count(*) >= 4",
     "rch": "select a as root, a as n from co union select rch.root, nb.b from rch join nb on nb.a = rch.n where nb.b in (select a from co)",
     "cm": "select n, min(root) as root from rch group by n",
     "nm": "select root, row_number() over (order by root) - 1 as cluster_id from (select distinct root from cm)",
@@ -659,8 +659,8 @@ ORACLES |= {
         },
     ),
     "ratio_correlation": _study(
-        """select round(corr(a, b), 4) as correlation, count(*) filter (a is not null and b is not null) as n
-from (select post_along_boundary_count / nullif(pre_along_boundary_count, 0)::double as a, post_routed_radial_count / nullif(pre_routed_radial_count, 0)::double as b from cum)""",
+        """select round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 4) as correlation, count(*) as n
+from (select post_along_boundary_count / nullif(pre_along_boundary_count, 0)::double as a, post_routed_radial_count / nullif(pre_routed_radial_count, 0)::double as b from cum) where a is not null and b is not null""",
         _ALONG_WINDOWS,
     ),
     "latest_status": duck(
@@ -676,3 +676,31 @@ from (select round_even(avg(event_count) over w7 / avg(event_count) over wb, 4)
         "catalog",
     ),
 }
+
+_HALVES = {
+    **_CLUSTERS,
+    "sq": """select mb.*, row_number() over (partition by cluster_id order by time, position) <= floor(count(*) over (partition by cluster_id) / 2) as early,
+  (epoch_us(time) - epoch_us(min(time) over (partition by cluster_id))) / 86400e6 as days from mb""",
+    "hv": """select cluster_id, early, degrees(atan2(z, sqrt(x * x + y * y))) as latitude, degrees(atan2(y, x)) as longitude from (select cluster_id, early, sum(cos(radians(latitude)) * cos(radians(longitude))) as x,
+  sum(cos(radians(latitude)) * sin(radians(longitude))) as y, sum(sin(radians(latitude))) as z from sq group by 1, 2)""",
+    "mv": f"""select e.cluster_id, {KM.format(a='e', b='l')} as km, fmod(degrees(atan2(sin(radians(l.longitude - e.longitude)) * cos(radians(l.latitude)),
+  cos(radians(e.latitude)) * sin(radians(l.latitude)) - sin(radians(e.latitude)) * cos(radians(l.latitude)) * cos(radians(l.longitude - e.longitude)))) + 360, 360) as turn
+from hv e join hv l using (cluster_id) where e.early and not l.early""",
+    "sw": """select cluster_id, min(time) as start_time, max(time) as end_time, max(days) as duration_days, avg(magnitude) as mean_magnitude, avg(depth) as mean_depth_km, regr_slope(magnitude, days) as magnitude_slope,
+  regr_slope(depth, days) as depth_slope, count(*) filter (epoch_us(time) >= (select epoch_us(max(time)) from pt) - 7 * 86400e6) as recent_event_count, count(*) as n,
+  ((select epoch_us(max(time)) from pt) - epoch_us(max(time))) / 86400e6 as age, 'swarm-' || substring(sha256(string_agg(cast(position as varchar), chr(31) order by cast(position as varchar))), 1, 12) as swarm_id from sq group by 1""",
+}
+ORACLES["swarm_summary"] = duck(
+    """select cluster_id, swarm_id, event_count, strftime(start_time, '%Y-%m-%d %H:%M:%S') as start_time, strftime(end_time, '%Y-%m-%d %H:%M:%S') as end_time,
+  round(duration_days, 4) as duration_days, round(n / case when duration_days > 0 then duration_days else 1 end, 4) as event_rate_per_day,
+  round(case when radius_km > 0 then n / (pi() * radius_km * radius_km) end, 4) as spatial_density_events_per_sq_km, round(centroid_latitude, 4) as centroid_latitude,
+  round(centroid_longitude, 4) as centroid_longitude, round(radius_km, 4) as radius_km, round(mean_distance_km, 4) as mean_distance_km, round(mean_magnitude, 4) as mean_magnitude,
+  round(mean_depth_km, 4) as mean_depth_km, round(magnitude_slope, 4) as magnitude_slope, round(depth_slope, 4) as depth_slope,
+  case when magnitude_slope > 0 then 'increasing' when magnitude_slope < 0 then 'decreasing' else 'stable' end as magnitude_trend,
+  case when depth_slope > 0 then 'increasing' when depth_slope < 0 then 'decreasing' else 'stable' end as depth_trend,
+  recent_event_count, round(km, 4) as migration_km, round(case when km > 1 then turn end, 4) as migration_bearing,
+  case when km > 1 then ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][cast(round_even(turn / 45, 0) as integer) % 8 + 1] else 'stationary' end as migration_direction,
+  case when age <= 1 then 'active' when age <= 7 then 'recently_active' else 'inactive' end as activity_status
+from sw join cs using (cluster_id) join mv using (cluster_id)""",
+    "strong", **_HALVES,
+)
