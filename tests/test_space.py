@@ -228,3 +228,17 @@ def test_range_joins_are_equi_joins(spark, capsys):
     interaction.windows(events, associations(spark, rows), datetime(2024, 1, 1), datetime(2024, 2, 1)).explain()
     context.nearest(events, fault(spark, [(0, 0), (1, 1)]), "fault_id", 100.0).explain()
     assert not {w for w in ("NestedLoop", "Cartesian") if w in capsys.readouterr().out}
+
+
+def test_research_bundle(spark, tmp_path):
+    from tremora.plans import research
+
+    rows, events = study(spark, 25)
+    placed = events.withColumns({"latitude": F.col("latitude") / 10, "longitude": F.lit(0.5), "depth": F.lit(5.0)})
+    traces = spark.createDataFrame([("f0", [{"lat": 0.0, "lon": 0.0}, {"lat": 0.0, "lon": 2.0}])], "fault_id string, coordinates array<struct<lat:double,lon:double>>")
+    tables = research.studies(placed, traces, steps(spark), research.Profile(datetime(2024, 1, 1), datetime(2024, 3, 1)))
+    counts = research.write_bundle(tables, str(tmp_path))
+    strong = sum(r[2] is not None and r[2] >= 6 for r in rows)
+    assert counts["events"] == counts["boundary_associations"] == counts["fault_associations"] == 25
+    assert counts["interaction_windows"] == counts["along_windows"] == 25 * strong
+    assert counts["interaction_pairs"] == counts["along_pairs"] > 0
