@@ -36,21 +36,28 @@ SAMPLE, MOST_SHARDS = 131_072, 4096
 AREA = 1 << 20
 
 
-def fingerprint(text: str) -> int:
-    """The SimHash of one text as a signed 64-bit integer; 0 without words."""
+def shingle_hashes(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of all runs of `size` words, or of all words of a shorter text; none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(words) - SHINGLE_WORDS + 1
+    n = len(words) - size + 1
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if n < 2:
         shingles = [b" ".join(words)]
     else:
         joined = b" ".join(words)
         ends = np.cumsum([len(w) + 1 for w in words])
         starts = [0, *ends[: n - 1].tolist()]
-        shingles = [joined[a:b] for a, b in zip(starts, (ends[SHINGLE_WORDS - 1 :] - 1).tolist(), strict=True)]
+        shingles = [joined[a:b] for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+    return np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+
+
+def fingerprint(text: str) -> int:
+    """The SimHash of one text as a signed 64-bit integer; 0 without words."""
+    hashes = shingle_hashes(text)
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
@@ -248,6 +255,19 @@ def link_classes(classes: DataFrame, shard_size: int = SHARD) -> DataFrame:
     return dealt.groupBy("tree", "shard", "part").applyInPandas(shard_links, "a long, b long")
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id) for every row of docs."""
+    small_batches(docs.sparkSession, 2048)
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    marked = cut(read.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints("text").alias("fp")))
+    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    joined = connected_components(link_classes(classes.where("rep is not null")))
+    named = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "fp", F.coalesce("component", "rep").alias("component_id")
+    )
+    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint long, component_id) for every row of docs.
 
@@ -256,21 +276,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cost one row each. Repeated rows and repeated ids keep a row each. Ids are integers; rows without an id take the
     component of their fingerprint and start none (null if no row of the class has an id). Other columns aren't read.
     """
-    small_batches(docs.sparkSession, 2048)
-    marked = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(text_of(text_col)).alias("fp")))
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    joined = connected_components(link_classes(classes.where("rep is not null")))
-    named = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
-    return marked.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    return _placed(docs, id_col, text_col).select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of docs for every component of groups(doc_id, text_hash, component), which has a row for each.
+
+    The smallest id stays (rows without one come last), of one id the smallest text hash, and one of repeated rows.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    rows = groups.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).withColumn("own", own)
+    rows = cut(rows)
+    least = rows.groupBy("component").agg(F.min("own").alias("least"))
+    judged = rows.join(least, "component").withColumn("stays", F.col("own").eqNullSafe(F.col("least")))
+    judged = cut(judged.where("not stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "stays"))
+    hashed = docs.withColumn("__text_hash", F.xxhash64(text_of(text_col)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    kept = hashed.join(bounded(judged), same, "left_anti")
+    repeated = judged.where("stays")
+    if not repeated.isEmpty():
+        again = hashed.join(bounded(repeated), same, "left_semi").dropDuplicates([id_col, "__text_hash"])
+        kept = kept.unionByName(again)
+    return kept.drop("__text_hash")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its group; rows without an id stay."""
-    ids = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    dropped = cut(ids.where("doc_id != component_id").select(F.col("doc_id").alias("__dropped")).distinct())
-    return docs.join(bounded(dropped), F.col(id_col) == F.col("__dropped"), "left_anti")
+    """One row of docs for every group of near-duplicates; rows without an id are a group by their fingerprint."""
+    placed = _placed(docs, id_col, text_col)
+    group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
+    return first_of_groups(docs, placed.select("doc_id", "text_hash", group.alias("component")), id_col, text_col)
 
 
 def digest(docs: DataFrame) -> DataFrame:
