@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremora.llm import decontaminate, pieces, quality, secrets, simhash
+from tremora.llm import decontaminate, pieces, quality, secrets, shingles
 from tremora.llm.common import ensure_checkpoint_dir, read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """The document with the smallest id of every group that 5-word shingles, 0.8 alike or more, link."""
+    return shingles.keep_one(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +45,13 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_stage),
-    ("SimHash near-dedup", dedup_stage),
+    ("near-dedup by shingles", dedup_stage),
     ("benchmark decontamination", decontaminate_stage),
     ("secret scans", secrets_stage),
     ("SentencePiece encoding and decoding", tokens_stage),
 ]
 
-#: SimHash classes and token ids are beyond SQL; the tests hold run() against a brute-force version.
+#: Near-duplicate groups and token ids are beyond SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
 
 

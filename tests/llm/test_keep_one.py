@@ -3,10 +3,10 @@
 import pytest
 
 from .conftest import prose
-from tremora.llm import simhash
+from tremora.llm import shingles, simhash
 
 
-@pytest.mark.parametrize("keep_one", [simhash.keep_one])
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, shingles.keep_one])
 def test_one_row_of_each_group(spark, keep_one):
     a, b, c, d = (prose(k, 120) for k in (91, 92, 93, 94))
     rows = [(5, a), (5, b), (3, b), (7, c), (7, c), (7, c), (None, d), (None, d), (9, d), (None, "only one without an id")]
