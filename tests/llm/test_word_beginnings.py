@@ -1,0 +1,15 @@
+"""The word model keeps every beginning of a word seen often enough."""
+
+from collections import Counter
+
+from .conftest import prose
+from tremora.llm import toxicity
+
+
+def test_no_beginning_is_dropped(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_PREFIXES", 8, raising=False)
+    texts = [prose(k, 60) for k in range(40)]
+    rows = [(t, k % 2, k % 5 == 0) for k, t in enumerate(texts)]
+    model = toxicity.train(spark.createDataFrame(rows, "text string, toxic int, calibration boolean"))
+    seen = Counter(c for t, _, held in rows if not held for c in toxicity.prefixes(toxicity.letters_of(t))[0].tolist())
+    assert model.words.codes.tolist() == sorted(c for c, n in seen.items() if n >= toxicity.LEAST_SEEN)
