@@ -1,12 +1,14 @@
-"""Near-duplicates by word shingles: banded min-hashes propose pairs, the shingle sets themselves decide.
+"""The SimHash near-dedup of whole texts at a similarity: vantage-point trees and min-hashes propose, shingle sets decide.
 
-Texts with 5-word shingles in common at a Jaccard similarity of 0.8 lie some 10 of 64 SimHash bits apart, and a radius
-wide enough to find them prunes nothing. So candidates come from BANDS bands of ROWS min-hashes: two texts of similarity
-s share a band with probability 1 - (1 - s^ROWS)^BANDS, 0.9993 at 0.8. Every candidate is checked on its whole sets.
+The trees of the SimHash operator find all texts whose 5-word fingerprints differ in at most 4 bits. Texts at a Jaccard
+similarity of 0.8 lie some 10 of 64 bits apart, and a radius that wide prunes nothing. So the trees' links are only the
+first proposals; the others come from BANDS bands of ROWS min-hashes: two texts of similarity s share a band with
+probability 1 - (1 - s^ROWS)^BANDS, 0.9993 at 0.8. Every proposal is checked on its whole sets.
 
-Texts of equal sets are one class. In a band's bucket each class is first held against the smallest one; only where
-that leaves a bucket in several components are the pairs across them checked as well, so a large family of near copies
-costs a row a member, and no candidate that could join two groups is left out.
+Texts of equal sets are one class. In a band's bucket each class is first held against one of its members, drawn anew
+for every bucket so that the members of a family meet many different ones. Only where that leaves a bucket in several
+components are the pairs across them checked as well, so a large family of near copies costs a row a member and a
+bucket, and no candidate that could join two groups is left out.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tremora.llm.common import bounded, cut, small_batches, text_of
-from tremora.llm.simhash import first_of_groups, shingle_hashes
+from tremora.llm.simhash import first_of_groups, link_classes, majority, shingle_hashes
 from tremora.operators.graph import connected_components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -91,24 +93,31 @@ def groups(
 ) -> DataFrame:
     """(doc_id, text_hash, component) for every row of docs: component is the same for all texts that links reach."""
 
-    @pandas_udf("kind long, n int, bands array<long>")
+    @pandas_udf("kind long, n int, fp long, bands array<long>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
-            sets = [shingle_set(t, words) for t in part]
+            hashed = [shingle_hashes(t, words) for t in part]
+            prints, sets = [majority(h) for h in hashed], [np.unique(h) for h in hashed]
             kinds = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"kind": kinds, "n": [len(s) for s in sets], "bands": [bands(s) for s in sets]})
+            yield pd.DataFrame({"kind": kinds, "n": [len(s) for s in sets], "fp": prints, "bands": [bands(s) for s in sets]})
 
     small_batches(docs.sparkSession, 512)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     marked = cut(read.select("doc_id", F.xxhash64("text").alias("text_hash"), sketch("text").alias("s")).select("doc_id", "text_hash", "s.*"))
     kinds = cut(marked.groupBy("kind").agg(F.min("text_hash").alias("rep")))
-    reps = marked.join(kinds, "kind").where("text_hash = rep").select("rep", "n", "bands").dropDuplicates(["rep"])
+    reps = cut(marked.join(kinds, "kind").where("text_hash = rep and n > 0").select("rep", "n", "fp", "bands").dropDuplicates(["rep"]))
+    prints = cut(reps.groupBy("fp").agg(F.min("rep").alias("rep")))
+    same = reps.select("rep", "fp").join(prints.withColumnRenamed("rep", "a"), "fp").where("rep != a").select("a", F.col("rep").alias("b"))
+    near = link_classes(prints).unionByName(same)
     members = cut(reps.select("rep", "n", F.explode("bands").alias("bucket")))
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    drawn = F.min(F.struct(F.xxhash64("rep", "bucket").alias("draw"), "rep", "n"))
+    hubs = members.groupBy("bucket").agg(drawn.alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
     shared = cut(members.join(hubs, "bucket").select("bucket", "rep", "n", F.col("hub.rep").alias("a"), F.col("hub.n").alias("m")))
-    sets = cut(_sets(docs, text_col, shared.select("rep").distinct(), words))
-    first = shared.where(F.col("rep") != F.col("a")).where(_close("n", "m", least)).select("a", F.col("rep").alias("b")).distinct()
-    links = cut(_checked(first, sets, least))
+    first = shared.where(F.col("rep") != F.col("a")).where(_close("n", "m", least)).select("a", F.col("rep").alias("b"))
+    proposed = cut(first.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = proposed.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(shared.select("rep")).distinct()
+    sets = cut(_sets(docs, text_col, wanted, words))
+    links = cut(_checked(proposed, sets, least))
     joined = connected_components(links)
     placed = shared.select("bucket", "rep", "n").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     placed = cut(placed.select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c")))

@@ -53,9 +53,13 @@ def shingle_hashes(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
     return np.array([digest(s, SEED) for s in shingles], dtype="<u8")
 
 
-def fingerprint(text: str) -> int:
+def fingerprint(text: str, size: int = SHINGLE_WORDS) -> int:
     """The SimHash of one text as a signed 64-bit integer; 0 without words."""
-    hashes = shingle_hashes(text)
+    return majority(shingle_hashes(text, size))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, dtype=np.int64)
