@@ -4,7 +4,6 @@ import hashlib
 import random
 import struct
 
-import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -140,14 +139,6 @@ def test_memo_starts_anew():
     assert [memo[k] for k in ("a", "bb", "ccc", "a")] == [1, 2, 3, 1] and len(memo) <= 2
 
 
-def test_kneser_ney_sums_to_one():
-    r = np.random.default_rng(3)
-    counts = r.poisson(0.02, toxicity.TABLE)
-    lower = toxicity.shared_backoff(counts)
-    p = toxicity._interpolated(counts, lower).reshape(-1, toxicity.LETTERS)
-    assert np.allclose(p.sum(axis=1), 1) and np.allclose(lower.reshape(-1, toxicity.LETTERS).sum(axis=1), 1)
-
-
 def test_toxicity(spark):
     r = random.Random(9)
     rows, labels = [], []
