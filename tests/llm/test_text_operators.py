@@ -1,6 +1,7 @@
 """Quality rules, sharding, secrets, licenses and decontamination against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -8,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from .conftest import prose
 from tremora.llm import decontaminate, licenses, quality, secrets, sharding
 
 WHITE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -195,6 +197,50 @@ def test_licenses(spark, docs):
     assert licenses.digest(both.limit(0)).count() == 0
 
 
+def spans_of(words):
+    """Brute force: (start, label) of every template whose votes and words suffice."""
+    out = set()
+    for label, text in licenses.TEMPLATES:
+        t = text.split()
+        drift, votes = min(licenses.DRIFT, len(t) // licenses.DRIFT_PART), {}
+        for p in range(len(words) - 2):
+            for a in range(len(t) - 2):
+                if words[p : p + 3] == t[a : a + 3]:
+                    votes.setdefault(p - a, set()).add(a)
+        for d, own in votes.items():
+            near = {e: v for e, v in votes.items() if abs(e - d) <= drift}
+            if any(len(v) > len(own) or (len(v) == len(own) and e < d) for e, v in near.items()):
+                continue
+            under = {a + k for v in near.values() for a in v for k in range(3)}
+            there = sum(w in words[max(0, d + k - drift) : max(0, d + k + drift + 1)] for k, w in enumerate(t))
+            if len(under) >= licenses.COVER * len(t) and there >= licenses.VERIFIED * len(t):
+                out.add((max(0, d), label))
+    return out
+
+
+def test_license_spans_by_brute_force(spark):
+    r, rows = random.Random(8), []
+    for n in range(1, 6):
+        rows.append((n, "copyright me " + "all rights reserved " * n + "end"))
+    for k in range(60):
+        _, text = r.choice(licenses.TEMPLATES)
+        words = text.split()
+        for _ in range(r.randrange(5)):
+            at = r.randrange(len(words))
+            words[at : at + r.randrange(2)] = r.choice([["odd"], [], ["two", "more"]])
+        words = words[: r.choice([len(words), len(words) // 2])] * r.choice([1, 1, 2, 3])
+        rows.append((10 + k, f"{prose(k, r.randrange(12))} {' '.join(words)}. {prose(k + 99, r.randrange(12))}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), "text").cache()
+    found = licenses.verified(keyed, licenses.stretches(licenses.hits(keyed)))
+    got = {x["id"]: {(s["start"], s["label"]) for s in x["spans"]} for x in found.collect()}
+    expected = {i: s for i, t in rows if (s := spans_of(PLAIN.findall(low(t))))}
+    assert got == expected
+    assert [len(got[n]) for n in range(1, 6)] == [1, 2, 3, 4, 5]
+    labels = {x["doc_id"]: x["labels"] for x in licenses.digest(df).collect()}
+    assert all(labels[n] == "all-rights-reserved" for n in range(1, 6))
+
+
 def contamination(docs, items, n=10):
     windows: dict = {}
     for i, t in items:
