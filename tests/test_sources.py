@@ -198,3 +198,37 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert json.loads(spark.read.text(str(tmp_path / "r")).first()[0])["trend"]["available_count"] == 13
     cli.main(["export", path, str(tmp_path / "e.csv")])
     assert spark.read.csv(str(tmp_path / "e.csv"), header=True).count() == 20
+
+
+def test_failed_save_keeps_the_old_catalog(spark, tmp_path, monkeypatch):
+    store = catalogs.CatalogStore(spark, str(tmp_path / "store"))
+    store.save("pr", catalog(spark, [("a", T0, 1.0, T0)]))
+
+    def broken(self, source, target):
+        raise OSError("no rename")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(catalogs.CatalogStore, "_rename", broken)
+        with pytest.raises(OSError):
+            store.save("pr", catalog(spark, [("b", T0, 2.0, T0)]))
+    assert [r["event_id"] for r in store.load("pr").collect()] == ["a"]
+    store.save("pr", store.load("pr").unionByName(catalog(spark, [("b", T0, 2.0, T0)])))
+    store.vacuum("pr")
+    assert sorted(r["event_id"] for r in store.load("pr").collect()) == ["a", "b"]
+
+
+def test_upsert_writes_touched_months_only(spark, tmp_path):
+    store = catalogs.CatalogStore(spark, str(tmp_path / "store"))
+    later, much_later = T0 + timedelta(40), T0 + timedelta(80)
+    store.save("pr", catalog(spark, [("a", T0, 1.0, T0), ("b", later, 2.0, T0), ("c", much_later, 3.0, T0)]))
+    before = store.months("pr")
+    assert len(before) == 3
+    # A revision moves b from its month to the first one.
+    store.upsert("pr", catalog(spark, [("b", T0, 2.5, later)]))
+    after = store.months("pr")
+    assert {r["event_id"]: (r["time"], r["magnitude"]) for r in store.load("pr").collect()} == {
+        "a": (T0, 1.0), "b": (T0, 2.5), "c": (much_later, 3.0),
+    }
+    kept = {m for m in before if after.get(m) == before[m]}
+    assert kept == {max(before)}
+    assert store.load("pr", later, much_later).count() == 0

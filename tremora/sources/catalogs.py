@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremora.operators import revisions
+from tremora.operators.lineage import cut
 from tremora.operators.validation import query_filter, utc_time, within_box
 from tremora.sources.schemas import CATALOG, CATALOG_COLUMNS, EXPORT_COLUMNS, OBSERVATORY
 
@@ -68,9 +70,17 @@ def latest_catalog(spark: SparkSession, folder: str, pattern: str = "*_earthquak
     return best["path"]
 
 
+NO_MONTH = "none"
+
+
+def _month(time: str = "time") -> Column:
+    return F.coalesce(F.date_format(time, "yyyy-MM"), F.lit(NO_MONTH))
+
+
 @dataclass(frozen=True)
 class CatalogStore:
-    """Catalogs in Parquet, one folder for each region; a new version replaces the old one after it is complete."""
+    """Catalogs in Parquet by region and month. Files are never changed: a save writes new ones and then, in one atomic
+    rename, the list of those that count. A failure before that leaves the old catalog as it was."""
 
     spark: SparkSession
     root: str
@@ -78,33 +88,91 @@ class CatalogStore:
     def path(self, region: str) -> str:
         return f"{self.root}/region={region_key(region)}"
 
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
     def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p = self._path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def months(self, region: str) -> dict[str, str]:
+        """Folder of each month that has events, in order of time: as many entries as months."""
+        fs, listed = self._fs(f"{self.path(region)}/months.json")
+        if not fs.exists(listed):
+            return {}
+        rows = self.spark.read.schema("month string, folder string").json(listed.toString()).collect()
+        return {r["month"]: r["folder"] for r in sorted(rows)}
+
+    def _publish(self, region: str, months: dict[str, str]) -> None:
+        """Replace the list of folders in one step; an error leaves the old list."""
+        made, target = f"{self.path(region)}/months-{uuid4().hex}.json", f"{self.path(region)}/months.json"
+        fs, path = self._fs(made)
+        out = fs.create(path)
+        out.write(bytearray("".join(json.dumps({"month": m, "folder": f}) + "\n" for m, f in sorted(months.items())).encode()))
+        out.close()
+        self._rename(path, self._path(target))
+
+    def _rename(self, source, target) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        how = self.spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+        how[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(source, target, how)
+
+    def _write(self, region: str, df: DataFrame) -> dict[str, str]:
+        """New files for the months of df."""
+        folder = f"{self.path(region)}/files-{uuid4().hex}"
+        # One shuffle by month and day, so that a month is several files and a task holds few months.
+        dealt = df.select(*CATALOG_COLUMNS, _month().alias("month")).repartition("month", F.dayofmonth("time"))
+        dealt.sortWithinPartitions("month", "time", "event_id", "source").write.partitionBy("month").parquet(folder)
+        fs, path = self._fs(folder)
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return {n.removeprefix("month="): f"{folder}/{n}" for n in names if n.startswith("month=")}
+
     def load(self, region: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-        """Events with start <= time < end; empty where the region has none. Both bounds reach the scan."""
-        fs, path = self._fs(self.path(region))
-        df = self.spark.read.schema(CATALOG).parquet(self.path(region)) if fs.exists(path) else self.spark.createDataFrame([], CATALOG)
+        """Events with start <= time < end; empty where the region has none. Only months within the bounds are listed,
+        and both bounds reach the scan."""
+        # A day either way, as a bound's time zone need not be the session's.
+        first = (start - timedelta(1)).strftime("%Y-%m") if start else None
+        last = (end + timedelta(1)).strftime("%Y-%m") if end else None
+        folders = [
+            f for m, f in self.months(region).items()
+            if m == NO_MONTH or ((first is None or m >= first) and (last is None or m <= last))
+        ]
+        df = self.spark.read.schema(CATALOG).parquet(*folders) if folders else self.spark.createDataFrame([], CATALOG)
         if start is not None:
             df = df.where(F.col("time") >= F.lit(start))
         return df if end is None else df.where(F.col("time") < F.lit(end))
 
     def save(self, region: str, df: DataFrame) -> None:
-        """Written beside the old version first, so that a failure leaves it, and df may read from it."""
-        staged = f"{self.root}/_staged-{uuid4().hex}"
-        df.select(*CATALOG_COLUMNS).sortWithinPartitions("time", "event_id", "source").write.parquet(staged)
-        fs, target = self._fs(self.path(region))
-        fs.delete(target, True)
-        fs.mkdirs(target.getParent())
-        fs.rename(self._fs(staged)[1], target)
+        """Replace the catalog of a region; df may read from it."""
+        self._publish(region, self._write(region, df))
+
+    def upsert(self, region: str, incoming: DataFrame) -> None:
+        """Merge by newest revision. Only months that incoming events have or had are written anew."""
+        new, months = cut(incoming.select(*CATALOG_COLUMNS)), self.months(region)
+        keys = new.select("source", "event_id").distinct()
+        had = self.load(region).join(keys, ["source", "event_id"], "left_semi").select(_month().alias("month"))
+        touched = {r["month"] for r in had.unionByName(new.select(_month().alias("month"))).distinct().collect()}  # months
+        folders = [f for m, f in months.items() if m in touched]
+        old = self.spark.read.schema(CATALOG).parquet(*folders) if folders else self.spark.createDataFrame([], CATALOG)
+        written = self._write(region, revisions.merge(old, new))
+        self._publish(region, {m: f for m, f in months.items() if m not in touched} | written)
+
+    def vacuum(self, region: str) -> None:
+        """Delete files that no longer count; for when nobody reads an older version."""
+        used = {f.rsplit("/", 2)[-2] for f in self.months(region).values()}
+        fs, path = self._fs(self.path(region))
+        for status in fs.listStatus(path) if fs.exists(path) else ():
+            name = status.getPath().getName()
+            if name != "months.json" and name not in used:
+                fs.delete(status.getPath(), True)
 
     def update(self, region: str, incoming: DataFrame, start: datetime, end: datetime, box: tuple[float, float, float, float] | None = None, minimum_magnitude: float | None = None) -> DataFrame:
         """Merge what the query selects of incoming into the store; returns the counts of the merge."""
         existing, chosen = self.load(region), query_filter(incoming, start, end, box, minimum_magnitude)
         counts = revisions.merge_counts(existing, chosen.select(*CATALOG_COLUMNS)).withColumn("downloaded", F.lit(incoming.count()))
         found = self.spark.createDataFrame(counts.collect(), counts.schema)
-        self.save(region, revisions.merge(existing, chosen.select(*CATALOG_COLUMNS)))
+        self.upsert(region, chosen)
         return found
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tremora.operators import revisions
 from tremora.sources.catalogs import CatalogStore
 from tremora.sources.schemas import CATALOG
 
@@ -27,10 +26,10 @@ def daily_counts(events: DataFrame, late: str = "7 days") -> DataFrame:
 
 def upsert_stream(events: DataFrame, store: CatalogStore, region: str, checkpoint: str) -> StreamingQuery:
     """Merge every micro-batch into the store by newest revision. There is no watermark: a revision may come at any
-    time. A batch that runs again merges to the same catalog."""
+    time. Only months that a batch touches are written anew. A batch that runs again merges to the same catalog."""
 
     def merge(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            store.save(region, revisions.merge(store.load(region), batch))
+            store.upsert(region, batch)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
