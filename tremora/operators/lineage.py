@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; a folder of its own only where that is unset on a local master."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tremora-checkpoints-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tremora-checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -24,6 +25,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (of keys and numbers); else Spark joins by a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, rows: int = 200_000, mb: int = 64) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and about so many MB; else Spark joins by a shuffle."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= mb << 20 else df
