@@ -53,3 +53,32 @@ def test_chains_join_groups(spark):
     assert len({r["component"] for r in shingles.groups(docs).collect()}) == 1
     assert kept_ids(shingles.keep_one(docs)) == [0]
     assert shingles.keep_one(docs.limit(0)).count() == 0
+
+
+def test_large_buckets_go_by_blocks(spark, monkeypatch):
+    """A family whose members are partly too far from each other: same groups by blocks as by brute force."""
+    monkeypatch.setattr(shingles, "FEW", 3)
+    monkeypatch.setattr(shingles, "BLOCK", 8)
+    base = words_of(5, 120)
+    texts = [" ".join(edited(base, 1 + k % 9, 500 + k)) for k in range(60)]
+    up = list(range(60))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for i in range(60):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {}
+    for r in shingles.groups(docs).collect():
+        groups.setdefault(r["component"], set()).add(r["doc_id"])
+    expected = {}
+    for k in range(60):
+        expected.setdefault(root(k), set()).add(k)
+    assert 1 < len(expected) < 60
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))

@@ -7,8 +7,9 @@ probability 1 - (1 - s^ROWS)^BANDS, 0.9993 at 0.8. Every proposal is checked on
 
 Texts of equal sets are one class. In a band's bucket each class is first held against one of its members, drawn anew
 for every bucket so that the members of a family meet many different ones. Only where that leaves a bucket in several
-components are the pairs across them checked as well, so a large family of near copies costs a row a member and a
-bucket, and no candidate that could join two groups is left out.
+components are the pairs across them checked as well: one by one in a small bucket, and in a large one by blocks of
+bounded size, whose shingle sets are multiplied as matrices. So no pair of a large family is ever a row, and no
+candidate that could join two groups is left out.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tremora.llm.common import bounded, cut, small_batches, text_of
-from tremora.llm.simhash import first_of_groups, link_classes, majority, shingle_hashes
+from tremora.llm.simhash import Forest, first_of_groups, link_classes, majority, shingle_hashes
 from tremora.operators.graph import connected_components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
-#: Shingles hashed at once.
+#: Shingles hashed at once, or columns of a matrix.
 AREA = 1 << 12
+#: Members of a bucket that are checked pair by pair, and members and shingles of a block of a larger one, about.
+FEW, BLOCK, BLOCK_SHINGLES = 32, 256, 1 << 20
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -83,6 +86,45 @@ def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(alike("x", "y")).select("a", "b")
 
 
+def matrix_links(reps: np.ndarray, components: np.ndarray, sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the similar pairs that lie in different components, by exact counts of common hashes."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    codes, column = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    edges = np.searchsorted(column, np.arange(0, len(codes) + AREA, AREA))
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)  # exact up to 2 ** 24
+    for k in range(len(edges) - 1):
+        part = np.zeros((len(sets), AREA), dtype=np.float32)
+        inside = slice(edges[k], edges[k + 1])
+        part[owner[inside], column[inside] - k * AREA] = 1
+        both += part @ part.T
+    alike = both >= least * (sizes[:, None] + sizes[None, :] - both.astype(np.float64)) - 1e-9
+    i, j = np.nonzero(np.triu(alike & (components[:, None] != components[None, :]), 1))
+    forest = Forest(len(sets))
+    forest.link(i, j)
+    root = forest.roots(np.arange(len(sets)))
+    linked = root != np.arange(len(sets))
+    return reps[linked], reps[root[linked]]
+
+
+def _block_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): similar members of different components of large buckets; members is (bucket, rep, n, c, k, total)."""
+
+    def search(part: pd.DataFrame) -> pd.DataFrame:
+        found = [np.frombuffer(x, "<u8") for x in part["found"]]
+        a, b = matrix_links(part["rep"].to_numpy(), part["c"].to_numpy(), found, least)
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # Every two blocks meet in one group.
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", "rep", "c", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return dealt.join(sets, "rep").groupBy("bucket", "low", "high").applyInPandas(search, "a long, b long")
+
+
 def _close(a: str, b: str, least: float):
     """Sets of these sizes can be similar at all."""
     return F.least(a, b) >= F.greatest(a, b) * F.lit(least) - F.lit(1e-9)
@@ -121,14 +163,17 @@ def groups(
     joined = connected_components(links)
     placed = shared.select("bucket", "rep", "n").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     placed = cut(placed.select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c")))
-    parted = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-    rest = cut(placed.join(parted, "bucket", "left_semi"))
+    parted = placed.groupBy("bucket").agg(
+        F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")
+    )
+    rest = cut(placed.join(parted.where("low < high").select("bucket", "k", "total"), "bucket"))
     if not rest.isEmpty():
+        few = rest.where(F.col("k") <= FEW)
         across = (
-            rest.alias("l").join(rest.alias("r"), "bucket").where("l.c < r.c").where(_close("l.n", "r.n", least))
+            few.alias("l").join(few.alias("r"), "bucket").where("l.c < r.c").where(_close("l.n", "r.n", least))
             .select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
         )
-        more = cut(_checked(across, sets, least))
+        more = cut(_checked(across, sets, least).unionByName(_block_links(rest.where(F.col("k") > FEW), sets, least)))
         joined = connected_components(links.unionByName(more))
     named = kinds.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("kind", F.coalesce("component", "rep").alias("component"))
     return marked.join(named, "kind").select("doc_id", "text_hash", "component")
