@@ -26,42 +26,85 @@ LEAST_VALUE = 6
 RUN, LEAST_RUN = "[A-Za-z0-9+/_=-]", 16
 CANDIDATE = f"{RUN}{{{LEAST_RUN},}}+"
 KINDS = ("assign", "access", "hex", "markov")
+PATTERNS = (ASSIGN, ACCESS, HEX, CANDIDATE)
 #: Characters from + to z.
 FIRST_CODE, CODES = 43, 80
 #: Natural logarithm of the odds that a candidate must overcome: random strings are rare among identifiers.
 MARGIN = math.log(1e5)
-#: Bounds of the training sample: generated random strings, and whole texts that ordinary identifiers are taken from.
-RANDOM_STRINGS, SAMPLE_TEXTS = 4096, 512
-
-
-def random_samples(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
-    """(sample, random = true): digests of numbers written as hex, base64 and capitals with digits."""
-    digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
+#: Numbers that the labelled samples of each class are written from.
+SAMPLES = 4096
+#: Words that identifiers are made of, in four languages, and prefixes that services put before tokens.
+IDENTIFIER_WORDS = (
+    "application array async author back base before between bottom buffer button "
+    "cache category change channel character check child class client color column command comment config connection "
+    "content context control count create current data date delete description directory document download "
+    "element email error event example export extension feature field file filter first font format function general group "
+    "header height history home html image import index information input instance integer item keyboard language "
+    "layout length level library license link list local login manager margin message method model module month name network "
+    "next notification number object option order output package page parameter parent path payment performance person point "
+    "aber arbeit auch denken einheit entwicklung freundlich gesellschaft gleich heute immer keit lich machen mensch nicht "
+    "richtig schaft schule sprache stunde ung unter verein wahrscheinlich wissenschaft wohnung zeichen zusammen zwischen "
+    "alors apprendre aucun beaucoup chaque chose dernier donner encore enfant existence femme gouvernement heure homme jour "
+    "leur maintenant maison moins monde nouveau oiseau pourquoi quelque raison souvent temps toujours travail trouver vieux "
+    "agua amigo aunque bueno camino ciudad cuando desde despacio donde ella empezar entonces escuela familia fuerza gente "
+    "guerra hermano llave mayor mientras mucho nombre palabra pueblo quien respuesta siempre tiempo trabajo vida"
+)
+TOKEN_PREFIXES = ("", "", "", "", "sk_live_", "ghp_", "xoxb-", "AIza", "glpat-", "npm_")
+
+
+def _hashed(salt: str) -> Column:
+    """64 hex digits that depend on the number and the salt only."""
+    return F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")).cast("binary"), 256)
+
+
+def _picked(digits: Column, at: int, among: Column, n: int) -> Column:
+    """One of the n entries of an array, by four hex digits."""
+    return F.get(among, (F.conv(F.substring(digits, at, 4), 16, 10).cast("int") % n).cast("int"))
+
+
+def random_samples(spark: SparkSession, n: int = SAMPLES, salt: str = "random") -> DataFrame:
+    """(sample, random = true): hashed numbers in base64, letters with digits, and hex, some behind a token prefix.
+
+    Lengths go from 16 to 64. The samples depend on nothing but n and salt.
+    """
+    digest = _hashed(salt)
+    base64 = F.base64(F.unhex(digest))
+    plain = F.regexp_replace(base64, "[^A-Za-z0-9]", "")
+    chars = 16 + F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") % 28
+    prefixes = F.array(*(F.lit(p) for p in TOKEN_PREFIXES))
     written = F.array(
+        base64,
+        F.concat(_picked(digest, 5, prefixes, len(TOKEN_PREFIXES)), F.substring(plain, F.lit(1), chars)),
+        F.translate(F.upper(plain), "+/=", "XYZ"),
         digest,
-        F.base64(F.unhex(digest)),
-        F.translate(F.upper(F.base64(F.unhex(digest))), "+/=", "XYZ"),
     )
     return spark.range(n).select(F.explode(written).alias("sample"), F.lit(True).alias("random"))
 
 
-def ordinary_samples(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: int = SAMPLE_TEXTS
-) -> DataFrame:
-    """(sample, random = false): identifier-like runs of a bounded sample of texts, what base patterns match left out.
-
-    The sample is an even share by hash of id and text, about `texts` in all; plain decimal numbers are put in beside
-    them. The share is taken where the rows lie, so no task gathers what grows with the table.
-    """
-    share = min(1.0, texts / max(1, docs.count()))
-    drawn = F.pmod(F.xxhash64(F.col(id_col), text_of(text_col)), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = docs.where(drawn).select(text_of(text_col).alias("text"))
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    runs = sample.select(F.explode(F.regexp_extract_all(bare, F.lit(f"{RUN}{{4,}}"), F.lit(0))).alias("sample"))
-    numbers = docs.sparkSession.range(2048).select(
-        F.conv(F.substring(F.sha2(F.col("id").cast("string").cast("binary"), 256), 1, 14), 16, 10).alias("sample")
+def ordinary_samples(spark: SparkSession, n: int = SAMPLES, salt: str = "ordinary") -> DataFrame:
+    """(sample, random = false): identifiers of two to four words in snake, kebab, path, camel, capital and joined
+    style, with and without a number; decimal numbers, dates and UUIDs. They depend on nothing but n and salt."""
+    words = sorted(set(IDENTIFIER_WORDS.split()))
+    digits, listed = _hashed(salt), F.split(F.lit(" ".join(words)), " ")
+    drawn = F.slice(
+        F.array(*(_picked(digits, at, listed, len(words)) for at in (1, 5, 9, 13))),
+        1,
+        2 + F.conv(F.substring(digits, 17, 1), 16, 10).cast("int") % 3,
     )
-    return runs.unionByName(numbers).withColumn("random", F.lit(False))
+    capital = F.transform(drawn, lambda w: F.initcap(w))
+    number = F.conv(F.substring(digits, 20, 2), 16, 10)
+    long_number = F.conv(F.substring(digits, 22, 15), 16, 10)
+    camel = F.concat(F.get(drawn, F.lit(0)), F.array_join(F.slice(capital, 2, 4), ""))
+    date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.conv(F.substring(digits, 40, 4), 16, 10).cast("int") % 30000), "yyyy-MM-dd")
+    uuid = F.concat_ws("-", *(F.substring(digits, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    snake = F.array_join(drawn, "_")
+    written = F.array(
+        snake, F.array_join(drawn, "-"), F.array_join(drawn, "/"), camel, F.array_join(capital, ""), F.array_join(drawn, ""),
+        F.upper(snake), F.concat_ws("_", snake, number), F.concat(camel, number),
+        F.array_join(F.transform(capital, lambda w, k: F.concat(w, F.substring(number, k + 1, F.lit(1)))), ""), long_number, F.concat(date, F.lit("-"), F.array_join(drawn, "-")),
+        uuid,
+    )
+    return spark.range(n).select(F.explode(written).alias("sample"), F.lit(False).alias("random"))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -111,17 +154,26 @@ def ratio(candidate: Column, model: list[float]) -> Column:
     return total
 
 
-def _placed(docs: DataFrame, kind: str, pattern: str) -> DataFrame:
-    """(id, text_key, kind, k, before, value) for every match of docs(id, text_key, text): before is the number of
-    characters from the match before it."""
-    pieces = F.split("text", pattern, -1)
-    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    return docs.select(
-        "id",
-        "text_key",
-        F.transform(pieces, lambda p: F.length(p)).alias("gaps"),
-        F.posexplode(found).alias("k", "value"),
-    ).select("id", "text_key", F.lit(kind).alias("kind"), "k", F.get("gaps", F.col("k")).alias("before"), "value")
+def _matches(docs: DataFrame, model: list[float]) -> DataFrame:
+    """(id, text_key, kind, k, before, value) for every match of docs(id, text_key, text), in one pass: before is the
+    number of characters from the match of that kind before it. Texts without a match go no further."""
+    text = F.col("text")
+    random = F.exists(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), lambda x: ratio(x, model) > MARGIN)
+    shown = (text.rlike(ASSIGN), text.contains("AKIA"), text.rlike(HEX), random)
+    kinds = F.filter(F.array(*(F.when(s, k) for s, k in zip(shown, KINDS, strict=True))), lambda k: k.isNotNull())
+    read = docs.select("id", "text_key", "text", F.explode(kinds).alias("kind"))
+
+    def by_kind(value) -> Column:
+        chain = F.when(F.col("kind") == KINDS[0], value(PATTERNS[0]))
+        for kind, pattern in zip(KINDS[1:], PATTERNS[1:], strict=True):
+            chain = chain.when(F.col("kind") == kind, value(pattern))
+        return chain
+
+    gaps = F.transform(by_kind(lambda p: F.split("text", p, -1)), lambda p: F.length(p))
+    found = by_kind(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0)))
+    return read.select("id", "text_key", "kind", gaps.alias("gaps"), F.posexplode(found).alias("k", "value")).select(
+        "id", "text_key", "kind", "k", F.get("gaps", F.col("k")).alias("before"), "value"
+    )
 
 
 def spans(docs: DataFrame, model: list[float]) -> DataFrame:
@@ -129,17 +181,8 @@ def spans(docs: DataFrame, model: list[float]) -> DataFrame:
 
     Models' spans that touch a base span are left out, as that one stays.
     """
-    text = F.col("text")
-    random = F.exists(
-        F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), lambda x: ratio(x, model) > MARGIN
-    )
-    matches = (
-        _placed(docs.where(text.rlike(ASSIGN)), "assign", ASSIGN)
-        .unionByName(_placed(docs.where(text.contains("AKIA")), "access", ACCESS))
-        .unionByName(_placed(docs.where(text.rlike(HEX)), "hex", HEX))
-        .unionByName(_placed(docs.where(random), "markov", CANDIDATE))
-        .distinct()
-    )
+    # Repeated rows of one id and text show the same matches.
+    matches = _matches(docs, model).distinct()
     order = Window.partitionBy("id", "text_key", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     placed = matches.withColumn("end", F.sum(F.col("before") + F.length("value")).over(order)).withColumn(
         "start", F.col("end") - F.length("value")
@@ -169,8 +212,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def default_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
-    return train(random_samples(docs.sparkSession).unionByName(ordinary_samples(docs, id_col, text_col)))
+def default_model(spark: SparkSession) -> list[float]:
+    """Trained on the labelled samples of this module, so a text's verdict doesn't hang on its neighbours."""
+    return train(random_samples(spark).unionByName(ordinary_samples(spark)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: list[float] | None = None) -> DataFrame:
@@ -180,7 +224,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     or repeat with other texts. Other columns aren't read; an empty table gives an empty result.
     """
     keyed = _keyed(docs, id_col, text_col)
-    found = spans(keyed, model if model is not None else default_model(docs, id_col, text_col))
+    found = spans(keyed, model if model is not None else default_model(docs.sparkSession))
     rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")).cast("int")
     grouped = found.groupBy("id", "text_key").agg(
         F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end", "llr"))).alias("secrets")
@@ -192,12 +236,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: list[float] | None = None
+) -> DataFrame:
     """docs with <kind> in place of every secret of the text column; spans that overlap give one mark.
 
     Rows without secrets, and null texts, stay as they are, and so do all other columns.
     """
-    found = spans(_keyed(docs, id_col, text_col), default_model(docs, id_col, text_col))
+    found = spans(_keyed(docs, id_col, text_col), model if model is not None else default_model(docs.sparkSession))
     marks = cut(
         found.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")).agg(
             F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__spans")
