@@ -4,12 +4,13 @@ Groups are rows of equal text, ordered by a digest of the text, so that neighbou
 source and time. The driver sees only a bounded outline of that order: the total of every digest prefix. It
 binary-searches the capacity over the outline, once with cuts between prefixes only (an upper bound) and once as if
 prefixes could be cut anywhere (a lower bound). Only prefixes in which a cut can fall between the two are opened
-into longer prefixes, until both bounds agree and the capacity and the cuts are exact.
+into longer prefixes, until both bounds agree and the capacity is exact. Many partitions have that capacity, above all
+where one large group sets it; the cuts fall where they make the shards most even within it.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +21,9 @@ from tremora.llm.common import cut, text_of
 #: Hex digits of the first outline (16 ** 3 entries at most) and of each further opening.
 FIRST, STEP, FULL = 3, 2, 32
 ROW_BYTES = 16
-#: Cells for slots: parts of the digest's order times parts of a group.
-ORDER_PARTS, GROUP_PARTS = 256, 64
+#: Cells for slots: first hex digits of the digest, and parts of a cell by id. A shard's two ends may split a prefix, so
+#: there are at most (16 ** ORDER_DIGITS + shards) * GROUP_PARTS cells, whatever the input.
+ORDER_DIGITS, GROUP_PARTS = 2, 256
 
 Piece = tuple[str, int, bool]
 
@@ -46,6 +48,39 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
     return low
 
 
+def _level(sizes: list[int], shards: int) -> float:
+    """The even share of a shard once groups above it have shards of their own."""
+    level = sum(sizes) / max(1, shards)
+    while True:
+        large = [s for s in sizes if s > level]
+        if len(large) >= shards:
+            return level
+        lower = (sum(sizes) - sum(large)) / (shards - len(large))
+        if lower >= level:
+            return level
+        level = lower
+
+
+def even_cuts(sizes: list[int], capacity: int, shards: int) -> list[int]:
+    """Where shards 1, 2, ... start: none above the capacity, none empty while there are groups enough, each as near to
+    the even share of what is left as that allows."""
+    ends, n = [0, *accumulate(sizes)], len(sizes)
+    # The earliest start of shard j from which the rest still fits, packed from the end.
+    need = [n] * (shards + 1)
+    for j in range(shards - 1, 0, -1):
+        need[j] = bisect_left(ends, ends[need[j + 1]] - capacity)
+    cuts, at = [], 0
+    for j in range(1, shards):
+        lowest = max(need[j], min(at + 1, n))
+        highest = min(bisect_right(ends, ends[at] + capacity) - 1, max(n - (shards - j), lowest))
+        wanted = ends[at] + _level(sizes[at:], shards - j + 1)
+        k = bisect_left(ends, wanted)
+        k -= k > n or (k > 0 and wanted - ends[k - 1] < ends[k] - wanted)
+        at = max(lowest, min(highest, k))
+        cuts.append(at)
+    return [c for c in cuts if c < n]
+
+
 def _bounds(pieces: list[Piece], shards: int) -> tuple[int, int]:
     """Capacities between which the smallest feasible one lies."""
     high = smallest_capacity([size for _, size, _ in pieces], shards)
@@ -117,8 +152,8 @@ def cut_keys(groups: DataFrame, shards: int) -> list[str]:
         )
         # Prefixes opened before this round are longer or shorter than parent; only those of its length are replaced.
         pieces = sorted([p for p in pieces if p[0] not in opened] + _outline(inner, digits))
-    capacity = smallest_capacity([size for _, size, _ in pieces], shards)
-    return [pieces[at][0] for at in _greedy([size for _, size, _ in pieces], capacity) or []]
+    sizes = [size for _, size, _ in pieces]
+    return [pieces[at][0] for at in even_cuts(sizes, smallest_capacity(sizes, shards), shards)]
 
 
 def _shard_of(key: Column, cuts: list[str]) -> Column:
@@ -133,7 +168,7 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     """(id, size, text_crc32, shard, slot) for every row of docs; rows of equal text share a shard.
 
     A null text is a group of its own of size 16 bytes a row; an empty text is another. Repeated rows (equal ids too)
-    each get a row and a slot; null ids stay. With fewer groups than shards some shards stay empty. Other columns of
+    each get a row and a slot; null ids stay. Only with fewer groups than shards some shards stay empty. Other columns of
     docs are not read, so their names don't matter. An empty table gives an empty result.
     """
     text = F.col(text_col)
@@ -147,12 +182,14 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     )
     groups = cut(rows.groupBy("group_key").agg(F.sum("size").alias("bytes")))
     cuts = cut_keys(groups, shards)
-    cell = F.conv(F.substring("group_key", 1, 3), 16, 10).cast("int") % ORDER_PARTS * GROUP_PARTS
-    cell = cell + F.pmod(F.xxhash64("doc_id"), F.lit(GROUP_PARTS)).cast("int")
+    # Rows without an id go by their place in the checkpoint, so that they don't all meet in one cell.
+    part = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id"))
+    cell = F.conv(F.substring("group_key", 1, ORDER_DIGITS), 16, 10).cast("int") * GROUP_PARTS
+    cell = cell + F.pmod(part, F.lit(GROUP_PARTS)).cast("int")
     placed = rows.select(
         "doc_id", "size", "text_crc32", "group_key", _shard_of(F.col("group_key"), cuts).alias("shard"), cell.alias("cell")
     )
-    # Slots: rows before a cell of a shard, plus the place within the cell. There are at most shards * cells totals.
+    # Slots: rows before a cell of a shard, plus the place within the cell. The totals are bounded (see GROUP_PARTS).
     totals = placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = totals.select(
         "shard",
