@@ -76,7 +76,7 @@ def flattened(parts: Column, unit_tokens: dict[str, int] = UNIT_TOKENS) -> tuple
             F.struct(F.concat(acc["text"], escaped(F.coalesce(p["text"], F.lit("")))).alias("text"), acc["n"].alias("n")),
         ).otherwise(
             F.struct(
-                F.concat(acc["text"], F.lit("<|"), p["kind"], F.lit(":"), (acc["n"] + 1).cast("string"), F.lit("|>")).alias("text"),
+                F.concat(acc["text"], F.lit("<|"), escaped(p["kind"]), F.lit(":"), (acc["n"] + 1).cast("string"), F.lit("|>")).alias("text"),
                 (acc["n"] + 1).alias("n"),
             )
         ),
