@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tremora.functions.geo import segment_km
 
 LATITUDE_KM, EQUATOR_KM = 110.574, 111.320
+#: Segments that every event may be held against without the index.
+FEW_SEGMENTS = 1000
 CELL = 2.0
 
 
@@ -82,6 +84,8 @@ def nearest(
         filed = grid_cells(segs, id_col, radius_km, cell).join(segs, id_col)
         met = placed.join(filed, ["lat_cell", "lon_cell"])
     else:
+        if segs.limit(FEW_SEGMENTS + 1).count() > FEW_SEGMENTS:
+            raise ValueError(f"more than {FEW_SEGMENTS} segments need the index")
         met = points.join(F.broadcast(segs))
     found = met.withColumn("distance_km", distance).where(F.col("distance_km") <= radius_km)
     best = found.groupBy("event_id").agg(F.min(F.struct("distance_km", id_col)).alias("best"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tremora.functions.geo import EARTH_KM, haversine_km
 from tremora.functions.seismic import seismic_moment
 from tremora.operators.context import plate_pair
+from tremora.operators.lineage import cut
 from tremora.operators.network import project, routed
 from tremora.operators.spatial import with_cube
 from tremora.operators.validation import fail_on_duplicates
@@ -265,7 +266,7 @@ def along_pairs(
     status = F.when(missing, MISSING).when(~same, DIFFERENT).when(F.col("along_km").isNull(), DISCONNECTED).otherwise(AVAILABLE)
     along = F.when(F.col("route_status") == AVAILABLE, F.col("along_km"))
     return (
-        routed(flat, steps)
+        routed(cut(flat), steps)
         .withColumn("route_status", status)
         .withColumns(
             {

@@ -44,8 +44,13 @@ def near_pairs(left: DataFrame, right: DataFrame, size_km: float, condition: Col
     return joined.withColumn("distance_km", distance).where(F.col("distance_km") <= size_km)
 
 
-def pairwise(df: DataFrame, id_col: str) -> DataFrame:
-    """(i, j, distance_km) of all ordered pairs, zero for i = j: the dense matrix, for few points only."""
+def pairwise(df: DataFrame, id_col: str, most: int = 10_000) -> DataFrame:
+    """(i, j, distance_km) of all ordered pairs, zero for i = j: the dense matrix, for few points only.
+
+    More than `most` points are an error; near_pairs and dbscan are for those.
+    """
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a dense matrix of more than {most} points; use near_pairs")
     a, b = df.alias("a"), df.alias("b")
     d = haversine_km(F.col("a.latitude"), F.col("a.longitude"), F.col("b.latitude"), F.col("b.longitude"))
     i, j = F.col(f"a.{id_col}"), F.col(f"b.{id_col}")
@@ -198,7 +203,10 @@ def swarms(df: DataFrame, config: SwarmConfig = SwarmConfig(), reference: dateti
             }
         )
         .withColumn("migration_bearing", F.when(F.col("migration_km") > config.stationary_km, turn))
-        .withColumn("migration_direction", F.coalesce(cardinal(F.col("migration_bearing")), F.lit("stationary")))
+        .withColumn(
+            "migration_direction",
+            F.when(F.col("migration_bearing").isNull(), "stationary").otherwise(cardinal(F.col("migration_bearing"))),
+        )
         .withColumn(
             "activity_status",
             F.when(F.col("event_count") < 2, "insufficient_data")

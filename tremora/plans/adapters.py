@@ -19,12 +19,14 @@ select cast(o_orderkey as {text}) as event_id, o_orderdate as time, o_totalprice
   cast(o_orderkey % 700 as double) as depth
 from {orders}
 """
-#: Strong events of a short list: a catalog small enough for pair studies at any scale.
-STRONG = """
-select event_id, event_time_utc as time, 6 + (cast(event_id as bigint) % 25) / 10 as magnitude, magnitude_type,
+#: All events, by the names that the studies use, with magnitudes that reach the usual study limits.
+LOCATED = """
+select event_id, event_time_utc as time, case when magnitude > cast('7.1' as double) then cast('9.5' as double) else magnitude + cast('2.4' as double) end as magnitude, magnitude_type,
   latitude, longitude + cast('0.033' as double) as longitude, coalesce(depth_km, cast(0 as double)) as depth
-from ({events_catalog}) c where magnitude >= 3.6
+from ({events_catalog}) c
 """
+#: The least magnitude of the pair studies, a parameter of their operators.
+STUDY_MAGNITUDE = 6.0
 STEPS = """
 select concat('step-', cast(10000 + n_nationkey as {text})) as step_id,
   concat('B', cast(n_nationkey % 5 as {text})) as boundary_id,
@@ -57,9 +59,9 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("time", F.col("time").cast("timestamp"))
 
 
-def strong(spark: SparkSession, sf_dir: str) -> DataFrame:
+def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = _sql(EVENTS, events=_read(spark, sf_dir, "events"))
-    return spark.sql(STRONG.format(events_catalog=inner)).withColumn("time", F.col("time").cast("timestamp"))
+    return spark.sql(LOCATED.format(events_catalog=inner)).withColumn("time", F.col("time").cast("timestamp"))
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +84,8 @@ DUCK_CATALOG = EVENTS.format(text="varchar", events="events")
 DUCK = {
     "catalog": DUCK_CATALOG,
     "observed": ORDERS.format(text="varchar", orders="orders"),
-    "strong": STRONG.format(events_catalog=DUCK_CATALOG),
+    "located": LOCATED.format(events_catalog=DUCK_CATALOG),
+    "strong": f"select * from ({LOCATED.format(events_catalog=DUCK_CATALOG)}) l where magnitude >= {STUDY_MAGNITUDE}",
     "steps": STEPS.format(text="varchar", nation="nation"),
 }
 

@@ -178,16 +178,16 @@ from (select magnitude_type, sum(cos(radians(latitude)) * cos(radians(longitude)
         "catalog",
     ),
     "seismic_moment": duck(
-        "select event_id, case when magnitude_type = 'mww' then round(pow(10, 1.5 * magnitude + 9.1) / 1e18, 4) end as moment_1e18 from strong", "strong"
+        "select event_id, case when magnitude_type = 'mww' then round(pow(10, 1.5 * magnitude + 9.1) / 1e18, 4) end as moment_1e18 from located", "located"
     ),
     "year_histogram": duck("select cast(year(time) as integer) as year, count(*) as n from observed group by 1", "observed"),
     "magnitude_histogram": duck(
         """select (case when magnitude >= 9 then 9.0 when magnitude >= 8.5 then 8.5 when magnitude >= 8 then 8.0 when magnitude >= 7.5 then 7.5
-  when magnitude >= 7 then 7.0 when magnitude >= 6.5 then 6.5 else 6.0 end)::double as bin, count(*) as n from strong where magnitude >= 6 group by 1""",
-        "strong",
+  when magnitude >= 7 then 7.0 when magnitude >= 6.5 then 6.5 else 6.0 end)::double as bin, count(*) as n from located where magnitude >= 6 group by 1""",
+        "located",
     ),
     "topk_recent": duck(
-        "select event_id, strftime(time, '%Y-%m-%d %H:%M:%S') as time, round(magnitude, 4) as magnitude from strong order by strong.time desc, event_id limit 10", "strong"
+        "select event_id, strftime(time, '%Y-%m-%d %H:%M:%S') as time, round(magnitude, 4) as magnitude from located order by located.time desc, event_id limit 10", "located"
     ),
     "largest_event": duck("select event_id, round(magnitude, 4) as magnitude from catalog order by catalog.magnitude desc nulls last, event_id limit 1", "catalog"),
 }
@@ -195,7 +195,7 @@ from (select magnitude_type, sum(cos(radians(latitude)) * cos(radians(longitude)
 # --- Revisions -------------------------------------------------------------------------------------------------------
 
 _REVISED = {
-    "base": "select event_id, 'us' as source, time, magnitude, time as updated_at, cast(event_id as bigint) as k from strong",
+    "base": "select event_id, 'us' as source, time, magnitude, time as updated_at, cast(event_id as bigint) as k from located",
     "old": "select * from base where k % 5 <> 0",
     "new": """select event_id, source, time, case when k % 2 = 0 then magnitude + 1 else magnitude end as magnitude,
   case when k % 2 = 0 then updated_at + interval 1 hour else updated_at end as updated_at, k from base where k % 3 = 0 or k % 5 = 0""",
@@ -206,14 +206,14 @@ ORACLES |= {
     "catalog_merge": duck(
         """select event_id, source, strftime(time, '%Y-%m-%d %H:%M:%S') as time, round(magnitude, 4) as magnitude,
   strftime(updated_at, '%Y-%m-%d %H:%M:%S') as updated_at from merged""",
-        "strong", **_REVISED,
+        "located", **_REVISED,
     ),
     "merge_counts": duck(
         """select count(*) filter (o.event_id is null) as inserted,
   count(*) filter (o.event_id is not null and (o.magnitude, o.updated_at) is distinct from (m.magnitude, m.updated_at)) as updated,
   count(*) filter (o.event_id is not null and (o.magnitude, o.updated_at) is not distinct from (m.magnitude, m.updated_at)) as unchanged,
   count(*) as final_count from merged m left join old o using (source, event_id)""",
-        "strong", **_REVISED,
+        "located", **_REVISED,
     ),
 }
 
@@ -367,7 +367,7 @@ from (select *, 50 * least(abs(s1) / 3, 1) + 30 * least((case when direction lik
 KM = "2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians({b}.latitude - {a}.latitude) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin(radians({b}.longitude - {a}.longitude) / 2), 2))))"
 _NEAR = {
     # Synthetic steps lie on parallels one degree long; the distance to a step is worked out from its ends as vectors.
-    "ev": "select *, [cos(radians(latitude)) * cos(radians(longitude)), cos(radians(latitude)) * sin(radians(longitude)), sin(radians(latitude))] as p from strong",
+    "ev": "select *, [cos(radians(latitude)) * cos(radians(longitude)), cos(radians(latitude)) * sin(radians(longitude)), sin(radians(latitude))] as p from located",
     "st": """select *, [cos(radians(start_latitude)) * cos(radians(start_longitude)), cos(radians(start_latitude)) * sin(radians(start_longitude)), sin(radians(start_latitude))] as a,
   [cos(radians(end_latitude)) * cos(radians(end_longitude)), cos(radians(end_latitude)) * sin(radians(end_longitude)), sin(radians(end_latitude))] as b from steps""",
     "cr": "select ev.*, st.* exclude (a, b), a, b, list_value(a[2]*b[3]-a[3]*b[2], a[3]*b[1]-a[1]*b[3], a[1]*b[2]-a[2]*b[1]) as n from ev, st",
@@ -430,17 +430,16 @@ _CUM = f"""select threshold as source_minimum_magnitude, time_window_days, dista
   count(*) filter ({_PLACED}) as plate_context_source_count, {", ".join(_kind_totals(k, "edge_eligible" if k == "all" else _PLACED) for k in _RADIAL)}
 from eo, (values (6.5::double), (7.0::double)) th(threshold) where source_magnitude >= threshold group by 1, 2, 3"""
 _RING = "over (partition by source_minimum_magnitude, time_window_days order by distance_window_km)"
-_STUDY_TABLES = ("catalog", "strong", "steps")
 
 
 def _study(query: str, parts: dict[str, str]) -> str:
-    return duck(query, "strong", "steps", **parts)
+    return duck(query, "located", "strong", "steps", **parts)
 
 
 ORACLES |= {
     "haversine_pairs": duck(
-        f"select l.event_id as a, r.event_id as b, round({KM.format(a='l', b='r')}, 4) as distance_km from strong l join strong r on l.event_id < r.event_id where {KM.format(a='l', b='r')} <= 30",
-        "strong",
+        f"select l.event_id as a, r.event_id as b, round({KM.format(a='l', b='r')}, 4) as distance_km from located l join located r on l.event_id < r.event_id where {KM.format(a='l', b='r')} <= 12",
+        "located",
     ),
     "nearest_boundary": _study(
         f"select event_id, step_id, round(km, 4) as distance_km, {', '.join(_CTX)} from asc0", {k: v for k, v in _STUDY.items() if k not in ("x", "pr")}
@@ -482,15 +481,15 @@ where source_magnitude >= 8 or target_magnitude >= 8""",
         rt="select n, min(m) as root from rc group by n",
     ),
     "event_search": duck(
-        "select event_id, strftime(time, '%Y-%m-%d %H:%M:%S') as time, round(magnitude, 4) as magnitude, magnitude_type, round(latitude, 4) as latitude, round(longitude, 4) as longitude, round(depth, 4) as depth from strong where magnitude >= 6.5 and event_id like '7%'",
-        "strong",
+        "select event_id, strftime(time, '%Y-%m-%d %H:%M:%S') as time, round(magnitude, 4) as magnitude, magnitude_type, round(latitude, 4) as latitude, round(longitude, 4) as longitude, round(depth, 4) as depth from located where magnitude >= 6.5 and event_id like '7%'",
+        "located",
     ),
 }
 
 # --- Projections, faults, network and status --------------------------------------------------------------------------
 
 
-def _nearest(p: str, segments: str, radius: float) -> dict[str, str]:
+def _nearest(p: str, segments: str, radius: float, events: str = "located") -> dict[str, str]:
     """Tables p_*: every event with every segment (sid, lat1, lon1, lat2, lon2) as vectors; p_best has the nearest."""
 
     def unit(lat: str, lon: str) -> str:
@@ -498,7 +497,7 @@ def _nearest(p: str, segments: str, radius: float) -> dict[str, str]:
 
     return {
         f"{p}_v": f"""select e.event_id, s.*, {unit('e.latitude', 'e.longitude')} as p, {unit('lat1', 'lon1')} as a, {unit('lat2', 'lon2')} as b
-from strong e, ({segments}) s""",
+from {events} e, ({segments}) s""",
         f"{p}_n": f"select *, list_value(a[2]*b[3]-a[3]*b[2], a[3]*b[1]-a[1]*b[3], a[1]*b[2]-a[2]*b[1]) as n from {p}_v",
         f"{p}_l": f"select *, sqrt(list_dot_product(n, n)) as nn, list_dot_product(p, n) / sqrt(list_dot_product(n, n)) as lift from {p}_n",
         f"{p}_q": f"select *, list_value(p[1]-lift*n[1]/nn, p[2]-lift*n[2]/nn, p[3]-lift*n[3]/nn) as q from {p}_l",
@@ -536,7 +535,7 @@ from st_best join steps on step_id = sid""",
         """select s.event_id, strftime(s.time, '%Y-%m-%d %H:%M:%S') as time, round(s.magnitude, 4) as magnitude, s.magnitude_type, round(s.latitude, 4) as latitude,
   round(s.longitude, 4) as longitude, round(s.depth, 4) as depth, step_id, boundary_id, left_plate, right_plate, boundary_class,
   round(b.km, 4) as boundary_distance_km, f.sid as fault_id, round(f.km, 4) as fault_distance_km, coalesce(s.magnitude >= 7, false) as is_major
-from strong s left join st_best b using (event_id) left join steps on step_id = b.sid left join fa_best f using (event_id)""",
+from located s left join st_best b using (event_id) left join steps on step_id = b.sid left join fa_best f using (event_id)""",
         _BY_STEP | _BY_FAULT,
     ),
     # Each plate pair's part of the synthetic network is a set of chains, so every path is the shortest one.
@@ -564,15 +563,17 @@ from (select score, row_number() over (order by c desc) as r, (select count(*) f
 # --- Clusters, routes along the network, status -----------------------------------------------------------------------
 
 _CLUSTERS = {
-    "pt": "select cast(event_id as bigint) as position, time, latitude, longitude, depth, magnitude from strong",
-    "nb": f"select l.position as a, r.position as b from pt l, pt r where {KM.format(a='l', b='r')} <= 11.5",
-    "co": "select a from nb group by a having count(*) >= 4",
+    "pt": "select cast(event_id as bigint) as position, time, latitude, longitude, depth, magnitude from located",
+    # Equal coordinates are one weighted point.
+    "sp": "select latitude, longitude, min(position) as a, count(*) as n from pt group by all",
+    "nb": f"select l.a, r.a as b, r.n from sp l, sp r where {KM.format(a='l', b='r')} <= 10.8",
+    "co": "select a from nb group by a having sum(n) >= 24",
     "rch": "select a as root, a as n from co union select rch.root, nb.b from rch join nb on nb.a = rch.n where nb.b in (select a from co)",
     "cm": "select n, min(root) as root from rch group by n",
     "nm": "select root, row_number() over (order by root) - 1 as cluster_id from (select distinct root from cm)",
-    "lb": """select pt.position, coalesce(min(case when pt.position in (select a from co) then own.cluster_id end), min(nm.cluster_id), -1) as cluster_id
-from pt join nb on nb.a = pt.position left join cm on cm.n = nb.b left join nm on nm.root = cm.root
-  left join cm me on me.n = pt.position left join nm own on own.root = me.root group by pt.position""",
+    "ls": """select nb.a, coalesce(min(own.cluster_id), min(nm.cluster_id), -1) as cluster_id
+from nb left join cm on cm.n = nb.b left join nm on nm.root = cm.root left join cm me on me.n = nb.a left join nm own on own.root = me.root group by nb.a""",
+    "lb": "select pt.position, ls.cluster_id from pt join sp using (latitude, longitude) join ls using (a)",
     "mb": "select pt.*, cluster_id from pt join lb using (position) where cluster_id >= 0",
     "ce": """select cluster_id, degrees(atan2(z, sqrt(x * x + y * y))) as latitude, degrees(atan2(y, x)) as longitude, n from (select cluster_id, sum(cos(radians(latitude)) * cos(radians(longitude))) as x,
   sum(cos(radians(latitude)) * sin(radians(longitude))) as y, sum(sin(radians(latitude))) as z, count(*) as n from mb group by 1)""",
@@ -621,11 +622,11 @@ _ALONG_DERIVED = ", ".join(
 )
 _STATUS = "case when {r} is null then 'unavailable' when {r} < {a} then 'very_quiet' when {r} < {b} then 'quiet' when {r} <= {c} then 'normal' when {r} <= {d} then 'elevated' else 'exceptional' end"
 ORACLES |= {
-    "dbscan_labels": duck("select position, cluster_id from lb", "strong", **_CLUSTERS),
+    "dbscan_labels": duck("select position, cluster_id from lb", "located", **_CLUSTERS),
     "dbscan_clusters": duck(
         """select cluster_id, event_count, round(centroid_latitude, 4) as centroid_latitude, round(centroid_longitude, 4) as centroid_longitude, round(radius_km, 4) as radius_km,
   round(mean_distance_km, 4) as mean_distance_km, cast(event_count as integer) as member_indices from cs""",
-        "strong", **_CLUSTERS,
+        "located", **_CLUSTERS,
     ),
     "along_pairs": _study(
         """select l_id as earlier_event_id, r_id as later_event_id, strftime(lt, '%Y-%m-%d %H:%M:%S') as earlier_time, strftime(al.rt, '%Y-%m-%d %H:%M:%S') as later_time, round(lm, 4) as earlier_magnitude, round(rm, 4) as later_magnitude,
@@ -679,6 +680,8 @@ from (select round_even(avg(event_count) over w7 / avg(event_count) over wb, 4)
 
 _HALVES = {
     **_CLUSTERS,
+    # Swarms are made of complete events.
+    "pt": _CLUSTERS["pt"] + " where magnitude is not null",
     "sq": """select mb.*, row_number() over (partition by cluster_id order by time, position) <= floor(count(*) over (partition by cluster_id) / 2) as early,
   (epoch_us(time) - epoch_us(min(time) over (partition by cluster_id))) / 86400e6 as days from mb""",
     "hv": """select cluster_id, early, degrees(atan2(z, sqrt(x * x + y * y))) as latitude, degrees(atan2(y, x)) as longitude from (select cluster_id, early, sum(cos(radians(latitude)) * cos(radians(longitude))) as x,
@@ -702,5 +705,5 @@ ORACLES["swarm_summary"] = duck(
   case when km > 1 then ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][cast(round_even(turn / 45, 0) as integer) % 8 + 1] else 'stationary' end as migration_direction,
   case when age <= 1 then 'active' when age <= 7 then 'recently_active' else 'inactive' end as activity_status
 from sw join cs using (cluster_id) join mv using (cluster_id)""",
-    "strong", **_HALVES,
+    "located", **_HALVES,
 )

@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 from tremora.functions import seismic
 from tremora.operators import baseline, context, daily, interaction, network, revisions, spatial, trend, validation
+from tremora.operators.lineage import cut
 from tremora.plans import dashboard, report
-from tremora.plans.adapters import catalog, faults, observed, steps, strong
+from tremora.plans.adapters import STUDY_MAGNITUDE, catalog, faults, located, observed, steps
 from tremora.plans.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 PROFILE = (datetime(2024, 1, 1), datetime(2024, 1, 31))
 CURRENT = (datetime(2001, 6, 1), datetime(2001, 7, 1))
-EPS_KM, MIN_SAMPLES = 11.5, 4
-STUDY = {"minimum_magnitude": 6.0, "max_lag_days": 5.0, "max_distance_km": 60.0}
+EPS_KM, MIN_SAMPLES, NEAR_KM = 10.8, 24, 12.0
+STUDY = {"minimum_magnitude": STUDY_MAGNITUDE, "max_lag_days": 5.0, "max_distance_km": 60.0}
 WINDOWS = {"days": (1.0, 2.0, 5.0), "kilometres": (20.0, 60.0)}
 LIMITS = (6.5, 7.0)
 
@@ -46,30 +47,36 @@ def _positions(df: DataFrame) -> DataFrame:
 
 
 def _clustered(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.dbscan(_positions(strong(spark, d)), "position", EPS_KM, MIN_SAMPLES)
+    return spatial.dbscan(_positions(located(spark, d)), "position", EPS_KM, MIN_SAMPLES)
 
 
 def _associations(spark: SparkSession, d: str) -> DataFrame:
-    return context.nearest_boundary(strong(spark, d), steps(spark, d), 25.0)
+    """Read several times by every study, so it is computed once."""
+    return cut(context.nearest_boundary(located(spark, d), steps(spark, d), 25.0))
 
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
-    return interaction.windows(strong(spark, d), _associations(spark, d), *PROFILE, 6.0, **WINDOWS)
+    return interaction.windows(located(spark, d), _associations(spark, d), *PROFILE, STUDY_MAGNITUDE, **WINDOWS)
+
+
+def _along(spark: SparkSession, d: str, associations: DataFrame) -> DataFrame:
+    return interaction.along_pairs(located(spark, d), associations, steps(spark, d), STUDY_MAGNITUDE, 5.0, 60.0, 10.0)
 
 
 def _along_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return interaction.along_pairs(strong(spark, d), _associations(spark, d), steps(spark, d), 6.0, 5.0, 60.0, 10.0)
+    return _along(spark, d, _associations(spark, d))
 
 
 def _along_windows(spark: SparkSession, d: str) -> DataFrame:
+    near = _associations(spark, d)
     return interaction.along_windows(
-        strong(spark, d), _associations(spark, d), steps(spark, d), _along_pairs(spark, d), *PROFILE, 6.0, **WINDOWS
+        located(spark, d), near, steps(spark, d), cut(_along(spark, d, near)), *PROFILE, STUDY_MAGNITUDE, **WINDOWS
     )
 
 
 def _revised(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A stored catalog, and later revisions of every third event with some new ones."""
-    base = strong(spark, d).select("event_id", F.lit("us").alias("source"), "time", "magnitude", F.col("time").alias("updated_at"))
+    base = located(spark, d).select("event_id", F.lit("us").alias("source"), "time", "magnitude", F.col("time").alias("updated_at"))
     key = F.col("event_id").cast("long")
     old = base.where(key % 5 != 0)
     new = base.where((key % 3 == 0) | (key % 5 == 0)).withColumns(
@@ -189,30 +196,30 @@ QUERIES: dict[str, Query] = {
     ),
     "intelligence_index": lambda s, d: trend.intelligence(_series(s, d)),
     "haversine_pairs": lambda s, d: rounded(
-        spatial.near_pairs(strong(s, d), strong(s, d), 30.0, F.col("l.event_id") < F.col("r.event_id")).select(
+        spatial.near_pairs(located(s, d), located(s, d), NEAR_KM, F.col("l.event_id") < F.col("r.event_id")).select(
             F.col("l.event_id").alias("a"), F.col("r.event_id").alias("b"), "distance_km"
         )
     ),
     "geographic_centroid": lambda s, d: rounded(spatial.centroid(catalog(s, d), "magnitude_type"), 6),
     "dbscan_labels": _clustered,
     "dbscan_clusters": lambda s, d: rounded(
-        spatial.cluster_statistics(_positions(strong(s, d)).join(_clustered(s, d), "position")).withColumn(
+        spatial.cluster_statistics(_positions(located(s, d)).join(_clustered(s, d), "position")).withColumn(
             "member_indices", F.size("member_indices")
         )
     ),
     "swarm_summary": lambda s, d: rounded(
-        spatial.swarms(_positions(strong(s, d)), spatial.SwarmConfig(EPS_KM, MIN_SAMPLES)).drop("member_indices")
+        spatial.swarms(_positions(located(s, d)), spatial.SwarmConfig(EPS_KM, MIN_SAMPLES)).drop("member_indices")
     ),
-    "nearest_fault": lambda s, d: rounded(context.nearest(strong(s, d), context.segments(faults(s, d)), "fault_id", 40.0)),
+    "nearest_fault": lambda s, d: rounded(context.nearest(located(s, d), context.segments(faults(s, d)), "fault_id", 40.0)),
     "nearest_boundary": lambda s, d: rounded(_associations(s, d)),
-    "boundary_projection": lambda s, d: rounded(network.project(strong(s, d), _associations(s, d), steps(s, d)), 5),
-    "seismic_moment": lambda s, d: strong(s, d).select(
+    "boundary_projection": lambda s, d: rounded(network.project(located(s, d), _associations(s, d), steps(s, d)), 5),
+    "seismic_moment": lambda s, d: located(s, d).select(
         "event_id", F.round(seismic.seismic_moment(F.col("magnitude"), F.col("magnitude_type")) / 1e18, 4).alias("moment_1e18")
     ),
     "network_summary": lambda s, d: network.network_summary(steps(s, d)),
     "network_distance": lambda s, d: network.shortest_paths(steps(s, d)),
     "interaction_pairs": lambda s, d: rounded(
-        interaction.pairs(strong(s, d), _associations(s, d), **STUDY).drop("source_moment_nm", "target_moment_nm")
+        interaction.pairs(located(s, d), _associations(s, d), **STUDY).drop("source_moment_nm", "target_moment_nm")
     ),
     "interaction_windows": lambda s, d: rounded(_windows(s, d).drop("source_moment_nm")),
     "interaction_cumulative": lambda s, d: rounded(interaction.stratified(_windows(s, d), LIMITS)),
@@ -227,20 +234,20 @@ QUERIES: dict[str, Query] = {
     "latest_status": _report_status,
     "dashboard_events": lambda s, d: rounded(
         dashboard.denormalised(
-            strong(s, d), _associations(s, d), context.nearest(strong(s, d), context.segments(faults(s, d)), "fault_id", 40.0)
+            located(s, d), _associations(s, d), context.nearest(located(s, d), context.segments(faults(s, d)), "fault_id", 40.0)
         )
     ),
     "major_pairs": lambda s, d: rounded(
-        dashboard.incident_pairs(interaction.pairs(strong(s, d), _associations(s, d), **STUDY), dashboard.major_ids(strong(s, d), 8.0))
+        dashboard.incident_pairs(interaction.pairs(located(s, d), _associations(s, d), **STUDY), dashboard.major_ids(located(s, d), 8.0))
         .select("source_event_id", "target_event_id", "lag_days", "distance_km")
     ),
     "year_histogram": lambda s, d: dashboard.by_year(observed(s, d)),
-    "magnitude_histogram": lambda s, d: dashboard.by_magnitude(strong(s, d)),
+    "magnitude_histogram": lambda s, d: dashboard.by_magnitude(located(s, d)),
     "ratio_correlation": lambda s, d: rounded(dashboard.ratio_correlation(interaction.along_statistics(_along_windows(s, d), LIMITS))),
-    "topk_recent": lambda s, d: rounded(dashboard.most_recent(strong(s, d), 10).select("event_id", "time", "magnitude")),
+    "topk_recent": lambda s, d: rounded(dashboard.most_recent(located(s, d), 10).select("event_id", "time", "magnitude")),
     "largest_event": lambda s, d: rounded(dashboard.largest(catalog(s, d)).select("event_id", "magnitude")),
     "event_search": lambda s, d: rounded(
-        dashboard.search(strong(s, d), text="PLACE 7", minimum_magnitude=6.5, columns=("event_id", "magnitude_type"), extra="place ")
+        dashboard.search(located(s, d), text="PLACE 7", minimum_magnitude=6.5, columns=("event_id", "magnitude_type"), extra="place ")
     ),
 }
 
