@@ -16,6 +16,20 @@ def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "rolling_activity" in entry.queries()
 
 
+def test_core_queries_without_a_package_of_llm(monkeypatch):
+    real = entry.importlib.import_module
+
+    def broken(name, *args):
+        if name == entry.LLM:
+            raise ModuleNotFoundError("No module named 'xxhash'", name="xxhash")
+        return real(name, *args)
+
+    monkeypatch.setattr(entry.importlib, "import_module", broken)
+    with pytest.warns(UserWarning, match="xxhash"):
+        found = entry.queries()
+    assert "rolling_activity" in found and not any(n.startswith("op1_") for n in found)
+
+
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).count() == 30
