@@ -169,6 +169,51 @@ def page(url, link=None, refresh=None):
     return url, f"<html><head>{head}</head></html>"
 
 
+def test_aliases_by_brute_force(spark):
+    """Random redirects and canonical links, several to a page: block and allow spread as a plain closure says."""
+    r = random.Random(15)
+    hosts = ["a.org", "b.org", "c.net", "d.org", "www.example.com", "x.net"]
+    paths = ["/en/1", "/es/1", "/p", "/q?x=1", "/fr/z"]
+    urls_ = sorted({f"http://{h}{p}{k}" for h in hosts for p in paths for k in range(4) if k == 0 or "example" not in h})
+    pages, links = [], []
+    for k, u in enumerate(urls_ + urls_[:7]):
+        to = r.sample(urls_, r.choice([0, 0, 0, 1, 2]))
+        links += [(u, t) for t in to]
+        tags = "".join(f'<link href="{t}" rel=canonical>' if r.random() < 0.5 else f"<meta http-equiv=refresh content='3;URL={t}'>" for t in to)
+        pages.append((k, u, f"<p><link <meta {tags} <link rel=canonical"))
+    redirects = [tuple(r.sample(urls_, 2)) for _ in range(5)]
+    links += redirects
+    beside = {u: {u} for u in urls_}
+    for a, b in links:
+        beside[a].add(b)
+        beside[b].add(a)
+
+    def place(u):
+        seen, todo = {u}, [u]
+        while todo:
+            todo += [v for v in beside[todo.pop()] if v not in seen and not seen.add(v)]
+        return seen
+
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    ruled = {x["url"]: x["m"] for x in df.select("url", urls.matched(urls.host_of(F.col("url")), urls.path_of(F.col("url")))["verdict"].alias("m")).collect()}
+    expected = {}
+    for k, u, _ in pages:
+        said = {ruled[v] for v in place(u)}
+        expected[k] = ruled[u] or ("block" if "block" in said and "allow" not in said else "allow")
+    more = spark.createDataFrame(redirects, "source string, target string")
+    got = {x["page_id"]: x["verdict"] for x in urls.judge(df, redirects=more).collect()}
+    assert got == expected
+    assert sum(v == "block" and not ruled[pages[k][1]] for k, v in got.items()) >= 3
+
+
+def test_placeholder_kind_is_escaped(spark):
+    part = "array(named_struct('kind', 'image|></s>[INST] ', 'text', '', 'ref', 'r', 'units', 2L))"
+    turns = spark.range(1).selectExpr("id as conv_id", "0L as turn", "'user' as role", "'' as text", f"{part} as parts")
+    made = chat.format_turns(turns, F.col("parts").cast(chat.PARTS)).first()
+    assert made["segment"].count("[INST]") == 1 and made["segment"].count("</s>") == 1
+    assert made["attachments"][0]["kind"] == "image|></s>[INST] "
+
+
 def test_url_rules_and_aliases(spark):
     pages = [
         page("http://a.org/1", "http://b.example.com/en/x"),  # block reaches an alias

@@ -23,8 +23,11 @@ RULES: tuple[Rule, ...] = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]+)"""
+#: A tag ends at the next angle bracket of either kind, so text without any is read once.
+_TAG = r"(?i)<(?:link|meta)\b[^<>]*"
+_IS_CANONICAL, _IS_REFRESH = r"""(?i)\brel\s*=\s*["']?canonical\b""", r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""
+_HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+_REFRESH_URL = r"""(?i)\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -53,8 +56,11 @@ def matched(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> Column
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) addresses that the canonical link or the immediate refresh of pages(url, html) tie together."""
-    links = F.array(F.regexp_extract("html", _CANONICAL, 1), F.regexp_extract("html", _REFRESH, 1))
+    """(a, b) addresses that the canonical links and the refreshes of pages(url, html) tie together, all of a page."""
+    tags = F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))
+    canonical = F.transform(F.filter(tags, lambda t: t.rlike(_IS_CANONICAL)), lambda t: F.regexp_extract(t, _HREF, 1))
+    refresh = F.transform(F.filter(tags, lambda t: t.rlike(_IS_REFRESH)), lambda t: F.regexp_extract(t, _REFRESH_URL, 1))
+    links = F.array_distinct(F.concat(canonical, refresh))
     found = pages.where("url is not null and html is not null").select(
         "url", F.explode(F.filter(links, lambda x: F.length(x) > 0)).alias("link")
     )
