@@ -25,8 +25,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded(df: DataFrame, rows: int = 200_000, mb: int = 64) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows and about so many MB; else Spark joins by a shuffle."""
+def fits(df: DataFrame, rows: int = 200_000, mb: int = 64) -> bool:
+    """Whether df has at most so many rows and about so many MB."""
     size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
     n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), size).first()
-    return F.broadcast(df) if n <= rows and (held or 0) <= mb << 20 else df
+    return n <= rows and (held or 0) <= mb << 20
+
+
+def bounded(df: DataFrame, rows: int = 200_000, mb: int = 64) -> DataFrame:
+    """df with a broadcast hint if it fits; else Spark joins by a shuffle."""
+    return F.broadcast(df) if fits(df, rows, mb) else df
