@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from .conftest import prose
+from .conftest import prose, texts
 from tremora.llm import decontaminate, licenses, quality, secrets, sharding
 
 WHITE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -317,3 +317,39 @@ def test_proximity(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
     _, hits, _ = decontaminate.find(docs, bench, slack=5)
     assert {(r["id"], r["kind"]) for r in hits.collect()} == {(1, "proximity"), (2, "phrase")}
+
+
+def test_proximity_by_brute_force(spark):
+    r = random.Random(6)
+    letters = "abcdefghijklmnop"
+    windows = [r.sample(letters, 10) for _ in range(6)]
+    docs = []
+    for k in range(120):
+        body = list(r.choice(windows))
+        for _ in range(r.randrange(3)):
+            body.insert(r.randrange(len(body)), r.choice(["q", "r", "s"]))
+        if k % 3:
+            r.shuffle(body)
+        docs.append((k, " ".join([r.choice("qrs") for _ in range(r.randrange(9))] + body + [r.choice("qrs") for _ in range(4)])))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(windows)], "item_id long, text string")
+    _, hits, found = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), bench, slack=2)
+    item = {x["window"]: x["item"] for x in found.collect()}
+    got = {(x["id"], item[x["window"]], x["kind"]) for x in hits.collect()}
+    expected = set()
+    for i, t in docs:
+        w = t.split()
+        for k, window in enumerate(windows):
+            phrase = any(w[a : a + 10] == window for a in range(len(w)))
+            close = any(set(window) <= set(w[a : a + 12]) for a in range(len(w)))
+            if phrase or close:
+                expected.add((i, k, "phrase" if phrase else "proximity"))
+    # A text that holds a phrase may show it by proximity from another place of the rarest term, too.
+    assert {x for x in got if x[2] == "phrase" or (*x[:2], "phrase") not in got} == expected
+    assert len({x[2] for x in expected}) == 2
+
+
+def test_long_lists_of_terms_are_shuffled(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(1, texts()[8]), (2, "One two")], "item_id long, text string")
+    usual = rows_by(decontaminate.mark(docs, items), "doc_id", "n_hit")
+    monkeypatch.setattr(decontaminate, "fits", lambda df: False)
+    assert rows_by(decontaminate.mark(docs, items), "doc_id", "n_hit") == usual

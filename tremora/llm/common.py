@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremora.operators.lineage import bounded, cut, ensure_checkpoint_dir
+from tremora.operators.lineage import bounded, cut, ensure_checkpoint_dir, fits
 
 __all__ = [
-    "bounded", "cut", "ensure_checkpoint_dir", "lower_ascii", "plain_words", "read_table", "small_batches", "text_of", "white_words",
+    "bounded", "cut", "ensure_checkpoint_dir", "fits", "lower_ascii", "plain_words", "read_table", "small_batches", "text_of", "white_words",
 ]
 
 #: The ASCII white space of the word rule, and the separators of the letter-and-digit word rule.

@@ -3,7 +3,8 @@
 Every benchmark window is looked up from its rarest term on: the corpus counts of all benchmark terms tell which one
 that is. Only postings of those rarest terms are stored, each with the tokens around its position, so that the lists
 of the other terms, adjusted by their offset in the window, are intersected next to the posting: first the second
-rarest, then the whole phrase or its proximity. Frequent terms are never looked up, unless a window has nothing else.
+rarest, then the whole phrase or, where slack is asked for, its proximity. Frequent terms are never looked up, unless a
+window has nothing else.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremora.llm.common import bounded, cut, lower_ascii, plain_words, text_of
+from tremora.llm.common import bounded, cut, fits, lower_ascii, plain_words, text_of
 
 WINDOW = 10
 #: A proximity match holds all distinct terms of a window within this many tokens more than the window has.
@@ -47,7 +48,7 @@ def anchored(found: DataFrame, counts: DataFrame) -> DataFrame:
     Windows with a term that the corpus lacks can't occur and are left out; ties go to the first place.
     """
     distinct = found.select("window", "terms").distinct()
-    placed = distinct.select("window", F.posexplode("terms").alias("at", "term")).join(counts, "term", "left")
+    placed = distinct.select("window", F.posexplode("terms").alias("at", "term")).join(bounded(counts), "term", "left")
     ranked = placed.groupBy("window").agg(
         F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("ranked"),
         F.count_if(F.col("n").isNull()).alias("missing"),
@@ -72,24 +73,22 @@ def postings(docs: DataFrame, terms: DataFrame, reach: int, text_col: str = "tex
     places = docs.select("id", "text_key", plain_words(text_of(text_col)).alias("words")).select(
         "id", "text_key", "words", F.posexplode("words").alias("position", "word")
     )
-    hits = places.withColumn("term", lower_ascii(F.col("word"))).join(bounded(terms), "term", "left_semi")
     first = F.greatest(F.col("position") - reach, F.lit(0))
-    near = hits.select(
-        "id",
-        "text_key",
-        "term",
-        "position",
-        first.alias("first"),
-        F.slice("words", first + 1, F.col("position") - first + 1 + reach).alias("near"),
-    )
+    around = F.slice("words", first + 1, F.col("position") - first + 1 + reach)
+    named = places.withColumn("term", lower_ascii(F.col("word")))
+    kept = ["id", "text_key", "term", "position", first.alias("first"), around.alias("near")]
+    if fits(terms):
+        near = named.join(F.broadcast(terms), "term", "left_semi").select(*kept)
+    else:  # what is shuffled is the tokens around a place, not the text for every one of its tokens
+        near = named.select(*kept).join(terms, "term", "left_semi")
     return near.withColumn("around", _lowered(F.col("near"))).drop("near")
 
 
 def matches(index: DataFrame, targets: DataFrame, slack: int | None = None) -> DataFrame:
     """(id, text_key, window, start, n, kind) of the windows that occur; kind is phrase or, with slack, proximity.
 
-    A phrase match starts at start and has n tokens. A proximity match gives the stretch around the rarest term that
-    holds every distinct term of the window in any order, up to slack tokens longer than the window on either side.
+    A phrase match starts at start and has n tokens. A proximity match is the first stretch of slack tokens more than
+    the window that has the rarest term and every other distinct term of the window, in any order.
     """
     pairs = index.join(bounded(targets), F.col("term") == F.col("anchor"))
     start = F.col("position") - F.col("anchor_at")
@@ -102,12 +101,18 @@ def matches(index: DataFrame, targets: DataFrame, slack: int | None = None) -> D
     )
     if slack is None:
         return phrase
-    low = F.greatest(start - slack, F.col("first"))
-    stretch = F.slice("around", low - F.col("first") + 1, F.size("terms") + 2 * slack)
-    close = (
-        pairs.where(F.size(F.array_except("terms", stretch)) == 0)
-        .where(~F.coalesce(inside & whole, F.lit(False)))
-        .select("id", "text_key", "window", low.alias("start"), F.size(stretch).alias("n"), F.lit("proximity").alias("kind"))
+    n, here = F.size("terms") + slack, F.col("position") - F.col("first")
+
+    def holds(before: Column) -> Column:
+        stretch = F.slice("around", F.greatest(here - before, F.lit(0)) + 1, n + F.least(here - before, F.lit(0)))
+        return F.size(F.array_except("terms", stretch)) == 0
+
+    # The stretch may begin up to n - 1 tokens before the rarest term.
+    near = pairs.where(~F.coalesce(inside & whole, F.lit(False)) & (F.size(F.array_except("terms", "around")) == 0))
+    found = near.withColumn("begin", F.get(F.filter(F.reverse(F.sequence(F.lit(0), n - 1)), holds), F.lit(0)))
+    low = F.greatest(F.col("position") - F.col("begin"), F.lit(0))
+    close = found.where("begin is not null").select(
+        "id", "text_key", "window", low.alias("start"), n.alias("n"), F.lit("proximity").alias("kind")
     )
     return phrase.unionByName(close)
 
@@ -131,7 +136,7 @@ def find(
     )
     found = cut(windows(benchmark, item_col, item_text_col))
     terms = found.select(F.explode("terms").alias("term")).distinct()
-    targets = cut(anchored(found, term_counts(keyed, terms)))
+    targets = cut(anchored(found, cut(term_counts(keyed, terms))))
     index = postings(keyed, targets.select(F.col("anchor").alias("term")).distinct(), WINDOW + (slack or 0))
     return keyed, cut(matches(index, targets, slack)), found
 
