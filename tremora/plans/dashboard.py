@@ -106,3 +106,23 @@ def manifest(**tables: DataFrame) -> dict[str, int]:
     return {name: df.count() for name, df in tables.items()}
 
 
+RATIOS = ("post_pre_along_boundary_ratio", "post_pre_routed_radial_ratio")
+
+
+def annular_series(rings: DataFrame, magnitude: float, days: float) -> DataFrame:
+    """Ratios of the rings of one stratum and time window, by distance."""
+    chosen = rings.where((F.col("source_minimum_magnitude") == magnitude) & (F.col("time_window_days") == days))
+    return chosen.select("lower_distance_km", "upper_distance_km", *RATIOS).orderBy("lower_distance_km")
+
+
+def decay_series(strata: DataFrame, magnitude: float, kilometres: float) -> DataFrame:
+    """Ratios of one stratum and distance window, by time window."""
+    chosen = strata.where((F.col("source_minimum_magnitude") == magnitude) & (F.col("distance_window_km") == kilometres))
+    return chosen.select("time_window_days", *RATIOS).orderBy("time_window_days")
+
+
+def study_cells(strata: DataFrame) -> DataFrame:
+    """Both ratios of every cell that has both."""
+    return strata.where(F.col(RATIOS[0]).isNotNull() & F.col(RATIOS[1]).isNotNull()).select(
+        "source_minimum_magnitude", "time_window_days", "distance_window_km", *RATIOS
+    )

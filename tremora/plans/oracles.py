@@ -707,3 +707,24 @@ ORACLES["swarm_summary"] = duck(
 from sw join cs using (cluster_id) join mv using (cluster_id)""",
     "located", **_HALVES,
 )
+
+_RATIOS = ", ".join(f"round(post_{k}_count / nullif(pre_{k}_count, 0)::double, 4) as post_pre_{k}_ratio" for k in ("along_boundary", "routed_radial"))
+ORACLES |= {
+    "nearest_fault_scan": ORACLES["nearest_fault"],
+    "checked_projections": ORACLES["boundary_projection"],
+    "distance_matrix": duck(
+        f"select l.step_id as i, r.step_id as j, case when l.step_id = r.step_id then 0 else round({KM.format(a='l', b='r')}, 4) end as distance_km from p l, p r",
+        "steps",
+        p="select step_id, start_latitude as latitude, start_longitude as longitude from steps",
+    ),
+    "decay_series": _study(
+        f"select time_window_days, {_RATIOS} from cum where source_minimum_magnitude = 6.5 and distance_window_km = 60", _ALONG_WINDOWS
+    ),
+    "study_cells": _study(
+        f"""select * from (select source_minimum_magnitude, time_window_days, distance_window_km, {_RATIOS} from cum)
+where post_pre_along_boundary_ratio is not null and post_pre_routed_radial_ratio is not null""",
+        _ALONG_WINDOWS,
+    ),
+    "annular_series": f"""select lower_distance_km, upper_distance_km, post_pre_along_boundary_ratio, post_pre_routed_radial_ratio
+from ({ORACLES['along_annular']}) a where source_minimum_magnitude = 6.5 and time_window_days = 2""",
+}

@@ -211,6 +211,12 @@ QUERIES: dict[str, Query] = {
         spatial.swarms(_positions(located(s, d)), spatial.SwarmConfig(EPS_KM, MIN_SAMPLES)).drop("member_indices")
     ),
     "nearest_fault": lambda s, d: rounded(context.nearest(located(s, d), context.segments(faults(s, d)), "fault_id", 40.0)),
+    "nearest_fault_scan": lambda s, d: rounded(
+        context.nearest(located(s, d), context.segments(faults(s, d)), "fault_id", 40.0, indexed=False)
+    ),
+    "distance_matrix": lambda s, d: rounded(
+        spatial.pairwise(steps(s, d).select("step_id", F.col("start_latitude").alias("latitude"), F.col("start_longitude").alias("longitude")), "step_id")
+    ),
     "nearest_boundary": lambda s, d: rounded(_associations(s, d)),
     "boundary_projection": lambda s, d: rounded(network.project(located(s, d), _associations(s, d), steps(s, d)), 5),
     "seismic_moment": lambda s, d: located(s, d).select(
@@ -230,6 +236,16 @@ QUERIES: dict[str, Query] = {
     "along_annular": lambda s, d: rounded(
         interaction.annular(interaction.along_statistics(_along_windows(s, d), LIMITS), interaction.ALONG)
     ),
+    "annular_series": lambda s, d: rounded(
+        dashboard.annular_series(
+            interaction.annular(interaction.along_statistics(_along_windows(s, d), LIMITS), interaction.ALONG), 6.5, 2.0
+        )
+    ),
+    "decay_series": lambda s, d: rounded(dashboard.decay_series(interaction.along_statistics(_along_windows(s, d), LIMITS), 6.5, 60.0)),
+    "study_cells": lambda s, d: rounded(dashboard.study_cells(interaction.along_statistics(_along_windows(s, d), LIMITS))),
+    "checked_projections": lambda s, d: rounded(
+        network.checked_projections(network.project(located(s, d), _associations(s, d), steps(s, d)), steps(s, d)), 5
+    ),
     "route_coverage": lambda s, d: rounded(interaction.along_coverage(_along_pairs(s, d))),
     "latest_status": _report_status,
     "dashboard_events": lambda s, d: rounded(

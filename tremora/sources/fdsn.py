@@ -50,6 +50,7 @@ class EventQuery(InputPartition):
             "minlongitude": str(self.west),
             "maxlongitude": str(self.east),
             "minmagnitude": str(self.minimum_magnitude),
+            "eventtype": "earthquake",
             "orderby": "time-asc",
         }
 
