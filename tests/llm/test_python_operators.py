@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -92,7 +93,7 @@ def test_simhash_documents(docs, no_docs):
     assert kept.columns == docs.columns and simhash.digest(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("shard_size", [40, 100_000])
+@pytest.mark.parametrize("shard_size", [1, 40, 100_000])
 def test_vantage_trees_find_all_links(spark, shard_size):
     r = random.Random(7)
     prints = [r.getrandbits(64) for _ in range(300)]

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tremora.llm import shingles, simhash
+from tremora.llm import shingles
 
 
 def words_of(seed, n):

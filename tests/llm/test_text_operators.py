@@ -108,6 +108,18 @@ def test_sharding_opens_prefixes(spark):
     assert best == greedy_best(sizes, 7)
 
 
+def test_even_cuts():
+    r = random.Random(3)
+    for _ in range(300):
+        shards = r.randrange(1, 12)
+        sizes = [r.choice([16, 20, 500, 9000]) + r.randrange(50) for _ in range(r.randrange(1, 80))]
+        capacity = sharding.smallest_capacity(sizes, shards)
+        assert capacity == greedy_best(sizes, shards)
+        cuts = [0, *sharding.even_cuts(sizes, capacity, shards), len(sizes)]
+        totals = [sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:])]
+        assert len(totals) == min(shards, len(sizes)) and 0 < min(totals) and max(totals) <= capacity
+
+
 def test_sharding_of_nothing(no_docs):
     assert sharding.digest(no_docs).count() == 0
 

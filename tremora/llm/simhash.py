@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
@@ -34,6 +34,7 @@ SHARD = 20_000
 SAMPLE, MOST_SHARDS = 131_072, 4096
 #: Pairs compared at once.
 AREA = 1 << 20
+MEETINGS = "array<struct<home_part:int,query_part:int,home:boolean>>"
 
 
 def shingle_hashes(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -247,16 +248,23 @@ def link_classes(classes: DataFrame, shard_size: int = SHARD) -> DataFrame:
     shards = min(MOST_SHARDS, -(-n // shard_size))
     tops = [build_top(sample, mask, DISTANCE // BLOCKS, shards) for mask in _block_masks()]
     routed = cut(_routed(classes, tops))
-    # A shard too large for one task: its own fingerprints are dealt out, and its whole query set goes to each part.
+    # A shard too large for one task is dealt out twice, its own fingerprints and its queries, and every two parts meet.
     sizes = routed.groupBy("tree", "shard").agg(F.count(F.lit(1)).alias("n"))
     parts = sizes.select("tree", "shard", F.greatest(F.lit(1), F.ceil(F.col("n") / (16 * shard_size))).cast("int").alias("parts"))
-    dealt = (
-        routed.join(F.broadcast(parts), ["tree", "shard"])
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn("home", F.col("home") & (F.pmod(F.xxhash64("rep"), F.col("parts")) == F.col("part")))
-        .select("tree", "shard", "part", "rep", "fp", "home")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+
+    def meeting(home_part: Column, query_part: Column, home: Column) -> Column:
+        return F.struct(home_part.alias("home_part"), query_part.alias("query_part"), home.alias("home"))
+
+    as_home = F.when(F.col("home"), F.transform(every, lambda j: meeting(own, j, F.lit(True)))).otherwise(F.array().cast(MEETINGS))
+    as_query = F.transform(every, lambda i: meeting(i, own, F.lit(False)))
+    alone = F.array(meeting(F.lit(0), F.lit(0), F.col("home")))
+    dealt = routed.join(F.broadcast(parts), ["tree", "shard"]).select(
+        "tree", "shard", "rep", "fp", F.explode(F.when(F.col("parts") == 1, alone).otherwise(F.concat(as_home, as_query))).alias("m")
     )
-    return dealt.groupBy("tree", "shard", "part").applyInPandas(shard_links, "a long, b long")
+    dealt = dealt.select("tree", "shard", "m.home_part", "m.query_part", "rep", "fp", "m.home")
+    return dealt.groupBy("tree", "shard", "home_part", "query_part").applyInPandas(shard_links, "a long, b long")
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
