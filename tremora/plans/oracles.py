@@ -281,10 +281,11 @@ from l group by 1""",
         "observed", **_period_parts("weekly"), l=_LONG,
     ),
     "current_comparison": duck(
-        """select metric, round(x, 6) as current_value, round(mean, 6) as mean, round(rank, 6) as percentile_rank,
+        """select metric, round(case when metric = 'total_energy_joules' then x / 1e6 else x end, 6) as current_value,
+  round(case when metric = 'total_energy_joules' then mean / 1e6 else mean end, 6) as mean, round(rank, 6) as percentile_rank,
   round(case when mean <> 0 then x / mean when x = 0 then 1.0::double end, 6) as ratio,
   case when x is null then 'unavailable' when x < low then 'below_historical_range' when x > high then 'above_historical_range' else 'within_historical_range' end as classification
-from k where metric <> 'total_energy_joules'""",
+from k""",
         "observed", **_COMPARED,
     ),
     "anomaly_scores": duck(

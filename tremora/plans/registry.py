@@ -179,7 +179,7 @@ QUERIES: dict[str, Query] = {
         in_gigajoules(baseline.period_summaries(observed(s, d), _config("weekly"))), _config("weekly")
     ).transform(rounded, 4),
     "current_comparison": lambda s, d: _compared(s, d)
-    .where("metric != 'total_energy_joules'")
+    .withColumns({c: F.when(F.col("metric") == "total_energy_joules", F.col(c) / 1e15).otherwise(F.col(c)) for c in ("current_value", "mean")})
     .select("metric", "current_value", "mean", "percentile_rank", "ratio", "classification")
     .transform(rounded, 6),
     "anomaly_scores": lambda s, d: rounded(
