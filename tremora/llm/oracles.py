@@ -77,9 +77,52 @@ select page_id, host, path, case {rules} end as rule, case {verdicts} else 'allo
 """
 
 
+LEXICAL = rf"""
+with d as (select doc_id, {_PLAIN} as w from documents), held as (select * from d where len(w) > 0),
+total as (select count(*) as docs, cast(sum(len(w)) as bigint) as tokens from held),
+tf as (select doc_id, len, term, count(*) as tf from (select doc_id, len(w) as len, unnest(w) as term from held) group by all),
+df as (select term, count(*) as df from tf group by term),
+q as (select item_id, term, count(*) as times from (select item_id, unnest({_PLAIN}) as term from benchmark) group by all),
+w as (select item_id, term, times * cast(floor(1000 * ln(cast(2 * docs + 2 as double) / (2 * df + 1))) as bigint) as weight
+  from q join df using (term), total),
+s as (select item_id, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len * docs) // tokens)))) as bigint) as score
+  from w join tf using (term), total group by item_id, doc_id)
+select item_id, cast(rank as integer) as rank, doc_id, score from
+  (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0) where rank <= 10
+"""
+
+NEGATIVES = r"""
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+  list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, cast(list_dot_product(a.v, r.v) as bigint) as score
+  from e a join e r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id),
+p as (select * from (select anchor_id, vec_id as positive_id, score as positive_score,
+  row_number() over (partition by anchor_id order by score desc, vec_id) as k from s where same) where k <= 5),
+n as (select anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+  row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank
+  from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+MINHASH = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, case when len(w) >= 4 then list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end as g from d),
+s as (select doc_id, unnest(g) as shingle from g), n as (select doc_id, len(g) as n from g),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+links as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+reach as (select doc_id as a, doc_id as b from n union select r.a, l.b from reach r join links l on l.a = r.b)
+select doc_id, n as n_shingles, least as component_id, doc_id = least as kept
+  from n join (select a, min(b) as least from reach group by a) on a = doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_chat_format": CHAT,
     "op5_quality_rules": QUALITY,
     "op7_decontamination": DECONTAMINATION,
     "op9_url_filter": _url_sql(),
+    "op11_lexical_search": LEXICAL,
+    "op12_hard_negatives": NEGATIVES,
+    "op13_minhash": MINHASH,
 }

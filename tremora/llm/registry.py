@@ -8,7 +8,9 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tremora.llm import chat, decontaminate, licenses, pieces, quality, secrets, sharding, simhash, toxicity, urls
+from tremora.llm import (
+    chat, decontaminate, hard_negatives, lexical, licenses, minhash, pieces, quality, secrets, sharding, simhash, toxicity, urls,
+)
 from tremora.llm.common import read_table
 from tremora.llm.oracles import ORACLES
 
@@ -58,6 +60,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.digest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digest(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -70,6 +84,9 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_url_filter": op9_url_filter,
         "op10_license_scan": op10_license_scan,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_minhash": op13_minhash,
         "pipeline": corpus_pipeline.run,
     }
 

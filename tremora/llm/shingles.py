@@ -58,7 +58,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def _sets(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
+def text_sets(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
     """(rep, found) for the texts whose hash is wanted(rep): the shingle set as bytes."""
 
     @pandas_udf("binary")
@@ -158,7 +158,7 @@ def groups(
     first = shared.where(F.col("rep") != F.col("a")).where(_close("n", "m", least)).select("a", F.col("rep").alias("b"))
     proposed = cut(first.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = proposed.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(shared.select("rep")).distinct()
-    sets = cut(_sets(docs, text_col, wanted, words))
+    sets = cut(text_sets(docs, text_col, wanted, words))
     links = cut(_checked(proposed, sets, least))
     joined = connected_components(links)
     placed = shared.select("bucket", "rep", "n").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
