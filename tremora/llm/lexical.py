@@ -181,6 +181,12 @@ class Postings:
             self._open[k] = docs, impact(tf, self._m[docs])
         return self._open[k]
 
+    def next(self, k: int, to: int) -> int:
+        """The next document from `to` on that block k may hold: the real one if the block is open already."""
+        if self.firsts[k] >= to:
+            return self.firsts[k]
+        return int(self._open[k][0][np.searchsorted(self._open[k][0], to)]) if k in self._open else to
+
     @property
     def opened(self) -> int:
         return len(self._open)
@@ -235,7 +241,7 @@ def _move(pointers: list[list], to: int) -> list[list]:
             x[1] = bisect_left(lasts, to, x[1])
             if x[1] == len(lasts):
                 continue
-            x[0] = max(to, x[2].firsts[x[1]])
+            x[0] = x[2].next(x[1], to)
         left.append(x)
     return left
 
