@@ -27,7 +27,11 @@ def docs(spark):
     rows = [(k, t, "en", f"src{k % 3}", len(t or "")) for k, t in enumerate(texts())]
     rows += [rows[5], (None, texts()[8], "en", "src0", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    clash = {c: df["doc_id"] * 0 for c in ("id", "text_key", "words", "row", "n_words", "term", "shard", "score", "fp")}
+    names = (
+        "id text_key words row n_words term shard score fp __id __key __spans __hash __text_hash stays marks last "
+        "marked_id Marked_Key judged_id judged_hash text_hash component query rep bucket n"
+    )
+    clash = {c: df["doc_id"] * 0 for c in names.split()}
     return df.withColumns(clash)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tremora.operators.lineage import bounded, cut, ensure_checkpoint_dir, fits
 
 __all__ = [
-    "bounded", "cut", "ensure_checkpoint_dir", "fits", "lower_ascii", "plain_words", "read_table", "small_batches", "text_of", "white_words",
+    "bounded", "cut", "ensure_checkpoint_dir", "fits", "free_names", "lower_ascii", "plain_words", "read_table", "small_batches", "text_of", "white_words",
 ]
 
 #: The ASCII white space of the word rule, and the separators of the letter-and-digit word rule.
@@ -22,6 +22,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores behind each as it takes to be none of df's columns."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Let Spark hand Python at most so many rows at once: whole texts are long, and a batch is held several times."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

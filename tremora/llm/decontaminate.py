@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremora.llm.common import bounded, cut, fits, lower_ascii, plain_words, text_of
+from tremora.llm.common import bounded, cut, fits, free_names, lower_ascii, plain_words, text_of
 
 WINDOW = 10
 #: A proximity match holds all distinct terms of a window within this many tokens more than the window has.
@@ -187,10 +187,14 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataF
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs in which no benchmark window occurs, with the columns of docs."""
+    """The rows of docs in which no benchmark window occurs, with the columns of docs.
+
+    Rows with a null text stay. Other columns may have any names; empty tables leave docs as they are.
+    """
     _, hits, _ = find(docs, benchmark, id_col, text_col)
-    marked = hits.select(F.col("id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__key"))
+    id_, key = free_names(docs, "marked_id", "marked_key")
+    marked = hits.select(F.col("id").alias(id_), F.col("text_key").alias(key)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_of(text_col)) == F.col(key))
     return docs.join(bounded(cut(marked)), same, "left_anti")
 
 

@@ -14,7 +14,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremora.llm.common import bounded, cut, text_of
+from tremora.llm.common import bounded, cut, free_names, text_of
 
 #: The base patterns in listed order, and the least length of what each must hold.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -171,9 +171,10 @@ def _matches(docs: DataFrame, model: list[float]) -> DataFrame:
 
     gaps = F.transform(by_kind(lambda p: F.split("text", p, -1)), lambda p: F.length(p))
     found = by_kind(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0)))
-    return read.select("id", "text_key", "kind", gaps.alias("gaps"), F.posexplode(found).alias("k", "value")).select(
-        "id", "text_key", "kind", "k", F.get("gaps", F.col("k")).alias("before"), "value"
-    )
+    # One array of both: what stands beside a generator is worked out again for every row that it makes.
+    both = F.arrays_zip(gaps.alias("before"), found.alias("value"))
+    each = read.select("id", "text_key", "kind", F.posexplode(both).alias("k", "match"))
+    return each.select("id", "text_key", "kind", "k", "match.before", "match.value").where("value is not null")
 
 
 def spans(docs: DataFrame, model: list[float]) -> DataFrame:
@@ -200,9 +201,10 @@ def spans(docs: DataFrame, model: list[float]) -> DataFrame:
     )
     # A base span that reaches over the start of a model's span, or starts within it.
     base = F.col("kind") != "markov"
-    by_start = Window.partitionBy("id", "text_key").orderBy("start", F.when(base, 0).otherwise(1))
-    reach = F.max(F.when(base, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.min(F.when(base, F.col("start"))).over(by_start.rowsBetween(0, Window.unboundedFollowing))
+    one, order = Window.partitionBy("id", "text_key"), F.when(base, 0).otherwise(1)
+    running = (Window.unboundedPreceding, 0)
+    reach = F.max(F.when(base, F.col("end"))).over(one.orderBy("start", order).rowsBetween(*running))
+    following = F.min(F.when(base, F.col("start"))).over(one.orderBy(F.desc("start"), order.desc()).rowsBetween(*running))
     touched = (F.coalesce(reach, F.lit(0)) > F.col("start")) | (F.coalesce(following, F.col("end")) < F.col("end"))
     return passing.withColumn("touched", ~base & touched).where("not touched").drop("touched")
 
@@ -241,36 +243,38 @@ def redact(
 ) -> DataFrame:
     """docs with <kind> in place of every secret of the text column; spans that overlap give one mark.
 
-    Rows without secrets, and null texts, stay as they are, and so do all other columns.
+    Rows without secrets, and null texts, stay as they are, and so do all other columns, whatever their names. An empty
+    table stays empty.
     """
     found = spans(_keyed(docs, id_col, text_col), model if model is not None else default_model(docs.sparkSession))
-    marks = cut(
-        found.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")).agg(
-            F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__spans")
-        )
+    before = Window.partitionBy("id", "text_key").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    placed = found.withColumn("at", F.coalesce(F.max("end").over(before), F.lit(0)))
+    first = F.when(F.col("start") >= F.col("at"), F.struct("start", "at", "kind"))
+    id_, key, marks, last = free_names(docs, "marked_id", "marked_key", "marks", "last")
+    grouped = placed.groupBy(F.col("id").alias(id_), F.col("text_key").alias(key)).agg(
+        F.array_sort(F.collect_list(first)).alias(marks), F.max("end").alias(last)
     )
     text = F.col(text_col)
-    piece = F.aggregate(
-        "__spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(
-                F.concat(
-                    acc["out"],
-                    F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
-                    F.lit("<"),
-                    s["kind"],
-                    F.lit(">"),
-                ).alias("out"),
-                s["end"].alias("at"),
-            ),
-        ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))),
-        lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))),
-    )
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__key"))
-    joined = docs.join(bounded(marks), same, "left")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(piece)).select(*docs.columns)
+    size = F.greatest(F.lit(256), F.ceil(F.sqrt(F.length(text)))).cast("int")
+    starts = F.sequence(F.lit(0), (F.length(text) / size).cast("int"))
+    # Finding a place in a text costs the characters before it, so pieces are taken from short parts of it.
+    parts = F.transform(starts, lambda k: F.substr(text, k * size + 1, size))
+
+    def between(t: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / t["size"]).cast("int")
+        joined = F.array_join(F.slice(t["parts"], first + 1, F.floor(end / t["size"]).cast("int") - first + 1), "")
+        return F.substr(joined, (start - first * t["size"] + 1).cast("int"), (end - start).cast("int"))
+
+    def written(t: Column) -> Column:
+        pieces = F.transform(marks, lambda s: F.concat(between(t, s["at"], s["start"]), F.lit("<"), s["kind"], F.lit(">")))
+        return F.concat(F.array_join(pieces, ""), between(t, F.col(last), t["length"]))
+
+    # As the only element of an array, the parts are worked out once for all pieces.
+    once = F.array(F.struct(parts.alias("parts"), size.alias("size"), F.length(text).alias("length")))
+    marked = F.get(F.transform(once, written), F.lit(0))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_of(text_col)) == F.col(key))
+    joined = docs.join(bounded(cut(grouped)), same, "left")
+    return joined.withColumn(text_col, F.when(F.col(marks).isNull(), text).otherwise(marked)).select(*docs.columns)
 
 
 def _joined(secrets: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from tremora.llm.common import bounded, cut, small_batches, text_of
+from tremora.llm.common import bounded, cut, free_names, small_batches, text_of
 from tremora.operators.graph import connected_components
 
 SHINGLE_WORDS, SEED, BITS, DISTANCE = 4, 42, 64, 4
@@ -295,21 +295,24 @@ def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id",
     """Exactly one row of docs for every component of groups(doc_id, text_hash, component), which has a row for each.
 
     The smallest id stays (rows without one come last), of one id the smallest text hash, and one of repeated rows.
+    Other columns may have any names and values; an empty table stays empty.
     """
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     rows = groups.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).withColumn("own", own)
     rows = cut(rows)
     least = rows.groupBy("component").agg(F.min("own").alias("least"))
     judged = rows.join(least, "component").withColumn("stays", F.col("own").eqNullSafe(F.col("least")))
-    judged = cut(judged.where("not stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "stays"))
-    hashed = docs.withColumn("__text_hash", F.xxhash64(text_of(text_col)))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    own_hash, id_, hash_, stays = free_names(docs, "text_hash", "judged_id", "judged_hash", "stays")
+    judged = judged.where("not stays or n > 1")
+    judged = cut(judged.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("stays").alias(stays)))
+    hashed = docs.withColumn(own_hash, F.xxhash64(text_of(text_col)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.col(own_hash) == F.col(hash_))
     kept = hashed.join(bounded(judged), same, "left_anti")
-    repeated = judged.where("stays")
+    repeated = judged.where(F.col(stays))
     if not repeated.isEmpty():
-        again = hashed.join(bounded(repeated), same, "left_semi").dropDuplicates([id_col, "__text_hash"])
+        again = hashed.join(bounded(repeated), same, "left_semi").dropDuplicates([id_col, own_hash])
         kept = kept.unionByName(again)
-    return kept.drop("__text_hash")
+    return kept.drop(own_hash)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
