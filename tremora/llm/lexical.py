@@ -5,16 +5,15 @@ documents, so no posting is shuffled while it is built. A list is cut into block
 distances and counts of one, two or four bytes; beside them stand, uncompressed, the first and the last document of
 each block and the largest impact in it.
 
-A search holds all lists of a query in one segment. Their pointers move over the uncompressed marks alone: lists are
-ordered by the next document they may hold, the pivot is the first at which the lists' largest impacts together pass the
-least score of the ten best so far, and then the block maxima at the pivot must pass it too, or the pointers jump behind
-the first of those blocks. Only where they do pass are blocks decompressed, and the documents up to the next edge scored.
+A search holds all lists of a query in one segment. Their pointers move over the uncompressed marks alone, from one edge
+of a block to the next: between two edges every list stays in its block, or lies in no block, so one sum of maxima bounds
+all scores there. The pivot is the next stretch whose sum passes the least of the best scores so far; every block before
+it is skipped unopened. Only the blocks at pivots are decompressed, a few stretches at a time, and their documents scored.
 """
 
 from __future__ import annotations
 
 from array import array
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -168,84 +167,77 @@ class Postings:
     """A posting list as it is searched: its marks, and blocks that are decompressed once and when needed."""
 
     def __init__(self, row, m: np.ndarray):
-        self.firsts, self.lasts, self.most = row.firsts.tolist(), row.lasts.tolist(), row.most.tolist()
-        self.top = max(self.most)
-        self._ends, self._payload, self._m = row.ends.tolist(), row.payload, m
+        self.firsts, self.lasts, self.most = row.firsts, row.lasts, row.most
+        self._ends, self._payload, self._m = row.ends, row.payload, m
         self._open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def block(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(documents, impacts) of block k."""
         if k not in self._open:
             data = self._payload[self._ends[k - 1] if k else 0 : self._ends[k]]
-            docs, tf = unpack(data, self.lasts[k - 1] if k else -1)
+            docs, tf = unpack(data, int(self.lasts[k - 1]) if k else -1)
             self._open[k] = docs, impact(tf, self._m[docs])
         return self._open[k]
 
-    def next(self, k: int, to: int) -> int:
-        """The next document from `to` on that block k may hold: the real one if the block is open already."""
-        if self.firsts[k] >= to:
-            return self.firsts[k]
-        return int(self._open[k][0][np.searchsorted(self._open[k][0], to)]) if k in self._open else to
-
     @property
     def opened(self) -> int:
         return len(self._open)
 
 
-def search(query: list[tuple[Postings, int]], best: int = BEST) -> list[tuple[int, int]]:
-    """(score, document) of the `best` highest scores above 0 for weighted lists, equal ones by ascending document."""
-    found: list[tuple[int, int]] = []  # (-score, document), in order
-    least = 0
-    # A pointer: the next document that its list may hold, its block, list and weight.
-    pointers = [[p.firsts[0], 0, p, w, w * p.top] for p, w in query if w > 0]
-    while pointers:
-        pointers.sort(key=lambda x: x[0])
-        together, k = 0, -1
-        for k, x in enumerate(pointers):
-            together += x[4]
-            if together > least:
-                break
-        if together <= least:
-            break
-        pivot = pointers[k][0]
-        while k + 1 < len(pointers) and pointers[k + 1][0] == pivot:
-            k += 1
-        ahead, after = pointers[: k + 1], pointers[k + 1 :]
-        ahead = _move(ahead, pivot)
-        held = [x for x in ahead if x[0] <= pivot]
-        # Up to here the lists at the pivot stay in their blocks, and no other list begins.
-        edge = min([x[2].lasts[x[1]] for x in held] + [x[0] - 1 for x in ahead if x[0] > pivot] + [x[0] - 1 for x in after[:1]], default=pivot)
-        if sum(x[3] * x[2].most[x[1]] for x in held) > least:
-            scores = np.zeros(edge - pivot + 1, dtype=np.int64)
-            for x in held:
-                docs, add = x[2].block(x[1])
-                lo, hi = np.searchsorted(docs, (pivot, edge + 1))
-                scores[docs[lo:hi] - pivot] += x[3] * add[lo:hi]
+class Pointers:
+    """The blocks of a query's lists, and the stretches between their edges with the most that a document can score."""
+
+    def __init__(self, query: list[tuple[Postings, int]]):
+        self.lists = query
+        self.owner = np.repeat(np.arange(len(query)), [len(p.lasts) for p, _ in query])
+        self.number = np.concatenate([np.arange(len(p.lasts)) for p, _ in query])
+        self.firsts = np.concatenate([p.firsts for p, _ in query])
+        self.ends = np.concatenate([p.lasts for p, _ in query]) + 1
+        self.edges = np.unique(np.concatenate([self.firsts, self.ends]))
+        most = np.concatenate([w * p.most for p, w in query])
+        change = np.zeros(len(self.edges), dtype=np.int64)
+        np.add.at(change, np.searchsorted(self.edges, self.firsts), most)
+        np.subtract.at(change, np.searchsorted(self.edges, self.ends), most)
+        self.bound = np.cumsum(change)[:-1]
+
+    def pivots(self, start: int, least: int, count: int) -> np.ndarray:
+        """The next stretches from start on, `count` at most, in which a score may pass least."""
+        return start + np.nonzero(self.bound[start:] > least)[0][:count]
+
+    def scores(self, begin: int, end: int) -> np.ndarray:
+        """The scores of documents begin to end - 1; opens the blocks that reach there."""
+        out = np.zeros(end - begin, dtype=np.int64)
+        for k in np.nonzero((self.firsts < end) & (self.ends > begin))[0]:
+            held, weight = self.lists[self.owner[k]]
+            docs, add = held.block(int(self.number[k]))
+            if self.firsts[k] < begin or self.ends[k] > end:
+                lo, hi = docs.searchsorted((begin, end))
+                docs, add = docs[lo:hi], add[lo:hi]
+            out[docs - begin] += weight * add
+        return out
+
+
+def search(query: list[tuple[Postings, int]], best: int = BEST, least: int = 0) -> list[tuple[int, int]]:
+    """(score, document) of the `best` highest scores above least for weighted lists, equal ones by ascending document."""
+    query = [(p, w) for p, w in query if w > 0]
+    if not query:
+        return []
+    pointers, found, at, count = Pointers(query), [], 0, 4
+    while len(pivots := pointers.pivots(at, least, count)):
+        for run in np.split(pivots, np.nonzero(np.diff(pivots) > 1)[0] + 1):
+            begin = int(pointers.edges[run[0]])
+            scores = pointers.scores(begin, int(pointers.edges[run[-1] + 1]))
             better = np.nonzero(scores > least)[0]
+            if len(better) > best:
+                better = better[np.argsort(-scores[better], kind="stable")[:best]]
             if len(better):
-                if len(better) > best:
-                    better = better[np.argsort(-scores[better], kind="stable")[:best]]
-                found = sorted(found + [(-int(scores[d]), int(d) + pivot) for d in better])[:best]
+                found = sorted(found + [(-int(scores[d]), int(d) + begin) for d in better])[:best]
                 if len(found) == best:
                     least = -found[-1][0]
-        pointers = _move(ahead, edge + 1) + after
+        at, count = int(pivots[-1]) + 1, min(2 * count, 64)
     return [(-s, d) for s, d in found]
 
 
-def _move(pointers: list[list], to: int) -> list[list]:
-    """Move pointers on to a document without opening blocks; those at the end of their lists go."""
-    left = []
-    for x in pointers:
-        if x[0] < to:
-            lasts = x[2].lasts
-            x[1] = bisect_left(lasts, to, x[1])
-            if x[1] == len(lasts):
-                continue
-            x[0] = x[2].next(x[1], to)
-        left.append(x)
-    return left
-
-
 def _search_segment(best: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         header = part[part["term"].isna()].iloc[0]
