@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 from datetime import datetime, timedelta
 from urllib.error import HTTPError
 
@@ -69,6 +70,72 @@ def test_store_update_and_exports(spark, tmp_path):
     assert catalogs.to_observatory(store.load("puerto rico")).columns[1] == "event_time_utc"
 
 
+def held(store, region="pr"):
+    return {r["event_id"]: r["magnitude"] for r in store.load(region).collect()}
+
+
+def test_two_writers_keep_both_updates(spark, tmp_path, monkeypatch):
+    """A second upsert is published while the first one merges: in another month, in the same one, and of the same event."""
+    store = catalogs.CatalogStore(spark, str(tmp_path / "store"))
+    store.save("pr", catalog(spark, [("a", T0, 1.0, T0), ("b", T0 + timedelta(60), 2.0, T0)]))
+    real, waiting, merges = catalogs.CatalogStore._write, [], []
+
+    def interrupted(self, region, df):
+        merges.append(1)
+        written = real(self, region, df)
+        if waiting:
+            store.upsert("pr", waiting.pop())
+        return written
+
+    monkeypatch.setattr(catalogs.CatalogStore, "_write", interrupted)
+
+    def both(first, second):
+        merges.clear()
+        waiting.append(catalog(spark, second))
+        counts = store.upsert("pr", catalog(spark, first))
+        return len(merges), counts["final_count"]
+
+    other_month = both([("c", T0, 3.0, T0)], [("d", T0 + timedelta(60), 4.0, T0)])
+    assert other_month[0] == 2 and held(store) == {"a": 1.0, "b": 2.0, "c": 3.0, "d": 4.0}
+    same_month = both([("e", T0, 5.0, T0)], [("f", T0, 6.0, T0)])
+    assert same_month == (3, 6) and held(store).keys() == set("abcdef")
+    same_event = both([("g", T0, 7.0, T0)], [("g", T0 + timedelta(200), 7.5, T0 + timedelta(300))])
+    assert same_event[0] == 3 and held(store)["g"] == 7.5 and store.load("pr").count() == 7
+    store.vacuum("pr")
+    assert store.load("pr").count() == 7 and store.snapshot("pr").version == 7
+
+
+def test_upsert_reads_touched_months_only(spark, tmp_path):
+    """The other months' files could be gone; an event that moves to another month leaves its old one."""
+    store = catalogs.CatalogStore(spark, str(tmp_path / "store"))
+    store.save("pr", catalog(spark, [(f"e{k}", T0 + timedelta(31 * k), 1.0, T0) for k in range(6)]))
+    away = [f for m, f in store.months("pr").items() if m in ("2020-02", "2020-04")]
+    for f in away:
+        (tmp_path / "hidden").mkdir(exist_ok=True)
+        os.rename(f, tmp_path / "hidden" / f.rsplit("month=", 1)[-1])
+    counts = store.upsert("pr", catalog(spark, [("e0", T0 + timedelta(70), 4.0, T0 + timedelta(99)), ("new", T0, 2.0, T0)]))
+    assert counts == {"inserted": 1, "updated": 1, "unchanged": 5, "final_count": 7}
+    for f in away:
+        os.rename(tmp_path / "hidden" / f.rsplit("month=", 1)[-1], f)
+    got = {r["event_id"]: (r["time"], r["magnitude"]) for r in store.load("pr").collect()}
+    assert len(got) == 7 and got["e0"] == (T0 + timedelta(70), 4.0)
+
+
+def test_many_small_upserts(spark, tmp_path, monkeypatch):
+    """The index is made one part from time to time, and says the same as the events."""
+    monkeypatch.setattr(catalogs, "PARTS", 3)
+    store = catalogs.CatalogStore(spark, str(tmp_path / "store"))
+    for k in range(6):
+        store.upsert("pr", catalog(spark, [("moving", T0 + timedelta(31 * k), float(k), T0 + timedelta(k)), (f"e{k}", T0, 1.0, T0)]))
+    assert held(store) == {"moving": 5.0} | {f"e{k}": 1.0 for k in range(6)}
+    now = store.snapshot("pr")
+    assert len(now.index) <= 3 and sum(n for _, n in now.months.values()) == 7
+    indexed = {r["event_id"]: r["month"] for r in store._indexed(now.index).collect()}
+    assert indexed == {r["event_id"]: r["time"].strftime("%Y-%m") for r in store.load("pr").collect()}
+    store.save("pr", catalog(spark, []))
+    assert store.load("pr").count() == 0 and store.upsert("pr", catalog(spark, []))["final_count"] == 0
+
+
 def test_regions_and_latest(spark, tmp_path):
     box = catalogs.Region("pr", "PR", (17.0, 20.0, -69.0, -63.5))
     assert catalogs.infer_region("puerto_rico_2020_x", {"puerto": box, "puerto_rico": box}, "d") == "puerto_rico"

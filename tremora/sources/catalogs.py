@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremora.operators import revisions
-from tremora.operators.lineage import cut
+from tremora.operators.lineage import cut, fits
 from tremora.operators.validation import query_filter, utc_time, within_box
 from tremora.sources.schemas import CATALOG, CATALOG_COLUMNS, EXPORT_COLUMNS, OBSERVATORY
 
@@ -49,7 +51,9 @@ def exported(df: DataFrame) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    exported(df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One file if the catalog is small enough for one task; else files that follow each other in order."""
+    rows = exported(df)
+    (rows.coalesce(1) if fits(df) else rows).write.mode("overwrite").option("header", True).csv(path)
 
 
 def export_parquet(df: DataFrame, path: str) -> None:
@@ -71,16 +75,49 @@ def latest_catalog(spark: SparkSession, folder: str, pattern: str = "*_earthquak
 
 
 NO_MONTH = "none"
+#: Buckets of the index from keys to months, and the parts of it that are read together before they are made one.
+BUCKETS, PARTS = 64, 16
+#: Times that an upsert is merged anew because another writer changed the same events meanwhile.
+ATTEMPTS = 20
+INDEX = "hash long, source string, event_id string, month string, bucket int"
 
 
 def _month(time: str = "time") -> Column:
     return F.coalesce(F.date_format(time, "yyyy-MM"), F.lit(NO_MONTH))
 
 
+def _hashed(df: DataFrame) -> DataFrame:
+    """df with the hash of its key and the bucket of that."""
+    return df.withColumn("hash", F.xxhash64("source", "event_id")).withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)).cast("int"))
+
+
+def _same_key(a: str, b: str) -> Column:
+    held = [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in revisions.KEY]
+    return (F.col(f"{a}.hash") == F.col(f"{b}.hash")) & held[0] & held[1]
+
+
+class Conflict(RuntimeError):
+    """Other writers came first, again and again."""
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """One version of a region: (folder, rows) of each month, and the parts of the index, older ones first."""
+
+    version: int
+    months: dict[str, tuple[str, int]]
+    index: tuple[str, ...]
+
+
 @dataclass(frozen=True)
 class CatalogStore:
-    """Catalogs in Parquet by region and month. Files are never changed: a save writes new ones and then, in one atomic
-    rename, the list of those that count. A failure before that leaves the old catalog as it was."""
+    """Catalogs in Parquet by region and month, with an index from keys to months.
+
+    Files are never changed. A writer makes new ones and then adds the next version, a list of the files that count, by
+    a rename that fails if that version exists already. So a failure leaves the old catalog as it was, and of two
+    writers the second notices: it adds its months to the first one's version if they share neither months nor events,
+    and merges anew otherwise. On an object store without such a rename there must be one writer.
+    """
 
     spark: SparkSession
     root: str
@@ -95,38 +132,81 @@ class CatalogStore:
         p = self._path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _listed(self, folder: str) -> list[str]:
+        fs, path = self._fs(folder)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _manifest(self, region: str, version: int) -> str:
+        return f"{self.path(region)}/versions/{version:012d}.json"
+
+    def snapshot(self, region: str) -> Snapshot:
+        """The newest version; version 0 has nothing."""
+        versions = [int(n.removesuffix(".json")) for n in self._listed(f"{self.path(region)}/versions") if n.endswith(".json") and n[0].isdigit()]
+        version = max(versions, default=0)
+        if not version:
+            return Snapshot(0, {}, ())
+        schema = "kind string, name string, folder string, rows long, place int"
+        rows = self.spark.read.schema(schema).json(self._manifest(region, version)).collect()  # months, and PARTS at most
+        months = {r["name"]: (r["folder"], r["rows"]) for r in sorted(rows, key=lambda r: r["name"] or "") if r["kind"] == "month"}
+        return Snapshot(version, months, tuple(r["folder"] for r in sorted(rows, key=lambda r: r["place"]) if r["kind"] == "index"))
+
     def months(self, region: str) -> dict[str, str]:
         """Folder of each month that has events, in order of time: as many entries as months."""
-        fs, listed = self._fs(f"{self.path(region)}/months.json")
-        if not fs.exists(listed):
-            return {}
-        rows = self.spark.read.schema("month string, folder string").json(listed.toString()).collect()
-        return {r["month"]: r["folder"] for r in sorted(rows)}
-
-    def _publish(self, region: str, months: dict[str, str]) -> None:
-        """Replace the list of folders in one step; an error leaves the old list."""
-        made, target = f"{self.path(region)}/months-{uuid4().hex}.json", f"{self.path(region)}/months.json"
-        fs, path = self._fs(made)
+        return {m: f for m, (f, _) in self.snapshot(region).months.items()}
+
+    def _publish(self, region: str, made: Snapshot) -> bool:
+        """Add a version; False if another writer has added that one already."""
+        lines = [{"kind": "month", "name": m, "folder": f, "rows": n, "place": 0} for m, (f, n) in made.months.items()]
+        lines += [{"kind": "index", "name": "", "folder": f, "rows": 0, "place": k} for k, f in enumerate(made.index)]
+        target = self._manifest(region, made.version)
+        fs, path = self._fs(f"{self.path(region)}/versions/new-{uuid4().hex}")
         out = fs.create(path)
-        out.write(bytearray("".join(json.dumps({"month": m, "folder": f}) + "\n" for m, f in sorted(months.items())).encode()))
+        out.write(bytearray("".join(json.dumps(x) + "\n" for x in lines).encode()))
         out.close()
-        self._rename(path, self._path(target))
+        try:
+            self._rename(path, self._path(target))
+        except Py4JJavaError as error:
+            fs.delete(path, False)
+            if "FileAlreadyExists" in str(error.java_exception):
+                return False
+            raise
+        return True
 
     def _rename(self, source, target) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         how = self.spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
-        how[0] = hadoop.Options.Rename.OVERWRITE
+        how[0] = hadoop.Options.Rename.NONE
         hadoop.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(source, target, how)
 
-    def _write(self, region: str, df: DataFrame) -> dict[str, str]:
-        """New files for the months of df."""
+    def _write(self, region: str, df: DataFrame) -> dict[str, tuple[str, int]]:
+        """New files for the months of df, and their rows."""
         folder = f"{self.path(region)}/files-{uuid4().hex}"
         # One shuffle by month and day, so that a month is several files and a task holds few months.
         dealt = df.select(*CATALOG_COLUMNS, _month().alias("month")).repartition("month", F.dayofmonth("time"))
         dealt.sortWithinPartitions("month", "time", "event_id", "source").write.partitionBy("month").parquet(folder)
-        fs, path = self._fs(folder)
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return {n.removeprefix("month="): f"{folder}/{n}" for n in names if n.startswith("month=")}
+        names = {n.removeprefix("month="): f"{folder}/{n}" for n in self._listed(folder) if n.startswith("month=")}
+        if not names:
+            return {}
+        counts = self.spark.read.schema(f"{CATALOG}, month string").parquet(folder).groupBy("month").count().collect()  # months
+        return {r["month"]: (names[r["month"]], r["count"]) for r in counts}
+
+    def _write_index(self, region: str, rows: DataFrame) -> str:
+        """A part of the index: rows(source, event_id, month) by bucket, in order of their hashes."""
+        folder = f"{self.path(region)}/index-{uuid4().hex}"
+        dealt = _hashed(rows.select("source", "event_id", "month")).repartition("bucket")
+        dealt.sortWithinPartitions("bucket", "hash").write.partitionBy("bucket").parquet(folder)
+        return folder
+
+    def _indexed(self, folders: tuple[str, ...], buckets: list[int] | None = None) -> DataFrame:
+        """(hash, source, event_id, month) of the index, the newest month of each key."""
+        parts = [self.spark.read.schema(INDEX).parquet(f).withColumn("place", F.lit(k)) for k, f in enumerate(folders)]
+        both = reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], f"{INDEX}, place int"))
+        if buckets is not None:
+            both = both.where(F.col("bucket").isin(buckets))
+        return both.groupBy("hash", *revisions.KEY).agg(F.max_by("month", "place").alias("month"))
+
+    def _events(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(CATALOG).parquet(*folders) if folders else self.spark.createDataFrame([], CATALOG)
 
     def load(self, region: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
         """Events with start <= time < end; empty where the region has none. Only months within the bounds are listed,
@@ -134,46 +214,87 @@ class CatalogStore:
         # A day either way, as a bound's time zone need not be the session's.
         first = (start - timedelta(1)).strftime("%Y-%m") if start else None
         last = (end + timedelta(1)).strftime("%Y-%m") if end else None
-        folders = [
-            f for m, f in self.months(region).items()
-            if m == NO_MONTH or ((first is None or m >= first) and (last is None or m <= last))
-        ]
-        df = self.spark.read.schema(CATALOG).parquet(*folders) if folders else self.spark.createDataFrame([], CATALOG)
+        df = self._events(
+            [
+                f for m, f in self.months(region).items()
+                if m == NO_MONTH or ((first is None or m >= first) and (last is None or m <= last))
+            ]
+        )
         if start is not None:
             df = df.where(F.col("time") >= F.lit(start))
         return df if end is None else df.where(F.col("time") < F.lit(end))
 
     def save(self, region: str, df: DataFrame) -> None:
-        """Replace the catalog of a region; df may read from it."""
-        self._publish(region, self._write(region, df))
-
-    def upsert(self, region: str, incoming: DataFrame) -> None:
-        """Merge by newest revision. Only months that incoming events have or had are written anew."""
-        new, months = cut(incoming.select(*CATALOG_COLUMNS)), self.months(region)
-        keys = new.select("source", "event_id").distinct()
-        had = self.load(region).join(keys, ["source", "event_id"], "left_semi").select(_month().alias("month"))
-        touched = {r["month"] for r in had.unionByName(new.select(_month().alias("month"))).distinct().collect()}  # months
-        folders = [f for m, f in months.items() if m in touched]
-        old = self.spark.read.schema(CATALOG).parquet(*folders) if folders else self.spark.createDataFrame([], CATALOG)
-        written = self._write(region, revisions.merge(old, new))
-        self._publish(region, {m: f for m, f in months.items() if m not in touched} | written)
+        """Replace the catalog of a region; df may read from it. Of two saves the later one counts."""
+        written = self._write(region, df)
+        index = self._write_index(region, self._events([f for f, _ in written.values()]).withColumn("month", _month()))
+        for _ in range(ATTEMPTS):
+            if self._publish(region, Snapshot(self.snapshot(region).version + 1, written, (index,))):
+                return
+        raise Conflict(region)
+
+    def upsert(self, region: str, incoming: DataFrame) -> dict[str, int]:
+        """Merge by newest revision; returns inserted, updated, unchanged and final_count.
+
+        The index tells in which months the incoming events are. Only those and the months that they come with are read
+        and written; a batch reads buckets of the index, never the whole catalog.
+        """
+        new = cut(_hashed(revisions.winners(incoming.select(*CATALOG_COLUMNS))))
+        buckets = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+        for _ in range(ATTEMPTS):
+            base = self.snapshot(region)
+            # Keys of the batch alone, so a small table.
+            had = new.alias("n").join(self._indexed(base.index, buckets).alias("i"), _same_key("n", "i"))
+            had = cut(had.select("n.hash", "n.source", "n.event_id", "i.month"))
+            names = had.select("month").unionByName(new.select(_month().alias("month"))).distinct()
+            touched = {r["month"] for r in names.collect()}  # months
+            old = self._events([f for m, (f, _) in base.months.items() if m in touched])
+            merged = cut(revisions.merge(old, new.select(*CATALOG_COLUMNS)))
+            counts = revisions.merge_counts(old, new.select(*CATALOG_COLUMNS)).first().asDict()
+            written = self._write(region, merged)
+            mine = _hashed(merged).alias("m").join(new.alias("n"), _same_key("m", "n"), "left_semi").withColumn("month", _month())
+            moved = mine.alias("m").join(had.alias("h"), _same_key("m", "h") & (F.col("m.month") == F.col("h.month")), "left_anti")
+            part = self._write_index(region, moved)
+            rest = {m: x for m, x in base.months.items() if m not in touched}
+            if self._commit(region, base, touched, written, part, new, buckets):
+                apart = sum(n for _, n in rest.values())
+                return counts | {"unchanged": counts["unchanged"] + apart, "final_count": counts["final_count"] + apart}
+        raise Conflict(region)
+
+    def _commit(self, region, base, touched, written, part, new, buckets) -> bool:
+        """Add a version with the months and the index part of an upsert; False if it must be merged anew."""
+        seen = base
+        while True:
+            months = {m: x for m, x in seen.months.items() if m not in touched} | written
+            index = (*seen.index, part)
+            if len(index) > PARTS:
+                index = (self._write_index(region, self._indexed(index)),)
+            if self._publish(region, Snapshot(seen.version + 1, months, index)):
+                return True
+            seen = self.snapshot(region)
+            added = tuple(f for f in seen.index if f not in base.index)
+            if any(seen.months.get(m) != base.months.get(m) for m in touched):
+                return False
+            if not self._indexed(added, buckets).alias("i").join(new.alias("n"), _same_key("i", "n"), "left_semi").isEmpty():
+                return False
 
     def vacuum(self, region: str) -> None:
-        """Delete files that no longer count; for when nobody reads an older version."""
-        used = {f.rsplit("/", 2)[-2] for f in self.months(region).values()}
-        fs, path = self._fs(self.path(region))
-        for status in fs.listStatus(path) if fs.exists(path) else ():
-            name = status.getPath().getName()
-            if name != "months.json" and name not in used:
-                fs.delete(status.getPath(), True)
+        """Delete files and versions that no longer count; for when nobody reads or writes."""
+        now = self.snapshot(region)
+        used = {f.rsplit("/", 2)[-2] for f, _ in now.months.values()} | {f.rsplit("/", 1)[-1] for f in now.index}
+        stale = [f"{self.path(region)}/{n}" for n in self._listed(self.path(region)) if n != "versions" and n not in used]
+        kept = self._manifest(region, now.version).rsplit("/", 1)[-1]
+        stale += [f"{self.path(region)}/versions/{n}" for n in self._listed(f"{self.path(region)}/versions") if n != kept]
+        for name in stale:
+            fs, path = self._fs(name)
+            fs.delete(path, True)
 
     def update(self, region: str, incoming: DataFrame, start: datetime, end: datetime, box: tuple[float, float, float, float] | None = None, minimum_magnitude: float | None = None) -> DataFrame:
         """Merge what the query selects of incoming into the store; returns the counts of the merge."""
-        existing, chosen = self.load(region), query_filter(incoming, start, end, box, minimum_magnitude)
-        counts = revisions.merge_counts(existing, chosen.select(*CATALOG_COLUMNS)).withColumn("downloaded", F.lit(incoming.count()))
-        found = self.spark.createDataFrame(counts.collect(), counts.schema)
-        self.upsert(region, chosen)
-        return found
+        read = cut(incoming)
+        counts = self.upsert(region, query_filter(read, start, end, box, minimum_magnitude)) | {"downloaded": read.count()}
+        names = ("inserted", "updated", "unchanged", "final_count", "downloaded")
+        return self.spark.createDataFrame([tuple(counts[n] for n in names)], ", ".join(f"{n} long" for n in names))
 
 
 @dataclass(frozen=True)
