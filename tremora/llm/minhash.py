@@ -176,29 +176,54 @@ def _meetings(rest: DataFrame) -> DataFrame:
     return met.select("bucket", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"), "rep", "c", "n", "packed")
 
 
+def _meeting(part: pd.DataFrame) -> Iterator[np.ndarray]:
+    """The row numbers of each meeting of a pack."""
+    keys = [part[c].to_numpy() for c in ("high", "low", "bucket")]
+    order = np.lexsort(keys)
+    apart = np.zeros(len(part), dtype=bool)
+    for key in keys:
+        apart[1:] |= key[order][1:] != key[order][:-1]
+    yield from np.split(order, np.nonzero(apart)[0])
+
+
+def _packs(met: DataFrame, size: Column, held: int) -> DataFrame:
+    """met with a pack number: whole meetings together, about `held` of the summed size in each pack."""
+    packs = 1 + int(met.agg(F.sum(size)).first()[0] or 0) // held
+    return met.withColumn("pack", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(packs)))
+
+
 def _pending(met: DataFrame, percent: int) -> DataFrame:
-    """(bucket, low, high, rep, c): members of meetings that may have a partner in another component."""
+    """(bucket, low, high, rep, c, n): members of meetings that may have a partner in another component."""
     least = least_equal(percent)
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        marks = np.array(part["packed"].to_list(), dtype=np.int64).view(np.uint64)
-        c, n = part["c"].to_numpy(), part["n"].to_numpy()
-        near = (c[:, None] != c[None, :]) & (equal_matrix(marks, marks) >= least)
-        near &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-        return part.loc[near.any(axis=1), ["bucket", "low", "high", "rep", "c"]]
+        marks, c, n = np.stack(part["packed"].to_list()).view(np.uint64), part["c"].to_numpy(), part["n"].to_numpy()
+        found = []
+        for rows in _meeting(part):
+            near = c[rows][:, None] != c[rows][None, :]
+            near &= 100 * np.minimum(n[rows][:, None], n[rows][None, :]) >= percent * np.maximum(n[rows][:, None], n[rows][None, :])
+            if near.any():
+                near &= equal_matrix(marks[rows], marks[rows]) >= least
+                found.append(rows[near.any(axis=1)])
+        return part.iloc[np.concatenate(found) if found else []][["bucket", "low", "high", "rep", "c", "n"]]
 
-    return met.groupBy("bucket", "low", "high").applyInPandas(search, "bucket long, low int, high int, rep long, c long")
+    packed_up = _packs(met, F.lit(1), 8 * BLOCK)
+    return packed_up.groupBy("pack").applyInPandas(search, "bucket long, low int, high int, rep long, c long, n long")
 
 
 def _meeting_links(pending: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): a spanning forest of the similar members of different components in each meeting."""
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        found = [np.frombuffer(x, "<u8") for x in part["found"]]
-        a, b = matrix_links(part["rep"].to_numpy(), part["c"].to_numpy(), found, percent / 100)
+        reps, c, held = part["rep"].to_numpy(), part["c"].to_numpy(), part["found"].to_list()
+        ends = []
+        for rows in _meeting(part):
+            ends.append(np.stack(matrix_links(reps[rows], c[rows], [np.frombuffer(held[k], "<u8") for k in rows], percent / 100)))
+        a, b = np.concatenate(ends, axis=1)
         return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
-    return pending.join(sets, "rep").groupBy("bucket", "low", "high").applyInPandas(search, "a long, b long")
+    joined = _packs(pending, F.col("n"), 2 * BLOCK_SHINGLES).join(sets, "rep")
+    return joined.groupBy("pack").applyInPandas(search, "a long, b long")
 
 
 def candidates(members: DataFrame, classes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -237,7 +262,7 @@ def groups(
     placed = cut(shared.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c")))
     parted = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
     rest = placed.join(bounded(parted), "bucket").join(classes.select("rep", "n", "packed"), "rep")
-    pending = cut(_pending(_meetings(cut(rest)), percent))
+    pending = cut(_pending(cut(_meetings(cut(rest))), percent))
     if not pending.isEmpty():
         more = text_sets(docs, text_col, pending.select("rep").distinct(), words)
         links = links.unionByName(cut(_meeting_links(pending, more, percent)))
