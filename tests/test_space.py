@@ -3,13 +3,14 @@
 import hashlib
 import math
 import random
+import statistics
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tremora.functions import geo
-from tremora.operators import context, interaction, network, revisions, spatial
+from tremora.operators import context, interaction, network, revisions, skew, spatial
 from tremora.plans import dashboard
 
 
@@ -57,6 +58,46 @@ def test_dbscan(spark, seed):
     assert [got[k] for k in range(len(points))] == brute_dbscan(points, 9.0, 4)
 
 
+def test_dense_spot_costs_no_pairs(spark):
+    """20,000 distinct points within 2 km would be 400 million pairs; an arm of single points touches them."""
+    r = random.Random(9)
+    points = [(10 + r.gauss(0, 0.004), 20 + r.gauss(0, 0.004)) for _ in range(20_000)] + [(10.0, 20.03 + 0.06 * k) for k in range(12)] + [(60.0, 60.0)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "position long, latitude double, longitude double")
+    got = dict(spatial.dbscan(df, "position", 9.0, 3).collect())
+    assert {got[k] for k in range(20_012)} == {0} and got[20_012] == -1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_dbscan_of_touching_cells(spark, seed):
+    """Clusters of a few cells each, at a distance around eps, so that facing points don't settle who is linked."""
+    r = random.Random(100 + seed)
+    points = [(5 + 0.075 * (k % 9) + r.gauss(0, 0.02), 5 + 0.075 * (k // 9 % 9) + r.gauss(0, 0.02)) for k in range(260)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "position long, latitude double, longitude double")
+    got = dict(spatial.dbscan(df, "position", 4.0, 4).collect())
+    assert [got[k] for k in range(len(points))] == brute_dbscan(points, 4.0, 4)
+
+
+def test_members_and_ids_of_a_large_cluster(spark):
+    rows = [(k, 1) for k in range(30_000)] + [(30_000 + k, k % 2 * 5) for k in range(10)] + [(50_000, -1)]
+    labelled = spark.createDataFrame(rows, "position long, cluster_id long").repartition(5)
+    got = dict(spatial.swarm_ids(spatial.cluster_members(labelled)).collect())
+    for c in (0, 1, 5):
+        text = "\x1f".join(sorted(str(p) for p, k in rows if k == c))
+        assert got[c] == "swarm-" + hashlib.sha256(text.encode()).hexdigest()[:12]
+    assert set(got) == {0, 1, 5} and spatial.swarm_ids(spatial.cluster_members(labelled.limit(0))).count() == 0
+
+
+def test_crowded_keys_are_dealt(spark):
+    """A key with a third of all rows goes to many tasks, and the join stays the same."""
+    left = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1000 + 10).alias("k"), "id")
+    right = spark.range(2000).select((F.col("id") % 1100).alias("k"), F.col("id").alias("other"))
+    one, every = skew.dealt(left, right, ["k"], most=100)
+    assert one.where("k = 7").groupBy("salt").count().agg(F.max("count")).first()[0] < 160 and one.count() == 9000
+    joined = one.join(every, ["k", "salt"]).select("id", "other")
+    plain = left.join(right, "k").select("id", "other")
+    assert joined.exceptAll(plain).count() == plain.exceptAll(joined).count() == 0
+
+
 def test_swarm(spark):
     rows = [(10 + k, datetime(2024, 1, 1 + k), la, lo, 5.0 + k, 2.0 + k) for k, (la, lo) in enumerate([(18.0, -66.0), (18.0, -65.99), (18.01, -65.99), (18.01, -65.98)])]
     df = spark.createDataFrame(rows, "position long, time timestamp, latitude double, longitude double, depth double, magnitude double")
@@ -87,13 +128,18 @@ def test_nearest_fault(spark):
     assert context.nearest(events, segs, "fault_id", 5.0).count() == 0
 
 
-def test_index_equals_brute_force(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_index_equals_brute_force(spark, small, monkeypatch):
+    """With segments that fit a broadcast, and in two rings with crowded cells."""
+    if not small:
+        monkeypatch.setattr(context, "fits", lambda df: False)
+        monkeypatch.setattr(skew, "MOST", 3)
     r = random.Random(4)
     lines = []
     for _ in range(60):
         a, b = r.uniform(-85, 85), r.uniform(-180, 180)
         lines.append([(a, b), (max(-89, min(89, a + r.uniform(-1, 1))), max(-180, min(180, b + r.uniform(-1, 1))))])
-    events = events_at(spark, *((r.uniform(-89, 89), r.uniform(-180, 180)) for _ in range(400)))
+    events = events_at(spark, *((r.uniform(-89, 89), r.uniform(-180, 180)) for _ in range(400)), *((x + r.gauss(0, 0.1), y) for (x, y), _ in lines[:20]))
     segs = fault(spark, *lines)
     indexed, brute = (sorted(map(tuple, context.nearest(events, segs, "fault_id", 400.0, indexed=k).collect())) for k in (True, False))
     assert indexed == brute and len(brute) > 20
@@ -186,6 +232,18 @@ def test_windows_and_rings(spark):
     assert rings[6.0, 7.0, 300.0]["post_all_count"] == full[6.0, 7.0, 300.0]["post_all_count"] - full[6.0, 7.0, 100.0]["post_all_count"]
 
 
+def test_medians_are_exact(spark):
+    r = random.Random(6)
+    rows = [(w, r.random() < 0.8, r.random() < 0.6, *(r.randrange(4) for _ in range(6))) for w in (1.0, 2.0, 3.0) for _ in range(r.choice([5, 40, 41]))]
+    counts = [f"{s}_count_{k}" for k in interaction.RADIAL for s in ("pre", "post")]
+    df = spark.createDataFrame([(*x[:1], 9.0, *x[1:]) for x in rows] + [(4.0, 9.0, False, True, *[1] * 6)], ["time_window_days", "distance_window_km", "edge_eligible", "source_has_plate_context", *counts])
+    for got in interaction.cumulative(df).collect():
+        mine = [x for x in rows if x[0] == got["time_window_days"] and x[1]]
+        for n, kind in enumerate(interaction.RADIAL):
+            used = [x[4 + 2 * n] - x[3 + 2 * n] for x in mine if kind == "all" or x[2]]
+            assert got[f"median_post_minus_pre_{kind}"] == (statistics.median(used) if used else None)
+
+
 def test_along_boundary(spark):
     t = datetime(2024, 1, 10)
     rows = [("a", t, 7.1, "mww", 0.0, 0.5), ("b", t + timedelta(days=1), 6.5, "mww", 0.0, 1.5), ("c", t + timedelta(days=1), 6.5, "mww", 0.0, 1.6), ("d", t + timedelta(days=2), 6.2, "mb", 0.0, 0.7)]

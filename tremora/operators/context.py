@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremora.functions.geo import segment_km
+from tremora.operators.lineage import bounded, cut, fits
+from tremora.operators.skew import dealt
 
 LATITUDE_KM, EQUATOR_KM = 110.574, 111.320
 #: Segments that every event may be held against without the index.
 FEW_SEGMENTS = 1000
 CELL = 2.0
+#: The inner ring's share of the radius, and the smallest cell in degrees that it is searched with.
+RINGS, LEAST_CELL = 8, 0.05
 
 
 def segments(traces: DataFrame, id_col: str = "fault_id") -> DataFrame:
@@ -69,27 +73,54 @@ def grid_cells(segs: DataFrame, id_col: str, radius_km: float, cell: float = CEL
     )
 
 
+def _found(spots: DataFrame, filed: DataFrame, id_col: str, radius_km: float, cell: float, small: bool) -> DataFrame:
+    """(latitude, longitude, best): the nearest filed feature within the radius of each spot that has one."""
+    rows, columns = int(-(-180 // cell)), int(-(-360 // cell))
+    placed = spots.withColumns(
+        {"lat_cell": _cell(F.col("latitude"), -90, cell, rows), "lon_cell": _cell(F.col("longitude"), -180, cell, columns)}
+    )
+    keys = ["lat_cell", "lon_cell"]
+    if small:
+        met = placed.join(F.broadcast(filed), keys)
+    else:
+        one, every = dealt(placed, filed, keys)
+        met = one.join(every, [*keys, "salt"])
+    return _best(met, id_col, radius_km)
+
+
+def _best(met: DataFrame, id_col: str, radius_km: float) -> DataFrame:
+    distance = segment_km(*(F.col(c) for c in ("latitude", "longitude", "lat1", "lon1", "lat2", "lon2")))
+    found = met.withColumn("distance_km", distance).where(F.col("distance_km") <= radius_km)
+    return found.groupBy("latitude", "longitude").agg(F.min(F.struct("distance_km", id_col)).alias("best"))
+
+
 def nearest(
     events: DataFrame, segs: DataFrame, id_col: str, radius_km: float, indexed: bool = True, cell: float = CELL
 ) -> DataFrame:
     """(event_id, id, distance_km): the nearest feature within radius_km of each event that has one; the smaller id
-    wins between equals. Without the index every event meets every segment, which is for few segments only."""
+    wins between equals. Without the index every event meets every segment, which is for few segments only.
+
+    Events of equal coordinates are one spot. Filed segments that fit a broadcast meet all spots where those lie. More
+    segments are searched in two rings: what lies within an eighth of the radius is found among the few segments filed
+    that near, and only spots without such a feature meet those of the whole radius, crowded cells in several tasks.
+    """
     points = events.select("event_id", "latitude", "longitude")
-    distance = segment_km(*(F.col(c) for c in ("latitude", "longitude", "lat1", "lon1", "lat2", "lon2")))
+    spots = cut(points.select("latitude", "longitude").distinct())
     if indexed:
-        rows, columns = int(-(-180 // cell)), int(-(-360 // cell))
-        placed = points.withColumns(
-            {"lat_cell": _cell(F.col("latitude"), -90, cell, rows), "lon_cell": _cell(F.col("longitude"), -180, cell, columns)}
-        )
-        filed = grid_cells(segs, id_col, radius_km, cell).join(segs, id_col)
-        met = placed.join(filed, ["lat_cell", "lon_cell"])
+        filed = cut(grid_cells(segs, id_col, radius_km, cell).join(segs, id_col))
+        if fits(filed):
+            best = _found(spots, filed, id_col, radius_km, cell, True)
+        else:
+            inner, small = radius_km / RINGS, max(LEAST_CELL, cell / RINGS)
+            near = cut(_found(spots, grid_cells(segs, id_col, inner, small).join(segs, id_col), id_col, inner, small, False))
+            left = spots.join(near, ["latitude", "longitude"], "left_anti")
+            best = near.unionByName(_found(left, filed, id_col, radius_km, cell, False))
     else:
         if segs.limit(FEW_SEGMENTS + 1).count() > FEW_SEGMENTS:
             raise ValueError(f"more than {FEW_SEGMENTS} segments need the index")
-        met = points.join(F.broadcast(segs))
-    found = met.withColumn("distance_km", distance).where(F.col("distance_km") <= radius_km)
-    best = found.groupBy("event_id").agg(F.min(F.struct("distance_km", id_col)).alias("best"))
-    return best.select("event_id", F.col(f"best.{id_col}").alias(id_col), F.col("best.distance_km").alias("distance_km"))
+        best = _best(spots.join(F.broadcast(segs)), id_col, radius_km)
+    joined = points.join(bounded(cut(best)), ["latitude", "longitude"])
+    return joined.select("event_id", F.col(f"best.{id_col}").alias(id_col), F.col("best.distance_km").alias("distance_km"))
 
 
 def step_segments(steps: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 plate-boundary network.
 
 Pairs come from one equi-join on time buckets and on cubes of the sphere with exact residual tests, so neither a time
-range nor a radius turns into a nested loop.
+range nor a radius turns into a nested loop. Either side is spread over some of the axes only, and crowded cubes are dealt
+to several tasks. Windows count each pair in the smallest time and distance window that hold it; the counts of larger
+windows are running sums over those.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from tremora.functions.seismic import seismic_moment
 from tremora.operators.context import plate_pair
 from tremora.operators.lineage import cut
 from tremora.operators.network import project, routed
-from tremora.operators.spatial import with_cube
+from tremora.operators.skew import dealt
+from tremora.operators.spatial import CUBE, with_cube
 from tremora.operators.validation import fail_on_duplicates
 
 DAYS = (1.0, 7.0, 30.0, 90.0, 365.0)
@@ -40,16 +43,21 @@ def _seconds(time: Column) -> Column:
 
 
 def close_pairs(events: DataFrame, max_days: float, max_km: float) -> DataFrame:
-    """Ordered pairs (aliases l earlier, r later) with 0 < lag_days <= max_days and distance_km <= max_km."""
+    """Ordered pairs (aliases l earlier, r later) with 0 < lag_days <= max_days and distance_km <= max_km.
+
+    The earlier event is spread over two time buckets and one axis of space, the later one over the other two axes: 15
+    rows for an event of both sides. Events are read several times.
+    """
     size = min(max_km, 2 * EARTH_KM)
-    placed = with_cube(events.withColumn("day", _seconds(F.col("time"))), size)
-    early = placed.withColumn("bucket", F.floor(F.col("day") / max_days)).alias("l")
-    spread = with_cube(events.withColumn("day", _seconds(F.col("time"))), size, spread=True)
+    timed = events.withColumn("day", _seconds(F.col("time")))
     bucket = F.floor(F.col("day") / max_days)
-    late = spread.withColumn("bucket", F.explode(F.array(bucket, bucket - 1))).alias("r")
-    keys = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("cx", "cy", "cz", "bucket")]
+    early = with_cube(timed, size, CUBE[:1]).withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
+    late = with_cube(timed, size, CUBE[1:]).withColumn("bucket", bucket)
+    early, late = dealt(early, late, [*CUBE, "bucket"])
+    keys = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*CUBE, "bucket", "salt")]
     lag = F.col("r.day") - F.col("l.day")
-    joined = early.join(late, keys[0] & keys[1] & keys[2] & keys[3] & (lag > 0) & (lag <= max_days))
+    on = keys[0] & keys[1] & keys[2] & keys[3] & keys[4] & (lag > 0) & (lag <= max_days)
+    joined = early.alias("l").join(late.alias("r"), on)
     distance = haversine_km(F.col("l.latitude"), F.col("l.longitude"), F.col("r.latitude"), F.col("r.longitude"))
     return joined.withColumns({"lag_days": lag, "distance_km": distance}).where(F.col("distance_km") <= max_km)
 
@@ -68,7 +76,7 @@ def pairs(
     max_distance_km: float = 2000.0,
 ) -> DataFrame:
     """Every later event near an earlier one, with both ends' context. same_* is null where an end lacks context."""
-    met = close_pairs(with_context(eligible(events, minimum_magnitude), associations), max_lag_days, max_distance_km)
+    met = close_pairs(cut(with_context(eligible(events, minimum_magnitude), associations)), max_lag_days, max_distance_km)
     shown = []
     for side, name in (("l", "source"), ("r", "target")):
         shown += [
@@ -95,6 +103,25 @@ def _grid(events: DataFrame, days: Sequence[float], kilometres: Sequence[float])
     )
 
 
+def _smallest(value: Column, limits: Sequence[float]) -> Column:
+    """The smallest of the limits that holds a value; null beyond all of them."""
+    chain = None
+    for limit in sorted(set(limits)):
+        chain = (F if chain is None else chain).when(value <= limit, F.lit(float(limit)))
+    return chain
+
+
+def _summed(counts: DataFrame, sources: DataFrame, days: Sequence[float], kilometres: Sequence[float]) -> DataFrame:
+    """counts(source_event_id, smallest time and distance window, numbers) summed up over the windows within each window
+    of sources(source_event_id), zeros included. All sums of a source share one shuffle, of one row for each window."""
+    keys = ["source_event_id", "time_window_days", "distance_window_km"]
+    full = _grid(sources.select("source_event_id"), days, kilometres).join(counts, keys, "left")
+    for along, across in (keys[1:], keys[:0:-1]):
+        order = Window.partitionBy("source_event_id", across).orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
+        full = full.withColumns({c: F.sum(F.coalesce(c, F.lit(0).cast("long"))).over(order) for c in counts.columns if c not in keys})
+    return full
+
+
 def _edges(profile_start: datetime, profile_end: datetime) -> dict[str, Column]:
     if profile_start >= profile_end:
         raise ValueError("profile_start must be earlier than profile_end")
@@ -114,14 +141,14 @@ def windows(
     kilometres: Sequence[float] = KILOMETRES,
 ) -> DataFrame:
     """Counts of events before and after each source within each time and distance window, zeros included."""
-    catalog = with_context(eligible(events, minimum_magnitude), associations)
+    catalog = cut(with_context(eligible(events, minimum_magnitude), associations))
     met = close_pairs(catalog, max(days), max(kilometres))
     pair = [plate_pair(F.col(f"{s}.left_plate"), F.col(f"{s}.right_plate")) for s in ("l", "r")]
     flags = {
         "same_pair": F.coalesce(pair[0] == pair[1], F.lit(False)),
         "same_boundary": F.coalesce(F.col("l.boundary_id") == F.col("r.boundary_id"), F.lit(False)),
     }
-    # A pair lies after its earlier and before its later event.
+    # A pair lies after its earlier and before its later event: two rows.
     seen = met.select(
         F.explode(
             F.array(
@@ -129,14 +156,12 @@ def windows(
                 F.struct(F.col("r.event_id").alias("source_event_id"), F.lit(False).alias("post")),
             )
         ).alias("e"),
-        "lag_days",
-        "distance_km",
+        _smallest(F.col("lag_days"), days).alias("time_window_days"),
+        _smallest(F.col("distance_km"), kilometres).alias("distance_window_km"),
         *(c.alias(n) for n, c in flags.items()),
-    ).select("e.*", "lag_days", "distance_km", *flags)
-    hit = _grid(seen, days, kilometres).where("lag_days <= time_window_days and distance_km <= distance_window_km")
-    keys = ["source_event_id", "time_window_days", "distance_window_km"]
+    ).select("e.*", "time_window_days", "distance_window_km", *flags)
     kinds = {"all": F.lit(True), "same_plate_pair": F.col("same_pair"), "same_boundary": F.col("same_boundary")}
-    counts = hit.groupBy(*keys).agg(
+    counts = seen.groupBy("source_event_id", "time_window_days", "distance_window_km").agg(
         *(
             F.count_if(cond & (F.col("post") == (side == "post"))).alias(f"{side}_count_{kind}")
             for kind, cond in kinds.items()
@@ -152,11 +177,10 @@ def windows(
         seismic_moment(F.col("magnitude"), F.col("magnitude_type")).alias("source_moment_nm"),
         *(F.col(c).alias(f"source_{c}") for c in context),
     )
-    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in counts.columns if c not in keys}
     return (
-        _grid(sources, days, kilometres)
-        .join(counts, keys, "left")
-        .withColumns(zero | _edges(profile_start, profile_end))
+        _summed(counts, sources, days, kilometres)
+        .join(sources, "source_event_id")
+        .withColumns(_edges(profile_start, profile_end))
         .withColumn("source_has_plate_context", F.col("source_boundary_id").isNotNull())
     )
 
@@ -168,13 +192,34 @@ def _totals(kind: str, use: Column) -> list[Column]:
         F.coalesce(F.sum(F.when(use, pre)), zero).alias(f"pre_{kind}_count"),
         F.coalesce(F.sum(F.when(use, post)), zero).alias(f"post_{kind}_count"),
         F.avg(F.when(use, change)).alias(f"mean_post_minus_pre_{kind}"),
-        F.median(F.when(use, change)).alias(f"median_post_minus_pre_{kind}"),
         F.count_if(use & (change > 0)).alias(f"source_post_gt_pre_{kind}_count"),
         F.count_if(use & (change == 0)).alias(f"source_post_eq_pre_{kind}_count"),
         F.count_if(use & (change < 0)).alias(f"source_post_lt_pre_{kind}_count"),
     ]
 
 
+def _with_medians(totals: DataFrame, observations: DataFrame, keys: Sequence[str], uses: dict[str, Column]) -> DataFrame:
+    """totals by keys with the exact median of post minus pre of each kind.
+
+    Differences are whole numbers, so how often each occurs is counted first, before the shuffle; the middle one is then
+    where the running count passes half. No group's values are held.
+    """
+    changes = (F.struct(F.lit(k).alias("kind"), F.when(use, F.col(f"post_count_{k}") - F.col(f"pre_count_{k}")).alias("change")) for k, use in uses.items())
+    each = observations.select(*keys, F.explode(F.array(*changes)).alias("m")).select(*keys, "m.kind", "m.change")
+    counted = each.where("change is not null").groupBy(*keys, "kind", "change").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*keys, "kind")
+    running = F.sum("n").over(group.orderBy("change").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumns({"upto": running, "total": F.sum("n").over(group)})
+
+    def middle(kind: str, at: Column) -> Column:
+        return F.min(F.when((F.col("kind") == kind) & (F.col("upto") > F.floor(at / 2)), F.col("change")))
+
+    medians = placed.groupBy(*keys).agg(
+        *(((middle(k, F.col("total") - 1) + middle(k, F.col("total"))) / 2).alias(f"median_post_minus_pre_{k}") for k in uses)
+    )
+    return totals.join(medians, list(keys), "left")
+
+
 def _derived(kinds: Sequence[str]) -> dict[str, Column]:
     made = {}
     for k in kinds:
@@ -190,12 +235,13 @@ def cumulative(observations: DataFrame, *keys: str) -> DataFrame:
     """Totals over edge-eligible sources by window, those of same_* over sources with plate context."""
     edge = F.col("edge_eligible")
     placed = edge & F.col("source_has_plate_context")
-    made = observations.groupBy(*keys, "time_window_days", "distance_window_km").agg(
+    uses, by = {k: edge if k == "all" else placed for k in RADIAL}, (*keys, "time_window_days", "distance_window_km")
+    made = observations.groupBy(*by).agg(
         F.count_if(edge).alias("eligible_source_count"),
         F.count_if(placed).alias("plate_context_source_count"),
-        *(c for k in RADIAL for c in _totals(k, edge if k == "all" else placed)),
+        *(c for k, use in uses.items() for c in _totals(k, use)),
     )
-    return made.withColumns(_derived(RADIAL))
+    return _with_medians(made, observations, by, uses).withColumns(_derived(RADIAL))
 
 
 def by_threshold(observations: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
@@ -242,7 +288,7 @@ def along_pairs(
     projected = project(catalog, fail_on_duplicates(associations, "event_id"), steps).select(
         "event_id", "step_id", "boundary_id", "left_plate", "right_plate", "boundary_class", "distance_from_start_km", "distance_to_end_km"
     )
-    met = close_pairs(catalog.join(projected, "event_id", "left"), max_lag_days, max_along_km + 2 * max_offset_km)
+    met = close_pairs(cut(catalog.join(projected, "event_id", "left")), max_lag_days, max_along_km + 2 * max_offset_km)
     shown = []
     for side, name in (("l", "earlier"), ("r", "later")):
         fields = ("event_id", "time", "magnitude", "step_id", "boundary_id", "left_plate", "right_plate", "boundary_class")
@@ -296,17 +342,26 @@ def along_windows(
     near = found.where((F.col("route_status") == AVAILABLE) & (F.col("lag_days") <= max(days))).where(
         F.least(along, radial) <= max(kilometres)
     )
+    windows_of = {"along_boundary": along, "routed_radial": radial}
     ends = [
-        near.select(F.col(f"{side}_event_id").alias("source_event_id"), F.lit(side == "earlier").alias("post"), "lag_days", along, radial)
+        near.select(
+            F.col(f"{side}_event_id").alias("source_event_id"),
+            F.lit(side == "earlier").alias("post"),
+            _smallest(F.col("lag_days"), days).alias("time_window_days"),
+            *(_smallest(m, kilometres).alias(k) for k, m in windows_of.items()),
+        )
         for side in ("earlier", "later")
     ]
-    hit = _grid(ends[0].unionByName(ends[1]), days, kilometres).where("lag_days <= time_window_days")
-    keys = ["source_event_id", "time_window_days", "distance_window_km"]
-    measure = {"along_boundary": along, "routed_radial": radial}
-    counts = hit.groupBy(*keys).agg(
+    # First by both distance windows, two rows a pair; then each measure's own window.
+    cells = ends[0].unionByName(ends[1]).groupBy("source_event_id", "time_window_days", *windows_of).agg(
+        F.count_if(~F.col("post")).alias("pre"), F.count_if("post").alias("post")
+    )
+    apart = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("distance_window_km")) for k in windows_of)))
+    each = cells.select("source_event_id", "time_window_days", "pre", "post", apart.alias("m")).select("*", "m.*").where("distance_window_km is not null")
+    counts = each.groupBy("source_event_id", "time_window_days", "distance_window_km").agg(
         *(
-            F.count_if((m <= F.col("distance_window_km")) & (F.col("post") == (side == "post"))).alias(f"{side}_count_{k}")
-            for k, m in measure.items()
+            F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(side))), F.lit(0)).alias(f"{side}_count_{k}")
+            for k in windows_of
             for side in ("pre", "post")
         )
     )
@@ -320,17 +375,15 @@ def along_windows(
         *(F.col(c).alias(f"source_{c}") for c in context),
         F.col("distance_to_boundary_km").alias("source_distance_to_boundary_km"),
     )
-    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in counts.columns if c not in keys}
-    return _grid(sources, days, kilometres).join(counts, keys, "left").withColumns(zero | _edges(profile_start, profile_end))
+    return _summed(counts, sources, days, kilometres).join(sources, "source_event_id").withColumns(_edges(profile_start, profile_end))
 
 
 def along_statistics(observations: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """Totals of edge-eligible sources by threshold and window."""
     edge = F.col("edge_eligible")
-    made = by_threshold(observations, thresholds).groupBy("source_minimum_magnitude", "time_window_days", "distance_window_km").agg(
-        F.count_if(edge).alias("eligible_source_count"), *(c for k in ALONG for c in _totals(k, edge))
-    )
-    return made.withColumns(_derived(ALONG))
+    strata, by = by_threshold(observations, thresholds), ("source_minimum_magnitude", "time_window_days", "distance_window_km")
+    made = strata.groupBy(*by).agg(F.count_if(edge).alias("eligible_source_count"), *(c for k in ALONG for c in _totals(k, edge)))
+    return _with_medians(made, strata, by, dict.fromkeys(ALONG, edge)).withColumns(_derived(ALONG))
 
 
 def along_coverage(found: DataFrame) -> DataFrame:

@@ -7,9 +7,15 @@ the date line need no special care.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,20 +30,25 @@ def _cube(lat: Column, lon: Column, size_km: float) -> list[Column]:
     return [F.floor(x * (EARTH_KM / size_km)).cast("int") for x in (v.x, v.y, v.z)]
 
 
-def with_cube(df: DataFrame, size_km: float, spread: bool = False, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """df with cx, cy, cz: its own cube, or with spread a row for each of the 27 cubes around."""
-    own = dict(zip(("cx", "cy", "cz"), _cube(F.col(lat), F.col(lon), size_km), strict=True))
-    placed = df.withColumns(own)
-    if spread:
-        for c in own:
-            placed = placed.withColumn(c, F.explode(F.array(*(F.col(c) + d for d in (-1, 0, 1)))))
+CUBE = ("cx", "cy", "cz")
+
+
+def with_cube(df: DataFrame, size_km: float, spread: Sequence[str] = (), lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """df with cx, cy, cz, its cube; a row for the cube before, the own one and the next along every axis of spread."""
+    placed = df.withColumns(dict(zip(CUBE, _cube(F.col(lat), F.col(lon), size_km), strict=True)))
+    for c in spread:
+        placed = placed.withColumn(c, F.explode(F.array(*(F.col(c) + d for d in (-1, 0, 1)))))
     return placed
 
 
 def near_pairs(left: DataFrame, right: DataFrame, size_km: float, condition: Column | None = None) -> DataFrame:
-    """Rows of left and right (aliases l and r, columns latitude and longitude) within size_km, with distance_km."""
-    a, b = with_cube(left, size_km).alias("l"), with_cube(right, size_km, spread=True).alias("r")
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("cx", "cy", "cz")]
+    """Rows of left and right (aliases l and r, columns latitude and longitude) within size_km, with distance_km.
+
+    One side is spread along one axis and the other along two, 12 rows for a pair of rows instead of 28, and every two
+    rows of neighbouring cubes still meet once.
+    """
+    a, b = with_cube(left, size_km, CUBE[:1]).alias("l"), with_cube(right, size_km, CUBE[1:]).alias("r")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in CUBE]
     on = same[0] & same[1] & same[2]
     joined = a.join(b, on if condition is None else on & condition)
     distance = haversine_km(F.col("l.latitude"), F.col("l.longitude"), F.col("r.latitude"), F.col("r.longitude"))
@@ -73,55 +84,150 @@ def centroid(df: DataFrame, *keys: str) -> DataFrame:
     return sums.select(*keys, guarded.alias("centroid_latitude"), mean.lon().alias("centroid_longitude"), "event_count")
 
 
+def _cell(lat: Column, lon: Column, side_km: float) -> Column:
+    v = Vector.at(lat, lon)
+    return F.struct(*(F.floor(x * (EARTH_KM / side_km)).alias(n) for x, n in ((v.x, "x"), (v.y, "y"), (v.z, "z"))))
+
+
+def _moved(cell: Column, by: Column) -> Column:
+    return F.struct(*((cell[c] + by[c]).alias(c) for c in "xyz"))
+
+
+def _direction(by: Column) -> Column:
+    """One of 27 numbers for the signs of a step between cells."""
+    x, y, z = (F.signum(by[c].cast("double")).cast("int") + 1 for c in "xyz")
+    return 9 * x + 3 * y + z
+
+
+def _outermost() -> Column:
+    """For each of the 27 directions the outermost point (latitude, longitude) of a group."""
+    v, point = Vector.at(F.col("latitude"), F.col("longitude")), F.struct("latitude", "longitude")
+    steps = (-1, 0, 1)
+    return F.array(*(F.max_by(point, a * v.x + b * v.y + c * v.z) for a in steps for b in steps for c in steps))
+
+
+def _apart(a: str, b: str) -> Column:
+    return haversine_km(*(F.col(f"{s}.{c}") for s in (a, b) for c in ("latitude", "longitude")))
+
+
+def _reaches(point: str, cell: Column, side_km: float, chord_km: float) -> Column:
+    """Whether a point lies within a chord of the box of a cell."""
+    v = Vector.at(F.col(f"{point}.latitude"), F.col(f"{point}.longitude"))
+    gaps = [F.greatest(F.lit(0.0), cell[c] * side_km - x * EARTH_KM, x * EARTH_KM - (cell[c] + 1) * side_km) for c, x in (("x", v.x), ("y", v.y), ("z", v.z))]
+    return gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2] <= (chord_km * (1 + 1e-6)) ** 2
+
+
 def dbscan(df: DataFrame, position: str, eps_km: float, min_samples: int) -> DataFrame:
     """(position, cluster_id): density clusters, numbered by their first core point in position order; -1 is noise.
 
     min_samples counts the point itself; a border point goes to the first cluster it touches. Points of equal
-    coordinates are one weighted point, so repeated epicentres don't multiply pairs.
+    coordinates are one weighted point.
+
+    Points lie in cells whose diagonal is eps_km, so that the points of a cell are neighbours. A cell of min_samples
+    points is all core without a distance; only points of emptier cells are counted around. The core points of a cell
+    are one cluster, so what is linked are cells: by the outermost points that face each other, and, between cells that
+    this leaves in different clusters, by the points near the other cell. No pair of points is ever written, and a dense
+    spot costs as many rows as it has points.
     """
     if eps_km <= 0 or min_samples < 1:
         raise ValueError("eps_km must be positive and min_samples at least 1")
+    chord_km = 2 * EARTH_KM * math.sin(min(eps_km / (2 * EARTH_KM), math.pi / 2))
+    side_km = chord_km / math.sqrt(3) * (1 - 1e-6)
     points = df.select(
         F.col(position).cast("long").alias("position"),
         F.col("latitude").cast("double").alias("latitude"),
         F.col("longitude").cast("double").alias("longitude"),
     )
-    spots = cut(points.groupBy("latitude", "longitude").agg(F.min("position").alias("id"), F.count(F.lit(1)).alias("n")))
-    links = cut(near_pairs(spots, spots, eps_km).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("r.n").alias("n")))
-    cores = cut(links.groupBy("a").agg(F.sum("n").alias("weight")).where(F.col("weight") >= min_samples).select("a"))
-    linked = links.join(cores.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
-    joined = connected_components(linked.join(cores, "a", "left_semi"))
-    roots = cores.join(joined.withColumnRenamed("node", "a"), "a", "left").select(
-        "a", F.coalesce("component", "a").alias("component")
+    spots = points.groupBy("latitude", "longitude").agg(F.min("position").alias("id"), F.count(F.lit(1)).alias("n"))
+    spots = cut(spots.withColumn("cell", _cell(F.col("latitude"), F.col("longitude"), side_km)))
+    cells = cut(spots.groupBy("cell").agg((F.sum("n") >= min_samples).alias("full")))
+    steps = [F.struct(*(F.lit(d).alias(c) for d, c in zip(s, "xyz", strict=True))) for s in itertools.product(range(-2, 3), repeat=3)]
+    stepped = cells.select("cell", "full", F.explode(F.array(*steps)).alias("by")).withColumn("other", _moved(F.col("cell"), F.col("by")))
+    beside = cut(stepped.join(cells.select(F.col("cell").alias("other")), "other", "left_semi"))
+    within = _apart("p", "q") <= eps_km
+    sparse = spots.join(beside.where("not full").select("cell", "other"), "cell").alias("p")
+    around = sparse.join(spots.alias("q"), F.col("p.other") == F.col("q.cell")).where(within)
+    counted = around.groupBy("p.id").agg(F.sum("q.n").alias("weight")).where(F.col("weight") >= min_samples).select("id")
+    full = spots.join(cells.where("full").select("cell"), "cell", "left_semi")
+    cores = cut(full.unionByName(spots.join(counted, "id", "left_semi")).select("id", "latitude", "longitude", "cell"))
+    roots = cut(cores.groupBy("cell").agg(F.min("id").alias("root"), _outermost().alias("ends")))
+    half = beside.where("(by.x, by.y, by.z) > (0, 0, 0)").select("cell", "other", "by")
+    one, two = roots.toDF("cell", "a", "a_ends"), roots.toDF("other", "b", "b_ends")
+    facing = half.join(one, "cell").join(two, "other").select(
+        "cell", "other", "a", "b", F.get("a_ends", _direction(F.col("by"))).alias("p"), F.get("b_ends", 26 - _direction(F.col("by"))).alias("q")
     )
+    met = cut(facing.select("cell", "other", "a", "b", within.alias("near")))
+    links = met.where("near").select("a", "b")
+    joined = cut(connected_components(links))
+    names = [joined.toDF(n, f"{n}_component") for n in ("a", "b")]
+    unsure = met.where("not near").join(names[0], "a", "left").join(names[1], "b", "left")
+    unsure = cut(unsure.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("cell", "other", "a", "b"))
+    if not unsure.isEmpty():
+        p = unsure.join(cores, "cell").withColumnRenamed("cell", "own").alias("p")
+        p = p.where(_reaches("p", F.col("p.other"), side_km, chord_km))
+        q = unsure.select(F.col("a").alias("c"), F.col("b").alias("d"), "cell", F.col("other").alias("own")).join(cores.withColumnRenamed("cell", "own"), "own").alias("q")
+        q = q.where(_reaches("q", F.col("q.cell"), side_km, chord_km))
+        more = p.join(q, (F.col("p.a") == F.col("q.c")) & (F.col("p.b") == F.col("q.d"))).where(within).select("p.a", "p.b").distinct()
+        joined = cut(connected_components(links.unionByName(more)))
+    labelled = roots.select("cell", "root").join(joined.withColumnRenamed("node", "root"), "root", "left")
+    labelled = cut(labelled.select("cell", F.coalesce("component", "root").alias("component")))
+    core_labels = cores.join(labelled, "cell").select("id", "component")
+    border = sparse.join(cores.select("id"), "id", "left_anti").alias("p").join(cores.join(labelled, "cell").alias("q"), F.col("p.other") == F.col("q.cell"))
+    border_labels = border.where(within).groupBy("p.id").agg(F.min("q.component").alias("component"))
     # The smallest id of a component is its first core position; one row for each cluster is numbered.
-    numbers = roots.select("component").distinct().withColumn(
+    numbers = labelled.select("component").distinct().withColumn(
         "cluster_id", (F.row_number().over(Window.orderBy("component")) - 1).cast("long")
     )
-    core_labels = roots.join(numbers, "component").select(F.col("a").alias("b"), "cluster_id")
-    labels = linked.join(core_labels, "b").groupBy("a").agg(F.min("cluster_id").alias("cluster_id"))
-    own = core_labels.select(F.col("b").alias("a"), F.col("cluster_id").alias("own"))
-    by_spot = spots.join(labels, spots.id == labels.a, "left").drop("a").join(own, F.col("id") == own.a, "left").select(
-        "latitude", "longitude", F.coalesce("own", "cluster_id", F.lit(-1).cast("long")).alias("cluster_id")
-    )
+    labels = core_labels.unionByName(border_labels).join(numbers, "component").select("id", "cluster_id")
+    by_spot = spots.join(labels, "id", "left").select("latitude", "longitude", F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id"))
     return points.join(by_spot, ["latitude", "longitude"]).select("position", "cluster_id")
 
 
 def cluster_statistics(labelled: DataFrame) -> DataFrame:
-    """For each cluster of labelled(position, latitude, longitude, cluster_id): size, centre, radius, mean distance
-    to the centre and member positions in order."""
+    """For each cluster of labelled(position, latitude, longitude, cluster_id): size, centre, radius and mean distance
+    to the centre."""
     members = labelled.where("cluster_id >= 0")
     centres = centroid(members, "cluster_id")
     distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col("centroid_latitude"), F.col("centroid_longitude"))
     spread = members.join(centres.drop("event_count"), "cluster_id").withColumn("d", distance)
     return spread.groupBy("cluster_id", "centroid_latitude", "centroid_longitude").agg(
-        F.count(F.lit(1)).alias("event_count"),
-        F.max("d").alias("radius_km"),
-        F.avg("d").alias("mean_distance_km"),
-        F.array_sort(F.collect_list("position")).alias("member_indices"),
+        F.count(F.lit(1)).alias("event_count"), F.max("d").alias("radius_km"), F.avg("d").alias("mean_distance_km")
     )
 
 
+def cluster_members(labelled: DataFrame) -> DataFrame:
+    """(cluster_id, position) of all members: a row each, however large a cluster is."""
+    return labelled.where("cluster_id >= 0").select("cluster_id", "position")
+
+
+def swarm_ids(members: DataFrame) -> DataFrame:
+    """(cluster_id, swarm_id): a digest of the members' positions as text, in order of that text.
+
+    The members of a cluster pass through one task in order, which holds a running digest and never the list.
+    """
+
+    def digests(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for part in parts:
+            ids, texts = part["cluster_id"].to_numpy(), part["text"].to_numpy()
+            ends = np.append(np.nonzero(ids[1:] != ids[:-1])[0] + 1, len(ids))
+            done, start = [], 0
+            for end in ends[ends > 0]:
+                lead = "\x1f"
+                if at is None or ids[start] != at:
+                    if at is not None:
+                        done.append((at, f"swarm-{state.hexdigest()[:12]}"))
+                    at, state, lead = ids[start], hashlib.sha256(), ""
+                state.update((lead + "\x1f".join(texts[start:end])).encode())
+                start = end
+            yield pd.DataFrame(done, columns=["cluster_id", "swarm_id"])
+        if at is not None:
+            yield pd.DataFrame([(at, f"swarm-{state.hexdigest()[:12]}")], columns=["cluster_id", "swarm_id"])
+
+    dealt = members.select("cluster_id", F.col("position").cast("string").alias("text")).repartition("cluster_id")
+    return dealt.sortWithinPartitions("cluster_id", "text").mapInPandas(digests, "cluster_id long, swarm_id string")
+
+
 @dataclass(frozen=True)
 class SwarmConfig:
     eps_km: float = 10.0
@@ -186,15 +292,14 @@ def swarms(df: DataFrame, config: SwarmConfig = SwarmConfig(), reference: dateti
     ends = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
     shift_km, turn = haversine_km(*ends), bearing(*ends)
     area = F.pi() * F.col("radius_km") * F.col("radius_km")
-    text = F.array_sort(F.transform("member_indices", lambda x: x.cast("string")))
     rate_days = F.when(F.col("duration_days") > 0, F.col("duration_days")).otherwise(1.0)
     return (
         stats.join(basics, "cluster_id")
+        .join(swarm_ids(cluster_members(labelled)), "cluster_id")
         .join(early, "cluster_id", "left")
         .join(late, "cluster_id", "left")
         .withColumns(
             {
-                "swarm_id": F.concat(F.lit("swarm-"), F.substring(F.sha2(F.array_join(text, "\x1f").cast("binary"), 256), 1, 12)),
                 "event_rate_per_day": F.col("event_count") / rate_days,
                 "spatial_density_events_per_sq_km": F.when(area > 0, F.col("event_count") / area),
                 "magnitude_trend": _trend(F.col("magnitude_slope"), config.tolerance),

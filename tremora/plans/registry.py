@@ -50,9 +50,17 @@ def _clustered(spark: SparkSession, d: str) -> DataFrame:
     return spatial.dbscan(_positions(located(spark, d)), "position", EPS_KM, MIN_SAMPLES)
 
 
+def _cluster_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of each cluster, and the number of its members."""
+    labelled = cut(_positions(located(spark, d)).join(_clustered(spark, d), "position"))
+    sizes = spatial.cluster_members(labelled).groupBy("cluster_id").agg(F.count(F.lit(1)).cast("int").alias("member_indices"))
+    return rounded(spatial.cluster_statistics(labelled).join(sizes, "cluster_id"))
+
+
 def _associations(spark: SparkSession, d: str) -> DataFrame:
-    """Read several times by every study, so it is computed once."""
-    return cut(context.nearest_boundary(located(spark, d), steps(spark, d), 25.0))
+    """Of the events that the studies select. Read several times by every study, so it is computed once."""
+    strong = interaction.eligible(located(spark, d), STUDY_MAGNITUDE)
+    return cut(context.nearest_boundary(strong, steps(spark, d), 25.0))
 
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
@@ -202,13 +210,9 @@ QUERIES: dict[str, Query] = {
     ),
     "geographic_centroid": lambda s, d: rounded(spatial.centroid(catalog(s, d), "magnitude_type"), 6),
     "dbscan_labels": _clustered,
-    "dbscan_clusters": lambda s, d: rounded(
-        spatial.cluster_statistics(_positions(located(s, d)).join(_clustered(s, d), "position")).withColumn(
-            "member_indices", F.size("member_indices")
-        )
-    ),
+    "dbscan_clusters": _cluster_statistics,
     "swarm_summary": lambda s, d: rounded(
-        spatial.swarms(_positions(located(s, d)), spatial.SwarmConfig(EPS_KM, MIN_SAMPLES)).drop("member_indices")
+        spatial.swarms(_positions(located(s, d)), spatial.SwarmConfig(EPS_KM, MIN_SAMPLES))
     ),
     "nearest_fault": lambda s, d: rounded(context.nearest(located(s, d), context.segments(faults(s, d)), "fault_id", 40.0)),
     "nearest_fault_scan": lambda s, d: rounded(
