@@ -58,13 +58,18 @@ def _cluster_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _associations(spark: SparkSession, d: str) -> DataFrame:
+    """Of all events."""
+    return cut(context.nearest_boundary(located(spark, d), steps(spark, d), 25.0))
+
+
+def _strong_associations(spark: SparkSession, d: str) -> DataFrame:
     """Of the events that the studies select. Read several times by every study, so it is computed once."""
     strong = interaction.eligible(located(spark, d), STUDY_MAGNITUDE)
     return cut(context.nearest_boundary(strong, steps(spark, d), 25.0))
 
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
-    return interaction.windows(located(spark, d), _associations(spark, d), *PROFILE, STUDY_MAGNITUDE, **WINDOWS)
+    return interaction.windows(located(spark, d), _strong_associations(spark, d), *PROFILE, STUDY_MAGNITUDE, **WINDOWS)
 
 
 def _along(spark: SparkSession, d: str, associations: DataFrame) -> DataFrame:
@@ -72,11 +77,11 @@ def _along(spark: SparkSession, d: str, associations: DataFrame) -> DataFrame:
 
 
 def _along_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _along(spark, d, _associations(spark, d))
+    return _along(spark, d, _strong_associations(spark, d))
 
 
 def _along_windows(spark: SparkSession, d: str) -> DataFrame:
-    near = _associations(spark, d)
+    near = _strong_associations(spark, d)
     return interaction.along_windows(
         located(spark, d), near, steps(spark, d), cut(_along(spark, d, near)), *PROFILE, STUDY_MAGNITUDE, **WINDOWS
     )
@@ -229,7 +234,7 @@ QUERIES: dict[str, Query] = {
     "network_summary": lambda s, d: network.network_summary(steps(s, d)),
     "network_distance": lambda s, d: network.shortest_paths(steps(s, d)),
     "interaction_pairs": lambda s, d: rounded(
-        interaction.pairs(located(s, d), _associations(s, d), **STUDY).drop("source_moment_nm", "target_moment_nm")
+        interaction.pairs(located(s, d), _strong_associations(s, d), **STUDY).drop("source_moment_nm", "target_moment_nm")
     ),
     "interaction_windows": lambda s, d: rounded(_windows(s, d).drop("source_moment_nm")),
     "interaction_cumulative": lambda s, d: rounded(interaction.stratified(_windows(s, d), LIMITS)),
@@ -258,7 +263,7 @@ QUERIES: dict[str, Query] = {
         )
     ),
     "major_pairs": lambda s, d: rounded(
-        dashboard.incident_pairs(interaction.pairs(located(s, d), _associations(s, d), **STUDY), dashboard.major_ids(located(s, d), 8.0))
+        dashboard.incident_pairs(interaction.pairs(located(s, d), _strong_associations(s, d), **STUDY), dashboard.major_ids(located(s, d), 8.0))
         .select("source_event_id", "target_event_id", "lag_days", "distance_km")
     ),
     "year_histogram": lambda s, d: dashboard.by_year(observed(s, d)),
