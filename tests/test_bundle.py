@@ -1,12 +1,14 @@
 """Named outputs and bundles: files, casts, reopening a study, checks of projections."""
 
+import json
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from tremora.operators import context, network
-from tremora.plans import bundle, dashboard
+from tremora.operators import context, interaction, network
+from tremora.plans import bundle, dashboard, research
 
 T0 = datetime(2020, 3, 1)
 
@@ -68,6 +70,69 @@ def test_bundle_is_reopened_and_brought_up_to_date(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{folder}/steps.csv").first()["left_plate"] == "NA"
 
 
+def test_study_round_trip(spark, tmp_path, monkeypatch):
+    """What write_bundle writes can be opened and studied again; a failure between tables leaves the old version."""
+    folder, events, lines = str(tmp_path / "bundle"), located(spark), steps(spark)
+    traces = spark.createDataFrame([("f0", [{"lat": 18.0, "lon": -67.0}, {"lat": 18.0, "lon": -66.0}])], "fault_id string, coordinates array<struct<lat:double,lon:double>>")
+    profile = research.Profile(datetime(2020, 2, 1), datetime(2020, 4, 1))
+    tables = research.studies(events, traces, lines, profile)
+    counts = research.write_bundle(tables, folder, profile, {"steps": {"title": "made up"}})
+    first = bundle.current(spark, folder)
+    assert first.number == 1 and first.metadata["rows"] == counts and first.metadata["sources"]["steps"] == {"title": "made up"}
+    before = {n: spark.read.parquet(first.tables[n]).collect() for n in bundle.ALONG_TABLES}
+    made = bundle.restudy_along(spark, folder, 7.0)
+    second = bundle.current(spark, folder)
+    assert second.number == 2 and made["along_boundary"]["minimum_magnitude"] == 7.0
+    assert second.tables["events"] == first.tables["events"] and second.tables["along_pairs"] != first.tables["along_pairs"]
+    assert 0 < made["along_boundary"]["rows"]["along_pairs"] < counts["along_pairs"] == len(before["along_pairs"])
+
+    written, real = [], DataFrameWriter.parquet
+
+    def failing(self, path, *args, **how):
+        written.append(path)
+        if len(written) == 3:
+            raise OSError("disk full")
+        return real(self, path, *args, **how)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+    with pytest.raises(OSError, match="disk full"):
+        bundle.restudy_along(spark, folder, 6.5)
+    monkeypatch.undo()
+    assert bundle.current(spark, folder) == second
+    kept = bundle.open_bundle(spark, folder, bundle.ALONG_TABLES, bundle.BUNDLE_VERSION)
+    assert kept["along_pairs"].count() == made["along_boundary"]["rows"]["along_pairs"]
+    with pytest.raises(RuntimeError, match="another version"):
+        bundle.commit(spark, folder, first, {"steps": lines}, {})
+    opened = bundle.open_bundle(spark, folder, second.tables)
+    shown = dashboard.write_dashboard(opened, str(tmp_path / "shown"))
+    row = spark.read.json(str(tmp_path / "shown/overview.json")).first()
+    assert (row["event_count"], row["m7_count"], row["m8_count"], row["plate_coverage_percent"], row["first_year"]) == (12, 6, 0, 100.0, 2020)
+    assert shown["events"] == 12 and shown["overview"] == 1 and shown["major_windows"] == 6 * 25 and 0 < shown["major_pairs"] <= counts["interaction_pairs"]
+    assert json.loads(spark.read.text(str(tmp_path / "shown/manifest.json")).first()["value"])["rows"] == shown
+    summary = interaction.along_summary(opened["along_windows"], opened["along_pairs"]).first()
+    assert len(summary["statistics"]) == made["along_boundary"]["rows"]["along_strata"] and summary["coverage"]["candidate_pair_count"] == made["along_boundary"]["rows"]["along_pairs"]
+    assert dashboard.overview(events.limit(0).withColumns({"boundary_id": F.lit("b"), "fault_id": F.lit("f")})).first()["plate_coverage_percent"] is None
+    paths = bundle.export_tables(spark, folder, str(tmp_path / "out"), ["steps", "along_strata"])
+    assert [spark.read.option("header", True).csv(x).count() for x in paths] == [2, made["along_boundary"]["rows"]["along_strata"]]
+    assert research.write_bundle({"steps": lines}, folder) == {"steps": 2} and bundle.current(spark, folder).number == 3
+
+
+@pytest.mark.parametrize("wrong", [(), (0.0, 1.0), (-1.0,), (float("inf"),), (float("nan"),)])
+def test_wrong_windows(wrong):
+    with pytest.raises(ValueError, match="positive and finite"):
+        interaction.window_limits(wrong)
+    assert interaction.window_limits((2, 1, 2.0)) == [1.0, 2.0]
+
+
+def test_activity_report_files(spark, tmp_path):
+    rows = [(f"e{k}", T0 + timedelta(hours=9 * k), 4.0 + k % 4, 5.0) for k in range(12)]
+    events = spark.createDataFrame(rows, "event_id string, event_time_utc timestamp, magnitude double, depth_km double")
+    paths = bundle.write_activity_report(events, str(tmp_path), "pr")
+    days = spark.read.option("header", True).csv(paths["daily_activity"])
+    assert days.count() == 5 and days.agg(F.sum(F.col("event_count").cast("int"))).first()[0] == 12
+    assert spark.read.json(paths["summary"]).first()["total_events"] == 12
+
+
 def test_projections_are_checked(spark):
     events, lines = located(spark), steps(spark)
     good = network.project(events, context.nearest_boundary(events, lines, 100.0), lines)

@@ -3,13 +3,17 @@
 import hashlib
 import json
 import os
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from threading import Thread
 from urllib.error import HTTPError
+from urllib.parse import parse_qs, urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
-from tremora.sources import boundaries, catalogs, fdsn, geojson, verified
+from tremora.plans import report
+from tremora.sources import boundaries, catalogs, fdsn, geojson, pinned, verified
 from tremora.sources.schemas import CATALOG
 from tremora.streaming import catalog_stream
 
@@ -238,6 +242,126 @@ def test_checksums(spark, tmp_path):
     assert not (tmp_path / "y").exists()
 
 
+def test_pins_gate_rows(spark, tmp_path):
+    """Right, wrong, missing and malformed pins, read by the executors; citations and configuration errors."""
+    lines = tmp_path / "steps.txt"
+    lines.write_text("1 AF-AN -0.4 -54.8 0.5 -54.7 60.5 80 13.2 66 10 2 -4000 2 :OTF*\n")
+    faults = tmp_path / "faults.json"
+    line = {"type": "Feature", "id": "f1", "geometry": {"type": "LineString", "coordinates": [[0, 1], [2, 3]]}, "properties": {"name": "One"}}
+    faults.write_text(json.dumps({"type": "FeatureCollection", "features": [line]}))
+
+    def configured(**shas):
+        found = {"faults": {"gem_global_active_faults": {"raw_url": faults.as_uri()}}, "plate_boundaries": {"bird_pb2002": {"raw_url": lines.as_uri(), "citation": {"title": "t"}, "role": "r", "doi": "d", "license": ""}}}
+        found["faults"]["gem_global_active_faults"]["observed_git_blob_sha"] = shas.get("faults") or verified.blob_sha1(faults.read_bytes())
+        found["plate_boundaries"]["bird_pb2002"]["observed_git_blob_sha"] = shas.get("steps") or verified.blob_sha1(lines.read_bytes()).upper()
+        path = tmp_path / "sources.json"
+        path.write_text(json.dumps(found))
+        return pinned.load_sources(spark, str(path))
+
+    good = configured()
+    assert [r["step_id"] for r in pinned.pinned_steps(spark, good).collect()] == ["pb2002-step-0001"]
+    assert [(r["fault_id"], r["coordinates"][1]["lat"]) for r in pinned.pinned_faults(spark, good).collect()] == [("f1", 3.0)]
+    with pytest.raises(Exception, match="has checksum"):
+        pinned.pinned_steps(spark, configured(steps="0" * 40)).collect()
+    with pytest.raises(Exception, match="40 digits"):
+        pinned.pinned_steps(spark, configured(steps="abc"))
+    gone = pinned.Pin("x", (tmp_path / "none").as_uri(), "0" * 40)
+    with pytest.raises(Exception, match="none"):
+        pinned.read_pinned(spark, [gone]).collect()
+    with pytest.raises(Exception, match="not UTF-8 JSON|not a FeatureCollection"):
+        pinned.read_pinned(spark, [pinned.pin(good, *pinned.PB2002)], "features").collect()
+    assert pinned.citation(good, *pinned.PB2002)["doi"] == "d" and "license" not in pinned.citation(good, *pinned.PB2002)
+    assert pinned.citation(pinned.DEFAULTS, *pinned.GEM)["license"] == "CC-BY-SA-4.0"
+    for wrong in (lambda: pinned.citation(good, *pinned.GEM), lambda: pinned.source(good, "faults", "none"), lambda: pinned.pin({"a": {"b": {}}}, "a", "b")):
+        with pytest.raises(pinned.SourceError):
+            wrong()
+    content = faults.read_bytes()
+    target = pinned.download_faults(tmp_path / "got.json", good, lambda _: content)
+    assert target.read_bytes() == content
+    other = b'{"type": "Feature"}'
+    with pytest.raises(pinned.SourceError, match="FeatureCollection"):
+        pinned.download_geojson("u", verified.blob_sha1(other), tmp_path / "no.json", lambda _: other)
+    assert not (tmp_path / "no.json").exists() and pinned.download_steps(tmp_path / "s.txt", good, lambda _: lines.read_bytes()).exists()
+
+
+def serve(tmp_path, features):
+    """A service of one answer, on this machine: count and query."""
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked = parse_qs(urlparse(self.path).query)
+            first, last = (datetime.fromisoformat(asked[k][0]) for k in ("starttime", "endtime"))
+            at = int(asked.get("offset", ["1"])[0]) - 1
+            chosen = [f for f in features if first <= datetime.fromtimestamp(f["properties"]["time"] / 1000, UTC).replace(tzinfo=None) < last]
+            body = {"count": len(chosen)} if "/count" in self.path else {"features": chosen[at : at + int(asked["limit"][0])]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    Thread(target=server.serve_forever, daemon=True).start()
+    return server, f"http://127.0.0.1:{server.server_port}"
+
+
+def test_downloads_and_builds(spark, tmp_path, monkeypatch, capsys):
+    """All three ways to ask give one merged, ordered catalog; a request that reaches the limit is an error."""
+    from tremora import cli
+
+    ms = int(datetime(2020, 1, 31, 22, tzinfo=UTC).timestamp() * 1000)
+    made = [feature(f"e{k}", -66 + k / 10, 18, 10, mag=2.0 + k, time=ms + k * 3_600_000, updated=ms, net="us") for k in range(5)]
+    made.append(feature("e1", -66, 18, 10, mag=9.0, time=ms + 3_600_000, updated=ms + 10**9, net="us"))
+    server, url = serve(tmp_path, made)
+    try:
+        query = fdsn.EventQuery(datetime(2020, 1, 15), datetime(2020, 3, 2))
+        assert [(q.start.day, q.end.month) for q in fdsn.monthly(query)] == [(15, 2), (1, 3), (1, 3)]
+        for by in ("planned", "month", "whole"):
+            got = [(r["event_id"], r["magnitude"]) for r in fdsn.download(spark, url, query, by).collect()]
+            assert got == [("e0", 2.0), ("e1", 9.0), ("e2", 4.0), ("e3", 5.0), ("e4", 6.0)]
+        with pytest.raises(ValueError, match="limit"):
+            fdsn.single(url, query, fdsn.fetch, 6)
+        assert len(fdsn.single(url, query, fdsn.fetch, 7)) == 6
+        box = {"min_latitude": 17, "max_latitude": 20, "min_longitude": -69, "max_longitude": -63.5}
+        regions = tmp_path / "regions.json"
+        regions.write_text(json.dumps({"default_region": "puerto-rico", "regions": {"Puerto Rico": {"name": "PR", "bounds": box, "default_minimum_magnitude": 1.0}, "off": {"enabled": False}}}))
+        monkeypatch.setattr(cli, "build_session", lambda: spark)
+        store = str(tmp_path / "store")
+        cli.main(["build", url, store, str(regions), "--start-year", "2020", "--end-year", "2020", "--by", "month", "--reports", str(tmp_path / "r")])
+        assert "'final_count': 5" in capsys.readouterr().out
+        assert spark.read.option("header", True).csv(str(tmp_path / "r/puerto_rico_daily_activity.csv")).count() == 2
+        cli.main(["report", store, "--store", "--region", "Puerto Rico", "--end", "2020-02-01T00:00:00"])
+        said = capsys.readouterr().out
+        assert "Observatory report: Puerto Rico" in said and "2020-01-31" in said
+        stored = report.stored_report(catalogs.CatalogStore(spark, store), "puerto rico").first()
+        assert stored["catalog"]["event_count"] == 5 and stored["region"] == "puerto rico"
+    finally:
+        server.shutdown()
+
+
+@pytest.mark.parametrize(
+    "change",
+    [{"regions": {}}, {"regions": []}, {"default_region": "none"}, {"regions": {"a": {"bounds": {"min_latitude": 1}}}},
+     {"regions": {"a": {"bounds": {"min_latitude": 5, "max_latitude": 1, "min_longitude": 0, "max_longitude": 1}}}}],
+)
+def test_wrong_region_dictionaries(spark, tmp_path, change):
+    box = {"min_latitude": 0, "max_latitude": 1, "min_longitude": 0, "max_longitude": 1}
+    path = tmp_path / "r.json"
+    path.write_text(json.dumps({"default_region": "a", "regions": {"a": {"bounds": box}}}))
+    found, default = catalogs.region_dictionary(spark, str(path))
+    assert default == "a" and found["a"].box == (0.0, 1.0, 0.0, 1.0)
+    path.write_text(json.dumps({"default_region": "a", "regions": {"a": {"bounds": box}}} | change))
+    with pytest.raises(ValueError):
+        catalogs.region_dictionary(spark, str(path))
+
+
+def test_wrong_queries():
+    for wrong in ({"south": -91.0}, {"east": 181.0}, {"minimum_magnitude": float("nan")}, {"minimum_magnitude": -3.0}, {"start": T0 + timedelta(9)}, {"end": datetime(2021, 1, 1, tzinfo=UTC)}):
+        with pytest.raises(ValueError):
+            fdsn.EventQuery(**{"start": T0, "end": T0 + timedelta(1)} | wrong)
+
+
 def test_stream_upsert_and_counts(spark, tmp_path):
     folder = str(tmp_path / "in")
     catalog(spark, [("a", T0, 1.0, T0), ("b", T0 + timedelta(40), 2.0, T0)]).write.parquet(folder)

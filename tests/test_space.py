@@ -173,6 +173,73 @@ def test_projection_and_routes(spark):
     assert route("e1", "e3", "all") == pytest.approx(110) and route("e1", "e3", "same_plate_pair") is None
 
 
+def random_network(spark, seed):
+    """A map with loops, dead ends, parallel steps, a lone ring and long chains, in two plate pairs."""
+    r = random.Random(seed)
+    where, rows = {}, []
+
+    def spot(n):
+        return where.setdefault(n, (round(r.uniform(-60, 60), 3), round(r.uniform(-170, 170), 3)))
+
+    def step(a, b):
+        pair = ("AF", "AN") if r.random() < 0.85 else ("NA", "PA")
+        if r.random() < 0.5:
+            a, b = b, a
+        rows.append((f"s{len(rows)}", "-".join(pair), *pair, "OTF", *spot(a), *spot(b), round(r.uniform(1, 90), 3)))
+
+    forks = [f"f{k}" for k in range(9)]
+    for k in range(16):
+        a, b = r.choice(forks), r.choice(forks)
+        chain = [a, *(f"c{k}.{j}" for j in range(r.randrange(5) + (a == b) * 2)), b if r.random() < 0.9 else f"end{k}"]
+        for x, y in zip(chain, chain[1:]):
+            step(x, y)
+    ring = [f"r{j}" for j in range(5)]
+    for x, y in zip(ring, ring[1:] + ring[:1]):
+        step(x, y)
+    return rows, spark.createDataFrame(rows, STEP)
+
+
+def all_distances(rows, key):
+    """Floyd and Warshall within each scope."""
+    best = {}
+    for row in rows:
+        a, b = (",".join(str(x) for x in row[k : k + 2]) for k in (5, 7))
+        for x, y in ((a, b), (b, a)):
+            best[key(row), x, y] = min(best.get((key(row), x, y), math.inf), row[9])
+            best[key(row), x, x] = 0.0
+    for scope in {k[0] for k in best}:
+        nodes = sorted({k[1] for k in best if k[0] == scope})
+        for m in nodes:
+            for x in nodes:
+                if (scope, x, m) in best:
+                    for y in nodes:
+                        if (scope, m, y) in best and best[scope, x, m] + best[scope, m, y] < best.get((scope, x, y), math.inf):
+                            best[scope, x, y] = best[scope, x, m] + best[scope, m, y]
+    return best
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_contracted_routes_compete(spark, seed, monkeypatch):
+    """On maps with loops, distances of contracted networks are those of the whole ones."""
+    monkeypatch.setattr(network, "CONTRACTED", 0)
+    rows, steps_df = random_network(spark, seed)
+    for scope, key in (("all", lambda r: "all"), ("same_plate_pair", lambda r: "|".join(sorted(r[2:4])))):
+        expected = all_distances(rows, key)
+        r = random.Random(seed)
+        nodes = r.sample(sorted({k[:2] for k in expected}), 14)
+        sources = spark.createDataFrame(nodes[:8], "scope_key string, n1 string")
+        targets = spark.createDataFrame(nodes[6:], "scope_key string, n string")
+        got = {(x["scope_key"], x["n1"], x["n2"]): x["km"] for x in network.shortest_paths(steps_df, scope, sources, targets).collect()}
+        for s in nodes[:8]:
+            for t in nodes[6:]:
+                wanted = expected.get((*s, t[1])) if s[0] == t[0] else None
+                assert got.get((*s, t[1])) == (None if wanted is None else pytest.approx(wanted)) or s[0] != t[0]
+        links = network.edges(steps_df).select(network._scope_key(scope).alias("scope_key"), "a", "b", "length_km")
+        needed = targets.unionByName(sources.withColumnRenamed("n1", "n"))
+        left = network.contracted(links, needed).collect()
+        assert len(left) < len(rows) * 0.8
+
+
 def test_identical_endpoints_fail(spark):
     with pytest.raises(Exception, match="identical endpoints"):
         network.edges(steps(spark, ("s3", "b", "A", "B", "c", 1.0, 1.0, 1.0, 1.0, 5.0))).collect()

@@ -48,6 +48,7 @@ def close_pairs(events: DataFrame, max_days: float, max_km: float) -> DataFrame:
     The earlier event is spread over two time buckets and one axis of space, the later one over the other two axes: 15
     rows for an event of both sides. Events are read several times.
     """
+    window_limits((max_days, max_km))
     size = min(max_km, 2 * EARTH_KM)
     timed = events.withColumn("day", _seconds(F.col("time")))
     bucket = F.floor(F.col("day") / max_days)
@@ -96,18 +97,26 @@ def pairs(
     )
 
 
+def window_limits(limits: Sequence[float]) -> list[float]:
+    """Distinct window lengths in order; an error unless there are some, all positive and finite."""
+    made = sorted({float(x) for x in limits})
+    if not made or not all(0 < x < float("inf") for x in made):
+        raise ValueError("windows must be positive and finite numbers")
+    return made
+
+
 def _grid(events: DataFrame, days: Sequence[float], kilometres: Sequence[float]) -> DataFrame:
     """events with a row for each time and distance window."""
-    return events.withColumn("time_window_days", F.explode(F.array(*(F.lit(d) for d in sorted(set(days)))))).withColumn(
-        "distance_window_km", F.explode(F.array(*(F.lit(k) for k in sorted(set(kilometres)))))
+    return events.withColumn("time_window_days", F.explode(F.array(*(F.lit(d) for d in window_limits(days))))).withColumn(
+        "distance_window_km", F.explode(F.array(*(F.lit(k) for k in window_limits(kilometres))))
     )
 
 
 def _smallest(value: Column, limits: Sequence[float]) -> Column:
     """The smallest of the limits that holds a value; null beyond all of them."""
     chain = None
-    for limit in sorted(set(limits)):
-        chain = (F if chain is None else chain).when(value <= limit, F.lit(float(limit)))
+    for limit in window_limits(limits):
+        chain = (F if chain is None else chain).when(value <= limit, F.lit(limit))
     return chain
 
 
@@ -400,3 +409,17 @@ def along_coverage(found: DataFrame) -> DataFrame:
         F.median(along).alias("median_along_boundary_distance_km"),
         F.median(F.when(radial > 0, along / radial)).alias("median_along_to_radial_ratio"),
     )
+
+
+def along_summary(observations: DataFrame, found: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """The along-boundary study as one row: coverage of the pairs, statistics by threshold and window, and their rings.
+
+    The nested tables have a row for each threshold and window, whatever the number of events.
+    """
+    strata = cut(along_statistics(observations, thresholds))
+    parts = {"statistics": strata, "rings": annular(strata, ALONG)}
+    made = along_coverage(found).select(F.struct("*").alias("coverage"))
+    for name, df in parts.items():
+        rows = F.array_sort(F.collect_list(F.struct(*sorted(df.columns, key=lambda c: c not in ("source_minimum_magnitude", "time_window_days")))))
+        made = made.crossJoin(F.broadcast(df.agg(rows.alias(name))))
+    return made

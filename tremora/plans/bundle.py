@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from dataclasses import dataclass
 from typing import Any
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremora.operators import daily, interaction
 from tremora.operators.lineage import cut
+from tremora.plans.dashboard import BUNDLE_VERSION
+from tremora.sources import commits
 
-#: Fixed value: the version of a bundle with along-boundary tables.
-BUNDLE_VERSION = 5
 #: Tables that a bundle needs before its along-boundary study can be run again.
 NEEDED = ("events", "boundary_associations", "steps")
 ALONG_TABLES = ("along_pairs", "along_windows", "along_strata", "along_rings", "along_coverage")
@@ -70,20 +72,63 @@ def write_activity_report(catalog: DataFrame, folder: str, name: str) -> dict[st
     return paths
 
 
+@dataclass(frozen=True)
+class Bundle:
+    """One version of a bundle: the folder of each table, and what is known of the study."""
+
+    number: int
+    tables: dict[str, str]
+    metadata: dict[str, Any]
+
+
+def _versions(folder: str) -> str:
+    return f"{folder}/versions"
+
+
+def current(spark: SparkSession, folder: str) -> Bundle:
+    """The newest version. A folder of tables beside a metadata.json, as write_tables and write_metadata make it, is
+    version 0."""
+    number = commits.newest(spark, _versions(folder))
+    if number:
+        said = json.loads(spark.read.text(commits.numbered(_versions(folder), number)).collect()[0]["value"])  # one line
+        return Bundle(number, {n: f"{folder}/{at}" for n, at in said["tables"].items()}, said["metadata"])
+    if not commits.exists(spark, f"{folder}/metadata.json"):
+        raise FileNotFoundError(f"{folder} lacks metadata.json")
+    names = [n for n in commits.listed(spark, folder) if n.endswith(".parquet")]
+    rows = spark.read.text(f"{folder}/metadata.json").collect()  # written as one row
+    return Bundle(0, {n.removesuffix(".parquet"): f"{folder}/{n}" for n in names}, json.loads(rows[0]["value"]))
+
+
+def commit(spark: SparkSession, folder: str, base: Bundle | None, tables: dict[str, DataFrame], metadata: dict[str, Any]) -> Bundle:
+    """The next version of a bundle: new tables beside those of base, which stay as they are.
+
+    Tables are written to a folder of their own first. Only when all are there is the list of what counts published, in
+    one step, so readers see the old version or the new one. Another writer's version in between is an error.
+    """
+    inside = f"tables-{uuid4().hex}"
+    write_tables(tables, f"{folder}/{inside}")
+    held = {n: path.removeprefix(f"{folder}/") for n, path in base.tables.items()} if base else {}
+    held |= {n: f"{inside}/{n}.parquet" for n in tables}
+    number = base.number + 1 if base else 1
+    text = json.dumps({"tables": held, "metadata": metadata}, sort_keys=True)
+    if not commits.publish(spark, commits.numbered(_versions(folder), number), text):
+        raise RuntimeError(f"another version {number} of {folder} was written meanwhile")
+    return Bundle(number, {n: f"{folder}/{at}" for n, at in held.items()}, metadata)
+
+
 def write_metadata(spark: SparkSession, folder: str, metadata: dict[str, Any]) -> None:
-    """One small row of JSON text."""
+    """One small row of JSON text, for a folder of plain tables."""
     row = spark.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "value string")
     row.coalesce(1).write.mode("overwrite").text(f"{folder}/metadata.json")
 
 
 def read_metadata(spark: SparkSession, folder: str) -> dict[str, Any]:
-    rows = spark.read.text(f"{folder}/metadata.json").collect()  # written as one row
-    return json.loads(rows[0]["value"])
+    return current(spark, folder).metadata
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def _flat(df: DataFrame) -> DataFrame:
+    """df with nested columns as JSON text."""
+    return df.withColumns({c: F.to_json(c) for c, kind in df.dtypes if kind.startswith(("array", "struct", "map"))})
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, csv: bool = False) -> None:
@@ -91,19 +136,32 @@ def write_tables(tables: dict[str, DataFrame], folder: str, csv: bool = False) -
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
         if csv:
-            nested = {c: F.to_json(c) for c, kind in df.dtypes if kind.startswith(("array", "struct", "map"))}
-            df.withColumns(nested).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+            _flat(df).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+
+
+def export_tables(spark: SparkSession, folder: str, target: str, names: Iterable[str] | None = None, kind: str = "csv") -> list[str]:
+    """Tables of the newest version as CSV or JSON under target; returns their paths."""
+    if kind not in ("csv", "json"):
+        raise ValueError("tables are exported as csv or json")
+    held, made = current(spark, folder).tables, []
+    for name in sorted(held) if names is None else names:
+        df = spark.read.parquet(held[name])
+        made.append(f"{target}/{name}.{kind}")
+        writer = (_flat(df) if kind == "csv" else df).write.mode("overwrite")
+        writer.option("header", True).csv(made[-1]) if kind == "csv" else writer.json(made[-1])
+    return made
 
 
 def open_bundle(spark: SparkSession, folder: str, needed: Iterable[str] = NEEDED, version: int | None = None) -> dict[str, DataFrame]:
-    """The needed tables of a bundle; a missing one, or another version than asked for, is an error."""
-    for name in ("metadata.json", *(f"{n}.parquet" for n in needed)):
-        if not _exists(spark, f"{folder}/{name}"):
+    """The needed tables of a bundle; a missing one, or another schema version than asked for, is an error."""
+    found = current(spark, folder)
+    for name in needed:
+        if name not in found.tables:
             raise FileNotFoundError(f"{folder} lacks {name}")
-    found = read_metadata(spark, folder).get("bundle_schema_version")
-    if version is not None and found != version:
-        raise ValueError(f"bundle of version {found}, not {version}")
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in needed}
+    schema = found.metadata.get("bundle_schema_version")
+    if version is not None and schema != version:
+        raise ValueError(f"bundle of version {schema}, not {version}")
+    return {n: spark.read.parquet(found.tables[n]) for n in needed}
 
 
 ASSOCIATIONS = (
@@ -120,11 +178,11 @@ def read_associations_csv(spark: SparkSession, path: str) -> DataFrame:
 def restudy_along(spark: SparkSession, folder: str, minimum_magnitude: float = 6.0, **limits: float) -> dict[str, Any]:
     """Run the along-boundary study of a stored bundle again, add its tables and bring the metadata up to date.
 
-    The metadata needs the profile's start and end. The new tables are written before the metadata, so a failure
-    leaves the old version.
+    The metadata needs the profile's start and end. All new tables and the metadata become visible in one step, so a
+    failure anywhere leaves the old version, which can be read all the while.
     """
-    kept, metadata = open_bundle(spark, folder), read_metadata(spark, folder)
-    start, end = (F.to_timestamp(F.lit(metadata["profile"][k])) for k in ("start", "end"))
+    base, kept = current(spark, folder), open_bundle(spark, folder)
+    start, end = (F.to_timestamp(F.lit(base.metadata["profile"][k])) for k in ("start", "end"))
     bounds = spark.range(1).select(start.alias("s"), end.alias("e")).first()
     events, plates, steps = (kept[n] for n in NEEDED)
     pairs = cut(interaction.along_pairs(events, plates, steps, minimum_magnitude, **limits))
@@ -132,8 +190,7 @@ def restudy_along(spark: SparkSession, folder: str, minimum_magnitude: float = 6
     strata = cut(interaction.along_statistics(windows))
     made = (pairs, windows, strata, interaction.annular(strata, interaction.ALONG), interaction.along_coverage(pairs))
     tables = dict(zip(ALONG_TABLES, made, strict=True))
-    write_tables(tables, folder)
-    counts = {n: spark.read.parquet(f"{folder}/{n}.parquet").count() for n in ALONG_TABLES}
-    metadata |= {"bundle_schema_version": BUNDLE_VERSION, "along_boundary": {"minimum_magnitude": minimum_magnitude, "rows": counts}}
-    write_metadata(spark, folder, metadata)
-    return metadata
+    counts = {n: tables[n].count() for n in ("along_pairs", "along_windows", "along_strata")}
+    said = {"minimum_magnitude": minimum_magnitude, "rows": counts}
+    metadata = base.metadata | {"bundle_schema_version": BUNDLE_VERSION, "along_boundary": said}
+    return commit(spark, folder, base, tables, metadata).metadata

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremora.operators.lineage import cut
+
 
 #: Lower ends of the magnitude bins and the magnitude of a major event.
 BINS = (6.0, 6.5, 7.0, 7.5, 8.0, 8.5, 9.0)
 MAJOR = 7.0
+#: Fixed value: the version of a bundle with along-boundary tables.
+BUNDLE_VERSION = 5
+STUDY = ("interaction_strata", "interaction_rings", "along_strata", "along_rings", "along_coverage")
 
 
 def denormalised(events: DataFrame, plates: DataFrame, faults: DataFrame) -> DataFrame:
@@ -126,3 +132,45 @@ def study_cells(strata: DataFrame) -> DataFrame:
     return strata.where(F.col(RATIOS[0]).isNotNull() & F.col(RATIOS[1]).isNotNull()).select(
         "source_minimum_magnitude", "time_window_days", "distance_window_km", *RATIOS
     )
+
+
+#: Least magnitudes that the overview counts.
+OVERVIEW = (7.0, 8.0, 9.0)
+
+
+def overview(events: DataFrame) -> DataFrame:
+    """One row over denormalised events: their number, those of magnitude 7, 8 and 9 or more, the years covered, and the
+    share with a plate boundary and with a fault in per cent (null without events)."""
+    n, value = F.count(F.lit(1)), F.col("magnitude")
+    share = lambda c: F.round(100 * F.count(c) / F.nullif(n, F.lit(0)), 1)
+    return events.agg(
+        n.alias("event_count"),
+        *(F.count_if(value >= low).alias(f"m{low:.0f}_count") for low in OVERVIEW),
+        F.min(F.year("time")).alias("first_year"),
+        F.max(F.year("time")).alias("last_year"),
+        share("boundary_id").alias("plate_coverage_percent"),
+        share("fault_id").alias("fault_coverage_percent"),
+    )
+
+
+def write_dashboard(tables: dict[str, DataFrame], folder: str, study: Sequence[str] = STUDY) -> dict[str, int]:
+    """The dashboard's JSON from the tables of an opened study: events, major pairs and windows, the study's statistics, an
+    overview, and last a manifest of row counts. Every table is a folder of part files; the manifest is one row."""
+    events = cut(denormalised(tables["events"], tables["boundary_associations"], tables["fault_associations"]))
+    major = cut(major_ids(events))
+    windows = tables["interaction_windows"]
+    shown = {
+        "events": events,
+        "major_pairs": incident_pairs(tables["interaction_pairs"], major),
+        "major_windows": windows.join(major, windows["source_event_id"] == major["event_id"], "left_semi"),
+        "overview": overview(events),
+        **{f"study/{name}": tables[name] for name in study if name in tables},
+    }
+    shown = {name: cut(df) for name, df in shown.items()}
+    for name, df in shown.items():
+        df.write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/{name}.json")
+    counts = manifest(**shown)
+    spark = events.sparkSession
+    row = spark.createDataFrame([(json.dumps({"bundle_schema_version": BUNDLE_VERSION, "rows": counts}, sort_keys=True),)], "value string")
+    row.coalesce(1).write.mode("overwrite").text(f"{folder}/manifest.json")
+    return counts

@@ -11,6 +11,7 @@ from tremora.functions.status import ACTIVITY, ENERGY, change_text, confidence,
 from tremora.operators import daily
 from tremora.operators.lineage import cut
 from tremora.operators.trend import IntelligenceConfig, SeriesConfig, intelligence, time_series, trend
+from tremora.sources.catalogs import CatalogStore, to_observatory
 
 
 def _latest(df: DataFrame, *columns: str) -> DataFrame:
@@ -20,8 +21,10 @@ def _latest(df: DataFrame, *columns: str) -> DataFrame:
 def observatory_report(df: DataFrame, region: str = "all") -> DataFrame:
     """One row: sections activity, energy, depth, magnitude, their statuses, confidence and the overall status.
 
-    An empty catalog gives no row. Daily tables hold a row per day, so everything past them is small.
+    An empty catalog gives no row. Daily tables hold a row per day, so everything past them is small. The catalog is
+    read once: its columns that the sections use are cut off first.
     """
+    df = cut(df.select(*(c for c in ("source", "event_id", "event_time_utc", "magnitude", "depth_km") if c in df.columns)))
     days = cut(daily.daily_activity(df))
     activity = _latest(
         daily.rolling_activity(days), "date", "event_count", "event_count_7d", "daily_average_7d",
@@ -71,7 +74,7 @@ def time_column_view(df: DataFrame) -> DataFrame:
 
 
 def intelligence_report(
-    df: DataFrame, config: SeriesConfig = SeriesConfig(), recent: int = 14, snapshot: IntelligenceConfig = IntelligenceConfig()
+    df: DataFrame, config: SeriesConfig = SeriesConfig(), recent: int = 14, snapshot: IntelligenceConfig = IntelligenceConfig(), region: str = "all"
 ) -> DataFrame:
     """The observatory report with the trend, the activity index and the latest periods of its time series."""
     series = cut(time_series(time_column_view(df), config))
@@ -79,7 +82,7 @@ def intelligence_report(
     latest = series.orderBy(F.desc("period_start")).limit(recent)
     nested = latest.agg(F.array_sort(F.collect_list(F.struct(*latest.columns))).alias("recent_periods"))
     return (
-        observatory_report(df)
+        observatory_report(df, region)
         .crossJoin(F.broadcast(trend(points).select(F.struct("*").alias("trend"))))
         .crossJoin(F.broadcast(intelligence(series, snapshot).select(F.struct("*").alias("intelligence"))))
         .crossJoin(F.broadcast(nested))
@@ -121,6 +124,41 @@ def render(row: Row, width: int = 72) -> str:
     return "\n".join(lines) + "\n"
 
 
+def render_intelligence(row: Row, width: int = 72) -> str:
+    """Plain text of one collected row of an intelligence report: the report, then trend, index and recent periods."""
+    def line(name: str, value: object, unit: str = "") -> str:
+        return f"{name:<36}{'unavailable' if value is None else f'{value}{unit}'}"
+
+    index, trend_row = row["intelligence"], row["trend"]
+    lines = [
+        "Activity index".center(width),
+        "-" * width,
+        line("Index", index["activity_index"]),
+        line("Periods in the index", index["index_period_count"]),
+        line("Movement", index["activity_trend"]),
+        line("Change", index["activity_change"]),
+        line("Confidence", f"{index['confidence']} ({index['confidence_score']} %)"),
+        line("Periods with a score", index["available_period_count"]),
+        line("Periods without", index["unavailable_period_count"]),
+        "-" * width,
+        *(line(name.replace("_", " ").capitalize(), trend_row[name]) for name in ("direction", "strength", "slope") if name in trend_row.asDict()),
+        "-" * width,
+        f"{'Period':<24}{'Events':>8}{'Score':>9}  Level",
+    ]
+    for p in sorted(row["recent_periods"] or [], key=lambda p: p["period_start"]):
+        score = "-" if p["score"] is None else f"{p['score']:.1f}"
+        lines.append(f"{p['period_start']!s:<24}{p['event_count']:>8}{score:>9}  {p['level'] or p['unavailable_reason'] or ''}")
+    return render(row, width) + "\n".join(lines) + "\n"
+
+
+def stored_report(store: CatalogStore, region: str, config: SeriesConfig | None = None, recent: int = 14) -> DataFrame:
+    """The report of a region of a store; with a configuration of series the intelligence report."""
+    events = to_observatory(store.load(region))
+    if config is None:
+        return observatory_report(events, region)
+    return intelligence_report(events, config, recent, region=region)
+
+
 def write_text(report: DataFrame, path: Path) -> None:
     """Text of the only row of a report, on the driver."""
     path.write_text(render(report.first()))

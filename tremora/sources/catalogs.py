@@ -8,13 +8,13 @@ from datetime import datetime, timedelta
 from functools import reduce
 from uuid import uuid4
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremora.operators import revisions
 from tremora.operators.lineage import cut, fits
 from tremora.operators.validation import query_filter, utc_time, within_box
+from tremora.sources import commits
 from tremora.sources.schemas import CATALOG, CATALOG_COLUMNS, EXPORT_COLUMNS, OBSERVATORY
 
 TIMES = ("time", "updated_at", "event_time_utc", "updated_time_utc")
@@ -125,28 +125,16 @@ class CatalogStore:
     def path(self, region: str) -> str:
         return f"{self.root}/region={region_key(region)}"
 
-    def _path(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _fs(self, path: str):
-        p = self._path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _listed(self, folder: str) -> list[str]:
-        fs, path = self._fs(folder)
-        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-
-    def _manifest(self, region: str, version: int) -> str:
-        return f"{self.path(region)}/versions/{version:012d}.json"
+    def _versions(self, region: str) -> str:
+        return f"{self.path(region)}/versions"
 
     def snapshot(self, region: str) -> Snapshot:
         """The newest version; version 0 has nothing."""
-        versions = [int(n.removesuffix(".json")) for n in self._listed(f"{self.path(region)}/versions") if n.endswith(".json") and n[0].isdigit()]
-        version = max(versions, default=0)
+        version = commits.newest(self.spark, self._versions(region))
         if not version:
             return Snapshot(0, {}, ())
         schema = "kind string, name string, folder string, rows long, place int"
-        rows = self.spark.read.schema(schema).json(self._manifest(region, version)).collect()  # months, and PARTS at most
+        rows = self.spark.read.schema(schema).json(commits.numbered(self._versions(region), version)).collect()  # months, and PARTS at most
         months = {r["name"]: (r["folder"], r["rows"]) for r in sorted(rows, key=lambda r: r["name"] or "") if r["kind"] == "month"}
         return Snapshot(version, months, tuple(r["folder"] for r in sorted(rows, key=lambda r: r["place"]) if r["kind"] == "index"))
 
@@ -158,25 +146,11 @@ class CatalogStore:
         """Add a version; False if another writer has added that one already."""
         lines = [{"kind": "month", "name": m, "folder": f, "rows": n, "place": 0} for m, (f, n) in made.months.items()]
         lines += [{"kind": "index", "name": "", "folder": f, "rows": 0, "place": k} for k, f in enumerate(made.index)]
-        target = self._manifest(region, made.version)
-        fs, path = self._fs(f"{self.path(region)}/versions/new-{uuid4().hex}")
-        out = fs.create(path)
-        out.write(bytearray("".join(json.dumps(x) + "\n" for x in lines).encode()))
-        out.close()
-        try:
-            self._rename(path, self._path(target))
-        except Py4JJavaError as error:
-            fs.delete(path, False)
-            if "FileAlreadyExists" in str(error.java_exception):
-                return False
-            raise
-        return True
+        text = "".join(json.dumps(x) + "\n" for x in lines)
+        return commits.publish(self.spark, commits.numbered(self._versions(region), made.version), text, self._rename)
 
     def _rename(self, source, target) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        how = self.spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
-        how[0] = hadoop.Options.Rename.NONE
-        hadoop.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(source, target, how)
+        commits.rename(self.spark, source, target)
 
     def _write(self, region: str, df: DataFrame) -> dict[str, tuple[str, int]]:
         """New files for the months of df, and their rows."""
@@ -184,7 +158,7 @@ class CatalogStore:
         # One shuffle by month and day, so that a month is several files and a task holds few months.
         dealt = df.select(*CATALOG_COLUMNS, _month().alias("month")).repartition("month", F.dayofmonth("time"))
         dealt.sortWithinPartitions("month", "time", "event_id", "source").write.partitionBy("month").parquet(folder)
-        names = {n.removeprefix("month="): f"{folder}/{n}" for n in self._listed(folder) if n.startswith("month=")}
+        names = {n.removeprefix("month="): f"{folder}/{n}" for n in commits.listed(self.spark, folder) if n.startswith("month=")}
         if not names:
             return {}
         counts = self.spark.read.schema(f"{CATALOG}, month string").parquet(folder).groupBy("month").count().collect()  # months
@@ -282,12 +256,12 @@ class CatalogStore:
         """Delete files and versions that no longer count; for when nobody reads or writes."""
         now = self.snapshot(region)
         used = {f.rsplit("/", 2)[-2] for f, _ in now.months.values()} | {f.rsplit("/", 1)[-1] for f in now.index}
-        stale = [f"{self.path(region)}/{n}" for n in self._listed(self.path(region)) if n != "versions" and n not in used]
-        kept = self._manifest(region, now.version).rsplit("/", 1)[-1]
-        stale += [f"{self.path(region)}/versions/{n}" for n in self._listed(f"{self.path(region)}/versions") if n != kept]
+        stale = [f"{self.path(region)}/{n}" for n in commits.listed(self.spark, self.path(region)) if n != "versions" and n not in used]
+        versions = self._versions(region)
+        kept = commits.numbered(versions, now.version)
+        stale += [f for n in commits.listed(self.spark, versions) if (f := f"{versions}/{n}") != kept]
         for name in stale:
-            fs, path = self._fs(name)
-            fs.delete(path, True)
+            commits.remove(self.spark, name)
 
     def update(self, region: str, incoming: DataFrame, start: datetime, end: datetime, box: tuple[float, float, float, float] | None = None, minimum_magnitude: float | None = None) -> DataFrame:
         """Merge what the query selects of incoming into the store; returns the counts of the merge."""
@@ -327,3 +301,30 @@ def load_regions(spark: SparkSession, path: str) -> dict[str, Region]:
         region_key(r["key"]): Region(region_key(r["key"]), r["name"], (r["south"], r["north"], r["west"], r["east"]), r["minimum_magnitude"] or 0.0)
         for r in rows
     }
+
+
+def region_dictionary(spark: SparkSession, path: str) -> tuple[dict[str, Region], str]:
+    """(enabled regions by key, the default one) from one JSON object {default_region, regions: {key: {name, bounds:
+    {min_latitude, max_latitude, min_longitude, max_longitude}, default_minimum_magnitude, enabled}}}. An error if a
+    bound is missing or no number, if bounds are out of order, or if the default isn't among them."""
+    lines = spark.read.text(path, wholetext=True).collect()  # one small file
+    said = json.loads(lines[0]["value"]) if lines else {}
+    listed = said.get("regions") if isinstance(said, dict) else None
+    if not isinstance(listed, dict) or not listed:
+        raise ValueError(f"{path} has no dictionary of regions")
+    found = {}
+    for name, held in listed.items():
+        try:
+            if not held.get("enabled", True):
+                continue
+            south, north, west, east = (float(held["bounds"][f"{end}_{axis}"]) for axis in ("latitude", "longitude") for end in ("min", "max"))
+        except (AttributeError, KeyError, TypeError, ValueError) as error:
+            raise ValueError(f"region {name}: incomplete bounds") from error
+        if not (-90 <= south < north <= 90 and -180 <= west < east <= 180):
+            raise ValueError(f"region {name}: bounds out of order")
+        key = region_key(name)
+        found[key] = Region(key, held.get("name") or name, (south, north, west, east), float(held.get("default_minimum_magnitude") or 0.0))
+    default = region_key(said.get("default_region") or next(iter(found), ""))
+    if default not in found:
+        raise ValueError(f"the default region {default} is not among the enabled ones")
+    return found, default

@@ -7,6 +7,7 @@ counts no more than the cap. Requests run on the executors and are retried there
 from __future__ import annotations
 
 import json
+import math
 import time as clock
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -15,11 +16,17 @@ from urllib.error import HTTPError, URLError
 from urllib.parse import urlencode
 from urllib.request import urlopen
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tremora.operators import revisions
+from tremora.sources import geojson
+
 SCHEMA = "feature string"
 LIMIT, CAP, DEPTH = 20_000, 18_000, 40
 SHORTEST = timedelta(days=1)
+LEAST_MAGNITUDE = -2.0
 RETRIES, BACKOFF_S, TIMEOUT_S = 3, 1.0, 60
 TRANSIENT = {429, 500, 502, 503, 504}
 
@@ -37,8 +44,14 @@ class EventQuery(InputPartition):
     minimum_magnitude: float = 0.0
 
     def __post_init__(self) -> None:
+        if (self.start.tzinfo is None) != (self.end.tzinfo is None):
+            raise ValueError("both times need a zone, or neither")
         if self.start >= self.end or self.south > self.north or self.west > self.east:
             raise ValueError("a query needs ordered bounds")
+        if not (-90 <= self.south and self.north <= 90 and -180 <= self.west and self.east <= 180):
+            raise ValueError("bounds must lie on the globe")
+        if not (math.isfinite(self.minimum_magnitude) and self.minimum_magnitude >= LEAST_MAGNITUDE):
+            raise ValueError(f"the least magnitude must be a number from {LEAST_MAGNITUDE} on")
 
     def parameters(self) -> dict[str, str]:
         return {
@@ -114,9 +127,29 @@ def pages(base: str, query: EventQuery, get: Callable[[str], bytes], limit: int
         offset, before = offset + limit, ids
 
 
+def single(base: str, query: EventQuery, get: Callable[[str], bytes], limit: int = LIMIT) -> list[str]:
+    """Features of one request as JSON text. As many as the limit may be cut off, and are an error."""
+    features = json.loads(get(f"{base}/query?{urlencode(query.parameters() | {'limit': limit})}"))["features"]
+    if len(features) >= limit:
+        raise ValueError(f"{query.start} to {query.end} reaches the limit of {limit} events; ask for less")
+    return [json.dumps(f) for f in features]
+
+
+def monthly(query: EventQuery) -> list[EventQuery]:
+    """The query in calendar months."""
+    spans = ((max(a, query.start.replace(tzinfo=None)), min(b, query.end.replace(tzinfo=None))) for a, b in months(query.start.year, query.end.year))
+    return [replace(query, start=a, end=b) for a, b in spans if a < b]
+
+
 class FdsnReader(DataSourceReader):
+    """Option by says what a partition is: planned (the default) by counts and read in pages; month or whole: one
+    request, which fails at the service's limit."""
+
     def __init__(self, options: dict[str, str]):
         self.base = options["url"].rstrip("/")
+        self.by = options.get("by", "planned")
+        if self.by not in ("planned", "month", "whole"):
+            raise ValueError("by must be planned, month or whole")
         self.query = EventQuery(
             datetime.fromisoformat(options["start"]),
             datetime.fromisoformat(options["end"]),
@@ -124,13 +157,17 @@ class FdsnReader(DataSourceReader):
         )
 
     def partitions(self) -> list[EventQuery]:
+        if self.by != "planned":
+            return [self.query] if self.by == "whole" else monthly(self.query)
+
         def count(q: EventQuery) -> int:
             return int(json.loads(fetch(f"{self.base}/count?{urlencode(q.parameters())}"))["count"])
 
         return plan(self.query, count)
 
     def read(self, partition: EventQuery) -> Iterator[tuple[str]]:
-        for feature in pages(self.base, partition, fetch):
+        found = pages(self.base, partition, fetch) if self.by == "planned" else single(self.base, partition, fetch)
+        for feature in found:
             yield (feature,)
 
 
@@ -146,3 +183,13 @@ class FdsnSource(DataSource):
 
     def reader(self, schema) -> FdsnReader:
         return FdsnReader(dict(self.options))
+
+
+def download(spark: SparkSession, url: str, query: EventQuery, by: str = "planned") -> DataFrame:
+    """The events of all partitions as one catalog: the newest revision of each, sorted by time, id and source."""
+    spark.dataSource.register(FdsnSource)
+    options = {"url": url, "by": by, "start": query.start.isoformat(), "end": query.end.isoformat()}
+    options |= {k: str(getattr(query, k)) for k in ("south", "north", "west", "east")} | {"minimummagnitude": str(query.minimum_magnitude)}
+    features = spark.read.format("fdsn").options(**options).load()
+    typed = features.select(F.from_json("feature", geojson.feature_type()).alias("feature"))
+    return revisions.winners(geojson.parse_strict(typed)).orderBy("time", "event_id", "source")

@@ -17,6 +17,11 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return docs.select(F.explode("features").alias("feature"))
 
 
+def feature_type() -> str:
+    """The type of one feature, for features that come as text."""
+    return GEOJSON.split("features array<", 1)[1].removesuffix(">")
+
+
 def _millis(value: Column) -> Column:
     """Epoch milliseconds as number or text, or ISO text; null if neither."""
     ms = number(value)
@@ -126,7 +131,16 @@ def read_faults(spark: SparkSession, path: str, id_names=("catalog_id", "id", "f
     """(fault_id, name, coordinates array<struct<lat, lon>>) of the lines in feature collections; each part of a
     multi-line is a trace of its own, id:part-k. Other geometries are skipped."""
     docs = spark.read.schema(FAULTS).option("multiLine", True).json(path)
-    f = docs.select(F.posexplode("features").alias("n", "f"))
+    return _traces(docs.select(F.posexplode("features").alias("n", "f")), id_names, name_names)
+
+
+def parse_faults(features: DataFrame, id_names=("catalog_id", "id", "fault_id"), name_names=("name", "fault_name")) -> DataFrame:
+    """The same of features(feature), GeoJSON text, numbered as they come."""
+    one = FAULTS.removeprefix("features array<").removesuffix(">")
+    return _traces(features.select(F.monotonically_increasing_id().alias("n"), F.from_json("feature", one).alias("f")), id_names, name_names)
+
+
+def _traces(f: DataFrame, id_names: tuple[str, ...], name_names: tuple[str, ...]) -> DataFrame:
     kind, raw = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     line = F.when(kind == "LineString", F.array(F.from_json(raw, "array<array<double>>")))
     lines = F.when(kind == "MultiLineString", F.from_json(raw, "array<array<array<double>>>")).otherwise(line)
