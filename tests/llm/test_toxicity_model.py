@@ -97,6 +97,50 @@ def test_ratios_and_measures_by_brute_force(spark):
         assert all(math.isclose(a, b, rel_tol=1e-9) for i in had for a, b in zip(had[i], expected[i], strict=True))
 
 
+def test_likelihoods_of_whole_texts_by_brute_force(spark):
+    """Words of either sign, and words that too few labelled texts have, in every text, repeated rows included."""
+    r = random.Random(8)
+    rows, marks = [], {}
+    for k in range(200):
+        words = prose(k % 40, 12).split() + [r.choice(["calm", "garden", "supper"]) for _ in range(2)]
+        if k % 3 == 0:
+            words += [r.choice(["vuglox", "zargwit"]) for _ in range(2)]
+        rows.append((k, " ".join(words)))
+        if k % 4:
+            marks[k] = int(k % 3 == 0)
+    rows += [(300, None), (301, "?!"), (302, "neverseen before"), (7, rows[7][1]), (7, rows[7][1]), (7, "calm garden"), (None, "zargwit")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = toxicity.training_labels(spark.createDataFrame(list(marks.items()), "doc_id long, toxic int"))
+    used = {x["doc_id"] for x in known.collect()}
+    vocab = toxicity.vocabulary(docs, known).cache()
+    judged = toxicity.judged_expressions(vocab).cache()
+    words = toxicity.known_words(judged)
+    loud = toxicity.loud_words(vocab, toxicity.telling_expressions(vocab))
+    got = {(x["doc_id"], x["text_key"]): x["likelihood"] for x in toxicity.measured(docs.select("doc_id", toxicity.text_of("text").alias("text")), loud, words).collect()}
+
+    texts = [(words_of(t), marks[i]) for i, t in rows if i in used]
+    seen = {k: Counter(w for ws, kind in texts if kind == k for w in ws) for k in (0, 1)}
+    corpus = set().union(*(words_of(t) for _, t in rows))
+
+    def log(kind, w):
+        counts, shared = seen[kind], 1 / len(corpus)
+        left = toxicity.DISCOUNT * len(counts) / sum(counts.values())
+        return math.log(max(counts[w] - toxicity.DISCOUNT, 0) / sum(counts.values()) + left * shared)
+
+    unknown = log(1, None) - log(0, None)
+    signs = set()
+    for i, t in rows:
+        ws, total = words_of(t), 0.0
+        for w in ws:
+            own = log(1, w) - log(0, w) if seen[0][w] + seen[1][w] >= toxicity.KNOWN else unknown
+            signs.add(own > 0)
+            total += own
+        key = spark.createDataFrame([(t or "",)], "t string").selectExpr("xxhash64(t)").first()[0] if i in (7, 300, 301, 302, None) else None
+        found = got[i, key] if key is not None else next(v for (d, _), v in got.items() if d == i)
+        assert math.isclose(found, total / max(1, len(ws)), rel_tol=1e-9, abs_tol=1e-12)
+    assert signs == {True, False} and len(got) == 200 + 5
+
+
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
 def test_held_out_recall(spark):
     labels = read_table(spark, TABLES, "labels")

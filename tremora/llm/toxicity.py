@@ -6,10 +6,12 @@ kind of expression (a length of beginning, or whole words): absolutely discounte
 estimate that the classes share, Kneser and Ney's continuation count: in how many different words of the whole corpus
 the expression stands. A rare expression therefore falls back to the same estimate in both classes and says nothing.
 
-A text is judged by two length-normalised log-likelihood ratios. One is averaged over all of its words, where a word
-counts for its most telling expression and a word without any for nothing. The other is averaged over its LOUD loudest
-words only, since toxic words are few among many. A logistic curve, fitted on labelled texts that the counts of the
-fit leave out, turns both into a score; the counts of the final model hold all labelled texts.
+A text is judged by three measures. The first is the difference of its two length-normalised log-likelihoods: over all of
+its words, whichever class they speak for, a word that fewer than KNOWN labelled texts have counting by what the classes
+leave to such words. Toxic words are few among many, so two more follow: the average over all words of what exceeds TELLING
+in each word's most telling expression, and the average over the LOUD loudest words alone. A logistic curve, fitted on
+labelled texts that the counts of the fit leave out, turns the three into a score; the counts of the final model hold all
+labelled texts.
 
 Counts are distributed tables. Only the telling expressions and the corpus words that have one are joined back, as
 hashes and numbers, by broadcast up to a bound and by a shuffle beyond it.
@@ -31,6 +33,8 @@ STEP, LONGEST = 2, 32
 DISCOUNT = 0.9
 #: An expression tells something from this log-likelihood ratio on.
 TELLING = 1.5
+#: Labelled texts that must have a word before it has a likelihood of its own; the labels' bound bounds such words.
+KNOWN = 5
 #: Loudest words that are averaged, and the words that the ratio of a shorter text is shared out among.
 LOUD, LEAST_WORDS = 2, 20
 #: Labelled texts to learn from, about so many at most: all below that, else an even share by hash.
@@ -38,7 +42,9 @@ TRAIN_TEXTS = 200_000
 #: Of five parts by crc32 of the id: the one held out, and the one that the score is calibrated on.
 PARTS, HELD_OUT, CALIBRATION = 5, 0, 1
 #: Rows of (hash, ratio) that may be broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
+#: Stands behind the words of every text, and so counts how often a row is repeated.
+MARK = 0
 CLASSES = ("toxic", "ordinary")
 
 
@@ -93,36 +99,64 @@ def expressions(word: Column) -> Column:
     return F.concat(begun, F.array(F.struct(F.lit(0).alias("size"), F.xxhash64(word).alias("code"))))
 
 
-def _ratio(suffix: str) -> Column:
-    """log P(expression | toxic) - log P(expression | ordinary); null if no toxic text has it."""
-    shared = F.col("words") / F.col("all_words")
+def _likelihood(kind: str, suffix: str, shared: Column | None) -> Column:
+    """P(expression | kind), interpolated with the shared estimate; without one, what the class leaves to expressions
+    that it hasn't got, to be multiplied by that estimate."""
+    passed_on = DISCOUNT * F.col(f"kinds_{kind}{suffix}") * (F.lit(1.0) if shared is None else shared)
+    kept = F.lit(0.0) if shared is None else F.greatest(F.col(f"{kind}{suffix}") - DISCOUNT, F.lit(0.0))
+    return (kept + passed_on) / F.col(f"all_{kind}{suffix}")
 
-    def likelihood(kind: str) -> Column:
-        kept = F.greatest(F.col(f"{kind}{suffix}") - DISCOUNT, F.lit(0.0))
-        passed_on = DISCOUNT * F.col(f"kinds_{kind}{suffix}") * shared
-        return (kept + passed_on) / F.col(f"all_{kind}{suffix}")
 
-    usable = (F.col(f"toxic{suffix}") > 0) & (F.col(f"all_ordinary{suffix}") > 0)
-    return F.when(usable, F.log(likelihood("toxic")) - F.log(likelihood("ordinary")))
+def _ratio(suffix: str, shared: Column | None) -> Column:
+    """log P(expression | toxic) - log P(expression | ordinary); null unless both classes have expressions."""
+    both = (F.col(f"all_toxic{suffix}") > 0) & (F.col(f"all_ordinary{suffix}") > 0)
+    return F.when(both, F.log(_likelihood(CLASSES[0], suffix, shared)) - F.log(_likelihood(CLASSES[1], suffix, shared)))
 
 
-def telling_expressions(vocab: DataFrame, least: float = TELLING) -> DataFrame:
-    """(size, code, ratio, ratio_fit) of the expressions whose ratio under either model is `least` or more."""
+def judged_expressions(vocab: DataFrame) -> DataFrame:
+    """(size, code, texts, ratio, ratio_fit, unknown, unknown_fit) of every expression of labelled texts.
+
+    texts counts labelled texts; unknown is the ratio of an expression of that size that no labelled text has.
+    """
     counts = [f"{k}{s}" for s in ("", "_fit") for k in CLASSES]
     spread = vocab.select(F.explode(expressions(F.col("word"))).alias("e"), *counts).select("e.*", *counts)
     counted = spread.groupBy("size", "code").agg(F.count(F.lit(1)).alias("words"), *(F.sum(c).alias(c) for c in counts))
-    # Of expressions that no labelled text has, only the shared total matters, and words alone tell that.
+    # Of expressions that no labelled text has, only the shared total matters, and the words' lengths tell that.
     seen = cut(counted.where("toxic + ordinary > 0"))
     totals = seen.groupBy("size").agg(
         *(F.sum(c).alias(f"all_{c}") for c in counts), *(F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in counts)
     )
-    sizes = F.explode(F.transform(expressions(F.col("word")), lambda e: e["size"])).alias("size")
-    shared = vocab.select(sizes).groupBy("size").agg(F.count(F.lit(1)).alias("all_words"))
+    lengths = vocab.groupBy(F.least(F.length("word"), F.lit(LONGEST)).alias("reach")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = F.concat(F.when(F.col("reach") >= STEP, F.sequence(F.lit(STEP), F.col("reach"), F.lit(STEP))).otherwise(F.array().cast("array<int>")), F.array(F.lit(0)))
+    shared = lengths.select(F.explode(sizes).alias("size"), "n").groupBy("size").agg(F.sum("n").alias("all_words"))
     # One row for each size of expression: LONGEST / STEP + 1 rows.
-    judged = seen.join(F.broadcast(totals.join(F.broadcast(shared), "size")), "size").select(
-        "size", "code", _ratio("").alias("ratio"), _ratio("_fit").alias("ratio_fit")
+    placed = seen.join(F.broadcast(totals.join(F.broadcast(shared), "size")), "size")
+    share = F.col("words") / F.col("all_words")
+    return placed.select(
+        "size",
+        "code",
+        (F.col("toxic") + F.col("ordinary")).alias("texts"),
+        *(F.when(F.col(f"toxic{s}") > 0, _ratio(s, share)).alias(f"ratio{s}") for s in ("", "_fit")),
+        *(_ratio(s, share).alias(f"full{s}") for s in ("", "_fit")),
+        *(_ratio(s, None).alias(f"unknown{s}") for s in ("", "_fit")),
     )
-    return judged.where(F.greatest("ratio", "ratio_fit") >= least)
+
+
+def telling_expressions(vocab: DataFrame, least: float = TELLING) -> DataFrame:
+    """(size, code, ratio, ratio_fit) of the expressions whose ratio under either model is `least` or more; expressions
+    that no toxic text has tell nothing."""
+    return _telling(judged_expressions(vocab), least)
+
+
+def _telling(judged: DataFrame, least: float = TELLING) -> DataFrame:
+    return judged.where(F.greatest("ratio", "ratio_fit") >= least).select("size", "code", "ratio", "ratio_fit")
+
+
+def known_words(judged: DataFrame, least: int = KNOWN) -> DataFrame:
+    """(key, full, full_fit, unknown, unknown_fit): the log-likelihood ratio, of either sign, of every whole word that
+    `least` labelled texts have, and the ratio of the other words."""
+    whole = judged.where((F.col("size") == 0) & (F.col("texts") >= least))
+    return whole.select(F.col("code").alias("key"), "full", "full_fit", "unknown", "unknown_fit")
 
 
 def loud_words(vocab: DataFrame, telling: DataFrame, ratio: str = "ratio") -> DataFrame:
@@ -132,65 +166,86 @@ def loud_words(vocab: DataFrame, telling: DataFrame, ratio: str = "ratio") -> Da
     return spread.select("key", "e.*").join(model, ["size", "code"]).groupBy("key").agg(F.max("ratio").alias("ratio"))
 
 
-def measured(docs: DataFrame, loud: DataFrame) -> DataFrame:
-    """(doc_id, text_key, loudest, average) for the texts of docs(doc_id, text) that have a loud word."""
+def measured(docs: DataFrame, loud: DataFrame, known: DataFrame | None = None, suffix: str = "") -> DataFrame:
+    """(doc_id, text_key, likelihood, loudest, average) for the texts of docs(doc_id, text) that have a loud word or a
+    known one; with known words for every text. Texts without words have a likelihood of 0."""
     words = F.transform(distinct_words(F.col("text")), lambda w: F.xxhash64(w))
     read = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words.alias("words"))
-    spread = read.select("doc_id", "text_key", F.size("words").alias("n"), F.explode("words").alias("key"))
-    # Repeated rows of a text add nothing to its set of words.
-    found = spread.join(bounded(loud, BROADCAST_ROWS), "key").groupBy("doc_id", "text_key", "n").agg(
-        F.sort_array(F.collect_set(F.struct("ratio", "key")), asc=False).alias("found")
+    table, none = loud.select("key", "ratio"), F.lit(None).cast("double")
+    if known is None:
+        table, unknown = table.withColumns({"full": none, "unknown": none}), F.lit(0.0)
+    else:
+        own = known.select("key", F.col(f"full{suffix}").alias("full"), F.col(f"unknown{suffix}").alias("unknown"))
+        mark = known.sparkSession.createDataFrame([(MARK, None, None, None)], "key long, ratio double, full double, unknown double")
+        table = table.join(own, "key", "full").select("key", "ratio", "full", "unknown").unionByName(mark)
+        # The same number in every row; 0 if there is no known word.
+        unknown = F.lit(own.agg(F.coalesce(F.max("unknown"), F.lit(0.0))).first()[0])
+    spread = read.select(
+        "doc_id", "text_key", F.size("words").alias("n"), F.explode(F.concat("words", F.array(F.lit(MARK).cast("long")))).alias("key")
+    )
+    # Repeated rows of a text add nothing to its set of words, and the mark tells how many they are.
+    found = spread.join(bounded(table, BROADCAST_ROWS), "key").groupBy("doc_id", "text_key", "n").agg(
+        F.sort_array(F.collect_set(F.when(F.col("ratio").isNotNull(), F.struct("ratio", "key"))), asc=False).alias("found"),
+        F.sum(F.col("full") - unknown).alias("beyond"),
+        F.greatest(F.lit(1), F.count_if(F.col("key") == MARK)).alias("copies"),
     )
     ratios = F.transform("found", lambda x: x["ratio"])
     total = F.aggregate(ratios, F.lit(0.0), lambda a, r: a + (r - TELLING))
     top = F.aggregate(F.slice(ratios, 1, LOUD), F.lit(0.0), lambda a, r: a + r)
     missing = F.lit(LOUD) - F.least(F.lit(LOUD), F.size("found"))
+    whole = F.coalesce(F.col("beyond"), F.lit(0.0)) / F.col("copies") + F.col("n") * unknown
     return found.select(
         "doc_id",
         "text_key",
+        (whole / F.greatest("n", F.lit(1))).alias("likelihood"),
         ((top + missing * TELLING) / LOUD).alias("loudest"),
         F.log1p(1000 * total / F.greatest("n", F.lit(LEAST_WORDS))).alias("average"),
     )
 
 
+MEASURES = ("likelihood", "loudest", "average")
+#: Of a text without words.
+LEAST_MEASURES = (0.0, TELLING, 0.0)
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Telling expressions (size, code, ratio, ratio_fit), and slopes and intercept of the curve over both measures."""
+    """Telling expressions (size, code, ratio, ratio_fit), known words (key, full, ...), and the slopes and intercept of
+    the curve over the three measures."""
 
     telling: DataFrame
-    curve: tuple[float, float, float]
-
-    def score(self, loudest: Column, average: Column) -> Column:
-        """Between 0 and 1; texts without a loud word have null measures and the least score."""
-        z = (
-            self.curve[0] * F.coalesce(loudest, F.lit(TELLING))
-            + self.curve[1] * F.coalesce(average, F.lit(0.0))
-            + self.curve[2]
-        )
+    known: DataFrame
+    curve: tuple[float, ...]
+
+    def score(self) -> Column:
+        """Between 0 and 1, from the measures of a text; null ones are those of a text without words."""
+        z = F.lit(self.curve[-1])
+        for slope, name, least in zip(self.curve, MEASURES, LEAST_MEASURES, strict=False):
+            z = z + slope * F.coalesce(F.col(name), F.lit(least))
         return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[float, float, float]:
-    """Two slopes and an intercept over measures of unit spread, with a small penalty; Newton's steps, halved until the
-    loss falls.
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[float, ...]:
+    """A slope for each measure and an intercept over measures of unit spread, with a small penalty; Newton's steps,
+    halved until the loss falls.
 
     The rarer class counts more, by the root of how much rarer it is. Without both classes, or with a falling curve,
-    a fixed curve.
+    a fixed curve over the loudest words.
     """
-    usual = (2.0, 0.0, -8.0)
+    usual = (0.0, 2.0, 0.0, -8.0)
     if not (y == 1).any() or not (y == 0).any():
         return usual
     weight = np.where(y == 1, math.sqrt((y == 0).sum() / (y == 1).sum()), 1.0)
     weight /= weight.sum()
     middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     features = np.column_stack(((x - middle) / spread, np.ones(len(x))))
-    ridge = np.array([penalty, penalty, 1e-9])
+    ridge = np.array([penalty] * x.shape[1] + [1e-9])
 
     def loss(b: np.ndarray) -> float:
         z = features @ b
         return float(weight @ (np.logaddexp(0, z) - y * z) + 0.5 * ridge @ (b * b))
 
-    b = np.zeros(3)
+    b = np.zeros(len(ridge))
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(features @ b, -500, 500)))
         gradient = features.T @ (weight * (p - y)) + ridge * b
@@ -199,9 +254,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[floa
         while size > 1e-6 and loss(b - size * step) > loss(b):
             size /= 2
         b = b - size * step
-    slopes = b[:2] / spread
-    found = (*slopes, b[2] - slopes @ middle)
-    return tuple(map(float, found)) if slopes.sum() > 0 else usual
+    slopes = b[:-1] / spread
+    found = (*slopes, b[-1] - slopes @ middle)
+    return tuple(map(float, found)) if b[:-1].sum() > 0 else usual
 
 
 def train(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None, vocab: DataFrame | None = None) -> ToxicityModel:
@@ -212,18 +267,21 @@ def train(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None, vo
     """
     known = training_labels(labels) if known is None else known
     vocab = cut(vocabulary(docs, known)) if vocab is None else vocab
-    telling = cut(telling_expressions(vocab))
+    judged = judged_expressions(vocab)
+    # Of all judged expressions only the telling ones and the known whole words are kept.
+    kept = cut(judged.where((F.greatest("ratio", "ratio_fit") >= TELLING) | ((F.col("size") == 0) & (F.col("texts") >= KNOWN))))
+    telling, words = _telling(kept), known_words(kept)
     held = known.where("calibration").select("doc_id", "kind")
     read = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(held.select("doc_id")), "doc_id", "left_semi")
     loud = cut(loud_words(vocab, telling, "ratio_fit"))
-    measures = measured(read, loud).groupBy("doc_id").agg(F.max("loudest").alias("loudest"), F.max("average").alias("average"))
+    measures = measured(read, loud, words, "_fit").groupBy("doc_id").agg(*(F.max(c).alias(c) for c in MEASURES))
     has_text = read.select("doc_id").distinct()
     # One row for each label of the bounded sample's calibration part.
     rows = held.join(has_text, "doc_id").join(measures, "doc_id", "left").select(
-        F.coalesce("loudest", F.lit(TELLING)).alias("loudest"), F.coalesce("average", F.lit(0.0)).alias("average"), "kind"
+        *(F.coalesce(c, F.lit(least)).alias(c) for c, least in zip(MEASURES, LEAST_MEASURES, strict=True)), "kind"
     ).toPandas()
-    curve = _logistic(rows[["loudest", "average"]].to_numpy(dtype=float), (rows["kind"] == CLASSES[0]).to_numpy(dtype=float))
-    return ToxicityModel(telling, curve)
+    curve = _logistic(rows[list(MEASURES)].to_numpy(dtype=float), (rows["kind"] == CLASSES[0]).to_numpy(dtype=float))
+    return ToxicityModel(telling, words, curve)
 
 
 def score(
@@ -236,11 +294,11 @@ def score(
     """
     read = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     loud = loud_words(vocabulary(read) if vocab is None else vocab, model.telling)
-    found = measured(read, cut(loud))
+    found = measured(read, cut(loud), model.known)
     keyed = read.select("doc_id", F.xxhash64("text").alias("text_key"))
     same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_key") == F.col("m.text_key"))
     return keyed.alias("d").join(found.alias("m"), same, "left").select(
-        F.col("d.doc_id").alias("doc_id"), model.score(F.col("loudest"), F.col("average")).alias("score")
+        F.col("d.doc_id").alias("doc_id"), model.score().alias("score")
     )
 
 
