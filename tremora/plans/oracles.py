@@ -539,6 +539,12 @@ from st_best join steps on step_id = sid""",
 from located s left join st_best b using (event_id) left join steps on step_id = b.sid left join fa_best f using (event_id)""",
         _BY_STEP | _BY_FAULT,
     ),
+    "dashboard_overview": _study(
+        """select count(*) as event_count, count(*) filter (s.magnitude >= 7) as m7_count, count(*) filter (s.magnitude >= 8) as m8_count, count(*) filter (s.magnitude >= 9) as m9_count,
+  cast(min(year(s.time)) as integer) as first_year, cast(max(year(s.time)) as integer) as last_year, round(100.0 * count(b.sid) / count(*), 1) as plate_coverage_percent, round(100.0 * count(f.sid) / count(*), 1) as fault_coverage_percent
+from located s left join st_best b using (event_id) left join fa_best f using (event_id)""",
+        _BY_STEP | _BY_FAULT,
+    ),
     # Each plate pair's part of the synthetic network is a set of chains, so every path is the shortest one.
     "network_distance": duck(
         "select scope_key, n1, n2, min(km) as km from walk group by all",

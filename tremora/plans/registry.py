@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tremora.functions import seismic
 from tremora.operators import baseline, context, daily, interaction, network, revisions, spatial, trend, validation
 from tremora.operators.lineage import cut
-from tremora.plans import dashboard, report
+from tremora.plans import dashboard, report, stored
 from tremora.plans.adapters import STUDY_MAGNITUDE, catalog, faults, located, observed, steps
 from tremora.plans.oracles import ORACLES
 
@@ -278,8 +278,8 @@ QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | stored.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | stored.ORACLES
