@@ -363,6 +363,30 @@ def test_proximity(spark):
     assert {(r["id"], r["kind"]) for r in hits.collect()} == {(1, "proximity"), (2, "phrase")}
 
 
+@pytest.mark.parametrize("listed", [0, 1, 16])
+def test_lists_are_intersected_by_offset(spark, listed, monkeypatch):
+    """Phrases and near items over texts of few words, whatever share of the second lists is stored."""
+    monkeypatch.setattr(decontaminate, "LISTED", listed)
+    r = random.Random(12)
+    letters = "abcdefgh"
+    items = [(k, " ".join(r.choice(letters) for _ in range(r.choice([3, 9, 10, 12])))) for k in range(12)] + [(12, "a a a a"), (13, None), (14, "zz")]
+    docs = [(k, " ".join(r.choice(letters + "q") for _ in range(r.randrange(60)))) for k in range(40)]
+    docs += [(100 + k, f"q {t} q a") for k, (_, t) in enumerate(items) if t] + [(None, items[0][1]), (101, docs[0][1])]
+    found = decontaminate.mark(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), slack=2)
+    got = Counter(str((x["doc_id"], x["n_hit"], x["items"], x["near_items"])) for x in found.collect())
+    expected = Counter()
+    for (i, t), e in zip(docs, contamination([t for _, t in docs], items), strict=True):
+        w, near = t.split(), set()
+        for item, text in items:
+            words = (text or "").split()
+            for at in range(max(1, len(words) - 9)) if words else ():
+                window = words[at : at + 10]
+                if any(set(window) <= set(w[a : a + len(window) + 2]) for a in range(max(1, len(w) - len(window) - 1))):
+                    near.add(str(item))
+        expected[str((i, e[1], e[2], sorted(near)))] += 1
+    assert got == expected
+
+
 def test_proximity_by_brute_force(spark):
     r = random.Random(6)
     letters = "abcdefghijklmnop"

@@ -1,10 +1,11 @@
 """Benchmark decontamination through a positional inverted index of the training tokens.
 
 Every benchmark window is looked up from its rarest term on: the corpus counts of all benchmark terms tell which one
-that is. Only postings of those rarest terms are stored, each with the tokens around its position, so that the lists
-of the other terms, adjusted by their offset in the window, are intersected next to the posting: first the second
-rarest, then the whole phrase or, where slack is asked for, its proximity. Frequent terms are never looked up, unless a
-window has nothing else.
+that is. The index holds the posting lists (text, position) of the rarest terms and of those second rarest ones that
+are not much more frequent. A window's lists, adjusted by the offsets of their terms in the window, are intersected:
+where all of them name the same start in a text stands a candidate. Lists of frequent terms are never stored; postings
+of a rarest term bring the tokens around them along instead, in which a candidate's other terms are compared, and, for
+proximity, all terms of the window are sought in any order.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from tremora.llm.common import bounded, cut, fits, free_names, lower_ascii, plai
 WINDOW = 10
 #: A proximity match holds all distinct terms of a window within this many tokens more than the window has.
 SLACK = 5
+#: A second list is stored if its term is at most so many times as frequent as the window's rarest one.
+LISTED = 16
+
 def _lowered(words: Column) -> Column:
     return F.transform(words, lower_ascii)
 
@@ -43,7 +47,8 @@ def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Da
 
 
 def anchored(found: DataFrame, counts: DataFrame) -> DataFrame:
-    """(window, terms, anchor, anchor_at, second, second_at): the two rarest terms of each window and their places.
+    """(window, terms, anchor, anchor_at, second, second_at, listed): the two rarest terms of each window, their places,
+    and whether the second one's list is stored, too.
 
     Windows with a term that the corpus lacks can't occur and are left out; ties go to the first place.
     """
@@ -53,7 +58,7 @@ def anchored(found: DataFrame, counts: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("ranked"),
         F.count_if(F.col("n").isNull()).alias("missing"),
     )
-    first, second = F.get("ranked", F.lit(0)), F.coalesce(F.get("ranked", F.lit(1)), F.get("ranked", F.lit(0)))
+    first, second = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
     return distinct.join(ranked.where("missing = 0"), "window").select(
         "window",
         "terms",
@@ -61,14 +66,15 @@ def anchored(found: DataFrame, counts: DataFrame) -> DataFrame:
         first["at"].alias("anchor_at"),
         second["term"].alias("second"),
         second["at"].alias("second_at"),
+        F.coalesce(second["n"] <= LISTED * first["n"], F.lit(False)).alias("listed"),
     )
 
 
 def postings(docs: DataFrame, terms: DataFrame, reach: int, text_col: str = "text") -> DataFrame:
-    """The positional index of terms(term): (id, text_key, term, position, first, around) for every place of one.
+    """The positional index of terms(term, rarest): (id, text_key, term, position, first, around) for every place of one.
 
-    around holds the lower-cased tokens within reach of the position and first the position of its first token.
-    docs has (id, text_key) and the text column.
+    For the rarest terms around holds the lower-cased tokens within reach of the position, and first the position of its
+    first token; for others it is null. docs has (id, text_key) and the text column.
     """
     places = docs.select("id", "text_key", plain_words(text_of(text_col)).alias("words")).select(
         "id", "text_key", "words", F.posexplode("words").alias("position", "word")
@@ -76,11 +82,12 @@ def postings(docs: DataFrame, terms: DataFrame, reach: int, text_col: str = "tex
     first = F.greatest(F.col("position") - reach, F.lit(0))
     around = F.slice("words", first + 1, F.col("position") - first + 1 + reach)
     named = places.withColumn("term", lower_ascii(F.col("word")))
-    kept = ["id", "text_key", "term", "position", first.alias("first"), around.alias("near")]
+    kept = ["id", "text_key", "term", "position", first.alias("first")]
     if fits(terms):
-        near = named.join(F.broadcast(terms), "term", "left_semi").select(*kept)
+        near = named.join(F.broadcast(terms), "term").select(*kept, F.when(F.col("rarest"), around).alias("near"))
     else:  # what is shuffled is the tokens around a place, not the text for every one of its tokens
-        near = named.select(*kept).join(terms, "term", "left_semi")
+        near = named.select(*kept, around.alias("near")).join(terms, "term").withColumn("near", F.when(F.col("rarest"), F.col("near")))
+        near = near.drop("rarest")
     return near.withColumn("around", _lowered(F.col("near"))).drop("near")
 
 
@@ -88,16 +95,22 @@ def matches(index: DataFrame, targets: DataFrame, slack: int | None = None) -> D
     """(id, text_key, window, start, n, kind) of the windows that occur; kind is phrase or, with slack, proximity.
 
     A phrase match starts at start and has n tokens. A proximity match is the first stretch of slack tokens more than
-    the window that has the rarest term and every other distinct term of the window, in any order.
+    the window that has the rarest term and every other distinct term of the window, in any order. index is read twice.
     """
-    pairs = index.join(bounded(targets), F.col("term") == F.col("anchor"))
-    start = F.col("position") - F.col("anchor_at")
-    # Offset-adjusted intersection: the second rarest term first, then all of them.
-    beside = F.get("around", start + F.col("second_at") - F.col("first")) == F.col("second")
-    inside = start - F.col("first") >= 0
-    whole = F.slice("around", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.size("terms")) == F.col("terms")
-    phrase = pairs.where(inside & beside).where(whole).select(
-        "id", "text_key", "window", start.alias("start"), F.size("terms").alias("n"), F.lit("phrase").alias("kind")
+    one = index.where("around is not null").join(bounded(targets), F.col("term") == F.col("anchor"))
+    one = one.withColumn("start", F.col("position") - F.col("anchor_at"))
+    listed = targets.where("listed").select("window", "second", "second_at")
+    # Names of its own, as both sides come from one index.
+    two = index.join(bounded(listed), F.col("term") == F.col("second")).select(
+        F.col("id").alias("second_id"), F.col("text_key").alias("second_key"), F.col("window").alias("second_window"), (F.col("position") - F.col("second_at")).alias("second_start")
+    )
+    same = F.col("id").eqNullSafe(F.col("second_id")) & (F.col("text_key") == F.col("second_key"))
+    same = same & (F.col("window") == F.col("second_window")) & (F.col("start") == F.col("second_start"))
+    candidates = one.where("listed and start >= 0").join(two, same, "left_semi").unionByName(one.where("not listed and start >= 0"))
+    inside = F.col("start") - F.col("first") >= 0
+    whole = F.slice("around", F.greatest(F.col("start") - F.col("first"), F.lit(0)) + 1, F.size("terms")) == F.col("terms")
+    phrase = candidates.where(inside & whole).select(
+        "id", "text_key", "window", "start", F.size("terms").alias("n"), F.lit("phrase").alias("kind")
     )
     if slack is None:
         return phrase
@@ -108,7 +121,7 @@ def matches(index: DataFrame, targets: DataFrame, slack: int | None = None) -> D
         return F.size(F.array_except("terms", stretch)) == 0
 
     # The stretch may begin up to n - 1 tokens before the rarest term.
-    near = pairs.where(~F.coalesce(inside & whole, F.lit(False)) & (F.size(F.array_except("terms", "around")) == 0))
+    near = one.where(~F.coalesce(inside & whole, F.lit(False)) & (F.size(F.array_except("terms", "around")) == 0))
     found = near.withColumn("begin", F.get(F.filter(F.reverse(F.sequence(F.lit(0), n - 1)), holds), F.lit(0)))
     low = F.greatest(F.col("position") - F.col("begin"), F.lit(0))
     close = found.where("begin is not null").select(
@@ -137,7 +150,10 @@ def find(
     found = cut(windows(benchmark, item_col, item_text_col))
     terms = found.select(F.explode("terms").alias("term")).distinct()
     targets = cut(anchored(found, cut(term_counts(keyed, terms))))
-    index = postings(keyed, targets.select(F.col("anchor").alias("term")).distinct(), WINDOW + (slack or 0))
+    looked_up = targets.select(F.col("anchor").alias("term"), F.lit(True).alias("rarest")).unionByName(
+        targets.where("listed").select(F.col("second").alias("term"), F.lit(False).alias("rarest"))
+    )
+    index = cut(postings(keyed, looked_up.groupBy("term").agg(F.max("rarest").alias("rarest")), WINDOW + (slack or 0)))
     return keyed, cut(matches(index, targets, slack)), found
 
 
@@ -154,34 +170,42 @@ def _covered(spans: Column) -> Column:
     )
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_words, n_hit, items, contaminated) for each row of docs; items sorted as strings."""
-    keyed, hits, found = find(docs, benchmark, id_col)
+def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", slack: int = SLACK) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, near_items, contaminated) for each row of docs.
+
+    items have a window that occurs as it stands, near_items one that occurs so or whose distinct terms stand within
+    slack more words than it has; both are sorted as strings. Only phrases count as hits and contaminate.
+    """
+    keyed, hits, found = find(docs, benchmark, id_col, slack=slack)
+    phrase = F.col("kind") == "phrase"
     spans = (
-        hits.groupBy("id", "text_key")
+        hits.where(phrase)
+        .groupBy("id", "text_key")
         .agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("spans"))
         .select("id", "text_key", _covered(F.col("spans")).alias("n_hit"))
     )
     items = (
-        hits.select("id", "text_key", "window")
-        .distinct()
+        hits.groupBy("id", "text_key", "window")
+        .agg(F.max(phrase).alias("phrase"))
         .join(found.select("window", "item"), "window")
-        .select("id", "text_key", F.col("item").cast("string").alias("item"))
-        .distinct()
+        .groupBy("id", "text_key", F.col("item").cast("string").alias("item"))
+        .agg(F.max("phrase").alias("phrase"))
         .groupBy("id", "text_key")
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
+        .agg(F.array_sort(F.collect_list("item")).alias("near_items"), F.array_sort(F.collect_list(F.when(F.col("phrase"), F.col("item")))).alias("items"))
     )
-    marks = spans.alias("s").join(
-        items.alias("i"), F.col("s.id").eqNullSafe(F.col("i.id")) & (F.col("s.text_key") == F.col("i.text_key")), "left"
-    ).select("s.id", "s.text_key", "n_hit", "items")
+    marks = items.alias("i").join(
+        spans.alias("s"), F.col("s.id").eqNullSafe(F.col("i.id")) & (F.col("s.text_key") == F.col("i.text_key")), "left"
+    ).select("i.id", "i.text_key", "n_hit", "items", "near_items")
     counted = keyed.select("id", "text_key", F.size(plain_words(text_of("text"))).cast("long").alias("n_words"))
+    none = F.array().cast("array<string>")
     return counted.alias("d").join(
         marks.alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.text_key") == F.col("m.text_key")), "left"
     ).select(
         F.col("d.id").alias("doc_id"),
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("items", none).alias("items"),
+        F.coalesce("near_items", none).alias("near_items"),
         F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
@@ -199,7 +223,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near_items."""
     return mark(docs, benchmark).select(
         "doc_id",
         "n_words",
@@ -207,4 +231,5 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
+        F.size("near_items").cast("long").alias("n_near_items"),
     )

@@ -7,6 +7,7 @@ against brute force in tests/llm.
 from __future__ import annotations
 
 from tremora.llm import quality
+from tremora.llm.decontaminate import SLACK
 from tremora.llm.urls import RULES
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted({w for words in quality.STOP_WORDS.values() for w in words.split()}))
@@ -57,10 +58,16 @@ d as (select doc_id, {_PLAIN} as w from documents),
 dw as (select doc_id, i, n, w[i:i + n - 1] as g from d, sizes, unnest(range(1, len(w) - n + 2)) r(i)),
 hits as (select doc_id, i, n, item from dw join bw using (g)),
 places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id),
-items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as joined from (select distinct doc_id, item from hits) group by doc_id)
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as joined from (select distinct doc_id, item from hits) group by doc_id),
+sought as (select g, len(g) as n, list_distinct(g) as terms from (select distinct g from bw)),
+having_all as (select doc_id, g from (select distinct doc_id, unnest(w) as term from d) join (select g, len(terms) as k, unnest(terms) as term from sought) using (term)
+  group by doc_id, g, k having count(*) = k),
+tried as (select h.doc_id, h.g, d.w[i:i + n + {SLACK} - 1] as stretch, terms from having_all h join sought using (g) join d using (doc_id),
+  unnest(range(1, greatest(1, len(d.w) - n - {SLACK} + 1) + 1)) r(i)),
+close as (select doc_id, count(distinct item) as n_near_items from (select distinct doc_id, g from tried where list_has_all(stretch, terms)) join bw using (g) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-  coalesce(sha256(joined), {_EMPTY_SHA}) as items_sha256, n_hit is not null as contaminated
-from d left join places using (doc_id) left join items using (doc_id)
+  coalesce(sha256(joined), {_EMPTY_SHA}) as items_sha256, n_hit is not null as contaminated, coalesce(n_near_items, 0) as n_near_items
+from d left join places using (doc_id) left join items using (doc_id) left join close using (doc_id)
 """
 
 
