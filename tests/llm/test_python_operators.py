@@ -38,6 +38,9 @@ def test_chat_round_trip(spark):
         assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (len(said), len(loss), sha(loss))
         assert r["turns_sha256"] == sha("".join(f"{a}\n{b}\n" for a, b in said))
     assert chat.digest(turns.limit(0)).count() == 1
+    for kind in ("double", "date", "decimal(12,2)"):
+        other = turns.withColumn("conv_id", F.col("conv_id").cast(kind) if kind != "date" else F.date_add(F.lit("2020-01-01").cast("date"), F.col("conv_id").cast("int")))
+        assert chat.read_back(chat.format_turns(other)).count() == len(got)
 
 
 def test_chat_parts(spark):

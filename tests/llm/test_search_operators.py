@@ -11,6 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .conftest import prose
 from tremora.llm import hard_negatives, lexical, minhash
 
@@ -48,6 +50,18 @@ def by_key(rows):
     return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
+def test_stages_with_clashing_columns_and_without_rows(spark, docs, no_docs):
+    """Every stage but the last returns the columns it got, over odd rows and over none."""
+    text = docs.where("doc_id = 10").first()["text"]
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs.withColumn("text", F.coalesce(F.col("text"), F.lit(text))), docs, no_docs):
+            if name != "benchmark decontamination":
+                got = stage(spark, table, "")
+                assert (got.columns == docs.columns) == (stage is not corpus_pipeline.STAGES[-1][1])
+                assert got.count() <= table.count()
+    assert stage(spark, no_docs, "").count() == 0
+
+
 def test_blocks_round_trip():
     r = np.random.default_rng(1)
     for n, top in ((1, 5), (128, 1000), (77, 10**6), (100, 2**20)):

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tremora.llm.common import small_batches, text_of
 
@@ -99,7 +100,7 @@ def format_turns(
     parts is a column of typed parts (see PARTS); without it the text column is the only part. loss_start and loss_end
     are character offsets within the segment of what loss_role says, equal for other roles. Null roles and texts count
     as empty, null turns come first, and turns of equal number go by role and text; repeated rows are turns of their
-    own. Rows without conv_id form one conversation. Other columns aren't read.
+    own. Rows without conv_id form one conversation. Other columns aren't read; an empty table gives an empty result.
     """
     text, attachments = flattened(text_parts(text_of(text_col)) if parts is None else parts)
     role = F.replace(escaped(text_of(role_col)), F.lit("\n"), F.lit("\\n"))
@@ -140,7 +141,7 @@ def read_back(segments: DataFrame) -> DataFrame:
     """One row for each conversation, parsed from its segments: roles, texts and what is under the loss mask.
 
     A digest of a whole conversation is one sequential stream, so a task holds a running hash and a batch of segments,
-    whatever the length of the conversation.
+    whatever the length of the conversation. Ids may be of any simple type; no segments give no rows.
     """
 
     def parse(segment: str) -> tuple[str, str]:
@@ -185,7 +186,7 @@ def read_back(segments: DataFrame) -> DataFrame:
         "conv_id", "turn", "role", "segment", "loss_start", "loss_end", F.size("attachments").alias("n_attachments"), "expanded_tokens"
     )
     kind = segments.schema["conv_id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow = to_arrow_type(segments.schema["conv_id"].dataType)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "expanded_tokens"]
     types = [arrow, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 

@@ -174,7 +174,7 @@ def encode_decode(
 
     ids_packed holds all ids, begin and end included, as little-endian unsigned 32-bit integers. A null or empty text
     has just the two. Repeated rows are coded each for itself, ids may be null, and other columns aren't read. Texts
-    are coded whole; memory follows the longest text of a batch, not the table.
+    are coded whole; memory follows the longest text of a batch, not the table. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

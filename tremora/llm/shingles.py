@@ -133,7 +133,11 @@ def _close(a: str, b: str, least: float):
 def groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, least: float = SIMILARITY
 ) -> DataFrame:
-    """(doc_id, text_hash, component) for every row of docs: component is the same for all texts that links reach."""
+    """(doc_id, text_hash, component) for every row of docs: component is the same for all texts that links reach.
+
+    All texts without words are one component, null ones too. Repeated rows and ids keep a row each, ids may be null,
+    other columns aren't read, and an empty table gives an empty result.
+    """
 
     @pandas_udf("kind long, n int, fp long, bands array<long>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -180,5 +184,5 @@ def groups(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of every group of near-duplicates (see first_of_groups)."""
+    """One row of every group of near-duplicates (see first_of_groups); an empty table stays empty."""
     return first_of_groups(docs, groups(docs, id_col, text_col), id_col, text_col)

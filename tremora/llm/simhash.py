@@ -286,7 +286,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id that links of at most 4 bits reach. A null text counts as empty; texts without
     words have fingerprint 0 and link like any other. Rows of equal fingerprint are one class throughout, so copies
     cost one row each. Repeated rows and repeated ids keep a row each. Ids are integers; rows without an id take the
-    component of their fingerprint and start none (null if no row of the class has an id). Other columns aren't read.
+    component of their fingerprint and start none (null if no row of the class has an id). Other columns aren't read;
+    an empty table gives an empty result.
     """
     return _placed(docs, id_col, text_col).select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
@@ -316,7 +317,10 @@ def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for every group of near-duplicates; rows without an id are a group by their fingerprint."""
+    """One row of docs for every group of near-duplicates; rows without an id are a group by their fingerprint.
+
+    Other columns may have any names; an empty table stays empty.
+    """
     placed = _placed(docs, id_col, text_col)
     group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
     return first_of_groups(docs, placed.select("doc_id", "text_hash", group.alias("component")), id_col, text_col)

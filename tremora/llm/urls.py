@@ -84,7 +84,7 @@ def judge(
     verdict is that of the longest fitting rule. A page that no rule fits is blocked if its place has a blocked page
     and no page that is allowed explicitly, and allowed otherwise. redirects(source, target) adds edges. Null urls and
     urls without :// have an empty host and path, fit no rule, have no aliases and are allowed. Repeated rows and ids
-    keep a row each; other columns aren't read.
+    keep a row each; other columns aren't read; an empty table gives an empty result.
     """
     chosen = pages.select(F.col(id_col).alias("page_id"), "url", "html")
     ruled = chosen.select(
