@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages: quality, near-duplicates, benchmark passages, secrets, tokens."""
+"""A corpus pipeline of five stages: quality, near-duplicates, benchmark passages, secrets, tokens.
+
+Each stage keeps whatever further columns documents have, by any names, until the last one selects its own. Null texts
+count as empty, which the quality rules reject; repeated rows are near-duplicates of each other. An empty table, or a
+stage that keeps nothing, leaves an empty table for the next one.
+"""
 
 from __future__ import annotations
 

@@ -114,6 +114,14 @@ def test_study_round_trip(spark, tmp_path, monkeypatch):
     assert dashboard.overview(events.limit(0).withColumns({"boundary_id": F.lit("b"), "fault_id": F.lit("f")})).first()["plate_coverage_percent"] is None
     paths = bundle.export_tables(spark, folder, str(tmp_path / "out"), ["steps", "along_strata"])
     assert [spark.read.option("header", True).csv(x).count() for x in paths] == [2, made["along_boundary"]["rows"]["along_strata"]]
+    typed = bundle.read_exported(spark, str(tmp_path / "out"), {"steps": "step_id string, left_plate string, length_km double"})["steps"]
+    assert sorted(map(tuple, typed.collect())) == [("s0", "NA", 105.7), ("s1", "NA", 105.7)]
+    bundle.export_tables(spark, folder, str(tmp_path / "out"), ["events"], "json")
+    shown = bundle.read_exported(spark, str(tmp_path / "out"), {"events": "event_id string, time timestamp, magnitude double"}, "json")["events"]
+    assert shown.exceptAll(events.select("event_id", "time", "magnitude")).count() == 0 and shown.count() == 12
+    for name, columns, wrong in (("none", "a string", FileNotFoundError), ("steps", "colour string", ValueError)):
+        with pytest.raises(wrong):
+            bundle.read_exported(spark, str(tmp_path / "out"), {name: columns})
     assert research.write_bundle({"steps": lines}, folder) == {"steps": 2} and bundle.current(spark, folder).number == 3
 
 

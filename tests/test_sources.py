@@ -356,6 +356,43 @@ def test_wrong_region_dictionaries(spark, tmp_path, change):
         catalogs.region_dictionary(spark, str(path))
 
 
+def test_study_from_addresses(spark, tmp_path, monkeypatch, capsys):
+    """Events from a service, faults and steps from pinned files, to a bundle with citations."""
+    from tremora import cli
+    from tremora.plans import bundle
+
+    ms = int(datetime(2020, 2, 1, tzinfo=UTC).timestamp() * 1000)
+    made = [feature(f"e{k}", 0.5 + k / 20, 0.1, 10, mag=6.0 + k / 4, time=ms + k * 86_400_000, updated=ms, net="us", magType="mww") for k in range(8)]
+    lines, traces = tmp_path / "steps.txt", tmp_path / "faults.json"
+    lines.write_text("1 AF-AN 0 0 1 0 111 90 13 66 10 2 -4000 2 OTF\n2 AF-AN 1 0 2 0 111 90 13 66 10 2 -4000 2 OTF\n")
+    line = {"type": "Feature", "id": "f1", "geometry": {"type": "LineString", "coordinates": [[0, 0], [2, 0]]}, "properties": {}}
+    traces.write_text(json.dumps({"type": "FeatureCollection", "features": [line]}))
+    said = {
+        section: {key: {"raw_url": path.as_uri(), "observed_git_blob_sha": verified.blob_sha1(path.read_bytes()), "citation": {"title": key}}}
+        for (section, key), path in ((pinned.GEM, traces), (pinned.PB2002, lines))
+    }
+    (tmp_path / "sources.json").write_text(json.dumps(said))
+    server, url = serve(tmp_path, made)
+    monkeypatch.setattr(cli, "build_session", lambda: spark)
+    out = str(tmp_path / "bundle")
+    try:
+        cli.main(["research-download", url, out, "--start", "2020-01-15", "--end", "2020-03-01", "--by", "month", "--sources", str(tmp_path / "sources.json")])
+    finally:
+        server.shutdown()
+    assert "interaction_pairs: 28 rows" in capsys.readouterr().out
+    found = bundle.current(spark, out)
+    assert found.metadata["sources"]["plate_boundaries.bird_pb2002"]["citation"] == {"title": "bird_pb2002"} and found.metadata["rows"]["events"] == 8
+    cli.main(["restudy", out, "--minimum-magnitude", "6.5"])
+    cli.main(["dashboard", out, str(tmp_path / "shown")])
+    assert "events: 8 rows" in capsys.readouterr().out and bundle.current(spark, out).number == 2
+
+
+def test_documents(spark):
+    df = spark.createDataFrame([("a", datetime(2020, 1, 1, 5), None, [1.5])], "k string, t timestamp, x double, v array<double>")
+    row = report.documents(df, "k").first()
+    assert row["k"] == "a" and json.loads(row["value"]) == {"k": "a", "t": "2020-01-01T05:00:00Z", "x": None, "v": [1.5]}
+
+
 def test_wrong_queries():
     for wrong in ({"south": -91.0}, {"east": 181.0}, {"minimum_magnitude": float("nan")}, {"minimum_magnitude": -3.0}, {"start": T0 + timedelta(9)}, {"end": datetime(2021, 1, 1, tzinfo=UTC)}):
         with pytest.raises(ValueError):

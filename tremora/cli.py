@@ -33,12 +33,17 @@ def parser() -> argparse.ArgumentParser:
     study = commands.add_parser("research", help="research bundle of a catalog, faults and boundary steps")
     for name in ("catalog", "faults", "steps", "out"):
         study.add_argument(name)
+    fetched = commands.add_parser("research-download", help="the same of an event service and the pinned files of faults and steps")
+    for name in ("url", "out"):
+        fetched.add_argument(name)
+    fetched.add_argument("--by", choices=("planned", "month", "whole"), default="planned")
     profile = research.Profile()
-    for name in ("start", "end"):
-        study.add_argument(f"--{name}", type=datetime.fromisoformat, default=getattr(profile, name))
-    for name in ("minimum_magnitude", "fault_radius_km", "boundary_radius_km"):
-        study.add_argument(f"--{name.replace('_', '-')}", type=float, default=getattr(profile, name))
-    study.add_argument("--sources", help="JSON configuration of sources, to be cited")
+    for command in (study, fetched):
+        for name in ("start", "end"):
+            command.add_argument(f"--{name}", type=datetime.fromisoformat, default=getattr(profile, name))
+        for name in ("minimum_magnitude", "fault_radius_km", "boundary_radius_km"):
+            command.add_argument(f"--{name.replace('_', '-')}", type=float, default=getattr(profile, name))
+        command.add_argument("--sources", help="JSON configuration of sources")
     again = commands.add_parser("restudy", help="run the along-boundary study of a bundle again")
     again.add_argument("bundle")
     again.add_argument("--minimum-magnitude", type=float, default=6.0)
@@ -110,9 +115,13 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session()
     if args.command == "report":
         _report(spark, args)
-    elif args.command == "research":
+    elif args.command in ("research", "research-download"):
         profile = research.Profile(args.start, args.end, args.minimum_magnitude, args.fault_radius_km, args.boundary_radius_km)
         configured = pinned.load_sources(spark, args.sources)
+        if args.command == "research-download":
+            counts = research.run_from_sources(spark, args.out, args.url, profile, configured, args.by)
+            print("\n".join(f"{name}: {n} rows" for name, n in counts.items()))
+            return
         cited = {f"{s}.{k}": pinned.citation(configured, s, k) for s, k in (pinned.GEM, pinned.PB2002)}
         for name, n in research.run(spark, args.out, read_catalog(spark, args.catalog), args.faults, args.steps, profile, cited).items():
             print(f"{name}: {n} rows")

@@ -164,6 +164,24 @@ def open_bundle(spark: SparkSession, folder: str, needed: Iterable[str] = NEEDED
     return {n: spark.read.parquet(found.tables[n]) for n in needed}
 
 
+def read_exported(spark: SparkSession, folder: str, schemas: dict[str, str], kind: str = "csv") -> dict[str, DataFrame]:
+    """Tables that export_tables wrote, with the given columns: numbers that aren't finite become null, flags are read
+    from text, empty text is null. All tables must be there; one that lacks a column is an error."""
+    found = {}
+    for name, columns in schemas.items():
+        path = f"{folder}/{name}.{kind}"
+        if not commits.exists(spark, path):
+            raise FileNotFoundError(f"{folder} lacks {name}.{kind}")
+        wanted = [c.split() for c in columns.split(", ")]
+        reader = spark.read.option("header", True).option("nullValue", "")
+        read = reader.csv(path) if kind == "csv" else reader.option("primitivesAsString", True).json(path)
+        if missing := [c for c, _ in wanted if c not in read.columns]:
+            raise ValueError(f"{name} lacks {', '.join(missing)}")
+        casts = {"double": finite, "long": whole, "boolean": flag}
+        found[name] = read.select(*(casts.get(t, lambda c, t=t: c.cast(t))(F.col(n)).alias(n) for n, t in wanted))
+    return found
+
+
 ASSOCIATIONS = (
     "event_id string, step_id string, boundary_id string, left_plate string, right_plate string, boundary_class string,"
     " polarity string, distance_km double, source string"

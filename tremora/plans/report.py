@@ -89,6 +89,13 @@ def intelligence_report(
     )
 
 
+def documents(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, value): every row of a table of results as a JSON document, null fields included and times in UTC's ISO
+    form; for baselines, scores, trends, series, indexes, swarms and merge counts alike."""
+    how = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'", "ignoreNullFields": "false"}
+    return df.select(*keys, F.to_json(F.struct("*"), how).alias("value"))
+
+
 def as_json(report: DataFrame) -> DataFrame:
     """The report as one JSON document, without what is null."""
     return report.select(F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"}).alias("value"))
