@@ -100,13 +100,16 @@ def matches(index: DataFrame, targets: DataFrame, slack: int | None = None) -> D
     one = index.where("around is not null").join(bounded(targets), F.col("term") == F.col("anchor"))
     one = one.withColumn("start", F.col("position") - F.col("anchor_at"))
     listed = targets.where("listed").select("window", "second", "second_at")
-    # Names of its own, as both sides come from one index.
-    two = index.join(bounded(listed), F.col("term") == F.col("second")).select(
-        F.col("id").alias("second_id"), F.col("text_key").alias("second_key"), F.col("window").alias("second_window"), (F.col("position") - F.col("second_at")).alias("second_start")
-    )
-    same = F.col("id").eqNullSafe(F.col("second_id")) & (F.col("text_key") == F.col("second_key"))
-    same = same & (F.col("window") == F.col("second_window")) & (F.col("start") == F.col("second_start"))
-    candidates = one.where("listed and start >= 0").join(two, same, "left_semi").unionByName(one.where("not listed and start >= 0"))
+    # What is intersected are starts alone; the tokens around are looked up for those that both lists name.
+    two = index.join(bounded(listed), F.col("term") == F.col("second")).withColumn("start", F.col("position") - F.col("second_at"))
+    starts = ("id", "text_key", "window", "start")
+    first, second = one.where("listed and start >= 0").select(*starts).alias("a"), two.select(*starts).alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) if c == "id" else F.col(f"a.{c}") == F.col(f"b.{c}") for c in starts]
+    shared = cut(first.join(second, same[0] & same[1] & same[2] & same[3], "left_semi").distinct())
+    shared = shared.toDF(*(f"shared_{c}" for c in starts))
+    there = [F.col(c).eqNullSafe(F.col(f"shared_{c}")) if c == "id" else F.col(c) == F.col(f"shared_{c}") for c in starts]
+    both = one.where("listed").join(bounded(shared), there[0] & there[1] & there[2] & there[3], "left_semi")
+    candidates = both.unionByName(one.where("not listed and start >= 0"))
     inside = F.col("start") - F.col("first") >= 0
     whole = F.slice("around", F.greatest(F.col("start") - F.col("first"), F.lit(0)) + 1, F.size("terms")) == F.col("terms")
     phrase = candidates.where(inside & whole).select(
@@ -148,6 +151,9 @@ def find(
         F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_key"), F.col(text_col).alias("text")
     )
     found = cut(windows(benchmark, item_col, item_text_col))
+    # Short numbers in place of the digests, from here on.
+    numbers = cut(found.select(F.col("window").alias("digest")).distinct().select("digest", F.monotonically_increasing_id().alias("number")))
+    found = cut(found.join(bounded(numbers), F.col("window") == F.col("digest")).select(F.col("number").alias("window"), "item", "terms"))
     terms = found.select(F.explode("terms").alias("term")).distinct()
     targets = cut(anchored(found, cut(term_counts(keyed, terms))))
     looked_up = targets.select(F.col("anchor").alias("term"), F.lit(True).alias("rarest")).unionByName(
