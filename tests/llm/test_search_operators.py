@@ -110,7 +110,10 @@ def test_search_skips_blocks():
     assert len(got) == 2 and lists["the"].opened < 20 < len(lists["the"].lasts) - 100
 
 
-def test_ranking_equals_brute_force(spark, docs, monkeypatch):
+@pytest.mark.parametrize("seeds", [1, 8])
+def test_ranking_equals_brute_force(spark, docs, seeds, monkeypatch):
+    """With segments that are searched first for a bound, and without."""
+    monkeypatch.setattr(lexical, "SEEDS", seeds)
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     rows += [(100 + k, prose(50 + k, 40)) for k in range(40)] + [(100, prose(50, 40)), (None, "the Été")]
     items = [(1, prose(2, 20)), (1, prose(7, 9)), (2, "the of the"), (3, None), (4, "nowhere zzz"), (None, "Été STRAßE red"), (5, "and"), (5, "and"), (6, prose(60, 30) + " extra")]
@@ -123,6 +126,7 @@ def test_ranking_equals_brute_force(spark, docs, monkeypatch):
     terms_df = lexical.query_terms(asked.select(F.xxhash64("item_id", "text").alias("query"), "text").distinct())
     index = lexical.build_index(read.repartition(2), segment=100)
     assert index.rows.select("segment").distinct().count() > 2
+    assert index.rows.where("term is null").count() > 4
     small = lexical.ranked(index, terms_df, batch=2)
     assert sorted((r["rank"], r["score"]) for r in small.collect()) == sorted((r[1], r[3]) for r in expected)
     assert lexical.rank_documents(read.limit(0), asked).count() == 0

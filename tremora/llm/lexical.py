@@ -9,6 +9,9 @@ A search holds all lists of a query in one segment. Their pointers move over the
 of a block to the next: between two edges every list stays in its block, or lies in no block, so one sum of maxima bounds
 all scores there. The pivot is the next stretch whose sum passes the least of the best scores so far; every block before
 it is skipped unopened. Only the blocks at pivots are decompressed, a few stretches at a time, and their documents scored.
+
+With many segments, a few of them are searched first. The least of the best scores found there is one that the best of
+all reach at least, so the other segments begin with it instead of with nothing.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ BEST = 10
 BLOCK = 128
 #: Postings of a segment, about, and queries that one task searches for.
 SEGMENT, BATCH = 1 << 21, 1024
+#: Segments, about, that are searched first where there are over four times as many.
+SEEDS = 8
 #: Separators become blanks, A-Z become a-z, everything else stays.
 _TABLE = bytes(c if chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _WIDTHS = ("<u1", "<u2", "<u4")
@@ -243,16 +248,38 @@ def _search_segment(best: int):
         header = part[part["term"].isna()].iloc[0]
         ids, named, m = (np.asarray(header[c]) for c in ("ids", "named", "m"))
         queries: dict[int, list[tuple[Postings, int]]] = {}
+        least: dict[int, int] = {}
         for row in part[part["term"].notna()].itertuples():
             held = Postings(row, m)
-            for query, weight in zip(row.queries.tolist(), row.weights.tolist(), strict=True):
+            for query, weight, bound in zip(row.queries.tolist(), row.weights.tolist(), row.bounds.tolist(), strict=True):
                 queries.setdefault(query, []).append((held, weight))
-        out = [(q, ids[d], named[d], score) for q, lists in queries.items() for score, d in search(lists, best)]
+                least[query] = bound
+        out = [(q, ids[d], named[d], score) for q, lists in queries.items() for score, d in search(lists, best, least[q])]
         return pd.DataFrame(out, columns=["query", "doc_id", "named", "score"])
 
     return run
 
 
+def _searched(rows: DataFrame, weighted: DataFrame, batches: int, best: int) -> DataFrame:
+    """(query, doc_id, named, score): the best documents of each segment for weighted(query, term, weight, bound)."""
+    own = F.pmod(F.xxhash64("query"), F.lit(batches)).alias("batch")
+    uses = weighted.groupBy(own, "term").agg(F.collect_list(F.struct("query", "weight", "bound")).alias("uses"))
+    named = {"queries": "query", "weights": "weight", "bounds": "bound"}
+    uses = uses.select("batch", "term", *(F.col(f"uses.{c}").alias(n) for n, c in named.items()))
+    # A list takes along the queries of a batch that use it; a segment's documents go to every batch.
+    lists = rows.where("term is not null").join(bounded(uses), "term")
+    none, every = F.array().cast("array<long>"), F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))
+    headers = rows.where("term is null").select("*", *(none.alias(n) for n in named), F.explode(every).alias("batch"))
+    both = lists.select(*headers.columns).unionByName(headers)
+    kinds = "query long, doc_id long, named boolean, score long"
+    return both.groupBy("segment", "batch").applyInPandas(_search_segment(best), kinds)
+
+
+def _best(found: DataFrame, best: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("named"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
+
+
 def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
     """(query, term, times) for every term of queries(query, text)."""
     words = queries.select("query", F.explode(plain_words(text_of(text_col))).alias("word"))
@@ -266,19 +293,18 @@ def ranked(index: Index, terms: DataFrame, best: int = BEST, batch: int = BATCH)
     weight = F.floor(1000 * F.log(odds)) * F.col("times")
     weighted = cut(terms.join(frequency, "term").select("query", "term", weight.cast("long").alias("weight")).where("weight > 0"))
     batches = max(1, -(-weighted.select("query").distinct().count() // batch))
-    own = F.pmod(F.xxhash64("query"), F.lit(batches)).alias("batch")
-    uses = weighted.groupBy(own, "term").agg(F.collect_list(F.struct("query", "weight")).alias("uses"))
-    uses = uses.select("batch", "term", F.col("uses.query").alias("queries"), F.col("uses.weight").alias("weights"))
-    # A list takes along the queries of a batch that use it; a segment's documents go to every batch.
-    lists = index.rows.where("term is not null").join(bounded(uses), "term")
-    none, every = F.array().cast("array<long>"), F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))
-    headers = index.rows.where("term is null").select("*", none.alias("queries"), none.alias("weights"), F.explode(every).alias("batch"))
-    both = lists.select(*headers.columns).unionByName(headers)
-    kinds = "query long, doc_id long, named boolean, score long"
-    found = both.groupBy("segment", "batch").applyInPandas(_search_segment(best), kinds)
-    order = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("named"), "doc_id")
-    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
-    return top.select("query", "rank", F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "score")
+    segments = index.rows.where("term is null").count()
+    unbounded = weighted.withColumn("bound", F.lit(0).cast("long"))
+    if segments > 4 * SEEDS:
+        first = F.pmod(F.xxhash64("segment"), F.lit(segments)) < SEEDS
+        seeds = cut(_best(_searched(index.rows.where(first), unbounded, batches, best), best))
+        # Documents that tie with a seed may still win by their id.
+        full = seeds.where(F.col("rank") == best).select("query", (F.col("score") - 1).alias("bound"))
+        bound = weighted.join(bounded(full), "query", "left").select("query", "term", "weight", F.coalesce("bound", F.lit(0).cast("long")).alias("bound"))
+        found = seeds.drop("rank").unionByName(_searched(index.rows.where(~first), bound, batches, best))
+    else:
+        found = _searched(index.rows, unbounded, batches, best)
+    return _best(found, best).select("query", "rank", F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "score")
 
 
 def rank_documents(
