@@ -237,6 +237,41 @@ def test_models_on_held_out_strings(spark):
     assert len(false) <= 0.02 * (len(rows) - len(caught)), false
 
 
+SYLLABLES = "ba be bi bo du da de di ka ke ki ko la le li lo ma me mo na ne no ra re ri sa se si so ta te ti to".split()
+#: By family: how a string is written, whether it is random, and whether the training rules know the family.
+FAMILIES = {
+    "prefixed": (lambda r: r.choice(["npm_", "ghp_", "glpat-"]) + token(r, TOKENS, 30), True, True),
+    "letters and digits": (lambda r: token(r, TOKENS, 32), True, True),
+    "three parts": (lambda r: "eyJ" + token(r, TOKENS + "_-", 60), True, False),
+    "base32": (lambda r: token(r, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), True, False),
+    "upper-case hex": (lambda r: token(r, "0123456789ABCDEF", 40), True, False),
+    "numbered": (lambda r: f"{token(r, '0123456789', 10)}-{token(r, TOKENS, 24)}", True, False),
+    "slashed": (lambda r: f"ya29/{token(r, TOKENS, 28)}", True, False),
+    "snake": (lambda r: "_".join(r.sample("cache buffer column filter module number string window".split(), 3)), False, True),
+    "rules": (lambda r: r.choice("-=_") * r.randrange(16, 70), False, True),
+    "packages": (lambda r: "org/" + "/".join(r.sample("harbour kitchen garden shipment weather".split(), 3)), False, False),
+    "invented words": (lambda r: "_".join("".join(r.choice(SYLLABLES) for _ in range(3)) for _ in range(3)), False, False),
+    "compounds": (lambda r: "".join(r.sample("donau dampf schiff fahrts gesellschaft kapitaen muetze schluessel".split(), 4)), False, False),
+    "class names": (lambda r: "".join(w.capitalize() for w in r.sample("harbour kitchen garden shipment weather".split(), 3)) + "Impl", False, False),
+    "telephones": (lambda r: f"+49-{token(r, '0123456789', 3)}-{token(r, '0123456789', 4)}-{token(r, '0123456789', 4)}", False, False),
+    "long numbers": (lambda r: token(r, "0123456789", 24), False, False),
+}
+
+
+def token(r, letters, n):
+    return "".join(r.choice(letters) for _ in range(n))
+
+
+def test_models_by_family(spark):
+    """Families that no training rule writes are told apart as well."""
+    r = random.Random(21)
+    rows = [(name, write(r)) for name, (write, _, _) in FAMILIES.items() for _ in range(150)]
+    hit = secrets.ratio(F.col("s"), secrets.default_model(spark)) > secrets.MARGIN
+    rates = {x["name"]: x["rate"] for x in spark.createDataFrame(rows, "name string, s string").groupBy("name").agg(F.avg(hit.cast("int")).alias("rate")).collect()}
+    for name, (_, is_random, _) in FAMILIES.items():
+        assert rates[name] >= 0.97 if is_random else rates[name] <= 0.03, (name, rates[name])
+
+
 def test_verdict_is_independent_of_neighbours(spark):
     odd = spark.createDataFrame([(1, "use q7Zr0Tn4vLw9Xe2Bk5Js8Ym1Dc6Fh3Gp")], "doc_id long, text string")
     many = odd.unionByName(spark.createDataFrame([(k, "q9Xr0Tn4vLw9Xe2Bk5Js8Ym1Dc6Fh3G" + str(k)) for k in range(2, 60)], "doc_id long, text string"))

@@ -49,6 +49,7 @@ IDENTIFIER_WORDS = (
     "agua amigo aunque bueno camino ciudad cuando desde despacio donde ella empezar entonces escuela familia fuerza gente "
     "guerra hermano llave mayor mientras mucho nombre palabra pueblo quien respuesta siempre tiempo trabajo vida"
 )
+RULED = "-=_+/x0"
 TOKEN_PREFIXES = ("", "", "", "", "sk_live_", "ghp_", "xoxb-", "AIza", "glpat-", "npm_")
 
 
@@ -83,7 +84,8 @@ def random_samples(spark: SparkSession, n: int = SAMPLES, salt: str = "random")
 
 def ordinary_samples(spark: SparkSession, n: int = SAMPLES, salt: str = "ordinary") -> DataFrame:
     """(sample, random = false): identifiers of two to four words in snake, kebab, path, camel, capital and joined
-    style, with and without a number; decimal numbers, dates and UUIDs. They depend on nothing but n and salt."""
+    style, with and without a number; decimal numbers, dates and UUIDs; rules, one character again and again. They
+    depend on nothing but n and salt."""
     words = sorted(set(IDENTIFIER_WORDS.split()))
     digits, listed = _hashed(salt), F.split(F.lit(" ".join(words)), " ")
     drawn = F.slice(
@@ -97,12 +99,13 @@ def ordinary_samples(spark: SparkSession, n: int = SAMPLES, salt: str = "ordinar
     camel = F.concat(F.get(drawn, F.lit(0)), F.array_join(F.slice(capital, 2, 4), ""))
     date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.conv(F.substring(digits, 40, 4), 16, 10).cast("int") % 30000), "yyyy-MM-dd")
     uuid = F.concat_ws("-", *(F.substring(digits, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    rule = F.repeat(_picked(digits, 7, F.split(F.lit(RULED), ""), len(RULED)), F.conv(F.substring(digits, 11, 2), 16, 10).cast("int") % 48 + 16)
     snake = F.array_join(drawn, "_")
     written = F.array(
         snake, F.array_join(drawn, "-"), F.array_join(drawn, "/"), camel, F.array_join(capital, ""), F.array_join(drawn, ""),
         F.upper(snake), F.concat_ws("_", snake, number), F.concat(camel, number),
         F.array_join(F.transform(capital, lambda w, k: F.concat(w, F.substring(number, k + 1, F.lit(1)))), ""), long_number, F.concat(date, F.lit("-"), F.array_join(drawn, "-")),
-        uuid,
+        uuid, rule,
     )
     return spark.range(n).select(F.explode(written).alias("sample"), F.lit(False).alias("random"))
 
