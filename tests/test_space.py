@@ -279,6 +279,20 @@ def test_pairs_match_brute_force(spark):
         interaction.pairs(events, assoc.unionByName(assoc)).collect()
 
 
+def test_pairs_of_a_planted_cluster(spark, monkeypatch):
+    """A third of all events in one cube and one time bucket: many tasks share it, and no pair is lost or doubled."""
+    r = random.Random(8)
+    t0 = datetime(2024, 1, 1)
+    rows = [(f"e{k}", t0 + timedelta(hours=r.randrange(24 * 90)), 6.5, "mww", r.uniform(-60, 60), r.uniform(-180, 180)) for k in range(200)]
+    rows += [(f"c{k}", t0 + timedelta(minutes=k), 6.5, "mww", 10 + r.gauss(0, 0.05), 20 + r.gauss(0, 0.05)) for k in range(100)]
+    events = spark.createDataFrame(rows, EVENT).cache()
+    monkeypatch.setattr(skew, "MOST", 10)
+    met = interaction.close_pairs(events, 5.0, 300.0).select(F.col("l.event_id").alias("a"), F.col("r.event_id").alias("b"), F.col("l.salt").alias("salt")).collect()
+    expected = {(a[0], b[0]) for a in rows for b in rows if 0 < (b[1] - a[1]).total_seconds() <= 5 * 86400 and km(a[4:], b[4:]) <= 300}
+    assert {(x["a"], x["b"]) for x in met} == expected and len(met) == len(expected) >= 4950
+    assert len({x["salt"] for x in met if x["a"].startswith("c")}) >= 8
+
+
 def test_windows_and_rings(spark):
     rows, events = study(spark)
     start, end = datetime(2024, 1, 1), datetime(2024, 3, 1)
