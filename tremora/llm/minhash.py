@@ -228,7 +228,8 @@ def _meeting_links(pending: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
 def candidates(members: DataFrame, classes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(pairs, shared): pairs (a, b) whose bits may reach the threshold, and members(bucket, rep) of shared buckets."""
-    ends = members.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
+    # Cut, as its size is looked at before it is joined: all members are shuffled once for it.
+    ends = cut(members.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last"))
     shared = cut(members.join(bounded(ends), "bucket"))
     proposed = shared.select("rep", F.explode(F.array("first", "last")).alias("hub")).where("rep != hub")
     pairs = proposed.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
