@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremora.operators.lineage import bounded
+from tremora.operators.lineage import bounded, cut
 
 #: Rows of one key that one task may take from the left side.
 MOST = 50_000
@@ -19,7 +19,7 @@ def dealt(left: DataFrame, right: DataFrame, keys: list[str], most: int | None =
     """
     most = most or MOST
     hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-    hot = bounded(hot.select(*keys, F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    hot = bounded(cut(hot.select(*keys, F.ceil(F.col("n") / most).cast("int").alias("parts"))))
     parts = F.coalesce("parts", F.lit(1))
     one = left.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("parts")
     every = F.explode(F.sequence(F.lit(0), parts - 1))
