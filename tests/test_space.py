@@ -77,6 +77,13 @@ def test_dbscan_of_touching_cells(spark, seed):
     assert [got[k] for k in range(len(points))] == brute_dbscan(points, 4.0, 4)
 
 
+def test_numbers_in_order(spark):
+    values = random.Random(2).sample(range(10**6), 5000)
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(7)
+    got = dict(spatial.in_order(df, "v", "k").collect())
+    assert got == {v: k for k, v in enumerate(sorted(values))} and spatial.in_order(df.limit(0), "v", "k").count() == 0
+
+
 def test_members_and_ids_of_a_large_cluster(spark):
     rows = [(k, 1) for k in range(30_000)] + [(30_000 + k, k % 2 * 5) for k in range(10)] + [(50_000, -1)]
     labelled = spark.createDataFrame(rows, "position long, cluster_id long").repartition(5)

@@ -84,6 +84,20 @@ def centroid(df: DataFrame, *keys: str) -> DataFrame:
     return sums.select(*keys, guarded.alias("centroid_latitude"), mean.lon().alias("centroid_longitude"), "event_count")
 
 
+def in_order(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df with the place of each row from 0 in the order of a column without repeats.
+
+    Rows are dealt out by ranges of the column and numbered within their range; only the ranges' sizes, one row for each
+    partition, are summed up in one task.
+    """
+    dealt = cut(df.repartitionByRange(by).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__range", before.alias("__before"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__range").orderBy(by)) - 1
+    return dealt.join(F.broadcast(starts), "__range").withColumn(name, place.cast("long")).drop("__range", "__before")
+
+
 def _cell(lat: Column, lon: Column, side_km: float) -> Column:
     v = Vector.at(lat, lon)
     return F.struct(*(F.floor(x * (EARTH_KM / side_km)).alias(n) for x, n in ((v.x, "x"), (v.y, "y"), (v.z, "z"))))
@@ -174,10 +188,8 @@ def dbscan(df: DataFrame, position: str, eps_km: float, min_samples: int) -> Dat
     core_labels = cores.join(labelled, "cell").select("id", "component")
     border = sparse.join(cores.select("id"), "id", "left_anti").alias("p").join(cores.join(labelled, "cell").alias("q"), F.col("p.other") == F.col("q.cell"))
     border_labels = border.where(within).groupBy("p.id").agg(F.min("q.component").alias("component"))
-    # The smallest id of a component is its first core position; one row for each cluster is numbered.
-    numbers = labelled.select("component").distinct().withColumn(
-        "cluster_id", (F.row_number().over(Window.orderBy("component")) - 1).cast("long")
-    )
+    # The smallest id of a component is its first core position.
+    numbers = in_order(labelled.select("component").distinct(), "component", "cluster_id")
     labels = core_labels.unionByName(border_labels).join(numbers, "component").select("id", "cluster_id")
     by_spot = spots.join(labels, "id", "left").select("latitude", "longitude", F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id"))
     return points.join(by_spot, ["latitude", "longitude"]).select("position", "cluster_id")
