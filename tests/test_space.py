@@ -388,3 +388,20 @@ def test_research_bundle(spark, tmp_path):
     assert counts["events"] == counts["boundary_associations"] == counts["fault_associations"] == 25
     assert counts["interaction_windows"] == counts["along_windows"] == 25 * strong
     assert counts["interaction_pairs"] == counts["along_pairs"] > 0
+
+
+def test_near_pairs_of_shared_coordinates(spark, monkeypatch):
+    """Rows of equal coordinates meet through spots, in as many tasks as their pairs take, also where one spot has most."""
+    r = random.Random(12)
+    at = [(k * 0.1 - 2, 179.9 + 0.1 * j) for k in range(5) for j in range(4)]
+    rows = [(k, *(at[0] if k % 3 == 0 else r.choice(at))) for k in range(300)] + [(900, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, latitude double, longitude double")
+    expected = {(a[0], b[0]) for a in rows[:-1] for b in rows[:-1] if a[0] < b[0] and km(a[1:], b[1:]) <= 12}
+    for shared in (1, 10**9):
+        monkeypatch.setattr(spatial, "SHARED", shared)
+        for work in (skew.WORK, 500):
+            monkeypatch.setattr(skew, "WORK", work)
+            met = spatial.near_pairs(df, df, 12.0, F.col("l.id") < F.col("r.id"))
+            got = met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "distance_km").collect()
+            assert {(x["a"], x["b"]) for x in got} == expected and len(got) == len(expected)
+            assert work > 500 or met.rdd.getNumPartitions() > 40
