@@ -405,3 +405,66 @@ def test_near_pairs_of_shared_coordinates(spark, monkeypatch):
             got = met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "distance_km").collect()
             assert {(x["a"], x["b"]) for x in got} == expected and len(got) == len(expected)
             assert work > 500 or met.rdd.getNumPartitions() > 40
+
+
+def shared_study(spark):
+    """Events that share a few places, some of them exactly a window apart, some at the same moment."""
+    r = random.Random(21)
+    t0 = datetime(2024, 1, 5)
+    at = [(0.03 * k, 0.1 * j) for k in (-1, 0, 1) for j in (1, 4, 9, 14)] + [(60.0, 60.0)]
+    rows = [(f"e{k}", t0 + timedelta(hours=6 * r.randrange(48)), r.choice([6.0, 7.2]), "mww", *r.choice(at)) for k in range(150)]
+    net = steps(spark, ("s2", "NA-PA", "NA", "PA", "SUB", 0.0, 2.0, 1.0, 2.0, 120.0))
+    kinds = [("s0", "AF-AN", "AF", "AN", "OTF"), ("s1", "AF-AN", "AF", "AN", "OTF"), ("s2", "NA-PA", "NA", "PA", "SUB")]
+    placed = [(x[0], *kinds[0 if x[5] < 1 else 1 + (x[4] > 0)]) for x in rows if x[4] < 50]
+    assoc = spark.createDataFrame(placed, "event_id string, step_id string, boundary_id string, left_plate string, right_plate string, boundary_class string")
+    return rows, spark.createDataFrame(rows, EVENT).cache(), assoc.cache(), net
+
+
+def test_counts_between_places(spark, monkeypatch):
+    """Windows, routes and their medians by places are those by pairs, and no pair of events becomes a row."""
+    _, events, assoc, net = shared_study(spark)
+    bounds, days, near = (datetime(2024, 1, 1), datetime(2024, 2, 1)), (1.0, 2.0, 5.0), (20.0, 60.0)
+    limits = (6.0, 5.0, 60.0, 10.0)
+
+    def found(df):
+        return sorted(map(str, df.select(*sorted(df.columns)).collect()))
+
+    monkeypatch.setattr(interaction, "SHARED", 10**9)
+    pairs = interaction.along_pairs(events, assoc, net, *limits).cache()
+    assert interaction.routed_places(events, assoc, net, *limits) is None and pairs.count() > 500
+    radial = found(interaction.windows(events, assoc, *bounds, 6.0, days, near))
+    along = found(interaction.along_windows(events, assoc, net, pairs, *bounds, 6.0, days, near))
+    cover = interaction.along_coverage(pairs).first()
+    routes = [x["along_boundary_distance_km"] for x in pairs.where("route_status = 'available'").collect()]
+    assert cover["median_along_boundary_distance_km"] == pytest.approx(statistics.median(routes)) and cover["candidate_pair_count"] == pairs.count()
+    assert cover["missing_projection_pair_count"] > 0 and cover["different_plate_pair_count"] > 0
+
+    monkeypatch.setattr(interaction, "SHARED", 0)
+    monkeypatch.setattr(interaction, "MOMENTS", 3)
+
+    def fail(*_):
+        raise AssertionError("pairs of events")
+
+    monkeypatch.setattr(interaction, "close_pairs", fail)
+    places = interaction.routed_places(events, assoc, net, *limits)
+    assert found(interaction.windows(events, assoc, *bounds, 6.0, days, near)) == radial
+    assert found(interaction.along_windows(events, assoc, net, places, *bounds, 6.0, days, near)) == along
+    counted = interaction.pairs_of_places(places[0], places[1].where("lag_slabs >= 0"), 5.0)
+    assert interaction.along_coverage(counted, "pairs").first() == cover
+
+
+def test_routes_take_no_shuffle_of_pairs(spark):
+    """Pairs are joined once; their routes come from a broadcast table of steps, and nothing as long as they is stored."""
+    _, events, assoc, net = shared_study(spark)
+    plan = interaction.along_pairs(events, assoc, net, 6.0, 5.0, 60.0, 10.0)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "BroadcastHashJoin" in joins[0] and "s_step_id" in joins[0] and "lag_days" not in plan.split("Scan ExistingRDD", 1)[1]
+
+
+def test_lags_are_exact(spark):
+    """An event exactly a window's length later lies within it, whatever the day."""
+    t = [datetime(2024, 1, 1) + timedelta(microseconds=k * 987_654_321) for k in range(400)]
+    rows = [(f"{s}{k}", x + timedelta(days=d), 6.5, "mww", float(k % 90), k / 3) for k, x in enumerate(t) for s, d in (("a", 0), ("b", 5))]
+    met = interaction.close_pairs(spark.createDataFrame(rows, EVENT), 5.0, 1.0).select(F.col("l.event_id").alias("a"), F.col("r.event_id").alias("b"), "lag_days")
+    got = {x["a"]: x["lag_days"] for x in met.collect() if x["a"][1:] == x["b"][1:]}
+    assert len(got) == 400 and set(got.values()) == {5.0}
