@@ -260,3 +260,10 @@ def test_pipeline(spark, tmp_path):
     for k, text in expected.items():
         assert got[k]["decoded_sha256"] == sha(text) and got[k]["n_chars"] == len(text)
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality rules" and len(corpus_pipeline.STAGES) == 5
+
+
+def test_memo_keeps_no_long_keys():
+    from tremora.llm.pieces import Memo
+
+    memo = Memo(len, bound=2, longest=3)
+    assert [memo[k] for k in ("abcd", "a", "abcd", "ab")] == [4, 1, 4, 2] and set(memo) == {"a", "ab"}

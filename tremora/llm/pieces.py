@@ -29,15 +29,17 @@ MEMO, MEMO_CHARS = 300_000, 48
 
 
 class Memo(dict):
-    """A mapping that computes what it lacks and starts anew when full."""
+    """A mapping that computes what it lacks and starts anew when full; keys over `longest` aren't kept."""
 
-    def __init__(self, make, bound: int = MEMO):
-        self.make, self.bound = make, bound
+    def __init__(self, make, bound: int = MEMO, longest: int | None = None):
+        self.make, self.bound, self.longest = make, bound, longest
 
     def __missing__(self, key):
-        if len(self) >= self.bound:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if self.longest is None or len(key) <= self.longest:
+            if len(self) >= self.bound:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -67,11 +69,11 @@ class PieceCoder:
             raise ValueError("only an identity normaliser with a space put first is supported")
         self.pieces = ahocorasick.Automaton()
         for p in self.ids:
-            self.pieces.add_word(p, p)
+            self.pieces.add_word(p, (1 - len(p), p))
         self.pieces.make_automaton()
         self.shorter = Memo(self._shorter)
         self.fits = Memo(lambda pair: self.merge(pair[0] + pair[1]) == [p for p in pair if p])
-        self.chunks = Memo(self._chunk)
+        self.chunks = Memo(self._chunk, longest=MEMO_CHARS)
 
     def merge(self, text: str) -> list[str]:
         """The merges themselves: the best-scored neighbours first, the leftmost of equals. For short texts."""
@@ -93,7 +95,7 @@ class PieceCoder:
     def split(self, text: str) -> list[str]:
         """Pieces of a text of known characters."""
         fits, last = self.fits, ""
-        pieces = [p for _, p in self.pieces.iter_long(text)]
+        pieces = [p for _, (_, p) in self.pieces.iter_long(text)]
         for piece in pieces:
             if not fits[last, piece]:
                 return self._backtrack(text)
@@ -102,10 +104,9 @@ class PieceCoder:
 
     def _backtrack(self, text: str) -> list[str]:
         longest: list[str] = [""] * len(text)
-        for end, piece in self.pieces.iter(text):
-            start = end - len(piece) + 1
-            if len(piece) > len(longest[start]):
-                longest[start] = piece
+        # Matches come by their ends, so the last one from a start is the longest.
+        for end, (back, piece) in self.pieces.iter(text):
+            longest[end + back] = piece
         fits, shorter = self.fits, self.shorter
         reachable = bytearray(b"\1") * (len(text) + 1)
         done: list[str] = []
@@ -148,12 +149,8 @@ class PieceCoder:
         ends = struct.pack("<I", self.begin), struct.pack("<I", self.end)
         if not text:
             return b"".join(ends), ""
-        memo = self.chunks
-        pairs = [
-            memo[c] if len(c) <= MEMO_CHARS else self._chunk(c) for c in CHUNK.findall(" " + text.replace(SPACE, " "))
-        ]
-        decoded = b"".join([p[1] for p in pairs])
-        return b"".join((ends[0], *[p[0] for p in pairs], ends[1])), decoded[1:].decode("utf-8", "replace")
+        ids, texts = zip(*map(self.chunks.__getitem__, CHUNK.findall(" " + text.replace(SPACE, " "))), strict=True)
+        return b"".join((ends[0], *ids, ends[1])), b"".join(texts)[1:].decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; begin, end and other marks give none, and one leading space goes."""
