@@ -1,6 +1,7 @@
 """Geometry, clustering, context, network and pair studies against closed forms and brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import statistics
@@ -453,6 +454,40 @@ def test_counts_between_places(spark, monkeypatch):
     assert interaction.along_coverage(counted, "pairs").first() == cover
 
 
+def test_moments_of_other_places_are_no_rows(spark, monkeypatch):
+    """Counts at a place come from searches in arrays, whole and in parts, in any batches: no moment of another place is
+    shuffled or put in a window, also where the arrays fit no broadcast; null kinds stay apart."""
+    r, day = random.Random(8), 86_400_000_000
+    events = [(f"e{k}", k % 4, r.randrange(0, 12) * day // 2) for k in range(90)] + [("x", 0, None)]
+    near = [(0, 1, True), (0, 2, None), (0, 3, True), (1, 0, False), (2, 2, None), (3, 1, None)]
+    expected = {}
+    for (a, b, kind), (_, p, t), (_, q, u) in itertools.product(near, events, events):
+        if (p, q) == (a, b) and t is not None and u is not None and 0 < abs(u - t) <= 2 * day:
+            expected.setdefault((p, t, 1.0 if abs(u - t) <= day else 2.0, kind), [0, 0])[u > t] += 1
+    # An event's counts are those of its moment, whose events have met each other event as often as they are.
+    sharing = {(p, t): sum(x[1:] == (p, t) for x in events) for _, p, t in events}
+    expected = {k: tuple(n // sharing[k[:2]] for n in v) for k, v in expected.items()}
+    placed = spark.createDataFrame(events, "event_id string, place long, us long").cache()
+    met = spark.createDataFrame(near, "place long, other long, kind boolean").cache()
+    for most, rows, small in ((4096, 10_000, True), (3, 2, True), (3, 4, False)):
+        monkeypatch.setattr(interaction, "MOMENTS", most)
+        monkeypatch.setattr(interaction, "fits", lambda _, x=small: x)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            cells = interaction._cells_of_places(placed, met, ("kind",), (1.0, 2.0))
+            got = {}
+            for x in cells.collect():
+                key = (x["place"], x["us"], x["time_window_days"], x["kind"])
+                pre, post = got.get(key, (0, 0))
+                got[key] = (pre + x["pre"], post + x["post"])
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == expected and len(got) > 40
+        plan = cells._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Window" not in plan and "Generate" not in plan
+        assert not small or "SortMergeJoin" not in plan
+
+
 def test_routes_take_no_shuffle_of_pairs(spark):
     """Pairs are joined once; their routes come from a broadcast table of steps, and nothing as long as they is stored."""
     _, events, assoc, net = shared_study(spark)

@@ -9,20 +9,21 @@ windows are running sums over those.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremora.functions.geo import EARTH_KM, haversine_km
 from tremora.functions.seismic import seismic_moment
 from tremora.operators.context import plate_pair
-from tremora.operators.lineage import bounded, cut
+from tremora.operators.lineage import bounded, cut, fits
 from tremora.operators.network import project, routes, step_distances
-from tremora.operators.skew import spread
+from tremora.operators.skew import TASKS, spread
 from tremora.operators.spatial import CUBE, with_cube
 from tremora.operators.validation import fail_on_duplicates
 
@@ -106,52 +107,96 @@ def close_places(named: DataFrame, max_km: float, slabs: Sequence[int]) -> DataF
     return joined.withColumn("distance_km", distance).where(F.col("distance_km") <= max_km)
 
 
+def _moment_arrays(placed: DataFrame) -> DataFrame:
+    """(place, part, us, n): the moments of a place in sorted arrays of about MOMENTS, and how many events each has."""
+    moments = placed.where("us is not null").groupBy("place", "us").agg(F.count(F.lit(1)).alias("n"))
+    sizes = moments.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / MOMENTS).alias("parts"))
+    dealt_out = moments.join(sizes, "place").withColumn("part", F.pmod(F.xxhash64("us"), F.col("parts")))
+    held = F.array_sort(F.collect_list(F.struct("us", "n")))
+    arrays = dealt_out.groupBy("place", "part").agg(held.alias("m"))
+    return cut(arrays.select("place", "part", F.col("m.us").alias("us"), F.col("m.n").alias("n")))
+
+
+#: Moments of sources that one task takes, by aim.
+SOURCES = 16_384
+
+
 def _cells_of_places(placed: DataFrame, met: DataFrame, kinds: Sequence[str], days: Sequence[float]) -> DataFrame:
     """(place, us, time_window_days, kinds, pre, post) from met(place, other, kinds): how many events of the other places
     of each kind lie before and after an event at that place and time, by the smallest time window that holds them.
+    A place's counts may come in several rows, to be summed.
 
-    The moments of a place's others stand in one order of time with its own events' window edges, and one running sum
-    gives how many lie up to each edge. No pair of events is a row.
+    Moments lie in sorted arrays. Those of a place's others follow each other in a batch of rows, are put in one order of
+    time and searched for the window edges of the place's own moments. Neither a pair of events nor a moment of another
+    place is a row, and only met is shuffled where the arrays fit a broadcast.
     """
     limits = window_limits(days)
     spans = [0, *(_span(d) for d in limits)]
-    edges = [*spans, *(-s - 1 for s in spans)]
-    moments = cut(placed.where("us is not null").groupBy("place", "us").agg(F.count(F.lit(1)).alias("n")))
-    met, by = cut(met), ["place", *kinds]
-    others = moments.withColumnRenamed("place", "other")
-    seen = met.join(others, "other").groupBy(*by, F.col("us").alias("at")).agg(F.sum("n").alias("n"))
-    seen = seen.select(*by, "at", "n", F.lit(None).cast("long").alias("us"), F.lit(None).cast("int").alias("edge"))
-    asked = met.select(*by).distinct().join(moments.select("place", "us"), "place")
-    asked = asked.select(*by, "us", F.posexplode(F.array(*(F.col("us") + e for e in edges))).alias("edge", "at"))
-    asked = asked.select(*by, "at", F.lit(0).cast("long").alias("n"), "us", "edge")
-    order = Window.partitionBy(*by).orderBy("at", F.asc_nulls_first("edge")).rowsBetween(Window.unboundedPreceding, 0)
-    upto = seen.unionByName(asked).withColumn("upto", F.sum("n").over(order)).where("edge is not null")
-    each = upto.groupBy(*by, "us").agg(*(F.max(F.when(F.col("edge") == k, F.col("upto"))).alias(f"e{k}") for k in range(len(edges))))
-    half = len(spans)
-    windows_of = F.array(
-        *(
-            F.struct(
-                F.lit(d).alias("time_window_days"),
-                (F.col(f"e{half + k}") - F.col(f"e{half + k + 1}")).alias("pre"),
-                (F.col(f"e{k + 1}") - F.col(f"e{k}")).alias("post"),
+    edges = np.array([*spans, *(-s - 1 for s in spans)], dtype="int64")
+    run, half = ["place", "part", *kinds], len(spans)
+    arrays = _moment_arrays(placed)
+    right = arrays.select(F.col("place").alias("other"), F.col("us").alias("later"), F.col("n").alias("later_n"))
+    context = placed.sparkSession.sparkContext
+    held = arrays.agg(F.coalesce(F.sum(F.size("us")), F.lit(0))).first()[0]
+    tasks = min(TASKS, max(4 * context.defaultParallelism, -(-held // SOURCES)))
+
+    def in_runs(df: DataFrame) -> DataFrame:
+        return df.repartition(tasks, "place", "part").sortWithinPartitions(*run)
+
+    asked = met.join(bounded(arrays.select("place", "part")), "place").select(*run, "other")
+    small = fits(arrays)
+    if small:
+        # Stored in order: broadcast joins keep it.
+        asked, arrays, right = cut(in_runs(asked)), F.broadcast(arrays), F.broadcast(right)
+    both = asked.join(arrays, ["place", "part"]).join(right, "other").select(*run, "us", "later", "later_n")
+    both = both if small else in_runs(both)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            changed = np.zeros(batch.num_rows, dtype=bool)
+            changed[0] = True
+            for c in run:
+                codes = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                changed[1:] |= codes[1:] != codes[:-1]
+            starts = np.flatnonzero(changed)
+            ends = [*starts[1:], batch.num_rows]
+            (us, us_at), (later, later_at), (n, n_at) = (
+                (x.values.to_numpy(zero_copy_only=False), x.offsets.to_numpy()) for x in map(batch.column, ("us", "later", "later_n"))
             )
-            for k, d in enumerate(limits)
-        )
-    )
-    return each.select(*by, "us", F.explode(windows_of).alias("w")).select(*by, "us", "w.*").where("pre + post > 0")
+            rows, times, windows, pres, posts = [], [], [], [], []
+            for first, last in zip(starts, ends, strict=True):
+                moments, weights = later[later_at[first] : later_at[last]], n[n_at[first] : n_at[last]]
+                order = np.argsort(moments, kind="stable")
+                upto, at = np.concatenate(([0], np.cumsum(weights[order]))), us[us_at[first] : us_at[first + 1]]
+                sums = upto[np.searchsorted(moments[order], at[None, :] + edges[:, None], "right")]
+                post, pre = np.diff(sums[:half], axis=0), -np.diff(sums[half:], axis=0)
+                window, k = np.nonzero(pre + post)
+                rows.append(np.full(len(k), first))
+                times.append(at[k])
+                windows.append(window)
+                pres.append(pre[window, k])
+                posts.append(post[window, k])
+            at = pa.array(np.concatenate(rows))
+            made = {"place": batch.column("place").take(at), "us": np.concatenate(times)}
+            made |= {"time_window_days": np.array(limits)[np.concatenate(windows)]}
+            made |= {c: batch.column(c).take(at) for c in kinds}
+            made |= {"pre": np.concatenate(pres), "post": np.concatenate(posts)}
+            yield pa.RecordBatch.from_pydict({c: x if isinstance(x, pa.Array) else pa.array(x) for c, x in made.items()})
+
+    types = dict(met.dtypes)
+    schema = ", ".join(["place long, us long, time_window_days double", *(f"`{c}` {types[c]}" for c in kinds), "pre long, post long"])
+    return both.mapInArrow(counted, schema)
 
 
 def pairs_of_places(placed: DataFrame, met: DataFrame, max_days: float) -> DataFrame:
     """met(place, other, ...) with pairs: how many later events of other lie within max_days of an event of place.
 
-    Moments lie in sorted arrays of about MOMENTS; each two arrays are counted by searches in one batch of rows.
+    Moments lie in sorted arrays; each two arrays are counted by searches in one batch of rows.
     """
     span = _span(max_days)
-    moments = placed.where("us is not null").groupBy("place", "us").agg(F.count(F.lit(1)).alias("n"))
-    sizes = moments.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / MOMENTS).alias("parts"))
-    dealt_out = moments.join(sizes, "place").withColumn("part", F.pmod(F.xxhash64("us"), F.col("parts")))
-    held = F.array_sort(F.collect_list(F.struct("us", "n")))
-    arrays = cut(dealt_out.groupBy("place", "part").agg(held.alias("m")).select("place", F.col("m.us").alias("us"), F.col("m.n").alias("n")))
+    arrays = _moment_arrays(placed).drop("part")
     right = arrays.toDF("other", "later", "later_n")
 
     @F.pandas_udf("long")
