@@ -454,6 +454,30 @@ def test_counts_between_places(spark, monkeypatch):
     assert interaction.along_coverage(counted, "pairs").first() == cover
 
 
+def test_pairs_show_what_is_made_once_an_event(spark):
+    """Plate pairs, moments and columns shown otherwise are made before the join, with the same rows as after it."""
+    _, events, assoc, _ = shared_study(spark)
+    shown = {"time": F.date_format("time", "MM-dd HH"), "magnitude": F.round(F.col("magnitude") / 3, 2)}
+    found = interaction.pairs(events, assoc, 6.0, 5.0, 60.0, shown)
+    above = found._jdf.queryExecution().executedPlan().toString().split("ExistingRDD", 1)[0]
+    assert "Join" in above and not any(x in above for x in ("date_format", "array_sort", "trim", "/ 3"))
+    plain = interaction.pairs(events, assoc, 6.0, 5.0, 60.0)
+    after = plain.withColumns({f"{s}_{c}": x for s in ("source", "target") for c, x in (("time", F.date_format(f"{s}_time", "MM-dd HH")), ("magnitude", F.round(F.col(f"{s}_magnitude") / 3, 2)))})
+    assert found.columns == plain.columns and found.count() > 500
+    assert sorted(map(str, found.collect())) == sorted(map(str, after.collect()))
+
+
+def test_pairs_along_a_meridian_at_the_limit(spark):
+    """Two events due north of each other whose distance is the limit to the last bit are a pair; just below it they aren't."""
+    t = datetime(2024, 1, 1)
+    for lat, step in ((0.0, 0.53), (-89.9, 0.07), (41.3, 1e-7), (-60.0, 150.0)):
+        rows = [("a", t, 6.5, "mww", lat, 7.0), ("b", t + timedelta(hours=1), 6.5, "mww", lat + step, 7.0)]
+        events = spark.createDataFrame(rows, EVENT)
+        far = interaction.close_pairs(events, 1.0, 20_000.0).first()["distance_km"]
+        assert interaction.close_pairs(events, 1.0, far).count() == 1
+        assert interaction.close_pairs(events, 1.0, math.nextafter(far, 0)).count() == 0
+
+
 def test_moments_of_other_places_are_no_rows(spark, monkeypatch):
     """Counts at a place come from searches in arrays, whole and in parts, in any batches: no moment of another place is
     shuffled or put in a window, also where the arrays fit no broadcast; null kinds stay apart."""

@@ -9,7 +9,8 @@ windows are running sums over those.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 from datetime import datetime
 
 import numpy as np
@@ -67,6 +68,8 @@ def close_pairs(events: DataFrame, max_days: float, max_km: float) -> DataFrame:
     keys = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*CUBE, "bucket", "salt")]
     lag = F.col("r.us") - F.col("l.us")
     on = keys[0] & keys[1] & keys[2] & keys[3] & keys[4] & (lag > 0) & (lag <= span)
+    # No distance is shorter than its part along a meridian, which costs no sine.
+    on &= F.abs(F.col("l.latitude") - F.col("r.latitude")) <= math.degrees(max_km / EARTH_KM) * (1 + 1e-9) + 1e-9
     joined = early.alias("l").join(late.alias("r"), on)
     distance = haversine_km(F.col("l.latitude"), F.col("l.longitude"), F.col("r.latitude"), F.col("r.longitude"))
     return joined.withColumns({"lag_days": lag / DAY, "distance_km": distance}).where(F.col("distance_km") <= max_km)
@@ -226,25 +229,29 @@ def pairs(
     minimum_magnitude: float = 6.0,
     max_lag_days: float = 365.0,
     max_distance_km: float = 2000.0,
+    shown_as: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Every later event near an earlier one, with both ends' context. same_* is null where an end lacks context."""
-    met = close_pairs(cut(with_context(eligible(events, minimum_magnitude), associations)), max_lag_days, max_distance_km)
-    shown = []
+    """Every later event near an earlier one, with both ends' context. same_* is null where an end lacks context.
+
+    What hangs on one event is made once an event, not once a pair; so are the columns of shown_as, made of the columns of
+    an event and shown in place of its time, magnitude and so on.
+    """
+    fields = ("event_id", "time", "magnitude", "magnitude_type", "boundary_id", "left_plate", "right_plate", "boundary_class")
+    catalog = with_context(eligible(events, minimum_magnitude), associations)
+    made = {f"shown_{c}": (shown_as or {}).get(c, F.col(c)) for c in fields}
+    made |= {"moment_nm": seismic_moment(F.col("magnitude"), F.col("magnitude_type")), "plates": plate_pair(F.col("left_plate"), F.col("right_plate"))}
+    catalog = cut(catalog.select("time", "latitude", "longitude", *(c.alias(n) for n, c in made.items())))
+    met, shown = close_pairs(catalog, max_lag_days, max_distance_km), []
     for side, name in (("l", "source"), ("r", "target")):
-        shown += [
-            F.col(f"{side}.{c}").alias(f"{name}_{c}")
-            for c in ("event_id", "time", "magnitude", "magnitude_type", "boundary_id", "left_plate", "right_plate", "boundary_class")
-        ]
-        moment = seismic_moment(F.col(f"{side}.magnitude"), F.col(f"{side}.magnitude_type"))
-        shown.append(moment.alias(f"{name}_moment_nm"))
-    both = [plate_pair(F.col(f"{s}.left_plate"), F.col(f"{s}.right_plate")) for s in ("l", "r")]
+        shown += [F.col(f"{side}.shown_{c}").alias(f"{name}_{c}") for c in fields]
+        shown.append(F.col(f"{side}.moment_nm").alias(f"{name}_moment_nm"))
     return met.select(
         *shown,
         "lag_days",
         "distance_km",
-        (both[0] == both[1]).alias("same_plate_pair"),
-        (F.col("l.boundary_id") == F.col("r.boundary_id")).alias("same_boundary_id"),
-        (F.col("l.boundary_class") == F.col("r.boundary_class")).alias("same_boundary_class"),
+        (F.col("l.plates") == F.col("r.plates")).alias("same_plate_pair"),
+        (F.col("l.shown_boundary_id") == F.col("r.shown_boundary_id")).alias("same_boundary_id"),
+        (F.col("l.shown_boundary_class") == F.col("r.shown_boundary_class")).alias("same_boundary_class"),
     )
 
 

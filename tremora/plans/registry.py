@@ -23,6 +23,7 @@ EPS_KM, MIN_SAMPLES, NEAR_KM = 10.8, 24, 12.0
 STUDY = {"minimum_magnitude": STUDY_MAGNITUDE, "max_lag_days": 5.0, "max_distance_km": 60.0}
 WINDOWS = {"days": (1.0, 2.0, 5.0), "kilometres": (20.0, 60.0)}
 LIMITS = (6.5, 7.0)
+TIME = "yyyy-MM-dd HH:mm:ss"
 
 
 def rounded(df: DataFrame, digits: int = 4, **by_column: int) -> DataFrame:
@@ -32,7 +33,7 @@ def rounded(df: DataFrame, digits: int = 4, **by_column: int) -> DataFrame:
         if kind == "double":
             made[name] = F.round(name, by_column.get(name, digits))
         elif kind == "timestamp":
-            made[name] = F.date_format(name, "yyyy-MM-dd HH:mm:ss")
+            made[name] = F.date_format(name, TIME)
     return df.withColumns(made)
 
 
@@ -68,6 +69,14 @@ def _strong_associations(spark: SparkSession, d: str) -> DataFrame:
     return cut(context.nearest_boundary(strong, steps(spark, d), 25.0))
 
 
+def _shown_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """As rounded shows them, but what hangs on one event is rounded and written once an event."""
+    events = located(spark, d)
+    event = {"time": F.date_format("time", TIME), "magnitude": F.round("magnitude", 4)}
+    found = interaction.pairs(events, _strong_associations(spark, d), **STUDY, shown_as=event)
+    return found.drop("source_moment_nm", "target_moment_nm").withColumns({c: F.round(c, 4) for c in ("lag_days", "distance_km")})
+
+
 def _windows(spark: SparkSession, d: str) -> DataFrame:
     return interaction.windows(located(spark, d), _strong_associations(spark, d), *PROFILE, STUDY_MAGNITUDE, **WINDOWS)
 
@@ -239,9 +248,7 @@ QUERIES: dict[str, Query] = {
     ),
     "network_summary": lambda s, d: network.network_summary(steps(s, d)),
     "network_distance": lambda s, d: network.shortest_paths(steps(s, d)),
-    "interaction_pairs": lambda s, d: rounded(
-        interaction.pairs(located(s, d), _strong_associations(s, d), **STUDY).drop("source_moment_nm", "target_moment_nm")
-    ),
+    "interaction_pairs": lambda s, d: _shown_pairs(s, d),
     "interaction_windows": lambda s, d: rounded(_windows(s, d).drop("source_moment_nm")),
     "interaction_cumulative": lambda s, d: rounded(interaction.stratified(_windows(s, d), LIMITS)),
     "interaction_annular": lambda s, d: rounded(interaction.annular(interaction.stratified(_windows(s, d), LIMITS))),
