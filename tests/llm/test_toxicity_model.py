@@ -149,3 +149,18 @@ def test_held_out_recall(spark):
     caught, missed, false = got[1, 1], got.get((1, 0), 0), got.get((0, 1), 0)
     # 6 of the 97 have no toxic word at all: junk whose label is noise.
     assert caught / (caught + missed) >= 0.9 and false <= 3
+
+
+def test_no_table_is_made_of_a_python_list(spark, monkeypatch):
+    """A table of a Python list starts Python on the executors; training and scores do without one."""
+    rows = [(k, f"{'vile' if k % 3 == 0 else 'calm'} word{k % 7} text") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int").cache()
+    assert docs.count() == labels.count() == 60
+
+    def fail(*_, **__):
+        raise AssertionError("a table made of a list")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", fail)
+    got = {x["doc_id"]: x["score"] for x in toxicity.digest(docs, labels).collect()}
+    assert len(got) == 60 and min(got[k] for k in got if k % 3 == 0) > max(got[k] for k in got if k % 3)

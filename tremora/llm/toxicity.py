@@ -176,7 +176,8 @@ def measured(docs: DataFrame, loud: DataFrame, known: DataFrame | None = None, s
         table, unknown = table.withColumns({"full": none, "unknown": none}), F.lit(0.0)
     else:
         own = known.select("key", F.col(f"full{suffix}").alias("full"), F.col(f"unknown{suffix}").alias("unknown"))
-        mark = known.sparkSession.createDataFrame([(MARK, None, None, None)], "key long, ratio double, full double, unknown double")
+        # Not made of a Python list: that would start Python on the executors.
+        mark = known.sparkSession.range(0, 1, 1, 1).select(F.lit(MARK).cast("long").alias("key"), *(none.alias(c) for c in ("ratio", "full", "unknown")))
         table = table.join(own, "key", "full").select("key", "ratio", "full", "unknown").unionByName(mark)
         # The same number in every row; 0 if there is no known word.
         unknown = F.lit(own.agg(F.coalesce(F.max("unknown"), F.lit(0.0))).first()[0])
