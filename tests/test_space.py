@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import statistics
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -408,6 +409,32 @@ def test_near_pairs_of_shared_coordinates(spark, monkeypatch):
             assert work > 500 or met.rdd.getNumPartitions() > 40
 
 
+def test_near_names_of_shared_coordinates(spark, monkeypatch):
+    """Names in blocks make the same pairs as rows do: repeated and null names, one spot with most rows, any blocks."""
+    r = random.Random(14)
+    at = [(k * 0.1 - 2, 179.9 + 0.1 * j) for k in range(5) for j in range(4)]
+    rows = [(f"{r.randrange(400)}", *(at[0] if k % 3 == 0 else r.choice(at))) for k in range(300)] + [("900", None, 1.0), (None, *at[0])]
+    df = spark.createDataFrame(rows, "id string, latitude double, longitude double")
+    known = [x for x in rows if x[0] and x[1] is not None]
+    expected = Counter((a[0], b[0], round(km(a[1:], b[1:]), 4)) for a in known for b in known if a[0] < b[0] and km(a[1:], b[1:]) <= 12)
+    for shared, block, work, ranges in ((10**9, 64, skew.WORK, 9), (1, 64, skew.WORK, 9), (1, 4, skew.WORK, 9), (1, 4, 500, 2), (1, 1, 500, 9)):
+        for module, name, value in ((spatial, "SHARED", shared), (spatial, "BLOCK", block), (skew, "BLOCK", block), (skew, "WORK", work), (spatial, "RANGES", ranges)):
+            monkeypatch.setattr(module, name, value)
+        met = spatial.near_names(df, "id", 12.0, 4)
+        assert Counter(map(tuple, met.collect())) == expected and met.columns == ["a", "b", "distance_km"]
+        assert work > 500 or met.rdd.getNumPartitions() > 40
+    assert spatial.near_names(df.limit(0), "id", 12.0, 4).count() == 0
+
+
+def test_haversine_pairs_takes_distances_between_spots(spark, monkeypatch):
+    """Neither a distance nor its rounding is left to the step that makes the pairs of the query."""
+    from tremora.plans.registry import queries
+
+    monkeypatch.setattr(spatial, "SHARED", 0)
+    plan = queries()["haversine_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "explode(held" in plan and not any(x in plan for x in ("round(", "ASIN", "latitude"))
+
+
 def shared_study(spark):
     """Events that share a few places, some of them exactly a window apart, some at the same moment."""
     r = random.Random(21)
