@@ -547,6 +547,43 @@ def test_routes_take_no_shuffle_of_pairs(spark):
     assert "BroadcastHashJoin" in joins[0] and "s_step_id" in joins[0] and "lag_days" not in plan.split("Scan ExistingRDD", 1)[1]
 
 
+def test_along_pairs_by_blocks_of_events(spark, monkeypatch):
+    """Pairs made of blocks of any size, dealt to any tasks, are those of single events; what hangs on an event or on two
+    places is shown and rounded before they are made."""
+    rows, events, assoc, net = shared_study(spark)
+    events = events.unionByName(spark.createDataFrame([("n0", None, 7.0, "mww", *rows[0][4:])], EVENT))
+    lag = {(a[0], b[0]): (b[1] - a[1]).total_seconds() / 86400 for a in rows for b in rows if km(a[4:], b[4:]) <= 80}
+    expected = {k: v for k, v in lag.items() if 0 < v <= 5}
+    shown = {"time": F.date_format("time", "MM-dd HH"), "magnitude": F.round(F.col("magnitude") / 3, 2)}
+    for block, work in ((64, skew.WORK), (1, skew.WORK), (3, 200)):
+        monkeypatch.setattr(skew, "BLOCK", block)
+        monkeypatch.setattr(skew, "WORK", work)
+        plain = interaction.along_pairs(events, assoc, net, 6.0, 5.0, 60.0, 10.0)
+        got = plain.collect()
+        assert {(x["earlier_event_id"], x["later_event_id"]): x["lag_days"] for x in got} == expected and len(got) == len(expected) > 500
+        places = {x[0]: x[4:] for x in rows}
+        assert all(x["radial_distance_km"] == pytest.approx(km(places[x["earlier_event_id"]], places[x["later_event_id"]]), abs=1e-9) for x in got)
+        found = interaction.along_pairs(events, assoc, net, 6.0, 5.0, 60.0, 10.0, shown, 2)
+        assert work > 200 or found.rdd.getNumPartitions() > 30
+        after = plain.withColumns({c: F.round(c, 2) for c in ("lag_days", "radial_distance_km", "along_boundary_distance_km")})
+        after = after.withColumns({f"{s}_{c}": x for s in ("earlier", "later") for c, x in (("time", F.date_format(f"{s}_time", "MM-dd HH")), ("magnitude", F.round(F.col(f"{s}_magnitude") / 3, 2)))})
+        assert found.columns == after.columns and sorted(map(str, found.collect())) == sorted(map(str, after.collect()))
+    above = found._jdf.queryExecution().executedPlan().toString().split("Generate inline(later", 1)[0]
+    assert "lag_days" in above and not any(x in above for x in ("round(", "ASIN", "date_format", "/ 3", "Join"))
+
+
+def test_lags_are_rounded_as_by_decimals(spark):
+    """Lags rounded by whole numbers are those that round gives, at every half and beside it."""
+    halves = spark.range(60_000).select((F.col("id") * 8_640_000 + 4_320_000).alias("half"))
+    us = halves.select(F.explode(F.array(*(F.col("half") + d for d in (-1, 0, 1, 1_234_567)))).alias("us"))
+    far = us.select((F.col("us") + F.lit(9_990 * 86_400_000_000)).alias("us"))
+    for df in (us, far):
+        wrong = df.where(interaction._days(F.col("us"), 10_000, 4) != F.round(F.col("us") / interaction.DAY, 4))
+        assert wrong.count() == 0
+    assert column(spark, interaction._days(F.lit(4_320_000), 5.0, 4)) == 0.0001
+    assert column(spark, interaction._days(F.lit(86_400_000_000 // 2), 5.0, None)) == 0.5
+
+
 def test_lags_are_exact(spark):
     """An event exactly a window's length later lies within it, whatever the day."""
     t = [datetime(2024, 1, 1) + timedelta(microseconds=k * 987_654_321) for k in range(400)]
