@@ -551,7 +551,7 @@ def test_along_pairs_by_blocks_of_events(spark, monkeypatch):
     """Pairs made of blocks of any size, dealt to any tasks, are those of single events; what hangs on an event or on two
     places is shown and rounded before they are made."""
     rows, events, assoc, net = shared_study(spark)
-    events = events.unionByName(spark.createDataFrame([("n0", None, 7.0, "mww", *rows[0][4:])], EVENT))
+    events = events.unionByName(spark.createDataFrame([("n0", None, 7.0, "mww", *rows[0][4:])], EVENT)).withColumn("place", F.lit("by name"))
     lag = {(a[0], b[0]): (b[1] - a[1]).total_seconds() / 86400 for a in rows for b in rows if km(a[4:], b[4:]) <= 80}
     expected = {k: v for k, v in lag.items() if 0 < v <= 5}
     shown = {"time": F.date_format("time", "MM-dd HH"), "magnitude": F.round(F.col("magnitude") / 3, 2)}
@@ -568,6 +568,10 @@ def test_along_pairs_by_blocks_of_events(spark, monkeypatch):
         after = plain.withColumns({c: F.round(c, 2) for c in ("lag_days", "radial_distance_km", "along_boundary_distance_km")})
         after = after.withColumns({f"{s}_{c}": x for s in ("earlier", "later") for c, x in (("time", F.date_format(f"{s}_time", "MM-dd HH")), ("magnitude", F.round(F.col(f"{s}_magnitude") / 3, 2)))})
         assert found.columns == after.columns and sorted(map(str, found.collect())) == sorted(map(str, after.collect()))
+    monkeypatch.setattr(interaction, "SHARED", 0)
+    placed, met = interaction.routed_places(events, assoc, net, 6.0, 5.0, 60.0, 10.0)
+    counted = interaction.pairs_of_places(placed, met.where("lag_slabs >= 0"), 5.0)
+    assert counted.agg(F.sum("pairs")).first()[0] == len(expected)
     above = found._jdf.queryExecution().executedPlan().toString().split("Generate inline(later", 1)[0]
     assert "lag_days" in above and not any(x in above for x in ("round(", "ASIN", "date_format", "/ 3", "Join"))
 
